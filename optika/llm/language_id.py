@@ -170,21 +170,29 @@ def infer(column: pa.Array, model: LanguageModel, penalty: float = 3.0, rounds:
     return lang, score, words
 
 
-def identify(docs: DataFrame, model: LanguageModel, penalty: float = 3.0) -> DataFrame:
-    """Adds lang_pred and score to docs (doc_id, text): one row per row of docs with doc_id, lang_pred, score.
+def with_language(docs: DataFrame, model: LanguageModel, penalty: float = 3.0) -> DataFrame:
+    """Adds lang_pred and score to the rows of docs (text and any other columns).
 
     A null text, or one without a letter, is ``und`` with score 0, as is every text if nothing was learned.  Ties go
     to the smaller language code.  Only the text is read.  An empty table gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.logs))
+    names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = LanguageModel(*shared.value)
         for c in tk.chunks(batches, "text", 1 << 20):
-            lang, score, _ = infer(c.column(1), own, penalty)
-            yield pa.RecordBatch.from_arrays([c.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
+            lang, score, _ = infer(c.column(names.index("text")), own, penalty)
+            yield pa.RecordBatch.from_arrays([*c.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*names, "lang_pred", "score"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    return docs.mapInArrow(run, f"{schema}, lang_pred string, score double")
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+
+def identify(docs: DataFrame, model: LanguageModel, penalty: float = 3.0) -> DataFrame:
+    """doc_id, lang_pred, score for each row of docs (doc_id, text), as ``with_language`` gives them."""
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return with_language(own, model, penalty).drop("text")
 
 
 def held_out():

@@ -243,7 +243,9 @@ def _apply(window: int):
             kept = np.concatenate(([0], np.cumsum(keep)))[w.bounds]
             blob = data.tobytes()
             parts = [blob[upto[i] : max(upto[i], upto[j] - 1)] for i, j in zip(kept[:-1], kept[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([c.column(0), pa.array(w.counts()), pa.array(removed), pa.array(parts, pa.binary()).cast(pa.string())], names=["doc_id", "n_words", "n_removed", "kept_text"])
+            got = [c.column(0), pa.array(w.counts()), pa.array(removed), pa.array(parts, pa.binary()).cast(pa.string())]
+            carried = range(4, c.num_columns)
+            yield pa.RecordBatch.from_arrays([*got, *(c.column(k) for k in carried)], names=["doc_id", "n_words", "n_removed", "kept_text", *(c.schema.names[k] for k in carried)])
 
     return run
 
@@ -279,23 +281,29 @@ def repeated_ranges(docs: DataFrame, batches: int = 2, window: int = WINDOW, gra
     return found.where("NOT contested").select("doc_id", "start", "windows").unionByName(later.select("doc_id", "start", F.lit(1).alias("windows")))
 
 
-def remove_repeats(docs: DataFrame, batches: int = 2, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+def remove_repeats(docs: DataFrame, batches: int = 2, window: int = WINDOW, gram: int = GRAM, carry: list[str] | None = None) -> DataFrame:
     """Removes each word covered by a window of ``window`` words whose word sequence also starts earlier
     (smaller doc_id, or the same document at an earlier word).  docs: doc_id, text.
 
-    Returns doc_id, n_words, n_removed, kept_text (the kept words joined by one space), one row per row of docs.
+    Returns doc_id, n_words, n_removed, kept_text (the kept words joined by one space), one row per row of docs, and
+    the columns of docs named in ``carry``.
     Null and empty texts have no words.  doc_id is below 2**62; rows with a null doc_id come after all others, in
     the order of a hash of their text.  Rows that repeat a doc_id and text are one document and get the same result;
     rows that repeat a doc_id with another text are not separate documents: a word position covered in one is
     covered in all.  An empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID) + F.shiftrightunsigned(F.xxhash64("text"), 3)).alias("doc_id"), F.col("text").cast("string").alias("text"))
-    spans = repeated_ranges(own, batches, window, gram)
-    spans = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows")).alias("r")).select(F.col("doc_id").alias("k"), F.col("r.start").alias("starts"), F.col("r.windows").alias("counts"))
-    out = own.join(spans.hint("shuffle_hash"), F.col("doc_id") == F.col("k"), "left").select("doc_id", "text", "starts", "counts")
-    out = out.mapInArrow(_apply(window), "doc_id long, n_words long, n_removed long, kept_text string")
-    return out.withColumn("doc_id", F.when(F.col("doc_id") < _NULL_ID, F.col("doc_id")))
+    carry = carry or []
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID) + F.shiftrightunsigned(F.xxhash64("text"), 3)).alias("doc_id")
+    text = F.col("text").cast("string").alias("text")
+    spans = repeated_ranges(docs.select(key, text), batches, window, gram)
+    spans = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows")).alias("r")).select(F.col("doc_id").alias("_k"), F.col("r.start").alias("starts"), F.col("r.windows").alias("counts"))
+    own = docs.select(key, text, *(F.col(c).alias(f"_{c}") for c in carry if c != "text"))
+    extra = [f"_{c}" for c in carry if c != "text"]
+    out = own.join(spans.hint("shuffle_hash"), F.col("doc_id") == F.col("_k"), "left").select("doc_id", "text", "starts", "counts", *extra, *([F.col("text").alias("_text")] if "text" in carry else []))
+    kinds = {f"_{c}": docs.schema[c].dataType.simpleString() for c in carry}
+    names = [*extra, *(["_text"] if "text" in carry else [])]
+    out = out.mapInArrow(_apply(window), "doc_id long, n_words long, n_removed long, kept_text string" + "".join(f", {c} {kinds[c]}" for c in names))
+    return out.select(F.when(F.col("doc_id") < _NULL_ID, F.col("doc_id")).alias("doc_id"), "n_words", "n_removed", "kept_text", *(F.col(f"_{c}").alias(c) for c in carry))
 
 
 def op3_substring_dedup(spark, sf_dir: str) -> DataFrame:
