@@ -99,7 +99,8 @@ def _polynomial(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 _MERGED = "minimizer long, segment long, doc_id long, start int, windows int, outcome int"
-#: outcome of a merged row: repeat of an earlier segment; first; first and contested; older first, now contested by the batch; older first.
+#: outcome of a merged row: repeat of an earlier segment; first; first and contested; older first, now contested by the batch; as
+#: its run has it already (not written again).
 _REPEAT, _FIRST, _CONTESTED, _OLD_CONTESTED, _KEPT = 0, 1, 2, 3, 4
 
 
@@ -137,7 +138,8 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out[new_seg & ~old & ((different > 1) | (state == _REPEATS))] = _CONTESTED
         out[old] = _KEPT
         out[old & (batch_first > 0)] = _OLD_CONTESTED
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (low, seg, doc, start, n, out)], names=["minimizer", "segment", "doc_id", "start", "windows", "outcome"])
+        told = out != _KEPT
+        yield pa.RecordBatch.from_arrays([pa.array(x[told]) for x in (low, seg, doc, start, n, out)], names=["minimizer", "segment", "doc_id", "start", "windows", "outcome"])
 
 
 class FingerprintIndex:
