@@ -33,24 +33,23 @@ def unique_contexts(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def capped_allocation(available: dict[str, int], wanted: int) -> dict[str, int]:
-    """Deals ``wanted`` units to cells in turn, sorted by name, none beyond what it has.
+    """Deals ``wanted`` units to the cells in turn, sorted by name, none beyond what a cell has.
 
-    When a cell is used up it leaves the circle and the cursor, not yet advanced past it, is reduced modulo the
-    number of cells left; this can pass over cells and is part of the definition.
+    A used-up cell leaves the circle only when its turn comes; the turn counter, which until then runs on without
+    wrapping, is then reduced modulo the number of cells left.  This can pass over cells and is part of the definition.
     """
-    if sum(available.values()) < wanted:
-        raise ValueError("not enough rows to sample")
-    given = dict.fromkeys(available, 0)
-    circle = [c for c in sorted(available) if available[c] > 0]
-    at = 0
+    room = {c: n for c, n in available.items() if n > 0}
+    if sum(room.values()) < wanted:
+        raise ValueError(f"{wanted} rows wanted, {sum(room.values())} available")
+    circle, turn, given = sorted(room), 0, dict.fromkeys(room, 0)
     for _ in range(wanted):
-        at %= len(circle)
-        cell = circle[at]
+        while room[circle[turn % len(circle)]] == 0:
+            del circle[turn % len(circle)]
+            turn %= len(circle)
+        cell = circle[turn % len(circle)]
+        room[cell] -= 1
         given[cell] += 1
-        if given[cell] == available[cell]:
-            del circle[at]
-        else:
-            at += 1
+        turn += 1
     return given
 
 
