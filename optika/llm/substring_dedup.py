@@ -197,24 +197,33 @@ def _contested_windows(window: int):
             owner = np.repeat(np.arange(c.num_rows), np.diff(offs))
             at = _ranges(start.astype(np.int64), n.astype(np.int64))
             who = np.repeat(owner, n)
-            yield pa.RecordBatch.from_arrays([pa.array(runs[at + w.bounds[who]].view(np.int64)), pa.array(c.column(0).to_numpy()[who]), pa.array(at.astype(np.int32))], names=["hash", "doc_id", "start"])
+            doc, h = c.column(0).to_numpy()[who], runs[at + w.bounds[who]]
+            # of equal windows of a chunk only the first can be the first of all; the others are repeats for sure and
+            # are dealt out by a key of their own, so that a window of very many documents does not meet in one task
+            order = np.lexsort((at, doc, h))
+            h, doc, at = h[order], doc[order], at[order]
+            head = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.zeros(0, np.int64)
+            first = head[np.cumsum(np.isin(np.arange(len(h)), head)) - 1] if len(h) else head
+            sure = (doc != doc[first]) | (at != at[first])
+            h = np.where(sure, tk.mix(h + tk.mix(doc.astype(np.uint64)) * _U(0x9E3779B97F4A7C15) + at.astype(np.uint64)), h)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(doc), pa.array(at.astype(np.int32)), pa.array(sure)], names=["hash", "doc_id", "start", "sure"])
 
     return run
 
 
 def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (hash, doc_id, start): all but the first of each hash."""
+    """Of rows sorted by (hash, doc_id, start): all but the first of each hash, and those that are repeats for sure."""
     last = (None, None, None)
     for batch in batches:
         if not batch.num_rows:
             continue
-        h, doc, start = (x.to_numpy() for x in batch.columns)
+        h, doc, start, sure = (x.to_numpy(zero_copy_only=False) for x in batch.columns)
         new = np.concatenate(([h[0] != last[0]], h[1:] != h[:-1]))
         at = np.cumsum(new) - 1
         heads = np.flatnonzero(new)
         first_doc, first_start = (np.where(at < 0, last[k + 1] or 0, x[heads[at]] if len(heads) else 0) for k, x in enumerate((doc, start)))
         last = (h[-1], first_doc[-1], first_start[-1])
-        yield batch.select([1, 2]).filter(pa.array((doc != first_doc) | (start != first_start)))
+        yield batch.select([1, 2]).filter(pa.array(sure | (doc != first_doc) | (start != first_start)))
 
 
 def _apply(window: int):
@@ -276,7 +285,7 @@ def repeated_ranges(docs: DataFrame, batches: int = 2, window: int = WINDOW, gra
     rims = found.where("contested").select("doc_id", "start", "windows").distinct()
     rims = rims.groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows")).alias("r")).select(F.col("doc_id").alias("k"), F.col("r.start").alias("starts"), F.col("r.windows").alias("counts"))
     windows = docs.join(rims.hint("shuffle_hash"), F.col("doc_id") == F.col("k")).select("doc_id", "text", "starts", "counts")
-    windows = windows.mapInArrow(_contested_windows(window), "hash long, doc_id long, start int")
+    windows = windows.mapInArrow(_contested_windows(window), "hash long, doc_id long, start int, sure boolean")
     later = windows.repartition(shuffle_partitions(spark), "hash").sortWithinPartitions("hash", "doc_id", "start").mapInArrow(_later, "doc_id long, start int")
     later = materialize(later, "later")
     release_shuffles(spark)
