@@ -63,8 +63,8 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFr
 
     ``edges`` holds node ids (long) in columns u and v; self loops and nulls are ignored and repeated
     edges do no harm.  Returns ``node, component`` for every node that has an edge to another node; the
-    component is its smallest node.  Each step is a pre-aggregated minimum and an equi-join whose large
-    side Spark can split, so a node that holds most of the edges does not land in one task; each round
+    component is its smallest node.  Each step is a pre-aggregated minimum, written as a table so that the
+    equi-join with it deals the edges anew and Spark can split a node that holds most of them; each round
     is written to the shared folder, and the number of rounds grows with the logarithm of the longest path.
     """
     a, b = F.col(u).cast("long"), F.col(v).cast("long")
@@ -73,16 +73,17 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFr
     seen = _fingerprint(now)
     while seen[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        lowest = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
+        lowest = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m")), "cc")
         large = both.join(lowest, F.col("u") == F.col("k")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = materialize(large, "cc")
-        lowest = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), "m")
+        discard(lowest)
+        lowest = materialize(large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), "m"), "cc")
         small = large.join(lowest, F.col("u") == F.col("k")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(lowest.select(F.col("k").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct()
         small = small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
         after = materialize(small, "cc")
-        discard(now)
-        discard(large)
+        for old in (now, large, lowest):
+            discard(old)
         now, before, seen = after, seen, _fingerprint(after)
         if seen == before:
             break
