@@ -56,8 +56,8 @@ def _letters(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def _cells(letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The trigram cell ending at each position, and whether the position counts: a letter, or the 0 after one."""
-    one = np.concatenate(([0], letters[:-1])).astype(np.uint64)
-    two = np.concatenate(([0, 0], letters[:-2])).astype(np.uint64)
+    one, two = np.zeros_like(letters), np.zeros_like(letters)
+    one[1:], two[2:] = letters[:-1], letters[:-2]
     two[one == 0] = 0
     cell = (letters * np.uint64(0x9E3779B1) + one * np.uint64(0x85EBCA77C2B2AE63) + two * np.uint64(0xC2B2AE3D27D4EB4F)) * np.uint64(0x9FB21C651E98DF25)
     return (cell >> np.uint64(64 - BITS)).astype(np.int64), (letters > 0) | (one > 0)

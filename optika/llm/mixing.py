@@ -89,7 +89,8 @@ def mix(docs: DataFrame, weights=(1, 2, 3), most: float = 3.0, tilts=(0.5, 0.0,
     line = line.withColumn("taken", (F.col("passes") * F.col("size") + last).cast("long"))
     share_of = F.try_divide(F.col("at").cast("double"), F.col("demand").cast("double"))
     a = F.col("tilt")
-    position = F.when(a == 0, share_of).otherwise(((1 + a) - F.sqrt(F.greatest(F.lit(0.0), (1 + a) * (1 + a) - 4 * a * share_of))) / (2 * a))
+    # abs: the inverse at 0 is -0.0 for a negative tilt
+    position = F.when(a == 0, share_of).otherwise(F.abs((1 + a) - F.sqrt(F.greatest(F.lit(0.0), (1 + a) * (1 + a) - 4 * a * share_of))) / F.abs(2 * a))
     return line.select("doc_id", "source", "size", "source_size", "target", "taken", F.when(F.col("taken") > 0, position).alias("position"), "at", "demand", "tilt")
 
 
@@ -98,20 +99,26 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     by training position.  Columns of docs; n_chars, where present, is recomputed.  A row without a doc_id is told
     apart by a hash of its text."""
     columns = docs.columns
-    docs = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64("text"), 3)))
-    plan = mix(docs.select(F.col("_key").alias("doc_id"), "text", "source"), **options).where("taken > 0")
-    plan = plan.groupBy("doc_id").agg(*(F.first(c).alias(f"_{c}") for c in ("size", "source_size", "taken", "at", "demand", "tilt"))).withColumnRenamed("doc_id", "_id")
-    rows = docs.join(plan, F.col("_key") == F.col("_id"))
-    rows = rows.withColumn("_pass", F.explode(F.sequence(F.lit(0), F.ceil(F.col("_taken") / F.col("_size")).cast("int") - 1)))
-    left = F.least(F.col("_size"), F.col("_taken") - F.col("_pass") * F.col("_size")).cast("int")
-    words = F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1)), F.lit(1), left)
-    rows = rows.withColumn("text", F.when(left < F.col("_size"), F.array_join(words, " ")).otherwise(F.col("text")))
-    spot = F.try_divide((F.col("_at") + F.col("_pass") * F.col("_source_size")).cast("double"), F.col("_demand").cast("double"))
-    a = F.col("_tilt")
-    rows = rows.withColumn("_position", F.when(a == 0, spot).otherwise(((1 + a) - F.sqrt(F.greatest(F.lit(0.0), (1 + a) * (1 + a) - 4 * a * spot))) / (2 * a)))
+    text = F.col("text").cast("string")
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64("text"), 3))
+    # the row travels as one struct, so that its columns cannot clash with the plan's
+    own = docs.select(key.alias("key"), F.struct(*(F.col(f"`{c}`") for c in columns)).alias("doc"))
+    plan = mix(docs.select(key.alias("doc_id"), text.alias("text"), "source"), **options).where("taken > 0")
+    plan = plan.groupBy("doc_id").agg(*(F.first(c).alias(c) for c in ("size", "source_size", "taken", "at", "demand", "tilt")))
+    rows = own.join(plan, F.col("key") == F.col("doc_id"))
+    rows = rows.withColumn("pass", F.explode(F.sequence(F.lit(0), F.ceil(F.col("taken") / F.col("size")).cast("int") - 1)))
+    left = F.least(F.col("size"), F.col("taken") - F.col("pass") * F.col("size")).cast("int")
+    words = F.slice(F.regexp_extract_all(F.col("doc.text").cast("string"), F.lit(f"({WORD})"), F.lit(1)), F.lit(1), left)
+    cut = left < F.col("size")
+    rows = rows.withColumn("new_text", F.when(cut, F.array_join(words, " ")).otherwise(F.col("doc.text").cast("string")))
+    spot = F.try_divide((F.col("at") + F.col("pass") * F.col("source_size")).cast("double"), F.col("demand").cast("double"))
+    a = F.col("tilt")
+    rows = rows.withColumn("position", F.when(a == 0, spot).otherwise(F.abs((1 + a) - F.sqrt(F.greatest(F.lit(0.0), (1 + a) * (1 + a) - 4 * a * spot))) / F.abs(2 * a)))
+    out = {"text": F.col("new_text")}
     if "n_chars" in columns:
-        rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return rows.repartitionByRange("_position", "doc_id", "_pass").sortWithinPartitions("_position", "doc_id", "_pass").select(*columns)
+        out["n_chars"] = F.when(cut, F.length("new_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("doc.n_chars"))
+    rows = rows.repartitionByRange("position", "key", "pass").sortWithinPartitions("position", "key", "pass")
+    return rows.select(*(out.get(c, F.col(f"doc.`{c}`")).alias(c) for c in columns))
 
 
 def op2_mixing(spark, sf_dir: str) -> DataFrame:
@@ -143,5 +150,5 @@ k AS (SELECT *, CASE WHEN source_size > 0 THEN demand // source_size ELSE 0 END
 f AS (SELECT *, (passes * size + greatest(0, least(size, demand - passes * source_size - pos)))::BIGINT AS taken,
   pos::DOUBLE / nullif(demand, 0)::DOUBLE AS share FROM k)
 SELECT doc_id, size, source_size, target, taken, round(CASE WHEN taken > 0 THEN CASE WHEN a = 0 THEN share
-  ELSE ((1 + a) - sqrt(greatest(0.0, (1 + a) * (1 + a) - 4 * a * share))) / (2 * a) END END, 6) AS position FROM f"""
+  ELSE abs((1 + a) - sqrt(greatest(0.0, (1 + a) * (1 + a) - 4 * a * share))) / abs(2 * a) END END, 6) AS position FROM f"""
 )
