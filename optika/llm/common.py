@@ -50,6 +50,16 @@ def release_shuffles(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def hash_sample(df: DataFrame, columns: list[str], rows: int, total: int) -> list:
+    """About ``rows`` of the ``total`` rows of df, chosen by a hash of columns: for range cuts and fits, which shape a
+    plan but not its result.  Rows are filtered where they are, so that what reaches the driver does not grow with the
+    number of tasks; rows that repeat are bounded by the final limit."""
+    if total > rows:
+        share = int(rows / total * (1 << 62))
+        df = df.where(F.shiftrightunsigned(F.xxhash64(*columns), 2) < max(1, share))
+    return df.limit(4 * rows).collect()
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

@@ -16,11 +16,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from optika.llm.common import shuffle_partitions
+from optika.llm.common import hash_sample, shuffle_partitions
 
 #: (verdict, host, path), as the task gives them.
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
-#: Key ranges are cut at this many rows chosen by hash; the cuts shape partitions only, never results.
+#: Key ranges are cut at about this many rows chosen by hash; the cuts shape partitions only, never results.
 CUTS_SAMPLE = 4096
 
 
@@ -93,7 +93,7 @@ def judge(pages: DataFrame, rules: DataFrame | tuple = RULES, default: str = "al
     urls = pages.select(F.col("page_id").cast("long").alias("page_id"), host(url).alias("host"), path(url).alias("path")).withColumn("key", key(F.col("host")))
     n = shuffle_partitions(spark)
     # a range's bound is (key, path, page_id), so that one host can fill several ranges
-    lead = urls.orderBy(F.xxhash64("page_id", "path")).limit(CUTS_SAMPLE).select("key", "path", F.coalesce("page_id", F.lit(0)).alias("page_id")).collect()
+    lead = hash_sample(urls.select("key", "path", F.coalesce("page_id", F.lit(0)).alias("page_id")), ["page_id", "path"], CUTS_SAMPLE, pages.count())
     lead = sorted((r["key"], r["path"], r["page_id"]) for r in lead)
     cuts = sorted({lead[len(lead) * i // n] for i in range(1, n)}) if lead else []
 
