@@ -19,10 +19,10 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from optika.llm.common import connected_components, materialize, shuffle_partitions
+from optika.llm.common import connected_components, hash_sample, materialize, shuffle_partitions
 
 COSINE, DIRECTIONS, BLOCK, LEAF = 0.98, 4, 1024, 128
-#: The principal directions are fitted on at most this many vectors, chosen by hash; any orthonormal basis is exact.
+#: The principal directions are fitted on about this many vectors (4 times as many at most), chosen by hash; any orthonormal basis is exact.
 FIT_ROWS = 4096
 
 
@@ -53,9 +53,9 @@ def _scaled(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def principal_directions(classes: DataFrame, directions: int = DIRECTIONS) -> tuple[int, np.ndarray] | None:
+def principal_directions(classes: DataFrame, total: int, directions: int = DIRECTIONS) -> tuple[int, np.ndarray] | None:
     """The dimension of most sampled vectors and its leading principal directions (rows)."""
-    rows = classes.orderBy(F.xxhash64("vec")).limit(FIT_ROWS).select("dim", "vec").collect()
+    rows = sorted(hash_sample(classes.select("dim", "vec"), ["vec"], FIT_ROWS, total))
     if not rows:
         return None
     dims = [r["dim"] for r in rows]
@@ -205,14 +205,15 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, directions: int = D
     rows = materialize(rows.mapInArrow(_valid, "vec_id long, label string, dim int, vec binary"), "vectors")
     good = rows.where("vec IS NOT NULL AND label IS NOT NULL AND vec_id IS NOT NULL").withColumn("h1", F.xxhash64("vec")).withColumn("h2", F.xxhash64(F.lit(1), "vec"))
     classes = materialize(good.groupBy("label", "dim", "h1", "h2").agg(F.min("vec").alias("vec"), F.min("vec_id").alias("id"), F.count("*").alias("n")), "vector-classes")
-    basis = principal_directions(classes, directions)
-    if basis is None:
+    total = classes.count()
+    basis = principal_directions(classes, total, directions)
+    if basis is None:  # nothing can link
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     k = len(basis[1])
     cells = [f"c{i}" for i in range(k)]
     placed = classes.select("label", "dim", "vec", "id", "n").mapInArrow(_cells(basis, eps), "label string, dim int, vec binary, id long, n long, " + ", ".join(f"{c} int" for c in cells))
     order = ["label", "dim", *cells, "id"]
-    parts = max(1, min(shuffle_partitions(spark), -(-classes.count() // (4 * block))))
+    parts = max(1, min(shuffle_partitions(spark), -(-total // (4 * block))))
     blocks = materialize(placed.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_blocks(basis, block), _BLOCK), "blocks")
     boxes = blocks.select("interval", "block", "label", "dim", "low", "high")
     limit = (eps * (1 + 1e-9)) ** 2
