@@ -56,8 +56,10 @@ def hash_sample(df: DataFrame, columns: list[str], rows: int, total: int) -> lis
     number of tasks; rows that repeat are bounded by the final limit."""
     if total > rows:
         share = int(rows / total * (1 << 62))
-        df = df.where(F.shiftrightunsigned(F.xxhash64(*columns), 2) < max(1, share))
-    return df.limit(4 * rows).collect()
+        some = df.where(F.shiftrightunsigned(F.xxhash64(*columns), 2) < max(1, share)).limit(4 * rows).collect()
+        if some:
+            return some
+    return df.limit(rows).collect()
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
