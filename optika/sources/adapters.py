@@ -17,6 +17,30 @@ from optika.functions import text as T
 
 c = F.col
 
+# The questions of the released items.
+QUESTIONS = {
+    "sst5": "What sentiment label was assigned to this sentence?",
+    "tweet_eval_sentiment": "What sentiment label was assigned to this tweet?",
+    "semeval2018_ei_oc": "How strongly does this tweet express %s?",
+    "meld_sentiment": "What sentiment label was assigned to this dialogue utterance?",
+    "amazon_reviews_2023_all_beauty": "What star rating did the reviewer assign?",
+    "app_reviews": "What star rating did the reviewer assign to this app review?",
+    "uci_drugs_com": "What 1-to-10 satisfaction rating did the reviewer assign to this drug review?",
+    "asap2": "What holistic quality score (1 to 6) did the human raters assign to this essay?",
+    "persuade2_argument_effectiveness": "What effectiveness label did the human annotators assign to the target argument component?",
+    "helpsteer": "What helpfulness rating (0 to 4) did the human annotators assign to this response?",
+    "imdb_ratings": "What rating did the reviewer assign to this movie review?",
+    "goodreads_reviews": "What star rating did the reviewer assign to this book review?",
+    "tripadvisor_hotel_reviews": "What overall star rating did the reviewer assign to this hotel review?",
+    "labr_arabic_book_reviews": "What star rating did the reviewer assign to this Arabic book review?",
+    "beeradvocate_reviews": "Which overall rating band best matches the recorded beer-review score?",
+    "cmu_mosei_sentiment": "What sentiment intensity label was assigned to this utterance?",
+    "ibm_argument_quality": "Which crowd-derived argument-quality quintile was assigned to this argument?",
+    "helpsteer2_correctness": "What correctness rating was assigned to this assistant response?",
+    "ultrafeedback_quality": "Which overall quality band was assigned by the evaluator?",
+    "dynasent": "What sentiment label was assigned to this sentence?",
+}
+
 # Option labels, cuts and names that the released items carry.
 STARS = ["1 star", "2 stars", "3 stars", "4 stars", "5 stars"]
 SENTIMENT3 = ["Negative", "Neutral", "Positive"]
@@ -50,12 +74,12 @@ def named(x: Column, names: list[str]) -> Column:
 
 @dataclass(frozen=True)
 class Adapter:
-    """A source: context, gold position, choices, question, stratum, id, and a filter."""
+    """A source: context, gold position, choices, question (if not a fixed one), stratum, id, and a filter."""
 
     context: Callable[[], Column]
     gold: Callable[[], Column] | None = None
     choices: list[str] = field(default_factory=list)
-    question: str | Callable[[], Column] = ""
+    question: Callable[[], Column] | None = None
     stratum: str = "label"
     key: Callable[[], Column] = lambda: F.concat_ws(":", "split", "row")
     keep: Callable[[], Column] | None = None
@@ -93,46 +117,44 @@ def _html(x: Column) -> Column:
     return T.trim_blanks(T.clean_html(x))
 
 
-_REVIEW = ("title", "abstract")
-
 ADAPTERS: dict[str, Adapter] = {
     # first batch: native labels
-    "sst5": Adapter(lambda: c("text"), lambda: whole("label"), ["Very negative", "Negative", "Neutral", "Positive", "Very positive"], "What sentiment label was assigned to this sentence?"),
-    "tweet_eval_sentiment": Adapter(lambda: c("text"), lambda: whole("label"), SENTIMENT3, "What sentiment label was assigned to this tweet?"),
+    "sst5": Adapter(lambda: c("text"), lambda: whole("label"), ["Very negative", "Negative", "Neutral", "Positive", "Very positive"]),
+    "tweet_eval_sentiment": Adapter(lambda: c("text"), lambda: whole("label"), SENTIMENT3),
     "semeval2018_ei_oc": Adapter(
         lambda: c("Tweet"), lambda: F.split_part("Intensity Class", F.lit(":"), F.lit(1)).try_cast("int"),
         ["Intensity 0 (none)", "Intensity 1 (low)", "Intensity 2 (moderate)", "Intensity 3 (high)"],
-        lambda: F.format_string("How strongly does this tweet express %s?", F.lower(F.trim("Affect Dimension"))), key=lambda: F.concat_ws(":", "split", F.lower(F.trim("Affect Dimension")), "ID"),
+        lambda: F.format_string(QUESTIONS["semeval2018_ei_oc"], F.lower(F.trim("Affect Dimension"))), key=lambda: F.concat_ws(":", "split", F.lower(F.trim("Affect Dimension")), "ID"),
     ),
-    "meld_sentiment": Adapter(lambda: c("Utterance"), lambda: named(F.lower(F.trim("Sentiment")), ["negative", "neutral", "positive"]), SENTIMENT3, "What sentiment label was assigned to this dialogue utterance?", key=lambda: F.format_string("%s:dialogue%s:utterance%s", "split", "Dialogue_ID", "Utterance_ID")),
-    "amazon_reviews_2023_all_beauty": Adapter(_pair("Review title: ", "title", "Review text: ", "text"), lambda: whole("rating") - 1, STARS, "What star rating did the reviewer assign?", key=lambda: T.template("all_beauty:%s:%s:%s", c("row"), c("parent_asin"), c("user_id"))),
-    "app_reviews": Adapter(lambda: c("review"), lambda: whole("star") - 1, STARS, "What star rating did the reviewer assign to this app review?", key=lambda: T.template("row:%s", c("row"))),
-    "uci_drugs_com": Adapter(lambda: T.template("Drug: %s\nCondition: %s\n\nReview: %s", c("drugName"), c("condition"), c("review")), lambda: whole("rating") - 1, [f"Rating {i}" for i in range(1, 11)], "What 1-to-10 satisfaction rating did the reviewer assign to this drug review?"),
-    "asap2": Adapter(_pair("Writing assignment:\n", "assignment", "Student essay:\n", "full_text"), lambda: whole("score") - 1, [f"Score {i}" for i in range(1, 7)], "What holistic quality score (1 to 6) did the human raters assign to this essay?", key=lambda: c("essay_id")),
+    "meld_sentiment": Adapter(lambda: c("Utterance"), lambda: named(F.lower(F.trim("Sentiment")), ["negative", "neutral", "positive"]), SENTIMENT3, key=lambda: F.format_string("%s:dialogue%s:utterance%s", "split", "Dialogue_ID", "Utterance_ID")),
+    "amazon_reviews_2023_all_beauty": Adapter(_pair("Review title: ", "title", "Review text: ", "text"), lambda: whole("rating") - 1, STARS, key=lambda: T.template("all_beauty:%s:%s:%s", c("row"), c("parent_asin"), c("user_id"))),
+    "app_reviews": Adapter(lambda: c("review"), lambda: whole("star") - 1, STARS, key=lambda: T.template("row:%s", c("row"))),
+    "uci_drugs_com": Adapter(lambda: T.template("Drug: %s\nCondition: %s\n\nReview: %s", c("drugName"), c("condition"), c("review")), lambda: whole("rating") - 1, [f"Rating {i}" for i in range(1, 11)]),
+    "asap2": Adapter(_pair("Writing assignment:\n", "assignment", "Student essay:\n", "full_text"), lambda: whole("score") - 1, [f"Score {i}" for i in range(1, 7)], key=lambda: c("essay_id")),
     "persuade2_argument_effectiveness": Adapter(
         lambda: T.template("Writing assignment:\n%s\n\nFull essay:\n%s\n\nTarget component type: %s\nTarget argument component:\n%s", c("assignment"), c("full_text"), c("discourse_type"), c("discourse_text")),
         lambda: named(F.trim("discourse_effectiveness"), ["Ineffective", "Adequate", "Effective"]), ["Ineffective", "Adequate", "Effective"],
-        "What effectiveness label did the human annotators assign to the target argument component?", key=lambda: T.template("essay:%s|start:%s|end:%s|row:%s", c("essay_id_comp"), c("discourse_start"), c("discourse_end"), c("row")),
+        key=lambda: T.template("essay:%s|start:%s|end:%s|row:%s", c("essay_id_comp"), c("discourse_start"), c("discourse_end"), c("row")),
     ),
-    "helpsteer": Adapter(_pair("User prompt:\n", "prompt", "Assistant response:\n", "response"), lambda: whole("helpfulness"), [f"Helpfulness {i}" for i in range(5)], "What helpfulness rating (0 to 4) did the human annotators assign to this response?"),
+    "helpsteer": Adapter(_pair("User prompt:\n", "prompt", "Assistant response:\n", "response"), lambda: whole("helpfulness"), [f"Helpfulness {i}" for i in range(5)]),
     # second batch: labels that need a rule; texts are cleaned
-    "imdb_ratings": Adapter(lambda: c("text"), lambda: named(c("rating"), ["1", "2", "3", "4", "7", "8", "9", "10"]), ["1/10", "2/10", "3/10", "4/10", "7/10", "8/10", "9/10", "10/10"], "What rating did the reviewer assign to this movie review?", key=lambda: F.concat_ws(":", "split", "polarity", "number"), clean=True),
-    "goodreads_reviews": Adapter(lambda: c("review_text"), lambda: whole("rating") - 1, STARS, "What star rating did the reviewer assign to this book review?", key=lambda: T.or_else(c("review_id"), c("row").cast("string")), keep=lambda: whole("rating").between(1, 5), clean=True),
+    "imdb_ratings": Adapter(lambda: c("text"), lambda: named(c("rating"), ["1", "2", "3", "4", "7", "8", "9", "10"]), ["1/10", "2/10", "3/10", "4/10", "7/10", "8/10", "9/10", "10/10"], key=lambda: F.concat_ws(":", "split", "polarity", "number"), clean=True),
+    "goodreads_reviews": Adapter(lambda: c("review_text"), lambda: whole("rating") - 1, STARS, key=lambda: T.or_else(c("review_id"), c("row").cast("string")), keep=lambda: whole("rating").between(1, 5), clean=True),
     "tripadvisor_hotel_reviews": Adapter(
         lambda: F.coalesce("review", "text"), lambda: F.bround(F.coalesce("label", "rating", "overall", F.get("prediction", F.lit(0))["label"]).try_cast("double")).cast("int") - 1, STARS,
-        "What overall star rating did the reviewer assign to this hotel review?", clean=True,
+        clean=True,
     ),
-    "labr_arabic_book_reviews": Adapter(lambda: c("text"), lambda: whole("rating") - 1, STARS, "What star rating did the reviewer assign to this Arabic book review?", prepare=_zero_based, clean=True),
+    "labr_arabic_book_reviews": Adapter(lambda: c("text"), lambda: whole("rating") - 1, STARS, prepare=_zero_based, clean=True),
     "beeradvocate_reviews": Adapter(
         lambda: F.coalesce(*(F.try_element_at("fields", F.lit(k)) for k in ("review/text", "review_text", "text"))),
         lambda: F.when((s := F.coalesce(*(F.try_element_at("fields", F.lit(k)) for k in ("review/overall", "review_overall", "overall"))).try_cast("double")) <= 2.5, 0).when(s <= 3.5, 1).when(s.isNotNull(), 2),
-        ["Low rating (1-2.5)", "Medium rating (3-3.5)", "High rating (4-5)"], "Which overall rating band best matches the recorded beer-review score?", key=lambda: c("row").cast("string"), clean=True,
+        ["Low rating (1-2.5)", "Medium rating (3-3.5)", "High rating (4-5)"], key=lambda: c("row").cast("string"), clean=True,
     ),
-    "cmu_mosei_sentiment": Adapter(lambda: c("text"), lambda: F.when(number("sentiment").isNotNull(), A.bisect_right(MOSEI_CUTS, number("sentiment"))), ["Strongly negative", "Weakly negative", "Neutral", "Weakly positive", "Strongly positive"], "What sentiment intensity label was assigned to this utterance?", clean=True),
-    "ibm_argument_quality": Adapter(_pair("Topic: ", "topic", "Argument: ", "argument", "\n"), lambda: F.size(F.filter(F.array("q1", "q2", "q3", "q4"), lambda q: q <= c("score"))), QUINTILES, "Which crowd-derived argument-quality quintile was assigned to this argument?", prepare=_quintiles, clean=True),
-    "helpsteer2_correctness": Adapter(_pair("User prompt:\n", "prompt", "Assistant response:\n", "response"), lambda: whole("correctness"), CORRECTNESS, "What correctness rating was assigned to this assistant response?", clean=True),
-    "ultrafeedback_quality": Adapter(_pair("User instruction:\n", "instruction", "Assistant response:\n", "response"), lambda: F.greatest(F.lit(0), F.least(F.lit(4), F.ceil(number("overall_score") / 2).cast("int") - 1)), ["Very low (0-2]", "Low (2-4]", "Medium (4-6]", "High (6-8]", "Very high (8-10]"], "Which overall quality band was assigned by the evaluator?", keep=lambda: number("overall_score").isNotNull(), clean=True),
-    "dynasent": Adapter(lambda: c("sentence"), lambda: named(c("gold_label"), ["negative", "neutral", "positive"]), SENTIMENT3, "What sentiment label was assigned to this sentence?", key=lambda: T.or_else(c("text_id"), F.concat_ws(":", "member", "row")), clean=True),
+    "cmu_mosei_sentiment": Adapter(lambda: c("text"), lambda: F.when(number("sentiment").isNotNull(), A.bisect_right(MOSEI_CUTS, number("sentiment"))), ["Strongly negative", "Weakly negative", "Neutral", "Weakly positive", "Strongly positive"], clean=True),
+    "ibm_argument_quality": Adapter(_pair("Topic: ", "topic", "Argument: ", "argument", "\n"), lambda: F.size(F.filter(F.array("q1", "q2", "q3", "q4"), lambda q: q <= c("score"))), QUINTILES, prepare=_quintiles, clean=True),
+    "helpsteer2_correctness": Adapter(_pair("User prompt:\n", "prompt", "Assistant response:\n", "response"), lambda: whole("correctness"), CORRECTNESS, clean=True),
+    "ultrafeedback_quality": Adapter(_pair("User instruction:\n", "instruction", "Assistant response:\n", "response"), lambda: F.greatest(F.lit(0), F.least(F.lit(4), F.ceil(number("overall_score") / 2).cast("int") - 1)), ["Very low (0-2]", "Low (2-4]", "Medium (4-6]", "High (6-8]", "Very high (8-10]"], keep=lambda: number("overall_score").isNotNull(), clean=True),
+    "dynasent": Adapter(lambda: c("sentence"), lambda: named(c("gold_label"), ["negative", "neutral", "positive"]), SENTIMENT3, key=lambda: T.or_else(c("text_id"), F.concat_ws(":", "member", "row")), clean=True),
     # third batch: contexts only, matched to a frozen index by their hash
     "metacritic_games": Adapter(lambda: T.template("Game: %s\nPlatform: %s\nReview: %s", c("Game"), c("Platform"), c("Review"))),
     "pitchfork_albums": Adapter(lambda: c("description")),
@@ -209,7 +231,7 @@ def items(df: DataFrame, source: str, revision: str = "", seed: int = 20260926)
     out = contexts(df, source).withColumn("gold_position", a.gold().cast("int"))
     choices = F.array(*map(F.lit, a.choices))
     out = out.where((F.col("gold_position") >= 0) & (F.col("gold_position") < len(a.choices)))
-    question = a.question() if callable(a.question) else F.lit(a.question)
+    question = a.question() if a.question else F.lit(QUESTIONS.get(source, ""))
     return out.select(
         F.concat(F.lit(f"{source}::"), a.key()).alias("sample_id"), F.lit(source).alias("source"), a.key().alias("original_id"), F.col("split"), "context", question.alias("question"), choices.alias("choices"),
         "gold_position", F.get(choices, F.col("gold_position")).alias("gold_label_text"), F.concat(F.lit(f"{a.stratum}="), F.col("gold_position").cast("string")).alias("stratum"), F.lit(seed).alias("sampling_seed"), F.lit(revision).alias("source_revision"),
