@@ -157,7 +157,7 @@ class FingerprintIndex:
         for run in self.runs:
             rows = rows.unionByName(run.select("minimizer", "segment", "doc_id", "start", "windows", F.lit(_OLD).alias("state")))
         merged = rows.repartition(parts, "minimizer").sortWithinPartitions("minimizer", "segment", "doc_id", "start").mapInArrow(_merge, _MERGED)
-        merged = materialize(merged, "merge", ["outcome"])
+        merged = materialize(merged, "merge")
         self.runs.append(merged.where(F.col("outcome").isin(_FIRST, _CONTESTED)))
         found = merged.where(F.col("outcome").isin(_REPEAT, _CONTESTED, _OLD_CONTESTED)).select("doc_id", "start", "windows", (F.col("outcome") != _REPEAT).alias("contested"))
         if len(self.runs) > self.fan_in:
