@@ -18,6 +18,16 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+#: Rows and bytes of an Arrow batch that goes to a Python worker: texts are long, and a batch is held twice.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches; plans read the setting when they run, so it stays set."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        spark.conf.set(key, str(most))
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a Parquet table in the shared folder and returns the table: its lineage is cut and
     a lost executor costs a re-read, not a recomputation."""

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from optika.llm import textkit as tk
+from optika.llm.common import small_batches
 
 BITS = 16
 #: Languages a model may have: the learned table is collected, so its size has to be bounded.
@@ -94,6 +95,7 @@ class LanguageModel:
 
 def learn(docs: DataFrame, smoothing: float = 0.5) -> LanguageModel:
     """Learns from every row of docs (text, lang) whose text and lang are not null."""
+    small_batches(docs.sparkSession)
     rows = docs.where("text IS NOT NULL AND lang IS NOT NULL").select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     table = rows.mapInArrow(_count, "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n"))
     packed = table.groupBy("lang").agg(F.collect_list(F.struct("cell", "n")).alias("t")).orderBy("lang").limit(MOST_LANGUAGES + 1).collect()
@@ -176,6 +178,7 @@ def with_language(docs: DataFrame, model: LanguageModel, penalty: float = 3.0) -
     A null text, or one without a letter, is ``und`` with score 0, as is every text if nothing was learned.  Ties go
     to the smaller language code.  Only the text is read.  An empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.logs))
     names = docs.columns
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from optika.llm import textkit as tk
-from optika.llm.common import shuffle_partitions
+from optika.llm.common import shuffle_partitions, small_batches
 
 CAPACITY, PIECE, LOT, END = 1024, 128, 2048, 0
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -182,6 +182,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, piece: int = PIECE, lot: int
     """
     spark = docs.sparkSession
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    small_batches(spark)
     # few documents in many parts would leave a part-filled window in each
     n = own.count()
     parts = max(1, min(shuffle_partitions(spark), n // 1000))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from optika.llm import textkit as tk
-from optika.llm.common import materialize, release_shuffles, shuffle_partitions
+from optika.llm.common import materialize, release_shuffles, shuffle_partitions, small_batches
 
 WINDOW, GRAM = 20, 5
 _U = np.uint64
@@ -303,6 +303,7 @@ def remove_repeats(docs: DataFrame, batches: int = 2, window: int = WINDOW, gram
     rows that repeat a doc_id with another text are not separate documents: a word position covered in one is
     covered in all.  An empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     carry = carry or []
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID) + F.shiftrightunsigned(F.xxhash64("text"), 3)).alias("doc_id")
     text = F.col("text").cast("string").alias("text")

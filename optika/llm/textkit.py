@@ -149,7 +149,7 @@ def valid_runs(bounds: np.ndarray, k: int) -> np.ndarray:
     return np.repeat(bounds[:-1] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(total)
 
 
-def chunks(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def chunks(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Batches cut so that a chunk's texts have about ``most_bytes``; a longer text stands alone."""
     for batch in batches:
         if batch.num_rows == 0:
