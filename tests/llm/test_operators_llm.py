@@ -81,8 +81,9 @@ def test_near_duplicate_group_in_blocks(spark):
             words[j] = f"x{i}"
         rows.append((i, " ".join(words)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(df, block=8).collect()}
-    assert got == near_brute(rows)
+    for percent in (75, 92):  # one group, and several that candidate search joins
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(df, percent, block=8).collect()}
+        assert got == near_brute(rows, percent)
 
 
 # -- substring deduplication ------------------------------------------------------------------------------------
