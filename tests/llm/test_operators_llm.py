@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from optika.llm import embedding_join, fingerprint, html_extraction, language_id, lm_scoring, mixing, near_dedup, packing, substring_dedup, url_filter
+from optika.llm.common import connected_components
 from optika.llm.queries import ORACLES, QUERIES
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -86,6 +87,43 @@ def test_near_duplicate_group_in_blocks(spark):
         assert got == near_brute(rows, percent)
 
 
+@pytest.mark.parametrize("look", [1, 7, 1 << 20])
+def test_links_in_slices(monkeypatch, look):
+    """A block's links do not depend on how many shingle occurrences are looked at together."""
+    monkeypatch.setattr(near_dedup, "_LOOK", look)
+    rng = np.random.default_rng(11)
+    base = rng.choice(2**40, 60, replace=False).astype(np.uint64)
+    sets = [np.unique(np.where(rng.random(60) < share, base, rng.integers(2**40, 2**41, 60).astype(np.uint64))) for share in rng.choice([0.5, 0.85, 0.95], 40)]
+    ids = np.arange(40) * 3
+    for sides in (np.zeros(40, np.int8), np.arange(40) // 20):
+        u, v, group, sizes = near_dedup._linked(ids, sides, ids, [x.tobytes() for x in sets], 75)
+        got, want = Forest(), Forest()
+        for a, b in zip(u, v, strict=True):
+            got.join(a // 3, b // 3)
+        for i in range(40):
+            for j in range(i):
+                n = len(np.intersect1d(sets[i], sets[j]))
+                if (sides[0] == sides[-1] or sides[i] != sides[j]) and 100 * n >= 75 * (len(sets[i]) + len(sets[j]) - n):
+                    want.join(i, j)
+        roots = [want.find(i) for i in range(40)]
+        assert [got.find(i) for i in range(40)] == roots and sizes.tolist() == [len(x) for x in sets]
+        assert len({(a, b) for a, b in zip(group, roots, strict=True)}) == len(set(roots)) == len(set(group))
+
+
+def test_connected_components(spark):
+    chain = [(i, i + 1) for i in range(100, 140)]
+    star = [(7, i) for i in range(200, 230)] + [(i, 3) for i in range(225, 228)]
+    cycle = [(300 + i, 300 + (i + 1) % 9) for i in range(9)]
+    others = [(5, 5), (None, 6), (400, None), (301, 300), (301, 300)]
+    f = Forest()
+    for a, b in chain + star + cycle:
+        f.join(a, b)
+    nodes = {x for e in chain + star + cycle for x in e}
+    got = connected_components(spark.createDataFrame(chain + star + cycle + others, "u long, v long")).collect()
+    assert len(got) == len(nodes) and {r.node: r.component for r in got} == {x: f.find(x) for x in nodes}
+    assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
 # -- substring deduplication ------------------------------------------------------------------------------------
 
 
