@@ -331,6 +331,21 @@ def test_both_encoders_agree():
     assert packing.encoder()(texts) == packing.encoder(P.path("byte_bpe_50k.json"))(texts)
 
 
+def test_special_text_is_encoded_as_the_tokenizer_does(spark):
+    from tokenizers import Tokenizer
+
+    import public_tokenizers as P
+
+    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    texts = ["a<|endoftext|>b", "<|endoftext|>", " x  <|endoftext|><|endoftext|> \n y", "<|endoftext|", "<|ENDOFTEXT|>", "it's  <|endoftext|>'s 漢字 12", "plain"]
+    want = [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert want[0] == [64, 50256, 65]
+    assert packing.encoder()(texts) == want and packing.encoder(P.path("byte_bpe_50k.json"))(texts) == want
+    for r in packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        ids = np.array([*want[r.doc_id], 0], "<u4")
+        assert (r.start, r.doc_tokens, r.ids_crc32) == (0, len(ids), zlib.crc32(ids.tobytes()))
+
+
 # -- language ---------------------------------------------------------------------------------------------------
 
 
