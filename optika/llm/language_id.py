@@ -26,16 +26,17 @@ BITS = 16
 #: Languages a model may have: the learned table is collected, so its size has to be bounded.
 MOST_LANGUAGES = 256
 _CELLS = 1 << BITS
+_MARK = 1 << 31
 
 
 def _letter_table() -> np.ndarray:
-    """Lower-case code point of each letter of the basic plane, 0 for anything else."""
-    table = np.zeros(0x10000, np.uint16)
-    for i in range(0x10000):
+    """Lower-case code point of each letter, and of each mark with the bit _MARK; 0 for anything else."""
+    table = np.zeros(0x110000, np.uint32)
+    for i in range(0x110000):
         c = chr(i)
-        if unicodedata.category(c)[0] in "LM":
-            low = c.lower()
-            table[i] = ord(low[0]) if ord(low[0]) < 0x10000 else i
+        kind = unicodedata.category(c)[0]
+        if kind in "LM":
+            table[i] = ord(c.lower()[0]) | (_MARK if kind == "M" else 0)
     return table
 
 
@@ -43,16 +44,24 @@ _TABLE: list[np.ndarray] = []
 
 
 def _letters(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Lower-case letters of each text with 0 for all else, and each text's bounds; a 0 ends every text."""
+    """Lower-case letters of each text with 0 for all else, and each text's bounds; a 0 ends every text.
+
+    A mark counts as a letter in a run that holds a letter; a run of marks alone is no word.
+    """
     if not _TABLE:
         _TABLE.append(_letter_table())
     texts = column.to_pylist()
     joined = "\x00".join(x or "" for x in texts) + "\x00"
-    code = np.frombuffer(joined.encode("utf-32-le", "replace"), "<u4")
-    # a letter beyond the basic plane counts as one letter of its block
-    code = np.where(code > 0xFFFF, 0x4E00 + ((code >> 8) & 0xFF), code)
+    letters = _TABLE[0][np.frombuffer(joined.encode("utf-32-le", "replace"), "<u4")]
+    marks = letters >= _MARK
+    if marks.any():
+        letters[marks] ^= np.uint32(_MARK)
+        run = np.cumsum(letters == 0)
+        held = np.zeros(run[-1] + 1, bool)
+        held[run[(letters > 0) & ~marks]] = True
+        letters[~held[run]] = 0
     bounds = np.concatenate(([0], np.cumsum([len(x or "") + 1 for x in texts])))
-    return _TABLE[0][code].astype(np.uint64), bounds
+    return letters.astype(np.uint64), bounds
 
 
 def _cells(letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

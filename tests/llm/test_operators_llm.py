@@ -372,6 +372,18 @@ def test_language_mixture_and_hard_rows(spark, hard_documents, empty_documents):
     assert {r.lang_pred for r in language_id.identify(df, nothing).collect()} == {"und"}
 
 
+def test_only_letters_make_a_word(spark):
+    model = language_id.learn(spark.createDataFrame([("en", "the house and the garden " * 9), ("de", "das haus und der garten " * 9), ("got", "\U00010330\U00010331 \U00010332\U00010330 " * 9)], "lang string, text string"))
+    none = ["\U0001f600 \U0001f680\U0001f680", "\U0001d7d9\U0001d7da", "\u0301 \u0308\u0301", "\U0001e8d0", "\U000e0101 \U0010fffd", "\u20dd 12 !"]
+    rows = list(enumerate([*none, "the garden \U0001f600 and \u0301 house", "the garden and house", "\U00010331\U00010330", "e\u0301te\u0301"]))
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language_id.identify(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert all(got[i] == ("und", 0.0) for i in range(len(none)))
+    assert got[6] == got[7] == ("en", 1.0) and got[8] == ("got", 1.0) and got[9][0] != "und"
+    import pyarrow as pa
+
+    assert language_id.infer(pa.array([t for _, t in rows]), model)[2].tolist() == [0] * 6 + [4, 4, 1, 1]
+
+
 # -- language model ---------------------------------------------------------------------------------------------
 
 
