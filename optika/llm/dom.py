@@ -15,7 +15,9 @@ BLOCK = frozenset(
     "html body article section main div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr blockquote pre figure figcaption header footer nav aside form fieldset "
     "address details summary hr center dialog menu search hgroup legend noscript iframe".split()
 )
-SILENT = frozenset("script style template svg math head title noscript iframe object canvas audio video select textarea datalist".split())
+SILENT = frozenset("script style template svg head title noscript iframe object canvas audio video select textarea datalist".split())
+#: Silent elements whose content is text: without an end tag they reach to the end of the page.
+RAW = frozenset("script style textarea title".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 #: An opening tag ends these open elements first (up to a containing block of the second set).
 CLOSES = {
@@ -42,7 +44,8 @@ _GROUP = {w: i for i, g in enumerate(TOKENS) for w in g.split()}
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"\b(?:id|class|role|aria-label|itemprop|data-component)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _SPLIT = re.compile(r"[^a-z]+")
-_END = {t: re.compile(rf"</{t}\s*[^>]*>", re.I) for t in SILENT}
+_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in RAW}
+_MARKS = {t: re.compile(rf"<!--.*?(?:-->|\Z)|<(script|style)(?=[\s/>])[^>]*>|<(/?)({t})(?=[\s/>])[^>]*>", re.I | re.S) for t in SILENT - RAW - {"head"}}
 
 
 class Page:
@@ -75,6 +78,29 @@ def _groups(attrs: str) -> int:
     return out
 
 
+def _ends(source: str, name: str) -> dict[int, int]:
+    """Where a silent element ends, by where it starts; one without an end tag of its own is left out."""
+    out: dict[int, int] = {}
+    opened: list[int] = []
+    unclosed: set[str] = set()
+    at = 0
+    while m := _MARKS[name].search(source, at):
+        at = m.end()
+        if m[1]:
+            raw = m[1].lower()
+            e = None if raw in unclosed else _END[raw].search(source, at)
+            if e:
+                at = e.end()
+            else:
+                unclosed.add(raw)
+        elif m[2]:
+            if opened:
+                out[opened.pop()] = at
+        elif m[3] and not (name == "svg" and m[0].endswith("/>")):
+            opened.append(m.start())
+    return out
+
+
 def read(source: str | None) -> Page:
     """Reads a page of any quality; a null page has no nodes."""
     page = Page()
@@ -83,6 +109,7 @@ def read(source: str | None) -> Page:
     stack: list[tuple[str, int]] = [("html", page.add(-1, "html", 0))]
     text: list[str] = []
     link, linked, tags = 0, 0, 0
+    ends: dict[str, dict[int, int]] = {}
 
     def flush() -> None:
         nonlocal linked, tags
@@ -124,9 +151,13 @@ def read(source: str | None) -> Page:
             continue
         closing = m[1] or m[4]
         if name in SILENT:
-            if not closing and not (m[0].endswith("/>") and name in ("svg", "math")):
+            if not closing and name in RAW:
                 e = _END[name].search(source, at)
-                at = e.end() if e else (n if name not in ("head", "noscript") else at)
+                at = e.end() if e else n
+            elif not closing and name != "head":  # what a head holds is silent by itself
+                if name not in ends:
+                    ends[name] = _ends(source, name)
+                at = ends[name].get(m.start(), at)
             if name in BLOCK:
                 flush()
             continue

@@ -440,6 +440,25 @@ def test_written_pages_held_out():
     assert all(keep[p] for k, p in zip(keep, parent, strict=True) if k and p >= 0)
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<head><title>t</title><body><article><header><h1>Name</h1></header><p>Text</p></article>", ["Name", "Text"]),
+        ("<head><title>t</title><style>x</style></head><body><p>Text</p>", ["Text"]),
+        ("<body><article><p>Text</p></article><header>Late</header>", ["Text", "Late"]),
+        ("<head><meta name=a><body><article><p>Text</p></article><header>Late</header>", ["Text", "Late"]),
+        ("<p>so <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds", ["so x=1 holds"]),
+        *((f"<p>a<{t} id=q>b<p>c", ["ab", "c"]) for t in ("svg", "object", "canvas", "audio", "video", "select", "datalist", "template")),
+        ("<p>a<video src=x>b<p>c<video>d</video>e", ["ab", "ce"]),
+        ("<p>a<svg><svg>i</svg>j</svg>k<svg/>l", ["akl"]),
+        ("<p>a<!-- <svg> --><svg>t<script>'</svg>'</script>u</svg>b", ["ab"]),
+        ("<p>a<script>b</scripty>c</script >d<style>e", ["ad"]),
+    ],
+)
+def test_silent_elements_end_where_they_end(page, want):
+    assert [t for t in html_extraction.dom.read(page).texts if t] == want
+
+
 def test_pages_hard_rows(spark):
     rows = [
         (1, "u", None), (2, None, ""), (3, "u", "<<<>>> &am"), (4, "u", "plain words only, without any markup at all, but enough of them to be read."), (None, "u", "<article><p>One two three four five six seven.</p><p>A&amp;B &lt;x&gt;  y</article>"),
