@@ -151,7 +151,11 @@ def _forest(ids: np.ndarray, s0: np.ndarray, s1: np.ndarray) -> tuple[list, list
     u, v = list(ids[1:][group[1:] == 0]), []
     v += [ids[0]] * len(u)
     for i in np.flatnonzero(group < 0):
-        near = np.flatnonzero((_agree(s0, s1, s0[i], s1[i]) >= _MAYBE) & pool & (group >= 0))
+        alike = (_agree(s0, s1, s0[i], s1[i]) >= _MAYBE) & (group >= 0)
+        near = np.flatnonzero(alike & pool)
+        # rows out of the pool are all in the first row's group: one of them stands for it if no other does
+        if not (group[near] == group[0]).any() and (out := alike & ~pool).any():
+            near = np.append(near, np.argmax(out))
         group[i] = i
         seen = set()
         for g in np.unique(group[near]):

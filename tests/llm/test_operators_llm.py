@@ -110,6 +110,21 @@ def test_links_in_slices(monkeypatch, look):
         assert len({(a, b) for a, b in zip(group, roots, strict=True)}) == len(set(roots)) == len(set(group))
 
 
+@pytest.mark.parametrize("n", [10, 2047, 2048, 2049, 5000])
+def test_forest_does_not_depend_on_bucket_size(n):
+    """A row that agrees with the first row on 12 of 32 and with one almost equal to the first on 14 keeps its edge."""
+    nibbles = lambda *at: sum(15 << 4 * k for k in at)
+    s0, s1 = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+    s0[1], s0[-1] = nibbles(0, 1), nibbles(*range(16))
+    s1[-1] = nibbles(*range(4))
+    assert near_dedup._agree(s0, s1, s0[-1], s1[-1])[[0, 1]].tolist() == [12, 14] and near_dedup._agree(s0, s1, s0[0], s1[0])[1] == 30
+    u, v = near_dedup._forest(np.arange(n) + 1, s0, s1)
+    f = Forest()
+    for a, b in zip(u, v, strict=True):
+        f.join(int(a), int(b))
+    assert {f.find(i) for i in range(1, n + 1)} == {1}
+
+
 def test_connected_components(spark):
     chain = [(i, i + 1) for i in range(100, 140)]
     star = [(7, i) for i in range(200, 230)] + [(i, 3) for i in range(225, 228)]
