@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a temporary one where it is unset (single machine)."""
+    """The shared folder named by spark.checkpoint.dir.  Where it is unset a local master gets a temporary folder; on a
+    cluster no executor could read what another wrote there, so it is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="optika-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -23,9 +28,12 @@ BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bounds the session's Arrow batches; plans read the setting when they run, so it stays set."""
+    """Bounds the session's Arrow batches; plans read the setting when they run, so it stays set.  A lower bound that
+    the session has already is kept."""
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
-        spark.conf.set(key, str(most))
+        have = re.match(r"\s*(\d+)b?\s*$", spark.conf.get(key, None) or "")
+        if not have or not 0 < int(have[1]) <= most:
+            spark.conf.set(key, str(most))
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -39,14 +47,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def discard(df: DataFrame | None) -> None:
-    """Deletes a table of ``materialize`` that no later plan reads."""
-    path = getattr(df, "_optika_path", None)
-    if path:
-        spark = df.sparkSession
-        jvm = spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+def discard(*tables: DataFrame | None) -> None:
+    """Deletes tables of ``materialize`` that no later plan reads."""
+    for df in tables:
+        path = getattr(df, "_optika_path", None)
+        if path:
+            spark = df.sparkSession
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def release_shuffles(spark: SparkSession) -> None:
@@ -69,6 +77,18 @@ def hash_sample(df: DataFrame, columns: list[str], rows: int, total: int) -> lis
     return df.limit(rows).collect()
 
 
+def connect(i: int, near: np.ndarray, group: np.ndarray, ids: np.ndarray, u: list, v: list) -> None:
+    """One edge from row i to each other group among the rows ``near``; the groups become one."""
+    others, first = np.unique(group[near], return_index=True)
+    found = {int(g): near[k] for g, k in zip(others, first, strict=True) if g != group[i]}
+    low = min([*found, int(group[i])])
+    for g, j in found.items():
+        u.append(ids[i])
+        v.append(ids[j])
+    for g in {*found, int(group[i])} - {low}:
+        group[group == g] = low
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
@@ -84,10 +104,10 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFr
 
     ``edges`` holds node ids (long) in columns u and v; self loops and nulls are ignored and repeated
     edges do no harm.  Returns ``node, component`` for every node that has an edge to another node; the
-    component is its smallest node.  Each step is a pre-aggregated minimum, written as a table so that the
-    equi-join with it deals the edges anew and Spark can split a node that holds most of them; each round
-    is written to the shared folder, and the number of rounds grows with the logarithm of the longest path.  It ends
-    when all edges are stars around smallest nodes.
+    component is its smallest node.  ``discard`` of the result deletes the table that it reads.  Each step is a
+    pre-aggregated minimum, written as a table so that the equi-join with it deals the edges anew and Spark can split a
+    node that holds most of them; each round is written to the shared folder, and the number of rounds grows with the
+    logarithm of the longest path.  It ends when all edges are stars around smallest nodes.
     """
     a, b = F.col(u).cast("long"), F.col(v).cast("long")
     now = edges.where(a.isNotNull() & b.isNotNull() & (a != b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
@@ -103,7 +123,8 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFr
         small = small.unionByName(lowest.select(F.col("k").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct()
         small = small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
         after = materialize(small, "cc")
-        for old in (now, large, lowest):
-            discard(old)
+        discard(now, large, lowest)
         now = after
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    out = now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    out._optika_path = now._optika_path
+    return out

@@ -24,13 +24,22 @@ RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www
 CUTS_SAMPLE = 4096
 
 
+def _rest(url: Column) -> Column:
+    """What follows the first ://; empty if there is none.  Cut first, so that no pattern can find a later one."""
+    at = F.instr(F.coalesce(url, F.lit("")), "://")
+    return F.when(at > 0, F.substr(url, at + 3)).otherwise("")
+
+
+def _lower(x: Column) -> Column:
+    return F.translate(x, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def host(url: Column) -> Column:
-    raw = F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://([^/?#]*)", 1)
-    return F.translate(raw, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return _lower(F.regexp_extract(_rest(url), r"^[^/?#]*", 0))
 
 
 def path(url: Column) -> Column:
-    return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^/?#]*(/[^?#]*)", 1)
+    return F.regexp_extract(_rest(url), r"^[^/?#]*([^?#]*)", 1)
 
 
 def key(h: Column) -> Column:
@@ -105,7 +114,7 @@ def judge(pages: DataFrame, rules: DataFrame | tuple = RULES, default: str = "al
 
     dealt = urls.mapInArrow(part_of, "part int, page_id long, host string, path string, key string")
     # a rule goes to every range that its interval meets: keys from its own on that begin with it
-    keyed = rules.select(F.col("verdict"), F.lower("host").alias("host"), "path").withColumn("key", key(F.col("host")))
+    keyed = rules.select(F.col("verdict"), _lower(F.col("host")).alias("host"), "path").withColumn("key", key(F.col("host")))
 
     def parts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -128,9 +137,9 @@ def op6_url_filter(spark, sf_dir: str) -> DataFrame:
     return judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
-OP6_SQL = r"""WITH p AS (SELECT page_id, CASE WHEN contains(coalesce(url, ''), '://') THEN url END AS u FROM pages),
-q AS (SELECT page_id, translate(coalesce(regexp_extract(u, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-  coalesce(regexp_extract(u, '(?s)^.*?://[^/?#]*(/[^?#]*)', 1), '') AS path FROM p),
+OP6_SQL = r"""WITH p AS (SELECT page_id, CASE WHEN contains(coalesce(url, ''), '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS u FROM pages),
+q AS (SELECT page_id, translate(regexp_extract(u, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(u, '^[^/?#]*([^?#]*)', 1) AS path FROM p),
 r(verdict, h, pre) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
 m AS (SELECT page_id, host, path, h || pre AS rule, verdict, row_number() OVER (PARTITION BY page_id, host, path ORDER BY length(h || pre) DESC) AS k
   FROM q JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, pre))
