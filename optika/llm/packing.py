@@ -1,7 +1,8 @@
 """Packing token sequences by Karmarkar-Karp multiway differencing.
 
 Each document's ids (with the closing id 0) are cut into pieces: whole windows of ``capacity`` first, then its
-tail in pieces of at most ``piece`` tokens.  Whole windows are sequences of their own.  Tail pieces are dealt out
+tail, whole if it has at most ``piece`` tokens, else cut there (whole tails of up to 1023 tokens would leave 7 % of the
+windows empty, halves leave 1 %).  Whole windows are sequences of their own.  Tail pieces are dealt out
 by hash and packed in lots of ``lot`` pieces: with m windows, every piece is a partial partition (its length and
 m - 1 zeros); the two partial partitions with the greatest imbalance are merged, the largest window of one with
 the smallest of the other, until one is left.  Its m windows are nearly equal; m starts at the least number that
@@ -12,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -23,9 +25,13 @@ from pyspark.sql import functions as F
 from optika.llm import textkit as tk
 from optika.llm.common import shuffle_partitions, small_batches
 
-CAPACITY, PIECE, LOT, END = 1024, 128, 2048, 0
+CAPACITY, PIECE, LOT, END = 1024, 512, 1024, 0
 #: The vocabulary's added token, which the rank file lacks.
 SPECIAL = {"<|endoftext|>": 50256}
+#: Blanks in a row that the rank file's encoder may not survive (its regular expression runs out of stack between
+#: 700,000 and 1,000,000); a text with as many goes to the tokenizers file, which gives the same ids.
+BLANKS = 100_000
+_BLANKS = re.compile(r"\s{%d}" % BLANKS)
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 _ENCODERS: dict[str, object] = {}
@@ -52,7 +58,13 @@ def encoder(path: str | None = None):
             with open(P.path("byte_bpe_50k.tiktoken"), "rb") as f:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
             e = tiktoken.Encoding("byte_bpe_50k", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL)
-            _ENCODERS[key] = lambda texts: [e.encode(x, allowed_special="all") for x in texts]
+
+            def ids(text: str) -> list[int]:
+                if len(text) >= BLANKS and _BLANKS.search(text):
+                    return encoder(P.path("byte_bpe_50k.json"))([text])[0]
+                return e.encode(text, allowed_special="all")
+
+            _ENCODERS[key] = lambda texts: [ids(x) for x in texts]
     return _ENCODERS[key]
 
 
