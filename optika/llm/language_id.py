@@ -1,7 +1,7 @@
 """Language identification by multilingual mixture inference.
 
-Training counts letter trigrams of every labelled text by language (hashed into ``2**BITS`` cells, so a model has a
-fixed size).  The likelihood of a word in a language is the product of its smoothed trigram probabilities, a word
+Training counts letter trigrams of every labelled text by language (hashed into ``2**BITS`` cells, so a language has a
+fixed size: 256 KB).  The likelihood of a word in a language is the product of its smoothed trigram probabilities, a word
 being a maximal run of letters with a space before and after it.  A document is a mixture: expectation
 maximisation estimates each language's proportion from the words' likelihoods.  The set of languages is selected
 by penalised likelihood: starting with the best single language, the language that raises the likelihood most is
@@ -11,7 +11,10 @@ with the largest proportion; the score is that proportion.
 
 from __future__ import annotations
 
+import os
+import tempfile
 import unicodedata
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,11 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from optika.llm import textkit as tk
-from optika.llm.common import small_batches
+from optika.llm.common import discard, materialize, small_batches
 
 BITS = 16
-#: Languages a model may have: the learned table is collected, so its size has to be bounded.
-MOST_LANGUAGES = 256
+#: A model of up to this many languages (64 MB) is broadcast; a larger one is a file that every executor maps into memory.
+BROADCAST_LANGUAGES = 256
 _CELLS = 1 << BITS
 _MARK = 1 << 31
 
@@ -96,27 +99,50 @@ def _by_value(values: list) -> dict:
 
 
 class LanguageModel:
-    """Languages and, per language, the log probability of each trigram cell."""
+    """Languages and, per language, the log probability of each trigram cell: an array, or the name of a file that
+    Spark has sent to the executors."""
 
-    def __init__(self, langs: list[str], logs: np.ndarray):
-        self.langs, self.logs = langs, logs
+    def __init__(self, langs: list[str], logs: np.ndarray | str):
+        self.langs = langs
+        if isinstance(logs, str):
+            from pyspark import SparkFiles
 
+            logs = np.load(SparkFiles.get(logs), mmap_mode="r")
+        self.logs = logs
 
-def learn(docs: DataFrame, smoothing: float = 0.5) -> LanguageModel:
-    """Learns from every row of docs (text, lang) whose text and lang are not null."""
-    small_batches(docs.sparkSession)
+
+def _packed(table: pa.Table) -> pa.Table:
+    """A language's counts as one binary array."""
+    n = np.zeros(_CELLS, np.int64)
+    n[table["cell"].to_numpy()] = table["n"].to_numpy()
+    return pa.table({"lang": table["lang"][:1], "counts": pa.array([n.tobytes()], pa.binary())})
+
+
+def learn(docs: DataFrame, smoothing: float = 0.5, broadcast: int = BROADCAST_LANGUAGES) -> tuple[list[str], np.ndarray | str]:
+    """Learns from every row of docs (text, lang) whose text and lang are not null: the languages in order, and their
+    table (see ``LanguageModel``).  A language costs the driver one row of 512 KB, read one at a time."""
+    spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.where("text IS NOT NULL AND lang IS NOT NULL").select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     table = rows.mapInArrow(_count, "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n"))
-    packed = table.groupBy("lang").agg(F.collect_list(F.struct("cell", "n")).alias("t")).orderBy("lang").limit(MOST_LANGUAGES + 1).collect()
-    if len(packed) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    logs = np.zeros((len(packed), _CELLS), np.float32)
-    for i, r in enumerate(packed):
-        n = np.full(_CELLS, smoothing)
-        for x in r["t"]:
-            n[x[0]] += x[1]
-        logs[i] = np.log(n / n.sum())
-    return LanguageModel([r["lang"] for r in packed], logs)
+    table = materialize(table.groupBy("lang").applyInArrow(_packed, "lang string, counts binary"), "languages")
+    langs = sorted(r["lang"] for r in table.select("lang").collect())
+    shape = (len(langs), _CELLS)
+    if len(langs) <= broadcast:
+        logs = np.zeros(shape, np.float32)
+    else:
+        path = os.path.join(tempfile.mkdtemp(prefix="optika-"), f"languages-{uuid.uuid4().hex}.npy")
+        logs = np.lib.format.open_memmap(path, "w+", np.float32, shape)
+    at = {x: i for i, x in enumerate(langs)}
+    for r in table.toLocalIterator():
+        n = np.frombuffer(r["counts"], np.int64) + smoothing
+        logs[at[r["lang"]]] = np.log(n / n.sum())
+    discard(table)
+    if len(langs) <= broadcast:
+        return langs, logs
+    logs.flush()
+    spark.sparkContext.addFile(path)
+    return langs, os.path.basename(path)
 
 
 def _mixture(e: np.ndarray, top: np.ndarray, starts: np.ndarray, doc: np.ndarray, use: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
@@ -181,19 +207,21 @@ def infer(column: pa.Array, model: LanguageModel, penalty: float = 3.0, rounds:
     return lang, score, words
 
 
-def with_language(docs: DataFrame, model: LanguageModel, penalty: float = 3.0) -> DataFrame:
+def with_language(docs: DataFrame, model: tuple[list[str], np.ndarray | str], penalty: float = 3.0) -> DataFrame:
     """Adds lang_pred and score to the rows of docs (text and any other columns).
 
     A null text, or one without a letter, is ``und`` with score 0, as is every text if nothing was learned.  Ties go
     to the smaller language code.  Only the text is read.  An empty table gives an empty result.
     """
     small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.logs))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
+    # the likelihoods of a chunk's words take memory for every language
+    most = max(1 << 12, (1 << 20) * 32 // max(32, len(model[0])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = LanguageModel(*shared.value)
-        for c in tk.chunks(batches, "text", 1 << 20):
+        for c in tk.chunks(batches, "text", most):
             lang, score, _ = infer(c.column(names.index("text")), own, penalty)
             yield pa.RecordBatch.from_arrays([*c.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*names, "lang_pred", "score"])
 
@@ -201,7 +229,7 @@ def with_language(docs: DataFrame, model: LanguageModel, penalty: float = 3.0) -
     return docs.mapInArrow(run, f"{schema}, lang_pred string, score double")
 
 
-def identify(docs: DataFrame, model: LanguageModel, penalty: float = 3.0) -> DataFrame:
+def identify(docs: DataFrame, model: tuple[list[str], np.ndarray | str], penalty: float = 3.0) -> DataFrame:
     """doc_id, lang_pred, score for each row of docs (doc_id, text), as ``with_language`` gives them."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return with_language(own, model, penalty).drop("text")
