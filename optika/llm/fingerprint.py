@@ -68,28 +68,33 @@ def as_text(a: Column) -> Column:
     return F.lower(F.array_join(F.transform(a, lambda x: F.lpad(F.hex(x), HASH_BITS // 4, "0")), ""))
 
 
-def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
+def with_next(docs: DataFrame, columns: list[str], tie: str = "text") -> DataFrame:
     """Adds next_<column> of the document that follows in ascending doc_id order (after the last: the first).
 
     Documents are dealt out to ranges of doc_id; the first document of a range also goes, as a guest, behind the
-    range before it, so no range waits for another and none holds the whole order.  Null ids come last; rows that
-    share an id are ordered by a hash of their columns.
+    range before it, so no range waits for another and none holds the whole order.  Ids are below 2**62; rows without
+    one come last, in the order of a hash of the column ``tie``, as do rows that share an id.
     """
     spark = docs.sparkSession
     n = 4 * shuffle_partitions(spark)
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64(tie), 2))
     keyed = docs.withColumn("_key", key)
-    low = keyed.select("_key").agg(F.min("_key").alias("low"), F.percentile_approx("_key", [i / n for i in range(1, n)], 50 * n).alias("cuts")).first()
-    cuts = sorted({int(x) for x in (low["cuts"] or []) if x > low["low"]})
+    # the cuts may be any values; what each range begins with is looked up
+    cuts = keyed.agg(F.percentile_approx("_key", [i / n for i in range(1, n)], 50 * n).alias("cuts")).first()["cuts"]
+    cuts = sorted({int(x) for x in cuts or []})
     split = F.array(*(F.lit(x).cast("long") for x in cuts)) if cuts else F.array().cast("array<bigint>")
-    bucket = F.size(F.filter(split, lambda s: s <= F.col("_key")))
-    guest = F.array_contains(split, F.col("_key"))
-    first = F.col("_key") == F.lit(low["low"]).cast("long")
-    place = lambda b, g, wrap: F.struct(b.cast("int").alias("b"), F.lit(g).alias("g"), F.lit(wrap).alias("w"))
-    home = F.array(place(F.col("_bucket"), False, 0))
-    places = F.when(guest, F.array(place(F.col("_bucket"), False, 0), place(F.col("_bucket") - 1, True, 0))).when(first, F.array(place(F.col("_bucket"), False, 0), place(F.lit(len(cuts)), True, 1))).otherwise(home)
-    dealt = keyed.withColumn("_bucket", bucket).withColumn("_p", F.explode(places))
-    order = Window.partitionBy("_p.b").orderBy("_p.w", "_p.g", "_key", F.xxhash64(*columns))
+    keyed = keyed.withColumn("_bucket", F.size(F.filter(split, lambda s: s <= F.col("_key"))))
+    lows = sorted((r["_bucket"], r["low"]) for r in keyed.groupBy("_bucket").agg(F.min("_key").alias("low")).collect())
+    first, before = [None] * (len(cuts) + 1), [None] * (len(cuts) + 1)
+    for k, (bucket, low) in enumerate(lows):
+        first[bucket], before[bucket] = low, lows[k - 1][0]
+    at = lambda values, kind: F.get(F.array(*(F.lit(x).cast(kind) for x in values)), F.col("_bucket"))
+    smallest = F.lit(lows[0][0] if lows else 0) == F.col("_bucket")
+    place = lambda b, g, w: F.struct(b.cast("int").alias("b"), F.lit(g).alias("g"), w.cast("int").alias("w"))
+    home = place(F.col("_bucket"), False, F.lit(0))
+    guest = place(at(before, "int"), True, F.when(smallest, 1).otherwise(0))
+    dealt = keyed.withColumn("_p", F.explode(F.when(F.col("_key") == at(first, "long"), F.array(home, guest)).otherwise(F.array(home))))
+    order = Window.partitionBy("_p.b").orderBy("_p.w", "_p.g", "_key", F.xxhash64(tie))
     dealt = dealt.select("*", *(F.lead(c).over(order).alias(f"next_{c}") for c in columns))
     return dealt.where("NOT _p.g").drop("_key", "_bucket", "_p")
 
@@ -98,7 +103,9 @@ def fingerprints(docs: DataFrame, k: int = K) -> DataFrame:
     """Fingerprints every text of docs (doc_id, text; null: empty) and its edited text, whose last half's code
     points are replaced by the first as many of the next document.
 
-    Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.  A text without
+    Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next (resemblance),
+    contained_edited and contained_next (share of the text's shingles that the edited text, the next document has) and
+    n_shingles (number of distinct shingles), all estimated from the sketches.  A text without
     words has an empty fingerprint; rows that repeat a doc_id are documents that follow each other; a single document
     is followed by itself; an empty table gives an empty result.
     """
@@ -111,6 +118,7 @@ def fingerprints(docs: DataFrame, k: int = K) -> DataFrame:
     return pair.select(
         "doc_id", "n_chars", "edited_sha256", as_text(F.col("sketch")).alias("fingerprint"), as_text(F.col("edited_sketch")).alias("edited_fingerprint"),
         resemblance(F.col("sketch"), F.col("edited_sketch"), k).alias("near_edited"), resemblance(F.col("sketch"), F.col("next_sketch"), k).alias("near_next"),
+        containment(F.col("sketch"), F.col("edited_sketch"), k).alias("contained_edited"), containment(F.col("sketch"), F.col("next_sketch"), k).alias("contained_next"), distinct_shingles(F.col("sketch"), k).alias("n_shingles"),
     )
 
 
