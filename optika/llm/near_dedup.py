@@ -9,7 +9,9 @@ some table with probability (1 - (1 - s**rows)**half_keys)**2: 0.9995 at 0.75 fo
    minhashes and a 128-bit sketch (four bits of each of 32 minhashes).  Equal sets collapse to one class.
 2. The classes' table keys are dealt out by key and sorted.  A sweep over each bucket emits a spanning forest
    of the pairs whose sketches agree enough (a pair of resemblance 0.75 fails that with probability 2e-5):
-   never more edges than members.  Components of those edges are the candidate groups.
+   never more edges than members.  A bucket of more than ``hot`` members is counted beforehand and split: each part
+   holds the bucket's first member too, and members that no part connects to it are compared with every part, so that
+   what a bucket connects does not depend on its size.  Components of those edges are the candidate groups.
 3. Each candidate group is verified exactly on its documents' full shingle sets, which are written once.  Blocks are
    bounded in documents and in shingles.  First each block is compared within itself and with the group's pivot,
    the member with most candidate edges, which is dealt to every block: this is linear in the group and gives each
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from optika.llm import textkit as tk
-from optika.llm.common import connected_components, materialize, shuffle_partitions, small_batches
+from optika.llm.common import connect, connected_components, discard, materialize, shuffle_partitions, small_batches
 
 SHINGLE = 5
 _U = np.uint64
@@ -136,39 +138,76 @@ def _agree(s0: np.ndarray, s1: np.ndarray, t0, t1) -> np.ndarray:
     return out
 
 
-#: Sketches of a pair of resemblance 0.75 agree on 24.5 of 32 on average (sd 2.4); alike enough to stand in for another: 30.
-_MAYBE, _SAME = 14, 30
+#: Sketches of a pair of resemblance 0.75 agree on 24.5 of 32 on average (sd 2.4).
+_MAYBE = 14
 
 
-def _forest(ids: np.ndarray, s0: np.ndarray, s1: np.ndarray) -> tuple[list, list]:
-    """Edges that connect what the pairs of a bucket with agreeing sketches connect."""
-    got = _agree(s0, s1, s0[0], s1[0])
-    group = np.where(got >= _MAYBE, 0, -1)
-    pool = np.ones(len(ids), bool)
-    if len(ids) > 2048:
-        pool = got < _SAME
-        pool[0] = True
-    u, v = list(ids[1:][group[1:] == 0]), []
-    v += [ids[0]] * len(u)
+def _forest(ids: np.ndarray, s0: np.ndarray, s1: np.ndarray) -> tuple[list, list, np.ndarray]:
+    """Edges that connect what the pairs of a bucket with agreeing sketches connect, and each row's group: 0 is the
+    first row's."""
+    group = np.where(_agree(s0, s1, s0[0], s1[0]) >= _MAYBE, 0, -1)
+    group[0] = 0
+    u = list(ids[group == 0][1:])
+    v = [ids[0]] * len(u)
     for i in np.flatnonzero(group < 0):
-        alike = (_agree(s0, s1, s0[i], s1[i]) >= _MAYBE) & (group >= 0)
-        near = np.flatnonzero(alike & pool)
-        # rows out of the pool are all in the first row's group: one of them stands for it if no other does
-        if not (group[near] == group[0]).any() and (out := alike & ~pool).any():
-            near = np.append(near, np.argmax(out))
         group[i] = i
-        seen = set()
-        for g in np.unique(group[near]):
-            j = near[np.argmax(group[near] == g)]
-            u.append(ids[i])
-            v.append(ids[j])
-            seen.add(g)
-        if seen:
-            low = min(seen)
-            for g in seen | {i}:
-                if g != low:
-                    group[group == g] = low
-    return u, v
+        near = np.flatnonzero((_agree(s0, s1, s0[i], s1[i]) >= _MAYBE) & (group >= 0) & (group != i))
+        connect(i, near, group, ids, u, v)
+    return u, v, group
+
+
+def _part_forest(table: pa.Table) -> pa.Table:
+    """A part of a split bucket (key, id, s0, s1, lead: the bucket's first row): kind 0 edges u, v; kind 1 the rows
+    that are not connected to the first."""
+    order = np.lexsort((table["id"].to_numpy(), ~table["lead"].to_numpy(zero_copy_only=False)))
+    ids, s0, s1 = table["id"].to_numpy()[order], table["s0"].to_numpy().view(np.uint64)[order], table["s1"].to_numpy().view(np.uint64)[order]
+    u, v, group = _forest(ids, s0, s1)
+    rest = np.flatnonzero(group != 0)
+    n, m = len(u), len(rest)
+    return pa.table({
+        "kind": pa.array([0] * n + [1] * m, pa.int32()), "key": pa.array([table["key"][0].as_py()] * (n + m), pa.int64()), "u": pa.array([*u, *ids[rest]], pa.int64()),
+        "v": pa.array([*v, *[None] * m], pa.int64()), "s0": pa.array([*[0] * n, *s0[rest].view(np.int64)], pa.int64()), "s1": pa.array([*[0] * n, *s1[rest].view(np.int64)], pa.int64()),
+    })
+
+
+def _cross_forest(table: pa.Table) -> pa.Table:
+    """Edges between the rows of side 0 and those of side 1 that agree enough, as a spanning forest."""
+    ids, s0, s1, side = table["id"].to_numpy(), table["s0"].to_numpy().view(np.uint64), table["s1"].to_numpy().view(np.uint64), table["side"].to_numpy()
+    group, u, v = np.arange(len(ids)), [], []
+    for i in np.flatnonzero(side == 0):
+        connect(i, np.flatnonzero((_agree(s0, s1, s0[i], s1[i]) >= _MAYBE) & (side == 1) & (ids != ids[i])), group, ids, u, v)
+    return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+
+def candidates(classes: DataFrame, half_keys: int, hot: int) -> DataFrame:
+    """Edges u, v between classes (id, keys, s0, s1) that connect what agreeing pairs of the tables' buckets connect."""
+    parts = shuffle_partitions(classes.sparkSession)
+    rows = classes.select("id", "keys", "s0", "s1").mapInArrow(_table_rows(half_keys), "key long, id long, s0 long, s1 long")
+    split = rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot)
+    split = materialize(split.select(F.col("key").alias("k"), F.ceil(F.col("n") / hot).cast("int").alias("parts")), "hot-buckets")
+    swept = lambda df: df.repartition(parts, "key").sortWithinPartitions("key", "id").mapInArrow(_sweep, "u long, v long").distinct()
+    if split.isEmpty():
+        return materialize(swept(rows), "candidates")
+    marked = rows.join(split, F.col("key") == F.col("k"), "left")
+    edges = swept(marked.where("parts IS NULL").select("key", "id", "s0", "s1"))
+    hot_rows = materialize(marked.where("parts IS NOT NULL").select("key", "id", "s0", "s1", "parts", F.pmod(F.xxhash64("id", F.lit(3)), F.col("parts")).cast("int").alias("part")), "hot-rows")
+    lead = hot_rows.groupBy("key", "parts").agg(F.min_by(F.struct("id", "s0", "s1"), "id").alias("l"))
+    leads = lead.select("key", "l.id", "l.s0", "l.s1", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("lead"))
+    own = hot_rows.join(lead.select(F.col("key").alias("k"), F.col("l.id").alias("first")), (F.col("key") == F.col("k")) & (F.col("id") == F.col("first")), "left_anti")
+    found = own.select("key", "id", "s0", "s1", "part", F.lit(False).alias("lead")).unionByName(leads).groupBy("key", "part").applyInArrow(_part_forest, "kind int, key long, u long, v long, s0 long, s1 long")
+    found = materialize(found, "hot-forest")
+    edges = edges.unionByName(found.where("kind = 0").select("u", "v"))
+    rest = found.where("kind = 1")
+    few = materialize(rest.groupBy(F.col("key").alias("k")).agg(F.ceil(F.count("*") / hot).cast("int").alias("few")), "hot-rest")
+    if not few.isEmpty():
+        every = hot_rows.join(few, F.col("key") == F.col("k")).select("key", "id", "s0", "s1", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("few") - 1)).alias("lo"), F.col("part").alias("hi"))
+        sizes = hot_rows.select(F.col("key").alias("k2"), "parts").distinct()
+        left = rest.join(few, F.col("key") == F.col("k")).join(sizes, F.col("key") == F.col("k2"))
+        left = left.select("key", F.col("u").alias("id"), "s0", "s1", F.lit(0).alias("side"), F.pmod(F.xxhash64("u", F.lit(9)), F.col("few")).cast("int").alias("lo"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("hi"))
+        edges = edges.unionByName(left.unionByName(every).groupBy("key", "lo", "hi").applyInArrow(_cross_forest, "u long, v long"))
+    edges = materialize(edges.distinct(), "candidates")
+    discard(split, hot_rows, found, few)
+    return edges
 
 
 def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,7 +225,7 @@ def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         us.append(ids[two + 1][ok])
         vs.append(ids[two][ok])
         for a, n in zip(start[size > 2], size[size > 2], strict=True):
-            u, v = _forest(ids[a : a + n], s0[a : a + n], s1[a : a + n])
+            u, v, _ = _forest(ids[a : a + n], s0[a : a + n], s1[a : a + n])
             us.append(np.array(u, np.int64))
             vs.append(np.array(v, np.int64))
         u, v = np.concatenate(us), np.concatenate(vs)
@@ -299,7 +338,7 @@ def _links(percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75, half_keys: int = 10, rows: int = 2, block: int = 512, block_shingles: int = 1 << 19) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 75, half_keys: int = 10, rows: int = 2, block: int = 128, block_shingles: int = 1 << 19, hot: int = 4096) -> DataFrame:
     """Near-duplicate groups of ``docs`` (columns doc_id, text; others are ignored).
 
     Returns one row per row of docs: doc_id, n_shingles, component_id (smallest doc_id reachable over links of
@@ -308,8 +347,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, half_keys: int = 10, row
     link with nothing.  Rows that share a doc_id are one document.  A null doc_id links with nothing: its
     component_id is null and kept is true.  An empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(docs.sparkSession)
     feats = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_features(half_keys, rows), _FEATURES)
     feats = materialize(feats, "minhash")
     alive = feats.where("n_shingles > 0 AND doc_id IS NOT NULL")
@@ -317,11 +355,10 @@ def near_duplicates(docs: DataFrame, percent: int = 75, half_keys: int = 10, row
         alive.groupBy("set_hi", "set_lo").agg(F.min("doc_id").alias("id"), F.min("n_shingles").alias("n"), F.min("keys").alias("keys"), F.min("sketch_hi").alias("s0"), F.min("sketch_lo").alias("s1")),
         "classes",
     )
-    parts = shuffle_partitions(spark)
-    table_rows = classes.select("id", "keys", "s0", "s1").mapInArrow(_table_rows(half_keys), "key long, id long, s0 long, s1 long")
-    maybe = table_rows.repartition(parts, "key").sortWithinPartitions("key", "id").mapInArrow(_sweep, "u long, v long").distinct()
-    maybe = materialize(maybe, "candidates")
-    groups = materialize(connected_components(maybe), "groups")
+    maybe = candidates(classes, half_keys, hot)
+    joined = connected_components(maybe)
+    groups = materialize(joined, "groups")
+    discard(joined)
     # the pivot: the member with most candidate edges, of equals the smallest
     edges = maybe.select(F.explode(F.array("u", "v")).alias("k")).groupBy("k").agg(F.count("*").alias("edges"))
     known = groups.join(edges, F.col("node") == F.col("k")).join(classes.select("id", "n"), F.col("node") == F.col("id"))
@@ -353,7 +390,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75, half_keys: int = 10, row
         at = F.explode(F.when(F.col("label") == F.col("pivot"), right).otherwise(F.concat(left, right)))
         told = told.withColumn("at", at).select("id", "at.side", "label", "shingles", "grp", "at.lo", "at.hi")
         links = links.unionByName(told.groupBy("grp", "lo", "hi").applyInArrow(_links(percent), "u long, v long"))
-    comps = materialize(connected_components(links), "components")
+    joined = connected_components(links)
+    comps = materialize(joined, "components")
+    discard(joined, maybe, groups, sets, labels, rest)
     whole = alive.select("doc_id", "set_hi", "set_lo").join(classes.select("set_hi", "set_lo", "id"), ["set_hi", "set_lo"])
     # rows that share a doc_id join their classes too
     top = whole.join(comps.withColumnRenamed("node", "id"), "id", "left").select("doc_id", F.coalesce("component", "id").alias("component"))
