@@ -1,19 +1,25 @@
 """Language-model scoring with a weighted backoff automaton.
 
-States are the empty context and the words seen in training.  In state h a word w has an arc if the pair (h, w)
-was seen, with weight log10((c(hw) + mu p(w)) / (c(h) + mu)); otherwise the failure arc of h, of weight
-log10(mu / (c(h) + mu)), leads to the empty context, where every word has an arc of weight log10 p(w).  p is an
-absolutely discounted unigram distribution whose discounted mass is that of one unknown word.  A text is traversed
-from left to right, from the start state through its words to the end token.
-
-The automaton of a large corpus has no bounded size, so it is never in one place.  Each chunk of texts asks for
-the arcs it needs: one pass sends each chunk's distinct word and pair hashes, with their training counts, to
-shards by hash; a shard adds the counts up and answers each chunk; a chunk then traverses its texts with the
-answers.  What is sent grows with the corpus, and a frequent word costs a shard one entry per chunk.
+States are the contexts of up to ``order - 1`` tokens seen in training, and the empty one.  In state h a word w has an
+arc if h w was seen; its weight is log10 P(w | h), smoothed by the state of h's suffix h':
+
+    P(w | h) = (c(h w) + mu P(w | h')) / (c(h) + mu)
+
+Otherwise the failure arc of h, of weight log10(mu / (c(h) + mu)), leads to h'.  In the empty state every word has an
+arc; its distribution is absolutely discounted, the discounted mass being that of one unknown word.  A text is
+traversed from left to right, from the start state through its words to the end token, each arc leading to the longest
+suffix that is a state; weights are added up.
+
+The automaton of a large corpus has no bounded size, so it is never in one place.  Each chunk of texts asks for the
+states and arcs that it needs: one pass sends each chunk's distinct n-gram hashes, with their training counts, to shards
+by hash; a shard adds the counts up and answers each chunk; a chunk then builds its part of the automaton and traverses
+its texts.  What is sent grows with the corpus, and a frequent n-gram costs a shard one entry per chunk.  The number
+of shards follows from the size of the texts, so that a shard fits in a task whatever the session's partitions are.
 """
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,38 +28,80 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from optika.llm import textkit as tk
-from optika.llm.common import materialize, shuffle_partitions
-
-MU = 8.0
-CHUNK_BYTES = 8 << 20
+from optika.llm.common import materialize, release_shuffles, shuffle_partitions, small_batches
+
+ORDER = 4
+#: Dirichlet weights of the contexts of 1, 2, ... tokens.
+MU = (100.0, 30.0, 10.0)
+CHUNK_BYTES, SHARD_BYTES = 4 << 20, 16 << 20
+#: Hashes of words have 64 bits, which keeps the base score exact; those of longer n-grams 56, a byte less to send.
+SHORT = np.uint64(8)
 _U = np.uint64
 END, START = _U(0x1D8E4E27C47D124F), _U(0x7A5F9B3C2E1D4C6B)
-_REQUEST = "chunk long, shard int, check long, words binary, word_counts binary, pairs binary, pair_counts binary"
-_ANSWER = "chunk long, shard int, check long, word_counts binary, pair_counts binary, tokens long, types long, once long, twice long"
+_REQUEST = "chunk long, shard int, check long, grams binary"
+_ANSWER = "chunk long, shard int, check long, counts binary, tokens long, types long, once long, twice long"
 
 
-def _tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Token hashes of each text (its words, then the end), the hashes of (previous, token), and the bounds."""
+def _tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Token hashes of each text (its words, then the end) and the bounds."""
     w = tk.words(column, lower=True)
-    n = w.counts()
-    bounds = np.concatenate(([0], np.cumsum(n + 1)))
+    bounds = np.concatenate(([0], np.cumsum(w.counts() + 1)))
     token = np.full(bounds[-1], END)
     inside = np.ones(bounds[-1], bool)
     inside[bounds[1:] - 1] = False
     token[inside] = w.hashes()
-    before = np.concatenate(([START], token[:-1]))
-    before[bounds[:-1]] = START
-    return token, tk.mix(before * _U(0x9E3779B97F4A7C15) + token), bounds
+    return token, bounds
+
+
+class Grams:
+    """The n-grams of a chunk: for each length the distinct hashes, sorted, and which of them ends at each token (-1
+    where the text's start is nearer).  The start counts as one token."""
+
+    def __init__(self, token: np.ndarray, bounds: np.ndarray, order: int):
+        place = self.place = np.arange(bounds[-1]) - np.repeat(bounds[:-1], np.diff(bounds))
+        self.distinct, self.at = [], []
+        h, before = token, token
+        for k in range(1, order + 1):
+            if k > 1:
+                before = np.concatenate(([START], before[:-1]))
+                before[place == k - 2] = START
+                h = tk.mix(h * _U(0x9E3779B97F4A7C15) + before + _U(k))
+            there = place >= k - 2
+            distinct, at = np.unique((h >> SHORT if k > 1 else h)[there], return_inverse=True)
+            self.distinct.append(distinct)
+            self.at.append(np.full(len(token), -1))
+            self.at[-1][there] = at
 
 
-_START_PAIR = tk.mix(np.array([START], np.uint64) * _U(3))
+def _pack(x: np.ndarray) -> bytes:
+    """Unsigned numbers in as many bytes each as the largest needs, stored by byte planes."""
+    x = np.ascontiguousarray(x, "<u8")
+    width = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
+    return struct.pack("<IB", len(x), width) + np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def _unpack(raw: bytes, at: int) -> tuple[np.ndarray, int]:
+    n, width = struct.unpack_from("<IB", raw, at)
+    at += 5
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :width] = np.frombuffer(raw, np.uint8, n * width, at).reshape(width, n).T
+    return out.reshape(-1).view("<u8"), at + n * width
+
+
+def _shard_bounds(x: np.ndarray, shards: int, bits: int) -> np.ndarray:
+    """Shards are equal ranges of the sorted hashes."""
+    if shards == 1:
+        return np.array([0, len(x)])
+    lows = np.arange(1, shards, dtype=np.uint64) << _U(bits - (shards - 1).bit_length())
+    return np.concatenate(([0], np.searchsorted(x, lows), [len(x)]))
 
 
-def _needs(token: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct words and pairs, sorted, and the place of each token in them; the start's entry is the last pair place."""
-    words, word_at = np.unique(token, return_inverse=True)
-    pairs, pair_at = np.unique(np.concatenate((pair, _START_PAIR)), return_inverse=True)
-    return words, word_at, pairs, pair_at
+def _check(parts: list[np.ndarray]) -> int:
+    """A sum over a request by which the answer is matched to it."""
+    total = _U(0)
+    for x in parts:
+        total ^= x.sum(dtype=np.uint64) + _U(len(x))
+    return int(total.view(np.int64))
 
 
 def _chunk_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
@@ -66,73 +114,60 @@ def _chunk_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Reco
         at += 1
 
 
-def _ask(shards: int):
-    shift = 64 - (shards - 1).bit_length() if shards > 1 else 64
-
+def _ask(shards: int, order: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, c in _chunk_ids(batches):
-            token, pair, bounds = _tokens(c.column(2))
-            train = ~c.column(1).to_numpy(zero_copy_only=False).astype(bool)
-            weight = np.repeat(train, np.diff(bounds)).astype(np.float64)
-            words, word_at, pairs, pair_at = _needs(token, pair)
-            n_word = np.bincount(word_at, weight, len(words)).astype(np.int32)
-            n_pair = np.bincount(pair_at, np.append(weight, float(train.sum())), len(pairs)).astype(np.int32)
-            out: list[list] = [[] for _ in range(7)]
-            edges = [_shard_bounds(x, shards, shift) for x in (words, pairs)]
+            token, bounds = _tokens(c.column(2))
+            train = np.repeat(~c.column(1).to_numpy(zero_copy_only=False).astype(bool), np.diff(bounds))
+            grams = Grams(token, bounds, order)
+            counts = [np.bincount(at[train & (at >= 0)], minlength=len(x)).astype(np.uint64) for x, at in zip(grams.distinct, grams.at, strict=True)]
+            edges = [_shard_bounds(x, shards, 64 if k == 0 else 56) for k, x in enumerate(grams.distinct)]
+            out: list[list] = [[], [], [], []]
             for s in range(shards):
-                a, b = edges[0][s], edges[0][s + 1]
-                d, e = edges[1][s], edges[1][s + 1]
-                if a == b and d == e:
+                parts = [x[e[s] : e[s + 1]] for x, e in zip(grams.distinct, edges, strict=True)]
+                if not any(map(len, parts)):
                     continue
-                row = (chunk, s, _check(words[a:b], pairs[d:e]), words[a:b].tobytes(), n_word[a:b].tobytes(), pairs[d:e].tobytes(), n_pair[d:e].tobytes())
-                for col, x in zip(out, row, strict=True):
+                blob = b"".join(_pack(np.diff(x, prepend=_U(0))) + _pack(n[e[s] : e[s + 1]]) for x, n, e in zip(parts, counts, edges, strict=True))
+                for col, x in zip(out, (chunk, s, _check(parts), blob), strict=True):
                     col.append(x)
-            kinds = [pa.int64(), pa.int32(), pa.int64(), *[pa.binary()] * 4]
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=["chunk", "shard", "check", "words", "word_counts", "pairs", "pair_counts"])
+            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=["chunk", "shard", "check", "grams"])
 
     return run
 
 
-def _check(words: np.ndarray, pairs: np.ndarray) -> int:
-    return int((words.sum(dtype=np.uint64) ^ pairs.sum(dtype=np.uint64)).view(np.int64))
-
+def _answer(order: int):
+    def run(table: pa.Table) -> pa.Table:
+        """Adds the counts of a shard up and answers every chunk that asked."""
+        raw = table["grams"].to_pylist()
+        spots, blobs, stats = [0] * len(raw), [[] for _ in raw], np.zeros(4, np.int64)
+        for k in range(order):
+            hashes, counts = [], []
+            for i, x in enumerate(raw):
+                d, spots[i] = _unpack(x, spots[i])
+                n, spots[i] = _unpack(x, spots[i])
+                hashes.append(np.cumsum(d, dtype=np.uint64))
+                counts.append(n)
+            distinct, at = np.unique(np.concatenate(hashes), return_inverse=True)
+            total = np.bincount(at, np.concatenate(counts).astype(np.float64), len(distinct)).astype(np.uint64)
+            if k == 0:
+                stats[:] = total.sum(), (total > 0).sum(), (total == 1).sum(), (total == 2).sum()
+            own, end = total[at], 0
+            for i, x in enumerate(hashes):
+                blobs[i].append(_pack(own[end : end + len(x)]))
+                end += len(x)
+        first = np.zeros((4, len(raw)), np.int64)
+        first[:, 0] = stats
+        got = {"chunk": table["chunk"], "shard": table["shard"], "check": table["check"], "counts": pa.array([b"".join(x) for x in blobs], pa.binary())}
+        return pa.table(got | dict(zip(("tokens", "types", "once", "twice"), map(pa.array, first), strict=True)))
 
-def _shard_bounds(x: np.ndarray, shards: int, shift: int) -> np.ndarray:
-    """Shards are equal ranges of the sorted hashes."""
-    if shards == 1:
-        return np.array([0, len(x)])
-    lows = np.arange(1, shards, dtype=np.uint64) << _U(shift)
-    return np.concatenate(([0], np.searchsorted(x, lows), [len(x)]))
-
-
-def _answer(table: pa.Table) -> pa.Table:
-    """Adds the counts of a shard up and answers every chunk that asked."""
-    n = table.num_rows
-    out: list[list[bytes]] = []
-    stats = np.zeros(4, np.int64)
-    for hashes, counts in (("words", "word_counts"), ("pairs", "pair_counts")):
-        raw = table[hashes].to_pylist()
-        sizes = np.array([len(x) // 8 for x in raw])
-        h = np.frombuffer(b"".join(raw), np.uint64)
-        c = np.frombuffer(b"".join(table[counts].to_pylist()), np.int32)
-        distinct, at = np.unique(h, return_inverse=True)
-        total = np.bincount(at, c, len(distinct)).astype(np.int64)
-        if hashes == "words":
-            stats[:] = total.sum(), (total > 0).sum(), (total == 1).sum(), (total == 2).sum()
-        own, ends = total[at], np.cumsum(sizes)
-        out.append([own[e - s : e].tobytes() for s, e in zip(sizes, ends, strict=True)])
-    first = np.zeros((4, n), np.int64)
-    first[:, 0] = stats
-    return pa.table(
-        {"chunk": table["chunk"], "shard": table["shard"], "check": table["check"], "word_counts": pa.array(out[0], pa.binary()), "pair_counts": pa.array(out[1], pa.binary())}
-        | dict(zip(("tokens", "types", "once", "twice"), map(pa.array, first), strict=True))
-    )
+    return run
 
 
 class Weights:
-    """Arc weights from counts: the corpus constants of the automaton."""
+    """The corpus constants of the automaton."""
 
-    def __init__(self, tokens: int, types: int, once: int, twice: int, mu: float = MU):
+    def __init__(self, tokens: int, types: int, once: int, twice: int, mu: tuple[float, ...] = MU):
         self.tokens, self.types, self.mu = tokens, types, mu
         self.discount = min(0.95, max(0.05, once / (once + 2 * twice))) if once + twice else 0.5
 
@@ -140,38 +175,88 @@ class Weights:
         return np.log10((c + 1) / (self.tokens + self.types + 1))
 
     def unigram(self, c: np.ndarray) -> np.ndarray:
+        """The distribution of the empty state."""
         if not self.tokens:
             return np.ones(len(c))
         return np.where(c > 0, c - self.discount, self.discount * self.types) / self.tokens
 
-    def arcs(self, word: np.ndarray, context: np.ndarray, pair: np.ndarray) -> np.ndarray:
-        """log10 weight of each step, given the counts of the word, of its context and of the pair: the pair's arc,
-        or the failure arc and the word's arc in the empty context."""
-        p = self.unigram(word)
-        fail = np.log10(self.mu / (context + self.mu))
-        return np.where(pair > 0, np.log10((pair + self.mu * p) / (context + self.mu)), fail + np.log10(p))
 
+class Automaton:
+    """The states and arcs of the backoff automaton that a chunk's texts can use.
+
+    ``counts[k]`` counts the chunk's distinct n-grams of k + 1 tokens in training.  Seen n-grams are states, and arcs
+    from the state of all their tokens but the last: ``arc[k]`` are the weights of the arcs from states of k tokens,
+    ``seen[k]`` how often such a state occurs (0: it is none) and ``failure[k]`` the weight of its failure arc, each by
+    the n-gram that is read in it.
+    """
 
-def _traverse(weights: Weights):
+    def __init__(self, grams: Grams, counts: list[np.ndarray], weights: Weights):
+        self.grams, self.counts = grams, counts
+        starts = counts[0][np.searchsorted(grams.distinct[0], END)]  # every training text has one end and one start
+        p = weights.unigram(counts[0])
+        self.arc, self.seen, self.failure = [np.log10(p)], [None], [None]
+        for k in range(1, len(counts)):
+            there = np.flatnonzero(grams.at[k] >= 0)
+            gram, mu = grams.at[k][there], weights.mu[k - 1]
+            suffix, seen = np.zeros(len(counts[k]), np.int64), np.zeros(len(counts[k]))
+            suffix[gram] = grams.at[k - 1][there]
+            # the state before a token is the n-gram that ends at the token before, or the start
+            state = counts[k - 1][grams.at[k - 1][there - 1]].astype(np.float64)
+            if k == 1:
+                state[grams.place[there] == 0] = starts
+            seen[gram] = state
+            p = (counts[k] + mu * p[suffix]) / (seen + mu)
+            self.arc.append(np.log10(p))
+            self.seen.append(seen)
+            self.failure.append(np.log10(mu / (seen + mu)))
+
+    def traverse(self) -> np.ndarray:
+        """The weight of each token's step: failure arcs from the state that the tokens before lead to, until a state
+        has an arc for the token.  That state depends on the last tokens only, so all texts are traversed at once."""
+        out = np.zeros(len(self.grams.place))
+        going = np.ones(len(out), bool)
+        for k in range(len(self.counts) - 1, 0, -1):
+            rows = np.flatnonzero(going & (self.grams.at[k] >= 0))
+            gram = self.grams.at[k][rows]
+            state, arc = self.seen[k][gram] > 0, self.counts[k][gram] > 0
+            out[rows[arc]] += self.arc[k][gram[arc]]
+            going[rows[arc]] = False
+            fails = state & ~arc
+            out[rows[fails]] += self.failure[k][gram[fails]]
+        out[going] += self.arc[0][self.grams.at[0][going]]
+        return out
+
+
+_OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+
+
+def _traverse(weights: Weights, order: int):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         if not docs.num_rows:
-            return pa.table({"doc_id": pa.array([], pa.int64()), "held_out": pa.array([], pa.bool_()), "n_tokens": pa.array([], pa.int64()), "n_known": pa.array([], pa.int64()), "base_score": pa.array([], pa.float64()), "score": pa.array([], pa.float64())})
+            return _OUT.empty_table()
         docs = docs.sort_by("row").combine_chunks()
-        answers = answers.sort_by("shard").combine_chunks()
-        token, pair, bounds = _tokens(docs["text"])
-        words, word_at, pairs, pair_at = _needs(token, pair)
-        word = np.frombuffer(b"".join(answers["word_counts"].to_pylist()), np.int64)
-        pair_n = np.frombuffer(b"".join(answers["pair_counts"].to_pylist()), np.int64)
-        w_ends, p_ends = (np.cumsum([len(x) // 8 for x in answers[c].to_pylist()]) for c in ("word_counts", "pair_counts"))
-        same = len(word) == len(words) and len(pair_n) == len(pairs)
-        same = same and all(x == _check(words[a:b], pairs[d:e]) for x, a, b, d, e in zip(answers["check"].to_pylist(), [0, *w_ends[:-1]], w_ends, [0, *p_ends[:-1]], p_ends, strict=True))
-        if not same:
+        answers = answers.sort_by("shard")
+        token, bounds = _tokens(docs["text"])
+        grams = Grams(token, bounds, order)
+        counts: list[list[np.ndarray]] = [[] for _ in range(order)]
+        ends = [0] * order
+        for raw, check in zip(answers["counts"].to_pylist(), answers["check"].to_pylist(), strict=True):
+            spot, parts = 0, []
+            for k in range(order):
+                n, spot = _unpack(raw, spot)
+                counts[k].append(n)
+                parts.append(grams.distinct[k][ends[k] : ends[k] + len(n)])
+                ends[k] += len(n)
+            if check != _check(parts):
+                raise RuntimeError("the input's partitions changed between two readings")
+        if ends != [len(x) for x in grams.distinct]:
             raise RuntimeError("the input's partitions changed between two readings")
-        word, pair_c = word[word_at], pair_n[pair_at[:-1]]
-        context = np.concatenate(([0], word[:-1]))
-        context[bounds[:-1]] = pair_n[pair_at[-1]]
-        sums = [np.add.reduceat(x, bounds[:-1]) for x in (weights.base(word), weights.arcs(word, context, pair_c), (word > 0).astype(np.int64))]
-        return pa.table({"doc_id": docs["doc_id"], "held_out": docs["held_out"], "n_tokens": pa.array(np.diff(bounds)), "n_known": pa.array(sums[2]), "base_score": pa.array(sums[0]), "score": pa.array(sums[1])})
+        counts = [np.concatenate(x).astype(np.int64) for x in counts]
+        word = counts[0][grams.at[0]]
+        steps = Automaton(grams, counts, weights).traverse()
+        sums = [np.add.reduceat(x, bounds[:-1]) for x in (weights.base(word), steps, (word > 0).astype(np.int64))]
+        cols = [docs["doc_id"], docs["held_out"], pa.array(np.diff(bounds)), pa.array(sums[2]), pa.array(sums[0]), pa.array(sums[1])]
+        return pa.table(cols, schema=_OUT)
 
     return run
 
@@ -181,25 +266,32 @@ def _tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.full(c.num_rows, chunk)), pa.array(np.arange(c.num_rows)), *c.columns], names=["chunk", "row", *c.schema.names])
 
 
-def score(docs: DataFrame, mu: float = MU) -> DataFrame:
+def score(docs: DataFrame, order: int = ORDER, mu: tuple[float, ...] = MU, stable: bool = False) -> DataFrame:
     """Scores all rows of docs (doc_id, text, held_out), learning from those that are not held out.
 
-    docs is read twice and must give the same rows in the same partitions both times, as a table does; a change is
-    detected and fails the job.  Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.  A
-    null or empty text is the end token alone; repeated rows are scored each; with nothing to learn from, base_score
-    is 0 and score 0 for each token; an empty table gives an empty result.
+    The rows are read twice and must be the same in the same partitions both times; unless ``stable`` says that docs
+    reads a table as it stands, they are written to one first.  A change is detected and fails the job.  Returns doc_id,
+    held_out, n_tokens, n_known, train_tokens, base_score, score.  A null or empty text is the end token alone; repeated
+    rows are scored each; with nothing to learn from, base_score is 0 and score 0 for each token; an empty table gives an
+    empty result.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("held_out"), F.lit(True)).alias("held_out"), F.col("text").cast("string").alias("text"))
+    if not stable:
+        own = materialize(own, "texts")
+    size = own.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"]
     # a power of two, so that a shard is a range of leading bits
-    shards = 1 << max(2, (2 * shuffle_partitions(spark) - 1).bit_length())
-    asked = own.mapInArrow(_ask(shards), _REQUEST)
-    answers = materialize(asked.groupBy("shard").applyInArrow(_answer, _ANSWER), "answers")
+    shards = 1 << max(2, (2 * shuffle_partitions(spark) - 1).bit_length(), (size // SHARD_BYTES).bit_length())
+    asked = own.mapInArrow(_ask(shards, order), _REQUEST)
+    answers = materialize(asked.groupBy("shard").applyInArrow(_answer(order), _ANSWER), "answers")
+    del asked
+    release_shuffles(spark)
     n = answers.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "types", "once", "twice"))).first()
     weights = Weights(*n, mu)
     tagged = own.mapInArrow(_tag, "chunk long, row long, doc_id long, held_out boolean, text string")
     out = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
-    scored = tagged.groupBy("chunk").cogroup(answers.select("chunk", "shard", "check", "word_counts", "pair_counts").groupBy("chunk")).applyInArrow(_traverse(weights), out)
+    scored = tagged.groupBy("chunk").cogroup(answers.select("chunk", "shard", "check", "counts").groupBy("chunk")).applyInArrow(_traverse(weights, order), out)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(n["tokens"])).cast("long").alias("train_tokens"), "base_score", "score")
 
 
@@ -209,32 +301,4 @@ def held_out():
 
 
 def op10_lm_scoring(spark, sf_dir: str) -> DataFrame:
-    return score(spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("held_out", held_out()))
-
-
-class BackoffAutomaton:
-    """The same automaton in memory, walked arc by arc: for tests and small corpora."""
-
-    def __init__(self, train: list[list[str]], mu: float = MU):
-        from collections import Counter
-
-        seqs = [[*x, None] for x in train]
-        self.uni = Counter(t for s in seqs for t in s)
-        self.pair = Counter((a, b) for s in seqs for a, b in zip([START, *s[:-1]], s, strict=True))
-        self.starts = len(seqs)
-        n = Counter(self.uni.values())
-        self.weights = Weights(sum(self.uni.values()), len(self.uni), n[1], n[2], mu)
-
-    def score(self, words: list[str]) -> float:
-        import math
-
-        state, total, w = START, 0.0, self.weights
-        for t in [*words, None]:
-            c = self.starts if state is START else self.uni[state]
-            p = float(w.unigram(np.array([self.uni[t]]))[0])
-            if self.pair[state, t]:
-                total += math.log10((self.pair[state, t] + w.mu * p) / (c + w.mu))
-            else:
-                total += math.log10(w.mu / (c + w.mu)) + math.log10(p)
-            state = t
-        return total
+    return score(spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("held_out", held_out()), stable=True)
