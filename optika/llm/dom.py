@@ -1,7 +1,10 @@
 """A forgiving HTML reader: block-level nodes of a page and their features.
 
-Nodes come in page order, parents before children.  Block-level elements are nodes; a maximal run of text and
-inline elements is a text node below the element that holds it.
+Nodes come in page order, parents before children, so that the nodes below one follow it without a gap.  Block-level
+elements are nodes, as are table cells; a maximal run of text and inline elements is a text node below the element that
+holds it.  A table row whose cells hold short inline text only is one text, its cells separated by blanks.
+
+Reading and features take time in proportion to the page, however deep it is or wrong its tags are.
 """
 
 from __future__ import annotations
@@ -12,7 +15,7 @@ import re
 import numpy as np
 
 BLOCK = frozenset(
-    "html body article section main div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr blockquote pre figure figcaption header footer nav aside form fieldset "
+    "html body article section main div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbody tfoot tr td th blockquote pre figure figcaption header footer nav aside form fieldset "
     "address details summary hr center dialog menu search hgroup legend noscript iframe".split()
 )
 SILENT = frozenset("script style template svg head title noscript iframe object canvas audio video select textarea datalist".split())
@@ -22,10 +25,14 @@ VOID = frozenset("area base br col embed hr img input link meta source track wbr
 #: An opening tag ends these open elements first (up to a containing block of the second set).
 CLOSES = {
     **dict.fromkeys(BLOCK - {"html", "body"}, frozenset(["p"])),
-    "li": frozenset(["li", "p"]), "dt": frozenset(["dt", "dd", "p"]), "dd": frozenset(["dt", "dd", "p"]), "tr": frozenset(["tr", "p"]),
+    "li": frozenset(["li", "p"]), "dt": frozenset(["dt", "dd", "p"]), "dd": frozenset(["dt", "dd", "p"]), "tr": frozenset(["tr", "td", "th", "p"]),
+    **dict.fromkeys(("td", "th"), frozenset(["td", "th", "p"])), **dict.fromkeys(("thead", "tbody", "tfoot"), frozenset(["thead", "tbody", "tfoot", "tr", "td", "th", "p"])),
 }
 FENCE = frozenset("ul ol dl table body article section main div aside nav form header footer blockquote td th".split())
-TAGS = "text p div li ul ol h1 h2 h3 h4 h5 h6 article main section nav aside header footer form table tr blockquote pre figure figcaption dl dt dd body html".split()
+_CELLS = frozenset("tr td th thead tbody tfoot caption table".split())
+#: Characters up to which a row of inline cells is one text.
+ROW_CHARS = 400
+TAGS = "text p div li ul ol h1 h2 h3 h4 h5 h6 article main section nav aside header footer form table tr td blockquote pre figure figcaption dl dt dd body html".split()
 _TAG_ID = {t: i for i, t in enumerate(TAGS)}
 #: Groups of attribute tokens.
 TOKENS = (
@@ -48,24 +55,88 @@ _END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in RAW}
 _MARKS = {t: re.compile(rf"<!--.*?(?:-->|\Z)|<(script|style)(?=[\s/>])[^>]*>|<(/?)({t})(?=[\s/>])[^>]*>", re.I | re.S) for t in SILENT - RAW - {"head"}}
 
 
+#: Texts of at most this many characters are searched for the words of TOKENS: headings and labels, not prose.
+SHORT = 40
+
+
 class Page:
     """Columns of a page's nodes."""
 
-    __slots__ = ("parent", "tag", "groups", "chars", "link_chars", "words", "stops", "texts", "inline")
+    __slots__ = ("parent", "depth", "end", "tag", "groups", "above", "says", "chars", "link_chars", "words", "stops", "texts", "inline")
 
     def __init__(self):
-        self.parent, self.tag, self.groups, self.chars, self.link_chars, self.words, self.stops, self.inline = [], [], [], [], [], [], [], []
-        self.texts: list[str | None] = []
+        for c in self.__slots__:
+            setattr(self, c, [])
 
     def add(self, parent: int, tag: str, groups: int) -> int:
         self.parent.append(parent)
-        self.tag.append(_TAG_ID.get(tag, _TAG_ID["div"]))
+        self.depth.append(self.depth[parent] + 1 if parent >= 0 else 0)
+        self.end.append(0)
+        self.tag.append(_TAG_ID.get("td" if tag == "th" else tag, _TAG_ID["div"]))
         self.groups.append(groups)
-        for c in (self.chars, self.link_chars, self.words, self.stops, self.inline):
+        self.above.append(self.above[parent] | self.groups[parent] if parent >= 0 else 0)
+        for c in (self.says, self.chars, self.link_chars, self.words, self.stops, self.inline):
             c.append(0)
         self.texts.append(None)
         return len(self.parent) - 1
 
+    def write(self, i: int, text: str, linked: int, tags: int) -> None:
+        self.texts[i] = text
+        self.chars[i] = len(text)
+        self.link_chars[i] = min(linked, len(text))
+        self.words[i] = text.count(" ") + 1
+        self.stops[i] = text.count(".") + text.count("!") + text.count("?") + text.count(",") + text.count("。")
+        self.inline[i] = tags
+        if len(text) <= SHORT:
+            self.says[i] = _words(text)
+
+    def keep(self, nodes: list[int]) -> None:
+        """Leaves only ``nodes``, in page order; a kept node's parents are kept."""
+        new = {old: i for i, old in enumerate(nodes)}
+        upto, n = [0] * (len(self.parent) + 1), 0
+        for i in range(len(self.parent)):
+            n += i in new
+            upto[i + 1] = n
+        self.end = [upto[self.end[i]] for i in nodes]
+        self.parent = [new.get(self.parent[i], -1) for i in nodes]
+        for c in self.__slots__:
+            if c not in ("end", "parent"):
+                col = getattr(self, c)
+                setattr(self, c, [col[i] for i in nodes])
+
+
+def _words(text: str) -> int:
+    """The groups of TOKENS that a short text names."""
+    out = 0
+    for w in _SPLIT.split(text.lower()):
+        g = _GROUP.get(w)
+        if g is not None:
+            out |= 1 << g
+    return out
+
+
+def _join_rows(page: Page) -> None:
+    """Makes the cells of each row that holds short inline texts only one text below the row."""
+    row, cell, text = _TAG_ID["tr"], _TAG_ID["td"], _TAG_ID["text"]
+    gone: set[int] = set()
+    for r in (i for i, t in enumerate(page.tag) if t == row):
+        nodes = range(r + 1, page.end[r])
+        if len(nodes) > 2 * ROW_CHARS:
+            continue
+        cells = [i for i in nodes if page.parent[i] == r]
+        texts = [i for i in nodes if page.tag[i] == text]
+        if len(nodes) != len(cells) + len(texts) or any(page.tag[i] != cell for i in cells) or any(page.end[i] > i + 2 for i in cells):
+            continue
+        if not texts or sum(page.chars[i] for i in texts) > ROW_CHARS:
+            continue
+        first = texts[0]
+        page.write(first, " ".join(page.texts[i] for i in texts), sum(page.link_chars[i] for i in texts), sum(page.inline[i] for i in texts))
+        page.parent[first], page.depth[first], page.end[first] = r, page.depth[r] + 1, first + 1
+        page.above[first] = page.above[r] | page.groups[r]
+        gone.update(cells, texts[1:])
+    if gone:
+        page.keep([i for i in range(len(page.parent)) if i not in gone])
+
 
 def _groups(attrs: str) -> int:
     out = 0
@@ -118,21 +189,49 @@ def read(source: str | None) -> Page:
             text.clear()
             if t:
                 i = page.add(stack[-1][1], "text", 0)
-                page.texts[i] = t
-                page.chars[i] = len(t)
-                page.link_chars[i] = min(linked, len(t))
-                page.words[i] = t.count(" ") + 1
-                page.stops[i] = t.count(".") + t.count("!") + t.count("?") + t.count(",") + t.count("。")
-                page.inline[i] = tags
+                page.write(i, t, linked, tags)
+                page.end[i] = i + 1
         linked = tags = 0
 
-    def pop(names: frozenset) -> None:
+    # how many elements of a name are on the stack: in all, and since the last cell began, which most end tags cannot leave
+    opened: dict[str, int] = {}
+    scopes: list[dict[str, int]] = [{}]
+
+    def push(name: str, i: int) -> None:
+        stack.append((name, i))
+        opened[name] = opened.get(name, 0) + 1
+        scopes[-1][name] = scopes[-1].get(name, 0) + 1
+        if name in ("td", "th"):
+            scopes.append({})
+
+    def cut(k: int) -> None:
+        """Ends the elements from place k of the stack on."""
+        for name, i in reversed(stack[k:]):
+            if name in ("td", "th"):
+                scopes.pop()
+            if i:
+                opened[name] -= 1
+                scopes[-1][name] -= 1
+            page.end[i] = len(page.parent)
+        del stack[k:]
+
+    def pop(name: str) -> None:
+        """Ends what an opening tag ends, up to a fence: the innermost such element; of cells and rows the outermost
+        in the table."""
+        names, cell = CLOSES[name], name in _CELLS
+        here = opened if cell else scopes[-1]
+        if not any(here.get(x) for x in names):
+            return
+        last = None
         for k in range(len(stack) - 1, 0, -1):
             if stack[k][0] in names:
-                del stack[k:]
-                return
-            if stack[k][0] in FENCE:
-                return
+                last = k
+                if not cell:
+                    break
+            elif stack[k][0] in FENCE and not (cell and stack[k][0] != "table"):
+                break
+        if last is not None:
+            cut(last)
 
     at, n = 0, len(source)
     while at < n:
@@ -163,37 +262,53 @@ def read(source: str | None) -> Page:
             continue
         if name == "a":
             link = 0 if closing else 1
-        if name in ("br", "td", "th"):
+        if name == "br":
             text.append(" ")
         if name not in BLOCK:
             tags += 1
             continue
+        if closing and name != "p" and not (opened if name in _CELLS else scopes[-1]).get(name):
+            continue  # it ends nothing, nor the text around it
         flush()
         if closing:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    break
+            if scopes[-1].get(name) or (name in _CELLS and opened.get(name)):
+                cut(next(k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == name))
         else:
             if name in CLOSES:
-                pop(CLOSES[name])
-            if name in ("html", "body") and any(t == name for t, _ in stack):
+                pop(name)
+            if name == "html" or name == "body" and opened.get(name):
                 continue
             i = page.add(stack[-1][1], name, _groups(m[3] or m[6] or ""))
-            if name not in VOID:
-                stack.append((name, i))
+            if name in VOID:
+                page.end[i] = i + 1
+            else:
+                push(name, i)
         link = 0
     flush()
+    cut(0)
+    if _TAG_ID["tr"] in page.tag:
+        _join_rows(page)
     return page
 
 
+def heading_like(tag: np.ndarray) -> np.ndarray:
+    return np.isin(tag, [_TAG_ID[f"h{i}"] for i in range(1, 7)])
+
+
 FEATURES = [
     "tag", "parent_tag", "grand_tag", "depth", "chars", "words", "stop_rate", "link_rate", "sub_chars", "sub_blocks", "sub_nodes", "sub_link_rate", "sub_words_block", "density", "share",
     "siblings", "place", "from_end", "prev_chars", "next_chars", "prev_link", "next_link", "page_place", "parent_sub_chars", "parent_link_rate", "inline_rate", "kin", "heading_before",
-    *(f"own_{i}" for i in range(len(TOKENS))), *(f"above_{i}" for i in range(len(TOKENS))),
+    *(f"own_{i}" for i in range(len(TOKENS))), *(f"above_{i}" for i in range(len(TOKENS))), *(f"says_{i}" for i in range(len(TOKENS))), *(f"parent_says_{i}" for i in range(len(TOKENS))),
+    "page_chars", "prev_sub_words", "next_sub_words",
 ]
 
 
+def levels(depth: np.ndarray) -> list[np.ndarray]:
+    """The nodes of each depth."""
+    order = np.argsort(depth, kind="stable")
+    return np.split(order, np.flatnonzero(np.diff(depth[order])) + 1) if len(depth) else []
+
+
 def features(pages: list[Page]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Features of all nodes, their parents as row numbers (-1: none), and their depths."""
     sizes = [len(p.parent) for p in pages]
@@ -204,26 +319,12 @@ def features(pages: list[Page]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     own_page = np.repeat(np.arange(len(pages)), sizes)
     parent = np.where(parent >= 0, parent + base[own_page], -1)
     tag, groups, chars, links, words, stops, inline = (cat(k) for k in ("tag", "groups", "chars", "link_chars", "words", "stops", "inline"))
-    depth = np.zeros(n, np.int64)
-    alive = np.flatnonzero(parent >= 0)
-    level = np.flatnonzero(parent < 0)
-    order: list[np.ndarray] = [level]
-    is_level = np.zeros(n, bool)
-    while len(alive):
-        is_level[:] = False
-        is_level[order[-1]] = True
-        hit = is_level[parent[alive]]
-        if not hit.any():
-            break
-        depth[alive[hit]] = len(order)
-        order.append(alive[hit])
-        alive = alive[~hit]
-    sub = np.stack([chars, links, words, (tag == 0).astype(np.int64), np.ones(n, np.int64)], 1)
-    above = groups.copy()
-    for at in order[1:]:
-        above[at] |= above[parent[at]]
-    for at in reversed(order[1:]):
-        np.add.at(sub, parent[at], sub[at])
+    depth, above, says = (cat(k) for k in ("depth", "above", "says"))
+    end = cat("end") + base[own_page]
+    # the nodes below a node follow it, so their sums are differences of running sums
+    run = np.zeros((n + 1, 5), np.int64)
+    np.cumsum(np.stack([chars, links, words, (tag == 0).astype(np.int64), np.ones(n, np.int64)], 1), axis=0, out=run[1:])
+    sub = run[end] - run[:-1]
     up = np.maximum(parent, 0)
     total = sub[base[:-1][np.array(sizes) > 0]] if n else sub
     page_row = np.cumsum(np.array(sizes) > 0) - 1
@@ -241,13 +342,22 @@ def features(pages: list[Page]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     rate = lambda a, b: a / np.maximum(b, 1)
     of = lambda x, i: np.where(i >= 0, x[np.maximum(i, 0)], -1)
     sub_link = rate(sub[:, 1], sub[:, 0])
-    heading = np.isin(tag, [_TAG_ID[f"h{i}"] for i in range(1, 7)])
+    # what a node says: a text its own words; an element those of the texts among its first few nodes
+    said = says.copy()
+    for ahead in range(1, 4):
+        at = np.arange(n) + ahead
+        inside = at < end
+        said[inside] |= says[at[inside]]
+    said[prev >= 0] |= np.where(heading_like(tag)[prev[prev >= 0]], said[prev[prev >= 0]], 0)
+    near = np.where(parent >= 0, said[up], 0) | np.where(parent[up] >= 0, said[np.maximum(parent[up], 0)], 0)
+    heading = heading_like(tag)
     key = np.where(parent >= 0, parent, -1 - own_page) * len(TAGS) + tag
     _, at, cnt = np.unique(key, return_inverse=True, return_counts=True)
     cols = [
-        tag, of(tag, parent), of(of(parent, parent), np.arange(n)) * 0 + of(tag, of(parent, parent)), depth, chars, words, rate(stops, words), rate(links, chars), sub[:, 0], sub[:, 3], sub[:, 4], sub_link,
+        tag, of(tag, parent), of(tag, of(parent, parent)), depth, chars, words, rate(stops, words), rate(links, chars), sub[:, 0], sub[:, 3], sub[:, 4], sub_link,
         rate(sub[:, 2], sub[:, 3]), rate(sub[:, 0], sub[:, 4]), rate(sub[:, 0], total[:, 0]), of(kids, parent), rank, of(kids, parent) - rank, of(sub[:, 0], prev), of(sub[:, 0], nxt), of(sub_link, prev), of(sub_link, nxt),
         rate(np.arange(n) - base[own_page], np.array(sizes)[own_page]), sub[up, 0], sub_link[up], rate(inline, words), cnt[at], of(heading.astype(np.int64), prev),
-        *((groups >> i) & 1 for i in range(len(TOKENS))), *(((above & ~groups) >> i) & 1 for i in range(len(TOKENS))),
+        *((groups >> i) & 1 for i in range(len(TOKENS))), *(((above & ~groups) >> i) & 1 for i in range(len(TOKENS))), *((said >> i) & 1 for i in range(len(TOKENS))), *((near >> i) & 1 for i in range(len(TOKENS))),
+        total[:, 0] if n else chars, of(rate(sub[:, 2], sub[:, 3]), prev), of(rate(sub[:, 2], sub[:, 3]), nxt),
     ]
     return np.stack(cols, 1).astype(np.float32) if n else np.zeros((0, len(FEATURES)), np.float32), parent, depth
