@@ -1,9 +1,7 @@
 import re
 
 import corpus_pipeline as c
-from optika.llm import substring_dedup
-
-from .test_operators_llm import near_brute
+from .test_operators_llm import check_packing, near_brute, repeats_brute
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -17,7 +15,7 @@ def test_stages_against_brute_force(spark, sf_dir):
     comp = near_brute([(r.doc_id, r.text) for r in kept.collect()])
     assert sorted(r.doc_id for r in near.collect()) == sorted(i for i, (_, k) in comp.items() if k == i)
     cut = c.drop_repeated_passages(spark, near, sf_dir)
-    want = substring_dedup.brute_force({r.doc_id: r.text for r in near.collect()})
+    want = {i: v for (i, _), v in repeats_brute([(r.doc_id, r.text) for r in near.collect()]).items()}
     before = {r.doc_id: r.text for r in near.collect()}
     for r in cut.collect():
         assert len(WORD.findall(r.text)) == want[r.doc_id][0] - want[r.doc_id][1]
@@ -26,6 +24,8 @@ def test_stages_against_brute_force(spark, sf_dir):
     assert mixed.columns == c.COLUMNS and abs(sum(len(WORD.findall(r.text)) for r in mixed.collect()) - sum(len(WORD.findall(r.text)) for r in cut.collect())) <= cut.select("source").distinct().count()
     packed = c.pack_sequences(spark, mixed, sf_dir)
     assert packed.where("start = 0").count() == mixed.count()
+    once = mixed.dropDuplicates(["doc_id"])
+    check_packing(c.pack_sequences(spark, once, sf_dir).collect(), {r.doc_id: r.text for r in once.collect()})
 
 
 def test_hard_rows_pass_every_stage(spark, hard_documents, empty_documents):
