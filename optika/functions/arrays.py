@@ -15,6 +15,11 @@ def unit_sum(p: Column) -> Column:
     return F.transform(p, lambda x: F.try_divide(x, total(p)))
 
 
+def unit_sum_or_fail(p: Column) -> Column:
+    """The vector scaled to sum 1; a vector without positive mass fails the job."""
+    return F.when(total(p) > 0, unit_sum(p)).otherwise(F.raise_error(F.lit("a probability vector has no mass")))
+
+
 def entropy(p: Column) -> Column:
     """Entropy in nats over the positive components."""
     return F.aggregate(p, F.lit(0.0), lambda a, x: a + F.when(x > 0, -x * F.ln(x)).otherwise(0.0))
@@ -34,6 +39,19 @@ def softmax(logits: Column, temperature: float = 1.0) -> Column:
     return unit_sum(F.transform(logits, lambda x: F.exp((x - top) / F.lit(temperature))))
 
 
+def log_softmax(logits: Column, temperature: float = 1.0) -> Column:
+    z = F.transform(logits, lambda x: (x - F.array_max(logits)) / F.lit(temperature))
+    return F.transform(z, lambda x: x - F.ln(total(F.transform(z, F.exp))))
+
+
+def keyed(p: Column, lower: bool = False) -> Column:
+    """A vector as a map by letter key: a, b, ... or A, B, ..."""
+    from optika.functions.text import letter
+
+    key = (lambda i: F.lower(letter(i))) if lower else letter
+    return F.map_from_arrays(F.transform(p, lambda _, i: key(i)), p)
+
+
 def first_max(p: Column) -> Column:
     """The position of the first maximum."""
     return (F.array_position(p, F.array_max(p)) - 1).cast("int")
@@ -80,3 +98,31 @@ def request_options(choices: Column) -> Column:
     from optika.functions.text import letter
 
     return F.map_from_arrays(F.transform(choices, lambda _, i: letter(i)), choices)
+
+
+def letter_keys(k: Column | int, lower: bool = False) -> Column:
+    """The first k option keys."""
+    letters = F.array(*(F.lit(x) for x in ("abcdefghijklmnopqrstuvwxyz" if lower else "ABCDEFGHIJKLMNOPQRSTUVWXYZ")))
+    return F.slice(letters, F.lit(1), F.lit(k) if isinstance(k, int) else k)
+
+
+def complete_probabilities(m: Column, k: Column | int, tolerance: float = 0.02, lower: bool = False) -> Column:
+    """Whether a keyed map has exactly the first k keys and valid probabilities."""
+    keys = letter_keys(k, lower)
+    return F.coalesce((F.array_sort(F.map_keys(m)) == keys) & valid_probabilities(F.map_values(m), tolerance), F.lit(False))
+
+
+def valid_teacher(m: Column, tolerance: float = 1e-4) -> Column:
+    """Whether a map holds a distribution: not empty, finite, nothing negative, sum 1 within the tolerance."""
+    v = F.map_values(m)
+    fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")) & (x >= 0))
+    return F.coalesce((F.size(v) > 0) & fine & (F.abs(total(v) - 1) <= tolerance), F.lit(False))
+
+
+def subset(a: Column, b: Column) -> Column:
+    """Whether all elements of a are in b."""
+    return F.size(F.array_except(a, b)) == 0
+
+
+def disjoint(a: Column, b: Column) -> Column:
+    return ~F.arrays_overlap(a, b)

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import html
+from html.parser import HTMLParser
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
 #: Blank characters as Python's str.split sees them (Unicode blanks and the four separators).
 BLANK = r"(?U)[\s\x1c-\x1f\x85]+"
@@ -14,10 +19,21 @@ def trim_blanks(x: Column) -> Column:
     return F.regexp_replace(x, r"(?U)^[\s\x1c-\x1f\x85]+|[\s\x1c-\x1f\x85]+$", "")
 
 
+#: What case folding makes of characters that lower case leaves, by Python's own tables.
+FOLDS = {c: c.casefold() for i in range(0x110000) if not 0xD800 <= i < 0xE000 for c in chr(i).lower() if c.casefold() != c}
+
+
+def casefold(x: Column) -> Column:
+    """Case folding: lower case, and for texts that hold a character that folds further that character's folding."""
+    low = F.lower(x)
+    folds = F.map_from_arrays(F.array(*map(F.lit, FOLDS)), F.array(*map(F.lit, FOLDS.values())))
+    letters = F.transform(F.split(low, ""), lambda c: F.coalesce(F.try_element_at(folds, c), c))
+    return F.when(low.rlike("[" + "".join(FOLDS) + "]"), F.array_join(letters, "")).otherwise(low)
+
+
 def normalized(x: Column) -> Column:
-    """Blanks collapsed to one space, trimmed, case-folded (lower case, with the two letters that lower leaves)."""
-    folded = F.lower(F.trim(F.regexp_replace(x, BLANK, " ")))
-    return F.replace(F.replace(folded, F.lit("ß"), F.lit("ss")), F.lit("ς"), F.lit("σ"))
+    """Blanks collapsed to one space, trimmed, case-folded."""
+    return casefold(F.trim(F.regexp_replace(x, BLANK, " ")))
 
 
 def or_else(*xs: Column) -> Column:
@@ -30,13 +46,74 @@ def template(fmt: str, *xs: Column) -> Column:
     return F.format_string(fmt, *(F.coalesce(x.cast("string"), F.lit("")) for x in xs))
 
 
+def _unescape(xs: pd.Series) -> pd.Series:
+    return xs.map(lambda x: html.unescape(x) if isinstance(x, str) and "&" in x else x)
+
+
+def unescape(x: Column) -> Column:
+    """All HTML references decoded, once."""
+    return F.pandas_udf(_unescape, "string")(x)
+
+
 def clean_html(x: Column) -> Column:
-    """Line breaks for <br>, tags dropped, the common references decoded, blanks collapsed, trimmed."""
-    x = F.regexp_replace(x, r"(?i)<br\s*/?>", "\n")
+    """References decoded, line breaks for <br>, tags dropped, blanks and tabs collapsed, trimmed; null counts as empty."""
+    x = unescape(F.coalesce(x, F.lit("")))
+    x = F.regexp_replace(x, r"(?iU)<br\s*/?>", "\n")
     x = F.regexp_replace(x, r"<[^>]+>", " ")
-    for ref, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        x = F.replace(x, F.lit(ref), F.lit(char))
-    return F.trim(F.regexp_replace(x, r"[ \t]+", " "))
+    return trim_blanks(F.regexp_replace(x, r"[ \t]+", " "))
+
+
+class _Strings(HTMLParser):
+    """The strings of a page between its tags and comments, without scripts, styles and templates."""
+
+    SILENT = ("script", "style", "template")
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.strings, self.silent, self.held = [], 0, []
+
+    def cut(self) -> None:
+        if s := "".join(self.held):
+            if not s.strip("\t\n\x0c\r "):
+                s = "\n" if "\n" in s else " "
+            self.strings.append(s)
+        self.held.clear()
+
+    def handle_starttag(self, tag, attrs):
+        self.cut()
+        self.silent += tag in self.SILENT
+
+    def handle_startendtag(self, tag, attrs):
+        self.cut()
+
+    def handle_endtag(self, tag):
+        self.cut()
+        self.silent -= tag in self.SILENT and self.silent > 0
+
+    def handle_comment(self, data):
+        self.cut()
+
+    handle_decl = handle_pi = unknown_decl = handle_comment
+
+    def handle_data(self, data):
+        if not self.silent:
+            self.held.append(data)
+
+
+def _page_text(xs: pd.Series) -> pd.Series:
+    def one(x):
+        p = _Strings()
+        p.feed(x if isinstance(x, str) else "")
+        p.close()
+        p.cut()
+        return html.unescape(" ".join(p.strings)).strip()
+
+    return xs.map(one).astype(object)
+
+
+def page_text(x: Column) -> Column:
+    """A page's strings joined by spaces, references decoded, trimmed; null counts as empty."""
+    return F.pandas_udf(_page_text, "string")(x)
 
 
 def level_index(x: Column) -> Column:
@@ -68,8 +145,8 @@ def normalized_sha(x: Column) -> Column:
 
 
 def hash_rank(seed: int, *parts: Column) -> Column:
-    """A sampling rank: SHA-256 of the seed and parts joined by the unit separator."""
-    return F.sha2(F.concat_ws("\x1f", F.lit(str(seed)), *(p.cast("string") for p in parts)), 256)
+    """A sampling rank: SHA-256 of the seed and parts joined by the unit separator; a null part is written None."""
+    return F.sha2(F.concat_ws("\x1f", F.lit(str(seed)), *(F.coalesce(p.cast("string"), F.lit("None")) for p in parts)), 256)
 
 
 def content_signature(source: Column, question: Column, context: Column, choices: Column) -> Column:
@@ -82,13 +159,48 @@ def cell_key(*parts: Column) -> Column:
     return F.to_json(F.array(*parts))
 
 
-def canonical_json(*cols: str) -> Column:
-    """Canonical JSON of columns: sorted keys, compact, nulls kept."""
-    return F.to_json(F.struct(*sorted(cols)), {"ignoreNullFields": "false"})
+def _sorted(x: Column, kind: DataType) -> Column:
+    """The same value with the keys of all its objects sorted."""
+    if isinstance(kind, StructType):
+        fields = sorted(kind.fields, key=lambda f: f.name)
+        return F.when(x.isNotNull(), F.struct(*(_sorted(x.getField(f.name), f.dataType).alias(f.name) for f in fields)))
+    if isinstance(kind, ArrayType):
+        return F.transform(x, lambda e: _sorted(e, kind.elementType))
+    if isinstance(kind, MapType):
+        entries = F.array_sort(F.transform(F.map_entries(x), lambda e: F.struct(e["key"].alias("key"), _sorted(e["value"], kind.valueType).alias("value"))), lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0))
+        return F.map_from_entries(entries)
+    return x
+
+
+def canonical_json(df: DataFrame, *cols: str) -> Column:
+    """Canonical JSON of columns of df: keys sorted at every depth, compact, nulls kept."""
+    kind = StructType([df.schema[c] for c in cols or df.columns])
+    return F.to_json(F.struct(*(_sorted(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in sorted(kind.fields, key=lambda f: f.name))), {"ignoreNullFields": "false"})
+
+
+def canonical_sha(df: DataFrame, *cols: str) -> Column:
+    return F.sha2(canonical_json(df, *cols), 256)
+
+
+def question_context_sha(question: Column, context: Column) -> Column:
+    """SHA-256 of the question, a zero character and the context."""
+    return F.sha2(F.concat(question, F.lit("\0"), context), 256)
+
+
+def suffix(path: Column) -> Column:
+    """The last extension of a path's last part, with its dot; empty if there is none."""
+    return F.regexp_extract(path, r"[^/](\.[^./]+)/*$", 1)
+
+
+def stem(path: Column) -> Column:
+    """A path's last part without its last extension."""
+    return F.regexp_extract(path, r"([^/]+?)(?:(?<=[^/])\.[^./]+)?/*$", 1)
 
 
-def canonical_sha(*cols: str) -> Column:
-    return F.sha2(canonical_json(*cols), 256)
+def relative_to(path: Column, root: str) -> Column:
+    """The path below a root; null if it is not below it."""
+    root = root.rstrip("/") + "/"
+    return F.when(path.startswith(root), F.substr(path, F.lit(len(root) + 1)))
 
 
 def integer_seed(x: Column) -> Column:

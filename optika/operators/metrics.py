@@ -34,7 +34,11 @@ def _sums() -> list[Column]:
 
 def by_group(df: DataFrame, keys: list[str], k: int, ordinal: bool = True) -> DataFrame:
     """Hard metrics of (gold, pred) per group."""
-    agg = df.groupBy(*keys).agg(*_sums(), _counts("gold", k).alias("gc"), _counts("pred", k).alias("pc"))
+    return finish(two_phase_sums(df, keys, k), keys, k, ordinal)
+
+
+def finish(agg: DataFrame, keys: list[str], k: int, ordinal: bool = True) -> DataFrame:
+    """Metrics from the state."""
     agg = agg.withColumn("p", _shares(F.col("pc"))).withColumn("q", _shares(F.col("gc")))
     agg = agg.withColumn("hp", A.entropy(F.col("p"))).withColumn("hq", A.entropy(F.col("q")))
     r = F.exp("hp") / F.exp("hq")
@@ -79,6 +83,26 @@ def confusion(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys, "gold", "pred").agg(F.count("*").alias("n"))
 
 
+def confusion_with_sums(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Cells with the sums of their row (gold) and column (pred)."""
+    cells = confusion(df, keys)
+    rows = cells.groupBy(*keys, "gold").agg(F.sum("n").alias("row_sum"))
+    columns = cells.groupBy(*keys, "pred").agg(F.sum("n").alias("column_sum"))
+    return cells.join(rows, [*keys, "gold"]).join(columns, [*keys, "pred"])
+
+
+def two_phase_sums(df: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """The mergeable state of hard metrics: counts and integer sums.  States of parts are merged by ``merge_sums``."""
+    return df.groupBy(*keys).agg(*_sums(), _counts("gold", k).alias("gc"), _counts("pred", k).alias("pc"))
+
+
+def merge_sums(states: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """States of parts of the data added up, group by group."""
+    plain = [c for c in states.columns if c not in (*keys, "gc", "pc")]
+    arrays = [F.array(*(F.sum(F.get(c, F.lit(j))) for j in range(k))).alias(c) for c in ("gc", "pc")]
+    return states.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in plain), *arrays)
+
+
 def qwk_variants(df: DataFrame, keys: list[str]) -> DataFrame:
     """Three published conventions: null, or 1, for a zero denominator; and labels compacted to the observed ones."""
     cells = confusion(df, keys)

@@ -34,3 +34,24 @@ def zip_mismatches(left: DataFrame, right: DataFrame, ordinal: str, key: str) ->
     """Positions at which two ordered tables differ in key or length."""
     a, b = left.select(ordinal, F.col(key).alias("left_key")), right.select(ordinal, F.col(key).alias("right_key"))
     return a.join(b, ordinal, "full").where(~F.col("left_key").eqNullSafe(F.col("right_key")))
+
+
+def metric_changes(pairs: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """All metrics of the complete cases before and after, and their differences; null where either is null."""
+    from optika.operators import metrics
+
+    ok = pairs.where("excluded IS NULL")
+    sides = ok.select(*keys, "gold", F.explode(F.array(F.struct(F.lit("before").alias("phase"), F.col("pred_before").alias("pred")), F.struct(F.lit("after").alias("phase"), F.col("pred_after").alias("pred")))).alias("x")).select(*keys, "gold", "x.*")
+    detail = metrics.by_group(sides, [*keys, "phase"], k)
+    names = [c for c in detail.columns if c not in (*keys, "phase", "n")]
+    pick = lambda c, phase: F.max(F.when(F.col("phase") == phase, F.col(c)))
+    out = detail.groupBy(*keys).agg(F.max("n").alias("n"), *(pick(c, p).alias(f"{c}_{p}") for c in names for p in ("before", "after")))
+    return out.select(*keys, "n", *(x for c in names for x in (f"{c}_before", f"{c}_after", F.round(F.col(f"{c}_after") - F.col(f"{c}_before"), 6).alias(f"{c}_delta"))))
+
+
+def inconsistent(before: DataFrame, after: DataFrame, index: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """Items whose answers disagree with the index, or with each other, in a field that all three hold."""
+    a, b, i = (df.select(key, *(F.col(f).alias(f"_{t}_{f}") for f in fields)) for df, t in ((before, "b"), (after, "a"), (index, "i")))
+    j = i.join(a, key).join(b, key)
+    bad = F.filter(F.array(*(F.when(~F.col(f"_b_{f}").eqNullSafe(F.col(f"_i_{f}")) | ~F.col(f"_a_{f}").eqNullSafe(F.col(f"_i_{f}")), F.lit(f)) for f in fields)), lambda x: x.isNotNull())
+    return j.select(key, F.explode(bad).alias("field"))

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from optika.functions import text as T
-
-#: The allocation works on one row per cell; more cells than this are refused.
-MOST_CELLS = 100_000
+from optika.operators.ranking import place_by_hash
 
 
 def lowest_rank_copy(df: DataFrame, signature: str, rank: str, key: str) -> DataFrame:
@@ -32,81 +31,127 @@ def unique_contexts(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.join(once, keys, "left_semi")
 
 
-def capped_allocation(available: dict[str, int], wanted: int) -> dict[str, int]:
-    """Deals ``wanted`` units to the cells in turn, sorted by name, none beyond what a cell has.
+def label_of(df: DataFrame) -> Column:
+    """What a conflict is judged by: the label's text, else its position, else a plain label."""
+    have = [F.to_json(F.struct(F.col(c).alias("v"))) for c in ("gold_label_text", "gold_position", "label") if c in df.columns]
+    present = [F.when(F.col(c).isNotNull(), j) for c, j in zip((c for c in ("gold_label_text", "gold_position", "label") if c in df.columns), have, strict=True)]
+    return F.coalesce(*present, F.lit("null"))
+
+
+def candidate_pool(df: DataFrame, seed: int) -> DataFrame:
+    """The pool that a sample is drawn from (sample_id, source, question, context, choices, stratum, a label): one row of
+    each content, that of the lowest hash rank, with its signature and rank.
+
+    Fails where a sample_id repeats or rows of equal content carry different labels."""
+    for name, bad in (("duplicate sample_id", duplicate_keys(df, "sample_id")),):
+        if rows := bad.limit(1).collect():
+            raise ValueError(f"{name}: {rows[0][0]}")
+    signed = df.withColumn("signature", T.content_signature(F.col("source"), F.col("question"), F.col("context"), F.col("choices")))
+    signed = signed.withColumn("rank", T.hash_rank(seed, F.col("source"), F.col("stratum"), F.col("sample_id")))
+    clash = conflicts(signed.withColumn("_label", label_of(df)), "signature", "_label")
+    if rows := clash.orderBy("signature").limit(1).collect():
+        raise ValueError(f"conflicting labels in {clash.count()} groups of equal content, first {rows[0]['signature']}")
+    return lowest_rank_copy(signed, "signature", "rank", "sample_id")
+
+
+def capped_allocation(available: dict, wanted: int) -> dict:
+    """Deals ``wanted`` units to the cells in turn, in the order of their names, none beyond what a cell has.
 
     A used-up cell leaves the circle only when its turn comes; the turn counter, which until then runs on without
     wrapping, is then reduced modulo the number of cells left.  This can pass over cells and is part of the definition.
+
+    Between two departures the circle turns evenly.  With the cursor at place p of m cells, a cell d places ahead is visited at
+    the steps d, d + m, d + 2m, ..., and is found empty at the step d + m * room.  The least of these is the next
+    departure, and how often each cell is visited before it follows from a division: the work does not grow with the units.
     """
-    room = {c: n for c, n in available.items() if n > 0}
-    if sum(room.values()) < wanted:
-        raise ValueError(f"{wanted} rows wanted, {sum(room.values())} available")
-    circle, turn, given = sorted(room), 0, dict.fromkeys(room, 0)
-    for _ in range(wanted):
-        while room[circle[turn % len(circle)]] == 0:
-            del circle[turn % len(circle)]
+    names = sorted(c for c, n in available.items() if n > 0)
+    room = np.array([available[c] for c in names], np.int64)
+    if room.sum() < wanted:
+        raise ValueError(f"{wanted} rows wanted, {int(room.sum())} available")
+    given, circle, turn, left = np.zeros_like(room), np.arange(len(names)), 0, int(wanted)
+    while left:
+        m = len(circle)
+        ahead = (np.arange(m) - turn) % m
+        empty_at = ahead + m * room[circle]
+        leaver = int(empty_at.argmin())
+        steps = min(left, int(empty_at[leaver]))
+        visits = np.maximum(0, -(-(steps - ahead) // m))
+        given[circle] += visits
+        room[circle] -= visits
+        left, turn = left - steps, turn + steps
+        if left:
+            circle = np.delete(circle, leaver)
             turn %= len(circle)
-        cell = circle[turn % len(circle)]
-        room[cell] -= 1
-        given[cell] += 1
-        turn += 1
-    return given
+    return {c: int(n) for c, n in zip(names, given, strict=True)}
+
+
+def two_level_allocation(cells: dict[tuple, int], wanted: int) -> dict[tuple, int]:
+    """Sources first, then the strata inside each source.  Null names come last."""
+    name = lambda x: (x is None, x if x is not None else "")
+    of: dict = {}
+    for (source, stratum), n in cells.items():
+        of.setdefault(name(source), {})[name(stratum)] = n
+    outer = capped_allocation({s: sum(inner.values()) for s, inner in of.items()}, wanted)
+    back = lambda x: None if x[0] else x[1]
+    return {(back(s), back(t)): n for s, share in outer.items() for t, n in capped_allocation(of[s], share).items()}
 
 
-def two_level_allocation(cells: dict[tuple[str, str], int], wanted: int) -> dict[tuple[str, str], int]:
-    """Sources first, then the strata inside each source."""
-    by_source: dict[str, int] = {}
-    for (source, _), n in cells.items():
-        by_source[source] = by_source.get(source, 0) + n
-    out = {}
-    for source, n in capped_allocation(by_source, wanted).items():
-        inner = capped_allocation({t: m for (s, t), m in cells.items() if s == source}, n)
-        out |= {(source, t): m for t, m in inner.items()}
-    return out
+def allocation(df: DataFrame, wanted: int, source: str = "source", stratum: str = "stratum") -> DataFrame:
+    """How many rows of each cell a sample takes: source, stratum, available, given.  The table of cells goes to the
+    driver, one cell a row; the rule is sequential over cells, not rows."""
+    rows = df.groupBy(source, stratum).agg(F.count("*").alias("n")).toLocalIterator()
+    cells = {(r[source], r[stratum]): r["n"] for r in rows}
+    given = two_level_allocation(cells, wanted)
+    return df.sparkSession.createDataFrame([(s, t, n, given.get((s, t), 0)) for (s, t), n in cells.items()], "source string, stratum string, available long, given long")
 
 
 def hash_sample(df: DataFrame, wanted: int, seed: int, key: str = "sample_id", source: str = "source", stratum: str = "stratum") -> DataFrame:
-    """A stratified sample of ``wanted`` rows: allocation over the cells, lowest hash ranks inside each."""
-    spark = df.sparkSession
-    counts = df.groupBy(source, stratum).agg(F.count("*").alias("n")).limit(MOST_CELLS + 1).collect()
-    if len(counts) > MOST_CELLS:
-        raise ValueError(f"more than {MOST_CELLS} cells")
-    given = two_level_allocation({(r[source], r[stratum]): r["n"] for r in counts}, wanted)
-    plan = spark.createDataFrame([(s, t, n) for (s, t), n in given.items() if n] or [("", "", 0)], "_s string, _t string, _n long")
+    """A stratified sample of ``wanted`` rows: allocation over the cells, lowest hash ranks inside each.  A null source
+    or stratum is a cell of its own.  Fails where a key repeats."""
+    if rows := duplicate_keys(df, key).limit(1).collect():
+        raise ValueError(f"duplicate {key}: {rows[0][0]}")
+    plan = allocation(df, wanted, source, stratum).where("given > 0").select(F.col("source").alias("_s"), F.col("stratum").alias("_t"), F.col("given").alias("_given"))
     ranked = df.withColumn("rank", T.hash_rank(seed, F.col(source), F.col(stratum), F.col(key)))
-    ranked = ranked.join(F.broadcast(plan), (F.col(source) == F.col("_s")) & (F.col(stratum) == F.col("_t")))
-    place = F.row_number().over(Window.partitionBy(source, stratum).orderBy("rank", key))
-    return ranked.withColumn("_r", place).where("_r <= _n").drop("_s", "_t", "_n", "_r")
+    ranked = ranked.join(plan, F.col(source).eqNullSafe(F.col("_s")) & F.col(stratum).eqNullSafe(F.col("_t")))
+    return place_by_hash(ranked, [source, stratum], F.col("rank"), key, F.col("_given")).where("_r <= _given").drop("_s", "_t", "_given", "_r")
 
 
 def select_frozen(df: DataFrame, index: DataFrame, key: str = "sample_id") -> DataFrame:
-    """The rows that an index names, with its ordinal."""
-    return df.join(index.select(key, "ordinal"), key)
+    """The rows that an index names, with its ordinal and in its order.  A row that is not there is an error."""
+    from optika.operators.indexes import require_partners
+
+    return require_partners(index.select(key, "ordinal"), df, [key], "frozen rows").orderBy("ordinal")
 
 
 def label_reservoir(df: DataFrame, label: str, key: str, cap: int, seed: int) -> DataFrame:
     """At most ``cap`` rows of each label, uniformly by hash rank."""
-    w = Window.partitionBy(label).orderBy(T.hash_rank(seed, F.col(key)), key)
-    return df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= cap).drop("_r")
+    return place_by_hash(df, [label], T.hash_rank(seed, F.col(key)), key, cap).where(F.col("_r") <= cap).drop("_r")
 
 
 def balanced_take(df: DataFrame, label: str, key: str, wanted: int, seed: int) -> DataFrame:
     """Rows taken from the labels in turn, sorted by label, until ``wanted`` are taken."""
-    w = Window.partitionBy(label).orderBy(T.hash_rank(seed, F.col(key)), key)
-    return df.withColumn("turn", F.row_number().over(w)).orderBy("turn", label).limit(wanted)
+    ranked = place_by_hash(df, [label], T.hash_rank(seed, F.col(key)), key, wanted, "turn").where(F.col("turn") <= wanted)
+    return ranked.withColumn("turn", F.col("turn").cast("int")).orderBy("turn", label).limit(wanted)
 
 
 def stratified_split(df: DataFrame, label: str, key: str, share: float, seed: int) -> DataFrame:
     """Adds split: per label round(n * share) rows of validation, at least 1 from 10 rows on, none below."""
-    w = Window.partitionBy(label)
-    n = F.count("*").over(w)
+    n = F.col("_n")
     size = F.when(n >= 10, F.greatest(F.lit(1.0), F.bround(n * F.lit(share)))).otherwise(F.lit(0.0))
-    place = F.row_number().over(w.orderBy(T.hash_rank(seed, F.col(key)), key))
-    return df.withColumn("split", F.when(place <= size, "validation").otherwise("train"))
+    sizes = df.groupBy(F.col(label).alias("_l")).agg(F.count("*").alias("_n")).withColumn("_size", size).drop("_n")
+    ranked = place_by_hash(df, [label], T.hash_rank(seed, F.col(key)), key)
+    ranked = ranked.join(sizes, F.col(label).eqNullSafe(F.col("_l")))
+    return ranked.withColumn("split", F.when(F.col("_r") <= F.col("_size"), "validation").otherwise("train")).drop("_r", "_l", "_size")
 
 
 def equal_labels(df: DataFrame, label: str, key: str, orderings: int, seed: int) -> DataFrame:
     """Every label kept to the same number of rows, a multiple of ``orderings``; ordering codes assigned in turn."""
-    least = df.groupBy(label).count().agg((F.floor(F.min("count") / orderings) * orderings).alias("_cap"))
-    place = F.row_number().over(Window.partitionBy(label).orderBy(T.hash_rank(seed, F.col(key)), key))
-    return df.crossJoin(F.broadcast(least)).withColumn("_r", place).where("_r <= _cap").withColumn("ordering", ((F.col("_r") - 1) % orderings).cast("int")).drop("_r", "_cap")
+    least = df.groupBy(label).count().agg(F.coalesce(F.min("count"), F.lit(0)).alias("n")).first()["n"]
+    cap = least // orderings * orderings
+    ranked = place_by_hash(df, [label], T.hash_rank(seed, F.col(key)), key, cap).where(F.col("_r") <= cap)
+    return ranked.withColumn("ordering", ((F.col("_r") - 1) % orderings).cast("int")).drop("_r")
+
+
+def seeded_shuffle(df: DataFrame, key: str, seed: int) -> DataFrame:
+    """All rows in the order of a hash of seed and key: the same on every run, a range sort on a cluster."""
+    return df.orderBy(T.hash_rank(seed, F.col(key)), key)

@@ -9,21 +9,10 @@ from pyspark.sql import functions as F
 from optika.functions import arrays as A
 from optika.functions import text as T
 from optika.operators import experiments, metrics, paired, quality, results, sampling, training
+from optika.operators.ranking import order_statistics
+from optika.plans.registry import ORACLES, QUERIES, query  # noqa: F401
 from optika.plans.items import K, doc_items, embedding_items, journal, line_items, orders_items, orders_probs, table
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return register
-
 
 # -- shared SQL ------------------------------------------------------------------------------------------------
 
@@ -138,6 +127,8 @@ def _two_orders(spark, d) -> DataFrame:
     for name, perm in perms.items():
         shown = F.array(*(F.get("probs", F.lit(c)) for c in perm))
         pos = (F.col("sample_id") % 3 == 0) & F.lit(name == "reversed")
+        leaning = F.transform(shown, lambda x, i: x * 0.8 + F.when(i == 0, 0.2).otherwise(0.0))
+        shown = F.when(pos, leaning).otherwise(shown)
         asked = p.withColumn("perm", F.array(*map(F.lit, perm))).withColumn("shown", shown)
         asked = asked.withColumn("pred", F.when(pos, F.lit(0)).otherwise(A.first_max(F.col("shown")))).withColumn("probs", F.col("shown")).withColumn("variant", F.lit(name)).drop("shown")
         out = asked if out is None else out.unionByName(asked)
@@ -148,12 +139,13 @@ ORDER2 = (
     PROBS
     + """, v AS (SELECT *, 'rotated' AS variant, [1, 2, 3, 4, 0] AS perm, [probs[2], probs[3], probs[4], probs[5], probs[1]] AS shown FROM probs
   UNION ALL SELECT *, 'reversed', [4, 3, 2, 1, 0], [probs[5], probs[4], probs[3], probs[2], probs[1]] FROM probs),
-c AS (SELECT source, model, sample_id, gold, variant, perm[CASE WHEN variant = 'reversed' AND sample_id % 3 = 0 THEN 1 ELSE list_position(shown, list_max(shown)) END]::INT AS pred, probs FROM v)"""
+c AS (SELECT source, model, sample_id, gold, variant, perm[CASE WHEN variant = 'reversed' AND sample_id % 3 = 0 THEN 1 ELSE list_position(shown, list_max(shown)) END]::INT AS pred,
+  CASE WHEN variant = 'reversed' AND sample_id % 3 = 0 THEN [probs[1] * 0.8::DOUBLE, probs[2] * 0.8::DOUBLE, probs[3] * 0.8::DOUBLE, probs[4] * 0.8::DOUBLE, probs[5] * 0.8::DOUBLE + 0.2::DOUBLE] ELSE probs END AS probs FROM v)"""
 )
 
 
 @query(
-    "WITH " + ORDER2 + """ SELECT a.model, a.source, count(*)::BIGINT AS pairs, round(avg((a.pred = b.pred)::INT::DOUBLE), 6) AS agreement, round(avg(0.0::DOUBLE), 6) AS shift
+    "WITH " + ORDER2 + """ SELECT a.model, a.source, count(*)::BIGINT AS pairs, round(avg((a.pred = b.pred)::INT::DOUBLE), 6) AS agreement, round(avg(0.5 * list_sum([abs(a.probs[i] - b.probs[i]) FOR i IN [1, 2, 3, 4, 5]])), 6) AS shift
 FROM c a JOIN c b ON a.sample_id = b.sample_id AND a.variant = 'reversed' AND b.variant = 'rotated' GROUP BY a.model, a.source"""
 )
 def position_pairs(spark, d) -> DataFrame:
@@ -169,58 +161,110 @@ def position_by_dataset(spark, d) -> DataFrame:
 
 
 LINES = """li AS (SELECT l_orderkey || '-' || l_linenumber AS sample_id, l_returnflag || '|' || l_linestatus AS source, l_quantity, l_extendedprice FROM lineitem)"""
-KS = (2, 5, 9, 14)
+KS = tuple(range(2, 15))
+_LINE_METRICS = """SELECT source, k, count(*)::BIGINT AS n, round(avg((gold = pred)::INT::DOUBLE), 6) AS accuracy, round(avg(abs(gold - pred)::DOUBLE) / (k - 1), 6) AS nmae FROM items GROUP BY source, k"""
+
+
+def _by_k(rows: DataFrame) -> DataFrame:
+    c = F.col
+    return rows.groupBy("source", "k").agg(F.count("*").alias("n"), F.round(F.avg((c("gold") == c("pred")).cast("double")), 6).alias("accuracy"), F.round(F.avg(F.abs(c("gold") - c("pred")).cast("double")) / (c("k") - 1), 6).alias("nmae"))
 
 
 @query(
-    "WITH " + LINES + ", b AS (SELECT min(l_quantity) AS ql, max(l_quantity) AS qh, min(l_extendedprice) AS pl, max(l_extendedprice) AS ph FROM li), ks AS (SELECT unnest([2, 5, 9, 14])::INT AS k), "
-    + """items AS (SELECT source, k, greatest(0, least(k - 1, floor((l_quantity - ql) * k / (qh - ql))::INT)) AS gold, greatest(0, least(k - 1, floor((l_extendedprice - pl) * k / (ph - pl))::INT)) AS pred FROM li, b, ks)
-SELECT source, k, count(*)::BIGINT AS n, round(avg((gold = pred)::INT::DOUBLE), 6) AS accuracy, round(avg(abs(gold - pred)::DOUBLE) / (k - 1), 6) AS nmae FROM items GROUP BY source, k"""
+    "WITH " + LINES + ", b AS (SELECT min(l_quantity) AS ql, max(l_quantity) AS qh, min(l_extendedprice) AS pl, max(l_extendedprice) AS ph FROM li), ks AS (SELECT unnest(range(2, 15))::INT AS k), "
+    + """items AS (SELECT source, k, greatest(0, least(k - 1, floor((l_quantity - ql) * k / (qh - ql))::INT)) AS gold, greatest(0, least(k - 1, floor((l_extendedprice - pl) * k / (ph - pl))::INT)) AS pred FROM li, b, ks) """
+    + _LINE_METRICS
 )
 def kcurve_equal_width(spark, d) -> DataFrame:
-    """Accuracy and error as the number of equal-width options grows."""
+    """Accuracy and error as the number of equal-width options grows from 2 to 14."""
     li = line_items(spark, d)
     low = li.agg(F.min("l_quantity").alias("ql"), F.max("l_quantity").alias("qh"), F.min("l_extendedprice").alias("pl"), F.max("l_extendedprice").alias("ph"))
     rows = li.crossJoin(F.broadcast(low)).withColumn("k", F.explode(F.array(*map(F.lit, KS))))
     c = F.col
-    rows = rows.withColumn("gold", experiments.equal_width(c("l_quantity"), c("ql"), c("qh"), c("k"))).withColumn("pred", experiments.equal_width(c("l_extendedprice"), c("pl"), c("ph"), c("k")))
-    return rows.groupBy("source", "k").agg(F.count("*").alias("n"), F.round(F.avg((c("gold") == c("pred")).cast("double")), 6).alias("accuracy"), F.round(F.avg(F.abs(c("gold") - c("pred")).cast("double")) / (c("k") - 1), 6).alias("nmae"))
+    return _by_k(rows.withColumn("gold", experiments.equal_width(c("l_quantity"), c("ql"), c("qh"), c("k"))).withColumn("pred", experiments.equal_width(c("l_extendedprice"), c("pl"), c("ph"), c("k"))))
 
 
 @query(
-    "WITH " + LINES + """, qc AS (SELECT unnest(quantile_disc(l_quantity, [0.2, 0.4, 0.6, 0.8])) AS cut FROM li), pc AS (SELECT unnest(quantile_disc(l_extendedprice, [0.2, 0.4, 0.6, 0.8])) AS cut FROM li),
-items AS (SELECT source, (SELECT count(*) FROM qc WHERE cut <= l_quantity)::INT AS gold, (SELECT count(*) FROM pc WHERE cut <= l_extendedprice)::INT AS pred FROM li)"""
-    + _metrics_sql("source", "items", 5, True) + " SELECT * FROM detail"
+    "WITH " + LINES + """, ks AS (SELECT unnest(range(2, 15))::INT AS k), qs AS (SELECT k, unnest(range(1, k))::INT AS q FROM ks),
+sq AS (SELECT l_quantity AS v, row_number() OVER (ORDER BY l_quantity) AS r, count(*) OVER () AS n FROM li), sp AS (SELECT l_extendedprice AS v, row_number() OVER (ORDER BY l_extendedprice) AS r, count(*) OVER () AS n FROM li),
+qc AS (SELECT k, list(v) AS cuts FROM qs JOIN sq ON r = (n * q + k - 1) // k GROUP BY k), pc AS (SELECT k, list(v) AS cuts FROM qs JOIN sp ON r = (n * q + k - 1) // k GROUP BY k),
+items AS (SELECT source, qc.k, len([c FOR c IN qc.cuts IF c <= l_quantity])::INT AS gold, len([c FOR c IN pc.cuts IF c <= l_extendedprice])::INT AS pred FROM li, qc JOIN pc ON qc.k = pc.k) """
+    + _LINE_METRICS
 )
 def kcurve_equal_frequency(spark, d) -> DataFrame:
-    """Bands of equal frequency: empirical quantile cuts, then the number of cuts at or below the value."""
+    """The same with bands of equal frequency: empirical quantile cuts, then the number of cuts at or below the value."""
     li = line_items(spark, d)
-    qc, pc = experiments.quantile_cuts(li, "l_quantity", 5), experiments.quantile_cuts(li, "l_extendedprice", 5)
-    rows = li.select("source", A.bisect_right(qc, F.col("l_quantity")).alias("gold"), A.bisect_right(pc, F.col("l_extendedprice")).alias("pred"))
-    return metrics.by_group(rows, ["source"], 5)
+    n = li.count()
+    ranks = {k: [-(-n * q // k) for q in range(1, k)] for k in KS}
+    every = sorted({r for rs in ranks.values() for r in rs})
+
+    def band(x: str) -> F.Column:
+        at = dict(zip(every, order_statistics(li, x, every), strict=True))
+        cuts = F.array(*(F.array(*(F.lit(at[r]) for r in ranks[k])) for k in KS))
+        return F.size(F.filter(F.get(cuts, F.col("k") - KS[0]), lambda c: c <= F.col(x)))
+
+    rows = li.withColumn("k", F.explode(F.array(*map(F.lit, KS)))) if n else li.withColumn("k", F.lit(2)).limit(0)
+    return _by_k(rows.select("source", "k", band("l_quantity").alias("gold"), band("l_extendedprice").alias("pred")))
+
+
+#: Nine levels in groups of three at seven distances, from the definition: all partitions, one for each mean gap, the
+#: seven nearest to evenly spread targets; then slots and orders in turn inside each gold label.
+DISTANCES = """WITH RECURSIVE lv AS (SELECT unnest(range(0, 9))::INT AS x),
+g AS (SELECT a.x AS a, b.x AS b, c.x AS c, 2 * (c.x - a.x) AS gap FROM lv a, lv b, lv c WHERE a.x < b.x AND b.x < c.x),
+p AS (SELECT [[g1.a, g1.b, g1.c], [g2.a, g2.b, g2.c], [g3.a, g3.b, g3.c]] AS groups, g1.gap + g2.gap + g3.gap AS gap, g1.gap * g1.gap + g2.gap * g2.gap + g3.gap * g3.gap AS gap2
+  FROM g g1, g g2, g g3 WHERE g1.a = 0 AND g1.a < g2.a AND g2.a < g3.a AND len(list_distinct([g1.a, g1.b, g1.c, g2.a, g2.b, g2.c, g3.a, g3.b, g3.c])) = 9),
+best AS (SELECT gap, groups FROM (SELECT *, row_number() OVER (PARTITION BY gap ORDER BY 3 * gap2 - gap * gap, groups) AS k FROM p) WHERE k = 1),
+ends AS (SELECT min(gap) AS lo, max(gap) AS hi FROM best),
+pick(i, used) AS (SELECT 0, []::INT[] UNION ALL SELECT i + 1, list_append(used, (SELECT arg_min(gap, abs((gap - lo) * 6 - (hi - lo) * i) * 1000 + gap) FROM best, ends WHERE NOT list_contains(used, gap))::INT) FROM pick WHERE i < 7),
+cond AS (SELECT row_number() OVER (ORDER BY gap)::INT AS distance_level, gap::INT AS gap, (gap - lo) / (hi - lo)::DOUBLE AS relative_distance, gap / 72.0::DOUBLE AS mean_gap, groups
+  FROM (SELECT unnest(used) AS gap FROM pick WHERE i = 7) JOIN best USING (gap), ends),
+base AS (SELECT p_partkey::VARCHAR AS sample_id, (p_partkey % 9)::INT AS gold FROM part),
+coded AS (SELECT *, (row_number() OVER (PARTITION BY gold ORDER BY sha256('11' || chr(31) || gold || chr(31) || sample_id), sample_id) - 1) % 6 AS code FROM base),
+shown AS (SELECT distance_level, relative_distance, mean_gap, unnest(groups) AS shown FROM cond),
+held AS (SELECT sample_id, distance_level, mean_gap, c.gold AS original_gold, shown, (code // 2)::INT AS slot, [x FOR x IN shown IF x <> c.gold] AS rest, code FROM coded c JOIN shown ON list_contains(shown, c.gold)),
+turned AS (SELECT *, CASE WHEN code % 2 = 0 THEN rest ELSE list_reverse(rest) END AS others FROM held),
+d AS (SELECT *, CASE slot WHEN 0 THEN [original_gold, others[1], others[2]] WHEN 1 THEN [others[1], original_gold, others[2]] ELSE [others[1], others[2], original_gold] END AS ranks FROM turned)"""
 
 
 def _distance(spark, d) -> DataFrame:
-    """Suppliers' parts as nine-level items, shown three at a time at seven distances."""
+    """Parts as nine-level items, shown three at a time at seven distances."""
     base = table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("sample_id"), (F.col("p_partkey") % 9).cast("int").alias("gold"))
     return experiments.distance_items(base, 9, 3, 11)
 
 
-@query("SELECT CAST(lv AS INT) AS distance_level, (SELECT count(*) FROM part)::BIGINT AS n, 9::BIGINT AS golds FROM (SELECT unnest(range(1, 8)) AS lv)")
+@query(DISTANCES + " SELECT distance_level, gap, round(relative_distance, 8) AS relative_distance, round(mean_gap, 8) AS mean_gap, to_json(groups)::VARCHAR AS groups FROM cond")
+def distance_conditions(spark, d) -> DataFrame:
+    c = experiments.distance_conditions(spark, 9, 3)
+    return c.select("distance_level", "gap", F.round("relative_distance", 8).alias("relative_distance"), F.round("mean_gap", 8).alias("mean_gap"), F.to_json("groups").alias("groups"))
+
+
+@query(DISTANCES + " SELECT sample_id, distance_level, original_gold, slot AS gold, to_json(ranks)::VARCHAR AS ranks FROM d")
+def distance_items(spark, d) -> DataFrame:
+    return _distance(spark, d).select("sample_id", "distance_level", "original_gold", "gold", F.to_json("ranks").alias("ranks"))
+
+
+@query(DISTANCES + " SELECT distance_level, count(*)::BIGINT AS n, count(DISTINCT original_gold)::BIGINT AS golds, round(avg(mean_gap), 8) AS mean, round(stddev_pop(slot), 8) AS slot_sd, min(slot) AS low, max(slot) AS high FROM d GROUP BY distance_level")
 def distance_coverage(spark, d) -> DataFrame:
     """Each distance level holds every item once and covers all nine gold levels."""
-    return _distance(spark, d).groupBy("distance_level").agg(F.count("*").alias("n"), F.count_distinct("original_gold").alias("golds"))
+    return _distance(spark, d).groupBy("distance_level").agg(
+        F.count("*").alias("n"), F.count_distinct("original_gold").alias("golds"), F.round(F.avg("mean_gap"), 8).alias("mean"), F.round(F.stddev_pop("gold"), 8).alias("slot_sd"), F.min("gold").alias("low"), F.max("gold").alias("high")
+    )
 
 
-@query("SELECT NULL::INT AS distance_level, NULL::DOUBLE AS mean, NULL::DOUBLE AS before WHERE false")
-def distance_rising_gate(spark, d) -> DataFrame:
-    """Mean gaps rise strictly from level to level: no rows."""
-    return quality.rising_means(_distance(spark, d), "distance_level", "mean_gap")
+@query("""WITH m AS (SELECT l_linenumber AS level, round(avg(l_extendedprice), 4) AS mean FROM lineitem GROUP BY l_linenumber), b AS (SELECT *, lag(mean) OVER (ORDER BY level) AS before FROM m)
+SELECT level::BIGINT AS level, mean, before FROM b WHERE mean <= before""")
+def rising_gate(spark, d) -> DataFrame:
+    """Line numbers whose mean price is not above that of the number before."""
+    li = table(spark, d, "lineitem").select(F.col("l_linenumber").cast("long").alias("level"), "l_extendedprice")
+    return quality.rising_means(li, "level", "l_extendedprice").select("level", F.round("mean", 4).alias("mean"), F.round("before", 4).alias("before"))
 
 
-@query(None)
+@query(
+    DISTANCES + """, items AS (SELECT distance_level, list_position(list_sort(ranks), ranks[slot + 1]) - 1 AS gold, list_position(list_sort(ranks), ranks[(sample_id::INT + distance_level) % 3 + 1]) - 1 AS pred FROM d)"""
+    + _metrics_sql("distance_level", "items", 3, True).replace("d AS (", "dd AS (").replace("FROM d JOIN", "FROM dd JOIN") + " SELECT * FROM detail"
+)
 def distance_rank_metrics(spark, d) -> DataFrame:
-    items = _distance(spark, d).withColumn("pred", F.pmod(F.xxhash64("sample_id", "distance_level"), F.lit(3)).cast("int"))
+    items = _distance(spark, d).withColumn("pred", ((F.col("sample_id").cast("int") + F.col("distance_level")) % 3).cast("int"))
     return metrics.by_group(experiments.ordinal_ranks(items), ["distance_level"], 3)
 
 
@@ -303,8 +347,8 @@ def schema_unify(spark, d) -> DataFrame:
     letters = F.array(*(F.lit(x) for x in "edcba"))
     old = p.where("sample_id % 2 = 1").select(*common, F.col("pred").alias("prediction_position"), F.col("gold").alias("expected_position"), F.lit(K).alias("choice_count"), F.map_from_arrays(letters, F.reverse("probs")).alias("keyed"))
     both = results.unify(new.unionByName(old, allowMissingColumns=True))
-    rec = results.stable_record(both).drop("probs").join(both.select("sample_id", "probs"), "sample_id")
-    return rec.select("sample_id", "source", "status", "pred", "gold", "k", "correct", F.round(F.get("probs", F.lit(0)), 3).alias("first_prob"), F.round(A.total(F.col("probs")), 6).alias("mass"))
+    hit = (F.col("pred") == F.col("gold")).alias("correct")
+    return both.select("sample_id", "source", "status", "pred", "gold", "k", hit, F.round(F.get("probs", F.lit(0)), 3).alias("first_prob"), F.round(A.total(F.col("probs")), 6).alias("mass"))
 
 
 NORM = "lower(trim(regexp_replace(regexp_replace(text, '[\\s\\x1c-\\x1f\\x85\\p{Z}]+', ' ', 'g'), '^ +| +$', '', 'g')))"
@@ -313,21 +357,27 @@ DOCS = f"""docs AS (SELECT d.doc_id, d.text, d.source, d.lang, CASE WHEN quality
 
 
 def _signed(spark, d) -> DataFrame:
-    docs = doc_items(spark, d)
-    return docs.withColumn("signature", T.sha(T.normalized(F.coalesce("text", F.lit(""))))).withColumn("rank", T.hash_rank(7, F.col("source"), F.col("doc_id")))
+    """Documents as items: two questions, and options by language."""
+    docs = doc_items(spark, d).withColumn("question", F.concat(F.lit("Which  Quality has it? "), F.coalesce("lang", F.lit("-"))))
+    choices = F.array(F.lit(" Low"), F.lit("HIGH "), F.coalesce("source", F.lit("none")))
+    signature = T.content_signature(F.coalesce("source", F.lit("none")), F.col("question"), F.coalesce("text", F.lit("")), choices)
+    return docs.withColumn("signature", signature).withColumn("rank", T.hash_rank(7, F.col("source"), F.col("doc_id")))
 
 
-@query(
-    "WITH " + DOCS + """, r AS (SELECT doc_id, sha256(coalesce(norm, '')) AS signature, sha256('7' || chr(31) || source || chr(31) || doc_id) AS rank FROM docs),
-k AS (SELECT *, row_number() OVER (PARTITION BY signature ORDER BY rank, doc_id) AS n FROM r) SELECT signature, doc_id, rank FROM k WHERE n = 1"""
+SIGNED = (
+    "WITH " + DOCS + """, j AS (SELECT *, to_json({'choices': ['low', 'high', lower(coalesce(source, 'none'))], 'context': coalesce(norm, ''), 'question': lower('which quality has it? ' || coalesce(lang, '-')), 'source': lower(coalesce(source, 'none'))})::VARCHAR AS body FROM docs),
+r AS (SELECT doc_id, quality, sha256(body) AS signature, sha256('7' || chr(31) || coalesce(source, 'None') || chr(31) || doc_id) AS rank FROM j)"""
 )
+
+
+@query(SIGNED + ", k AS (SELECT *, row_number() OVER (PARTITION BY signature ORDER BY rank, doc_id) AS n FROM r) SELECT signature, doc_id, rank FROM k WHERE n = 1")
 def dedup_signature(spark, d) -> DataFrame:
     return sampling.lowest_rank_copy(_signed(spark, d).select("signature", "doc_id", "rank"), "signature", "rank", "doc_id")
 
 
-@query("WITH " + DOCS + ", s AS (SELECT sha256(coalesce(norm, '')) AS signature, lang FROM docs) SELECT signature, count(DISTINCT lang)::BIGINT AS labels, count(*)::BIGINT AS n FROM s GROUP BY signature HAVING count(DISTINCT lang) > 1")
+@query(SIGNED + " SELECT signature, count(DISTINCT coalesce(quality, -1))::BIGINT AS labels, count(*)::BIGINT AS n FROM r GROUP BY signature HAVING count(DISTINCT coalesce(quality, -1)) > 1")
 def dedup_conflicts(spark, d) -> DataFrame:
-    return sampling.conflicts(_signed(spark, d), "signature", "lang")
+    return sampling.conflicts(_signed(spark, d), "signature", "quality")
 
 
 @query("WITH c AS (SELECT source, text FROM documents GROUP BY ALL HAVING count(*) = 1) SELECT doc_id, source FROM documents JOIN c USING (source, text)")
@@ -335,41 +385,63 @@ def drop_repeated_context(spark, d) -> DataFrame:
     return sampling.unique_contexts(doc_items(spark, d).select("doc_id", "source", "text"), ["source", "text"]).select("doc_id", "source")
 
 
+def _dealt(name: str, start: str) -> str:
+    """The cursor rule unit by unit: start has g, names, room (lists) and wanted; the result has g, name and given."""
+    return f"""{name}_s(g, names, first, room, act, turn, remaining) AS (
+  SELECT g, names, room, room, range(1, len(names) + 1), 0::BIGINT, wanted::BIGINT FROM {start}
+  UNION ALL SELECT g, names, first, CASE WHEN empty THEN room ELSE list_transform(room, lambda x, i: CASE WHEN i = cell THEN x - 1 ELSE x END) END, CASE WHEN empty THEN list_filter(act, lambda x: x <> cell) ELSE act END,
+    CASE WHEN empty THEN turn % greatest(1, len(act) - 1) ELSE turn + 1 END, CASE WHEN empty THEN remaining ELSE remaining - 1 END
+  FROM (SELECT *, act[turn % len(act) + 1] AS cell, room[act[turn % len(act) + 1]] = 0 AS empty FROM {name}_s WHERE remaining > 0)),
+{name} AS (SELECT g, unnest(names) AS name, unnest([first[i] - room[i] FOR i IN range(1, len(names) + 1)])::BIGINT AS given FROM {name}_s WHERE remaining = 0)"""
+
+
 @query(
-    """WITH i AS (SELECT o_orderkey AS sample_id, o_orderstatus AS source, o_orderpriority AS stratum, sha256('42' || chr(31) || o_orderstatus || chr(31) || o_orderpriority || chr(31) || o_orderkey) AS rank FROM orders),
-r AS (SELECT *, row_number() OVER (PARTITION BY source, stratum ORDER BY rank, sample_id) AS k FROM i WHERE source IN ('F', 'O')) SELECT sample_id, source, stratum, rank FROM r WHERE k <= 12"""
+    """WITH RECURSIVE i AS (SELECT o_orderkey AS sample_id, o_orderstatus AS source, o_orderpriority AS stratum, sha256('42' || chr(31) || o_orderstatus || chr(31) || o_orderpriority || chr(31) || o_orderkey) AS rank FROM orders),
+c AS (SELECT source, stratum, count(*) AS n FROM i GROUP BY ALL), s1 AS (SELECT 'all' AS g, list(source ORDER BY source) AS names, list(n ORDER BY source) AS room, (SELECT count(*) * 7 // 10 FROM i) AS wanted FROM (SELECT source, sum(n)::BIGINT AS n FROM c GROUP BY source)),
+"""
+    + _dealt("outer_", "s1") + ", s2 AS (SELECT source AS g, list(stratum ORDER BY stratum) AS names, list(n ORDER BY stratum) AS room, max(given) AS wanted FROM c JOIN outer_ ON source = name GROUP BY source), " + _dealt("inner_", "s2")
+    + ", r AS (SELECT *, row_number() OVER (PARTITION BY source, stratum ORDER BY rank, sample_id) AS k FROM i) SELECT sample_id, source, stratum, rank FROM r JOIN inner_ ON g = source AND name = stratum WHERE k <= given"
 )
 def hash_rank_sample(spark, d) -> DataFrame:
-    """120 rows over two sources of five strata."""
-    o = table(spark, d, "orders").where("o_orderstatus IN ('F', 'O')").select(F.col("o_orderkey").alias("sample_id"), F.col("o_orderstatus").alias("source"), F.col("o_orderpriority").alias("stratum"))
-    return sampling.hash_sample(o, 120, 42)
+    """Seven tenths of the orders over three sources of very unequal size and their five strata."""
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("sample_id"), F.col("o_orderstatus").alias("source"), F.col("o_orderpriority").alias("stratum"))
+    return sampling.hash_sample(o, o.count() * 7 // 10, 42)
 
 
-@query(None)
+@query(
+    "WITH RECURSIVE c AS (SELECT source, count(*) AS n FROM documents JOIN labels USING (doc_id) WHERE quality = 0 AND source IS NOT NULL GROUP BY source), s1 AS (SELECT 'all' AS g, list(source ORDER BY source) AS names, list(n ORDER BY source) AS room, (sum(n) * 9 // 10)::BIGINT AS wanted FROM c), "
+    + _dealt("a", "s1") + " SELECT name AS source, n::BIGINT AS available, given FROM a JOIN c ON source = name"
+)
 def allocation_exact(spark, d) -> DataFrame:
     """The exact cursor rule where some cells are scarce."""
-    cells = {r["source"]: r["n"] for r in doc_items(spark, d).where("quality = 0").groupBy("source").agg(F.count("*").alias("n")).collect()}
-    given = sampling.capped_allocation(cells, sum(cells.values()) * 9 // 10)
-    return spark.createDataFrame([(k, cells[k], v) for k, v in given.items()], "source string, available long, given long")
+    rows = doc_items(spark, d).where("quality = 0 AND source IS NOT NULL").withColumn("stratum", F.lit("all"))
+    return sampling.allocation(rows, rows.count() * 9 // 10).select("source", "available", "given")
+
+
+BANNED = f", b AS (SELECT DISTINCT sha256({NORM}) AS h FROM benchmark WHERE text IS NOT NULL), t AS (SELECT doc_id FROM labels WHERE toxic = 1)"
+
+
+def _banned(spark, d) -> DataFrame:
+    """The hashes of the benchmark's texts: what training data must not hold."""
+    return table(spark, d, "benchmark").where("text IS NOT NULL").select(T.normalized_sha(F.col("text")).alias("context_sha256"))
 
 
-@query("WITH " + DOCS + f", b AS (SELECT sha256({NORM}) AS h FROM (SELECT text FROM documents WHERE doc_id % 10 = 3)) SELECT doc_id FROM docs WHERE doc_id % 7 <> 1 AND sha256(norm) NOT IN (SELECT h FROM b WHERE h IS NOT NULL)")
+@query("WITH " + DOCS + BANNED + " SELECT doc_id FROM (SELECT doc_id, norm FROM docs WHERE text IS NOT NULL UNION ALL SELECT item_id + 1000000000, " + NORM + " FROM benchmark WHERE text IS NOT NULL) WHERE doc_id NOT IN (SELECT doc_id FROM t) AND sha256(norm) NOT IN (SELECT h FROM b)")
 def blacklist_antijoin(spark, d) -> DataFrame:
-    docs = doc_items(spark, d).select("doc_id", "text").where("text IS NOT NULL")
-    hashes = docs.where("doc_id % 10 = 3").select(T.normalized_sha(F.col("text")).alias("context_sha256"))
-    return training.without_blacklisted(docs, docs.where("doc_id % 7 = 1"), hashes, "doc_id", "text").select("doc_id")
+    """Documents, and the benchmark's items among them, without those that are labelled toxic or hold a benchmark text."""
+    docs = doc_items(spark, d).select("doc_id", "text").unionByName(table(spark, d, "benchmark").select((F.col("item_id") + 1000000000).alias("doc_id"), "text")).where("text IS NOT NULL")
+    return training.without_blacklisted(docs, table(spark, d, "labels").where("toxic = 1"), _banned(spark, d), "doc_id", "text").select("doc_id")
 
 
 @query(
-    "WITH " + DOCS + f""", h AS (SELECT *, sha256(norm) AS h FROM docs), b AS (SELECT DISTINCT h FROM h WHERE doc_id % 10 = 3), f AS (SELECT h, min(doc_id) AS first FROM h WHERE h NOT IN (SELECT h FROM b) GROUP BY h),
+    "WITH " + DOCS + BANNED + f""", e AS (SELECT doc_id, text, norm FROM docs UNION ALL SELECT item_id + 1000000000, text, {NORM} FROM benchmark), h AS (SELECT *, sha256(norm) AS h FROM e), f AS (SELECT h, min(doc_id) AS first FROM h WHERE h NOT IN (SELECT h FROM b) GROUP BY h),
 r AS (SELECT CASE WHEN h.h IN (SELECT h FROM b) THEN 'blacklist' WHEN doc_id <> first THEN 'duplicate' WHEN length(text) > 6000 THEN 'length'
-  WHEN regexp_matches(text, '(?i)\\b(?:casino|poker|lottery|jackpot|heroin|cocaine|opium|nude|naked|sex|rape[ds]?)\\b') THEN 'sensitive' ELSE 'eligible' END AS reason FROM h LEFT JOIN f USING (h))
+  WHEN regexp_matches(text, '(?i){"|".join(training.SENSITIVE)}') THEN 'sensitive' ELSE 'eligible' END AS reason FROM h LEFT JOIN f USING (h))
 SELECT reason, count(*)::BIGINT AS n FROM r GROUP BY reason"""
 )
 def eligibility_funnel(spark, d) -> DataFrame:
-    docs = doc_items(spark, d)
-    banned = docs.where("doc_id % 10 = 3").select(T.normalized_sha(F.col("text")).alias("context_sha256"))
-    return training.funnel(docs, banned, "doc_id", "text").groupBy("reason").agg(F.count("*").alias("n"))
+    docs = doc_items(spark, d).select("doc_id", "text").unionByName(table(spark, d, "benchmark").select((F.col("item_id") + 1000000000).alias("doc_id"), "text"))
+    return training.funnel(docs, _banned(spark, d), "doc_id", "text").groupBy("reason").agg(F.count("*").alias("n"))
 
 
 _RANK5 = "sha256('5' || chr(31) || o_orderkey)"
@@ -408,14 +480,25 @@ def label_band_quantile(spark, d) -> DataFrame:
     return o.select(A.bisect_right(cuts, F.col("o_totalprice")).alias("band")).groupBy("band").agg(F.count("*").alias("n"))
 
 
-_UN = "replace(replace(replace(replace(replace(replace({0}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&')"
+#: The references that the pages hold, decoded in one pass: & comes last.
+_UN = "replace(replace(replace(replace(replace(replace(replace(replace({0}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', chr(39)), '&nbsp;', chr(160)), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
 
 
-@query("SELECT page_id, sha256(trim(regexp_replace(" + _UN.format("regexp_replace(regexp_replace(html, '(?i)<br\\s*/?>', chr(10), 'g'), '<[^>]+>', ' ', 'g')") + ", '[ \\t]+', ' ', 'g'), ' ')) AS clean_sha FROM pages")
+@query("SELECT page_id, sha256(regexp_replace(regexp_replace(regexp_replace(regexp_replace(" + _UN.format("coalesce(html, '')") + ", '(?i)<br\\s*/?>', chr(10), 'g'), '<[^>]+>', ' ', 'g'), '[ \\t]+', ' ', 'g'), '^\\s+|\\s+$', '', 'g')) AS clean_sha FROM pages")
 def html_clean(spark, d) -> DataFrame:
     return table(spark, d, "pages").select("page_id", T.sha(T.clean_html(F.col("html"))).alias("clean_sha"))
 
 
+@query(
+    "WITH m AS (SELECT page_id, regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<!--.*?-->|<![^>]*>', '<>', 'g'), '(?is)<(script|style|template)[^>]*>.*?</(script|style|template)>', '<>', 'g') AS h FROM pages), "
+    + "l AS (SELECT page_id, [CASE WHEN regexp_full_match(x, '[ \\t\\n\\r\\f]+') THEN CASE WHEN contains(x, chr(10)) THEN chr(10) ELSE ' ' END ELSE x END FOR x IN string_split_regex(h, '<[^>]*>') IF x <> ''] AS parts FROM m) "
+    + "SELECT page_id, sha256(regexp_replace(" + _UN.format("array_to_string(parts, ' ')") + ", '^\\s+|\\s+$', '', 'g')) AS text_sha FROM l"
+)
+def page_text(spark, d) -> DataFrame:
+    """The strings of each page, joined by spaces."""
+    return table(spark, d, "pages").select("page_id", T.sha(T.page_text(F.col("html"))).alias("text_sha"))
+
+
 @query("WITH t AS (SELECT conv_id, turn, role, text, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS next_role, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS reply FROM conversations) SELECT conv_id, turn, sha256('User prompt:' || chr(10) || coalesce(text, '') || chr(10) || chr(10) || 'Assistant response:' || chr(10) || coalesce(reply, '')) AS context_sha FROM t WHERE role = 'user' AND next_role = 'assistant'")
 def prompt_response_pairs(spark, d) -> DataFrame:
     w = Window.partitionBy("conv_id").orderBy("turn")
@@ -426,18 +509,18 @@ def prompt_response_pairs(spark, d) -> DataFrame:
 
 @query("SELECT o_orderstatus AS source, sha256(string_agg(o_orderkey || chr(10), '' ORDER BY o_orderkey::VARCHAR || chr(10))) AS digest FROM orders GROUP BY o_orderstatus")
 def selection_digest(spark, d) -> DataFrame:
-    return table(spark, d, "orders").groupBy(F.col("o_orderstatus").alias("source")).agg(quality.selection_digest(F.col("o_orderkey").cast("string")).alias("digest"))
+    return quality.selection_digest(table(spark, d, "orders").withColumnRenamed("o_orderstatus", "source"), ["source"], F.col("o_orderkey").cast("string"))
 
 
 @query("SELECT o_orderstatus AS source, sha256(string_agg(o_custkey || chr(10), '' ORDER BY o_orderkey)) AS digest FROM orders GROUP BY o_orderstatus")
 def ordered_digest(spark, d) -> DataFrame:
-    return table(spark, d, "orders").groupBy(F.col("o_orderstatus").alias("source")).agg(quality.ordered_digest(F.col("o_custkey").cast("string"), F.col("o_orderkey")).alias("digest"))
+    return quality.ordered_digest(table(spark, d, "orders").withColumnRenamed("o_orderstatus", "source"), ["source"], F.col("o_custkey").cast("string"), F.col("o_orderkey"))
 
 
 @query("SELECT source, sha256(string_agg(sha256(text) || '  ' || n_chars || '  ' || lpad(doc_id::VARCHAR, 12, '0') || chr(10), '' ORDER BY lpad(doc_id::VARCHAR, 12, '0'))) AS digest FROM documents WHERE text IS NOT NULL GROUP BY source")
 def tree_digest(spark, d) -> DataFrame:
     docs = table(spark, d, "documents").where("text IS NOT NULL")
-    return docs.groupBy("source").agg(quality.tree_digest(F.lpad(F.col("doc_id").cast("string"), 12, "0"), F.col("n_chars"), T.sha(F.col("text"))).alias("digest"))
+    return quality.tree_digest(docs, ["source"], F.lpad(F.col("doc_id").cast("string"), 12, "0"), F.col("n_chars"), T.sha(F.col("text")))
 
 
 @query("SELECT o_orderstatus AS source, count(*)::BIGINT AS n FROM orders GROUP BY o_orderstatus HAVING count(*) <> 5000")
@@ -500,11 +583,16 @@ def probability_gate(spark, d) -> DataFrame:
     return p.groupBy("model").agg(F.count("*").alias("n"), F.round(F.avg(F.array_max("probs")), 6).alias("top"), F.count_if(A.valid_probabilities(F.col("probs"))).alias("valid"))
 
 
-@query(None)
+@query(
+    "WITH " + ITEMS + """, n AS (SELECT *, sample_id::VARCHAR AS id, ['urgent', 'high', 'medium', 'unspecified', 'low'] AS names FROM items),
+o AS (SELECT n.id, i, row_number() OVER (PARTITION BY n.id ORDER BY sha256('3' || chr(31) || n.id || chr(31) || i), i) - 1 AS place FROM n, (SELECT unnest(range(0, 5)) AS i))
+SELECT n.id AS sample_id, 'order ' || n.id AS state, 'option_' || chr(97 + place::INT) AS label, names[gold + 1] AS gold_text, source AS meta_source, gold AS meta_gold FROM n JOIN o ON o.id = n.id AND o.i = n.gold"""
+)
 def training_records(spark, d) -> DataFrame:
     i = orders_items(spark, d).select(F.col("sample_id").cast("string").alias("sample_id"), "source", "gold", F.lit("Which priority was assigned?").alias("question"), F.concat(F.lit("order "), F.col("sample_id").cast("string")).alias("context"))
     r = training.records(i, ["urgent", "high", "medium", "unspecified", "low"], 3)
-    return r.select("sample_id", "state", F.col("questions.decision.label").alias("label"), F.col("questions.decision.criteria")[F.col("questions.decision.label")].alias("gold_text"))
+    chosen = F.col("questions.decision.label")
+    return r.select("sample_id", "state", chosen.alias("label"), F.col("questions.decision.criteria")[chosen].alias("gold_text"), F.col("_meta.source").alias("meta_source"), F.col("_meta.gold_canonical_level").alias("meta_gold"))
 
 
 @query(None)
@@ -512,3 +600,6 @@ def truncated_requests(spark, d) -> DataFrame:
     """Whole documents as requests of at most 24,000 bytes."""
     docs = table(spark, d, "documents").select("doc_id", "text")
     return docs.select("doc_id", F.length(training.truncate_middle(F.col("text"), F.lit(100))).alias("chars"))
+
+
+from optika.plans import adapters_catalog, records_catalog  # noqa: E402, F401

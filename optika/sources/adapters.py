@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from optika.functions import arrays as A
 from optika.functions import text as T
+from optika.operators.experiments import quantile_cuts
+from optika.operators.quality import finite
 
 c = F.col
 
@@ -72,6 +74,11 @@ def named(x: Column, names: list[str]) -> Column:
     return F.nullif(F.array_position(F.array(*map(F.lit, names)), x), F.lit(0)).cast("int") - 1
 
 
+def band(name: str, shift: int = 0) -> Callable[[], Column]:
+    """The sampling stratum name=level."""
+    return lambda: F.concat(F.lit(f"{name}="), (c("gold_position") + shift).cast("string"))
+
+
 @dataclass(frozen=True)
 class Adapter:
     """A source: context, gold position, choices, question (if not a fixed one), stratum, id, and a filter."""
@@ -80,7 +87,7 @@ class Adapter:
     gold: Callable[[], Column] | None = None
     choices: list[str] = field(default_factory=list)
     question: Callable[[], Column] | None = None
-    stratum: str = "label"
+    stratum: Callable[[], Column] = lambda: F.lit("")
     key: Callable[[], Column] = lambda: F.concat_ws(":", "split", "row")
     keep: Callable[[], Column] | None = None
     prepare: Callable[[DataFrame], DataFrame] | None = None
@@ -97,13 +104,13 @@ def _pair(a: str, x: str, b: str, y: str, gap: str = "\n\n") -> Callable[[], Col
 
 def _quintiles(df: DataFrame) -> DataFrame:
     """Empirical quintile cuts over all splits: the value at ceil(n q / 5) of the sorted scores."""
-    scored = df.withColumn("score", number("WA")).where("score IS NOT NULL")
-    cuts = scored.agg(*(F.expr(f"percentile_disc({q / 5}D) WITHIN GROUP (ORDER BY score)").alias(f"q{q}") for q in range(1, 5)))
-    return scored.crossJoin(F.broadcast(cuts))
+    scored = df.withColumn("score", number("WA")).where(finite(c("score")))
+    cuts = quantile_cuts(scored, "score", 5) or [None] * 4
+    return scored.withColumns({f"q{q}": F.lit(v).cast("double") for q, v in enumerate(cuts, 1)})
 
 
 def _zero_based(df: DataFrame) -> DataFrame:
-    """Per split: labels that run from 0 to at most 4 are shifted by one."""
+    """Per split: labels that run from 0 to at most 4 are shifted by one.  The table of splits is a few rows."""
     have = df.where("label IS NOT NULL")
     shift = have.groupBy("split").agg(F.when((F.min("label") == 0) & (F.max("label") <= 4), 1).otherwise(0).alias("shift"))
     return have.join(F.broadcast(shift), "split").withColumn("rating", c("label") + c("shift"))
@@ -114,47 +121,43 @@ def _alternatives(*contexts: Column) -> Column:
 
 
 def _html(x: Column) -> Column:
-    return T.trim_blanks(T.clean_html(x))
+    return T.page_text(x)
 
 
 ADAPTERS: dict[str, Adapter] = {
     # first batch: native labels
-    "sst5": Adapter(lambda: c("text"), lambda: whole("label"), ["Very negative", "Negative", "Neutral", "Positive", "Very positive"]),
-    "tweet_eval_sentiment": Adapter(lambda: c("text"), lambda: whole("label"), SENTIMENT3),
+    "sst5": Adapter(lambda: c("text"), lambda: whole("label"), ["Very negative", "Negative", "Neutral", "Positive", "Very positive"], stratum=band("sentiment")),
+    "tweet_eval_sentiment": Adapter(lambda: c("text"), lambda: whole("label"), SENTIMENT3, stratum=band("sentiment")),
     "semeval2018_ei_oc": Adapter(
         lambda: c("Tweet"), lambda: F.split_part("Intensity Class", F.lit(":"), F.lit(1)).try_cast("int"),
         ["Intensity 0 (none)", "Intensity 1 (low)", "Intensity 2 (moderate)", "Intensity 3 (high)"],
-        lambda: F.format_string(QUESTIONS["semeval2018_ei_oc"], F.lower(F.trim("Affect Dimension"))), key=lambda: F.concat_ws(":", "split", F.lower(F.trim("Affect Dimension")), "ID"),
-    ),
-    "meld_sentiment": Adapter(lambda: c("Utterance"), lambda: named(F.lower(F.trim("Sentiment")), ["negative", "neutral", "positive"]), SENTIMENT3, key=lambda: F.format_string("%s:dialogue%s:utterance%s", "split", "Dialogue_ID", "Utterance_ID")),
-    "amazon_reviews_2023_all_beauty": Adapter(_pair("Review title: ", "title", "Review text: ", "text"), lambda: whole("rating") - 1, STARS, key=lambda: T.template("all_beauty:%s:%s:%s", c("row"), c("parent_asin"), c("user_id"))),
-    "app_reviews": Adapter(lambda: c("review"), lambda: whole("star") - 1, STARS, key=lambda: T.template("row:%s", c("row"))),
-    "uci_drugs_com": Adapter(lambda: T.template("Drug: %s\nCondition: %s\n\nReview: %s", c("drugName"), c("condition"), c("review")), lambda: whole("rating") - 1, [f"Rating {i}" for i in range(1, 11)]),
-    "asap2": Adapter(_pair("Writing assignment:\n", "assignment", "Student essay:\n", "full_text"), lambda: whole("score") - 1, [f"Score {i}" for i in range(1, 7)], key=lambda: c("essay_id")),
+        lambda: F.format_string(QUESTIONS["semeval2018_ei_oc"], F.lower(F.trim("Affect Dimension"))), key=lambda: F.concat_ws(":", "split", F.lower(F.trim("Affect Dimension")), "ID"), stratum=lambda: F.concat(F.lit("emotion="), F.lower(F.trim("Affect Dimension")), F.lit("|intensity="), c("gold_position").cast("string"))),
+    "meld_sentiment": Adapter(lambda: c("Utterance"), lambda: named(F.lower(F.trim("Sentiment")), ["negative", "neutral", "positive"]), SENTIMENT3, key=lambda: F.format_string("%s:dialogue%s:utterance%s", "split", "Dialogue_ID", "Utterance_ID"), stratum=band("sentiment")),
+    "amazon_reviews_2023_all_beauty": Adapter(_pair("Review title: ", "title", "Review text: ", "text"), lambda: whole("rating") - 1, STARS, key=lambda: T.template("all_beauty:%s:%s:%s", c("row"), c("parent_asin"), c("user_id")), stratum=band("stars", 1)),
+    "app_reviews": Adapter(lambda: c("review"), lambda: whole("star") - 1, STARS, key=lambda: T.template("row:%s", c("row")), stratum=band("stars", 1)),
+    "uci_drugs_com": Adapter(lambda: T.template("Drug: %s\nCondition: %s\n\nReview: %s", c("drugName"), c("condition"), c("review")), lambda: whole("rating") - 1, [f"Rating {i}" for i in range(1, 11)], stratum=band("rating", 1), key=lambda: F.concat_ws(":", "split", T.or_else(c("`Unnamed: 0`"), F.concat_ws(":", "split", "row")))),
+    "asap2": Adapter(_pair("Writing assignment:\n", "assignment", "Student essay:\n", "full_text"), lambda: whole("score") - 1, [f"Score {i}" for i in range(1, 7)], key=lambda: c("essay_id"), stratum=band("score", 1)),
     "persuade2_argument_effectiveness": Adapter(
         lambda: T.template("Writing assignment:\n%s\n\nFull essay:\n%s\n\nTarget component type: %s\nTarget argument component:\n%s", c("assignment"), c("full_text"), c("discourse_type"), c("discourse_text")),
         lambda: named(F.trim("discourse_effectiveness"), ["Ineffective", "Adequate", "Effective"]), ["Ineffective", "Adequate", "Effective"],
-        key=lambda: T.template("essay:%s|start:%s|end:%s|row:%s", c("essay_id_comp"), c("discourse_start"), c("discourse_end"), c("row")),
-    ),
-    "helpsteer": Adapter(_pair("User prompt:\n", "prompt", "Assistant response:\n", "response"), lambda: whole("helpfulness"), [f"Helpfulness {i}" for i in range(5)]),
+        key=lambda: T.template("essay:%s|start:%s|end:%s|row:%s", c("essay_id_comp"), c("discourse_start"), c("discourse_end"), c("row")), stratum=band("effectiveness")),
+    "helpsteer": Adapter(_pair("User prompt:\n", "prompt", "Assistant response:\n", "response"), lambda: whole("helpfulness"), [f"Helpfulness {i}" for i in range(5)], stratum=band("helpfulness")),
     # second batch: labels that need a rule; texts are cleaned
-    "imdb_ratings": Adapter(lambda: c("text"), lambda: named(c("rating"), ["1", "2", "3", "4", "7", "8", "9", "10"]), ["1/10", "2/10", "3/10", "4/10", "7/10", "8/10", "9/10", "10/10"], key=lambda: F.concat_ws(":", "split", "polarity", "number"), clean=True),
-    "goodreads_reviews": Adapter(lambda: c("review_text"), lambda: whole("rating") - 1, STARS, key=lambda: T.or_else(c("review_id"), c("row").cast("string")), keep=lambda: whole("rating").between(1, 5), clean=True),
+    "imdb_ratings": Adapter(lambda: c("text"), lambda: named(c("rating"), ["1", "2", "3", "4", "7", "8", "9", "10"]), ["1/10", "2/10", "3/10", "4/10", "7/10", "8/10", "9/10", "10/10"], key=lambda: F.concat_ws(":", "split", "polarity", "number"), clean=True, stratum=lambda: F.concat(F.lit("rating="), c("rating"))),
+    "goodreads_reviews": Adapter(lambda: c("review_text"), lambda: whole("rating") - 1, STARS, key=lambda: T.or_else(c("review_id"), c("row").cast("string")), keep=lambda: whole("rating").between(1, 5), clean=True, stratum=band("rating", 1)),
     "tripadvisor_hotel_reviews": Adapter(
         lambda: F.coalesce("review", "text"), lambda: F.bround(F.coalesce("label", "rating", "overall", F.get("prediction", F.lit(0))["label"]).try_cast("double")).cast("int") - 1, STARS,
-        clean=True,
-    ),
-    "labr_arabic_book_reviews": Adapter(lambda: c("text"), lambda: whole("rating") - 1, STARS, prepare=_zero_based, clean=True),
+        clean=True, stratum=band("rating", 1), key=lambda: T.or_else(c("id").cast("string"), c("row").cast("string"))),
+    "labr_arabic_book_reviews": Adapter(lambda: c("text"), lambda: whole("rating") - 1, STARS, prepare=_zero_based, clean=True, stratum=band("rating", 1)),
     "beeradvocate_reviews": Adapter(
         lambda: F.coalesce(*(F.try_element_at("fields", F.lit(k)) for k in ("review/text", "review_text", "text"))),
         lambda: F.when((s := F.coalesce(*(F.try_element_at("fields", F.lit(k)) for k in ("review/overall", "review_overall", "overall"))).try_cast("double")) <= 2.5, 0).when(s <= 3.5, 1).when(s.isNotNull(), 2),
-        ["Low rating (1-2.5)", "Medium rating (3-3.5)", "High rating (4-5)"], key=lambda: c("row").cast("string"), clean=True,
-    ),
-    "cmu_mosei_sentiment": Adapter(lambda: c("text"), lambda: F.when(number("sentiment").isNotNull(), A.bisect_right(MOSEI_CUTS, number("sentiment"))), ["Strongly negative", "Weakly negative", "Neutral", "Weakly positive", "Strongly positive"], clean=True),
-    "ibm_argument_quality": Adapter(_pair("Topic: ", "topic", "Argument: ", "argument", "\n"), lambda: F.size(F.filter(F.array("q1", "q2", "q3", "q4"), lambda q: q <= c("score"))), QUINTILES, prepare=_quintiles, clean=True),
-    "helpsteer2_correctness": Adapter(_pair("User prompt:\n", "prompt", "Assistant response:\n", "response"), lambda: whole("correctness"), CORRECTNESS, clean=True),
-    "ultrafeedback_quality": Adapter(_pair("User instruction:\n", "instruction", "Assistant response:\n", "response"), lambda: F.greatest(F.lit(0), F.least(F.lit(4), F.ceil(number("overall_score") / 2).cast("int") - 1)), ["Very low (0-2]", "Low (2-4]", "Medium (4-6]", "High (6-8]", "Very high (8-10]"], keep=lambda: number("overall_score").isNotNull(), clean=True),
-    "dynasent": Adapter(lambda: c("sentence"), lambda: named(c("gold_label"), ["negative", "neutral", "positive"]), SENTIMENT3, key=lambda: T.or_else(c("text_id"), F.concat_ws(":", "member", "row")), clean=True),
+        ["Low rating (1-2.5)", "Medium rating (3-3.5)", "High rating (4-5)"], key=lambda: c("row").cast("string"), clean=True, stratum=band("rating_band")),
+    "cmu_mosei_sentiment": Adapter(lambda: c("text"), lambda: F.when(number("sentiment").isNotNull(), A.bisect_right(MOSEI_CUTS, number("sentiment"))), ["Strongly negative", "Weakly negative", "Neutral", "Weakly positive", "Strongly positive"], clean=True, stratum=band("sentiment_band")),
+    "ibm_argument_quality": Adapter(_pair("Topic: ", "topic", "Argument: ", "argument", "\n"), lambda: F.size(F.filter(F.array("q1", "q2", "q3", "q4"), lambda q: q <= c("score"))), QUINTILES, prepare=_quintiles, clean=True, stratum=band("quality_quintile", 1)),
+    "helpsteer2_correctness": Adapter(_pair("User prompt:\n", "prompt", "Assistant response:\n", "response"), lambda: whole("correctness"), CORRECTNESS, clean=True, stratum=band("correctness")),
+    "ultrafeedback_quality": Adapter(_pair("User instruction:\n", "instruction", "Assistant response:\n", "response"), lambda: F.greatest(F.lit(0), F.least(F.lit(4), F.ceil(number("overall_score") / 2).cast("int") - 1)), ["Very low (0-2]", "Low (2-4]", "Medium (4-6]", "High (6-8]", "Very high (8-10]"], keep=lambda: number("overall_score").isNotNull(), clean=True, stratum=band("quality_band"), key=lambda: F.concat(F.lit("shard"), c("shard").cast("string"), F.lit(":"), c("row").cast("string"))),
+    "dynasent": Adapter(lambda: c("sentence"), lambda: named(c("gold_label"), ["negative", "neutral", "positive"]), SENTIMENT3, key=lambda: T.or_else(c("text_id"), F.concat_ws(":", "member", "row")), clean=True, stratum=lambda: F.concat(F.lit("sentiment="), c("gold_label"))),
     # third batch: contexts only, matched to a frozen index by their hash
     "metacritic_games": Adapter(lambda: T.template("Game: %s\nPlatform: %s\nReview: %s", c("Game"), c("Platform"), c("Review"))),
     "pitchfork_albums": Adapter(lambda: c("description")),
@@ -182,12 +185,11 @@ ADAPTERS: dict[str, Adapter] = {
     "train_ibm_argument_quality": Adapter(_pair("Topic: ", "topic", "Argument: ", "argument", "\n"), lambda: F.size(F.filter(F.array("q1", "q2", "q3", "q4"), lambda q: q <= c("score"))), QUINTILES, prepare=_quintiles, keep=lambda: c("split") == "train"),
     "train_helpsteer2_correctness": Adapter(_pair("User prompt:\n", "prompt", "Assistant response:\n", "response"), lambda: whole("correctness"), CORRECTNESS),
     "train_civil_comments_toxicity": Adapter(lambda: c("text"), lambda: A.clamp(number("toxicity") * 7, 0, 6), _levels(7, "Toxicity level")),
-    "train_measuring_hate_speech": Adapter(lambda: c("text"), lambda: F.when(number("hate_speech_score").isNotNull(), A.bisect_right(HATE_SPEECH_CUTS, number("hate_speech_score"))), _levels(8)),
+    "train_measuring_hate_speech": Adapter(lambda: c("text"), lambda: F.when(number("hate_speech_score").isNotNull(), A.bisect_right(HATE_SPEECH_CUTS, number("hate_speech_score"))), _levels(8), key=lambda: c("row").cast("string")),
     "train_wine_quality": Adapter(lambda: T.template("Wine: %s\nOrigin: %s, %s\nVariety: %s\nReview: %s", c("title"), c("country"), c("province"), c("variety"), c("description")), lambda: A.clamp(F.floor((number("points") - 80) / 2), 0, 10), WINE_BANDS, keep=lambda: number("points").between(80, 100)),
     "train_word_concreteness": Adapter(
         lambda: T.template("Word or expression: %s", T.or_else(c("Word"), c("Expression"))), lambda: F.when((s := T.or_else(c("`Conc.M`"), c("mean")).try_cast("double")).isNotNull(), A.bisect_right(CONCRETENESS_CUTS, s)),
-        _levels(9), keep=lambda: T.or_else(c("Word"), c("Expression")).isNotNull(),
-    ),
+        _levels(9), keep=lambda: T.or_else(c("Word"), c("Expression")).isNotNull(), key=lambda: c("row").cast("string")),
     "train_wmt20_translation_quality": Adapter(lambda: _translation(), lambda: A.bisect_right(WMT_CUTS, number("mean")), _levels(12), key=lambda: F.concat_ws(":", "config", "segid"), keep=lambda: number("mean").isNotNull()),
     "train_realtoxicity_continuation": Adapter(
         lambda: T.template("Prompt: %s\nContinuation: %s", c("prompt.text"), c("continuation.text")), lambda: F.when((s := c("continuation.toxicity").try_cast("double")).isNotNull(), A.bisect_right(REALTOX_CUTS, s)),
@@ -224,7 +226,8 @@ def contexts(df: DataFrame, source: str) -> DataFrame:
 
 
 def items(df: DataFrame, source: str, revision: str = "", seed: int = 20260926) -> DataFrame:
-    """The source's rows (with split and row columns) as items; unusable labels and contexts are dropped."""
+    """The source's rows (with split and row columns) as items; unusable labels and contexts are dropped.  The stratum is
+    named as the source names it, since sampling ranks depend on it."""
     a = ADAPTERS[source]
     if a.gold is None:
         raise ValueError(f"{source} has contexts only; its labels come from a frozen index")
@@ -234,5 +237,5 @@ def items(df: DataFrame, source: str, revision: str = "", seed: int = 20260926)
     question = a.question() if a.question else F.lit(QUESTIONS.get(source, ""))
     return out.select(
         F.concat(F.lit(f"{source}::"), a.key()).alias("sample_id"), F.lit(source).alias("source"), a.key().alias("original_id"), F.col("split"), "context", question.alias("question"), choices.alias("choices"),
-        "gold_position", F.get(choices, F.col("gold_position")).alias("gold_label_text"), F.concat(F.lit(f"{a.stratum}="), F.col("gold_position").cast("string")).alias("stratum"), F.lit(seed).alias("sampling_seed"), F.lit(revision).alias("source_revision"),
+        "gold_position", F.get(choices, F.col("gold_position")).alias("gold_label_text"), a.stratum().alias("sampling_stratum"), F.lit(seed).alias("sampling_seed"), F.lit(revision).alias("source_revision"),
     )

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import ast
 import gzip
+import hashlib
 import io
 import re
 import tarfile
+import time
+import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 
@@ -22,6 +25,28 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
+def first_bad_line(spark: SparkSession, path: str, schema: str) -> tuple[str, int, str] | None:
+    """The first malformed line of JSONL files: file, line number from 1, text.  Files with bad lines are found by all
+    executors; only the first such file is then read in order, line by line."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file")).where(F.trim("value") != "")
+    parsed = F.from_json("value", f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    bad = lines.withColumn("_p", parsed).where("_p._bad IS NOT NULL").agg(F.min("file").alias("file")).first()["file"]
+    if bad is None:
+        return None
+    wrong = {r["value"] for r in lines.where(F.col("file") == bad).withColumn("_p", parsed).where("_p._bad IS NOT NULL").select("value").limit(10_000).collect()}
+    for n, r in enumerate(spark.read.text(bad).toLocalIterator(), 1):
+        if r["value"] in wrong:
+            return bad, n, r["value"]
+    return None
+
+
+def require_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """JSON lines, checked: a malformed line is an error that names its file and number."""
+    if bad := first_bad_line(spark, path, schema):
+        raise ValueError(f"{bad[0]}:{bad[1]}: not a JSON object: {bad[2][:200]}")
+    return read_jsonl(spark, path, schema)
+
+
 def read_csv(spark: SparkSession, path: str, sep: str | None = None, **options) -> DataFrame:
     """CSV with a header, quoted line breaks allowed; a byte order mark is dropped.  .tsv files are split at tabs."""
     sep = sep or ("\t" if path.endswith(".tsv") else ",")
@@ -49,41 +74,59 @@ def read_splits(spark: SparkSession, paths: dict[str, str], reader: Callable[[st
     return out
 
 
+def _opened(path: str):
+    """A seekable stream of a file on any file system that executors reach; nothing is read ahead."""
+    from pyarrow import fs
+
+    where, name = fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+    return where.open_input_file(name)
+
+
+def _files(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
+    """path and length of the files, without their content, dealt out to as many tasks as there are files."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(path).select("path", "length")
+    return files.repartition(max(1, min(files.count(), 10_000)), "path")
+
+
 def _members(kind: str, pattern: str):
     want = re.compile(pattern)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for path, content in zip(frame["path"], frame["content"], strict=True):
-                names, lines, places = [], [], []
-                for name, data in _open(kind, content):
+            for path in frame["path"]:
+                rows: list[tuple] = []
+                for name, stream in _open(kind, path):
                     if want.search(name):
-                        for i, line in enumerate(io.TextIOWrapper(io.BytesIO(data), "utf-8-sig", errors="replace")):
-                            names.append(name)
-                            places.append(i)
-                            lines.append(line.rstrip("\r\n"))
-                yield pd.DataFrame({"path": [path] * len(names), "member": names, "line_no": places, "value": lines})
+                        for i, line in enumerate(io.TextIOWrapper(stream, "utf-8-sig", errors="replace")):
+                            rows.append((path, name, i, line.rstrip("\r\n")))
+                            if len(rows) == 4096:
+                                yield pd.DataFrame(rows, columns=["path", "member", "line_no", "value"])
+                                rows = []
+                if rows:
+                    yield pd.DataFrame(rows, columns=["path", "member", "line_no", "value"])
 
     return run
 
 
-def _open(kind: str, content: bytes) -> Iterator[tuple[str, bytes]]:
-    if kind == "zip":
-        with zipfile.ZipFile(io.BytesIO(content)) as z:
-            for name in sorted(z.namelist()):
-                if not name.startswith("__MACOSX/") and not name.endswith("/"):
-                    yield name, z.read(name)
-    else:
-        with tarfile.open(fileobj=io.BytesIO(content), mode="r:*") as t:
-            for m in t:
-                if m.isfile():
-                    yield m.name, t.extractfile(m).read()
+def _open(kind: str, path: str) -> Iterator[tuple[str, object]]:
+    """Members of an archive as streams, one at a time."""
+    with _opened(path) as f:
+        if kind == "zip":
+            with zipfile.ZipFile(f) as z:
+                for name in sorted(z.namelist()):
+                    if not name.startswith("__MACOSX/") and not name.endswith("/"):
+                        with z.open(name) as m:
+                            yield name, m
+        else:
+            with tarfile.open(fileobj=f, mode="r:*") as t:
+                for m in t:
+                    if m.isfile():
+                        yield m.name, t.extractfile(m)
 
 
 def read_archive_lines(spark: SparkSession, path: str, kind: str = "zip", member_pattern: str = ".") -> DataFrame:
-    """Lines of the members of zip or tar archives: path, member, line_no, value.  One task reads one archive."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(_members(kind, member_pattern), "path string, member string, line_no long, value string")
+    """Lines of the members of zip or tar archives: path, member, line_no, value.  One task streams one archive."""
+    return _files(spark, path).mapInPandas(_members(kind, member_pattern), "path string, member string, line_no long, value string")
 
 
 def archive_members(lines: DataFrame) -> DataFrame:
@@ -110,8 +153,8 @@ def read_python_literals(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_jsonl(df: DataFrame, path: str, mode: str = "errorifexists") -> int:
-    """Canonical JSON lines: sorted keys, compact, nulls kept.  Returns the number of rows."""
-    df.select(T.canonical_json(*df.columns).alias("value")).write.mode(mode).text(path)
+    """Canonical JSON lines: keys sorted at every depth, compact, nulls kept.  Returns the number of rows."""
+    df.select(T.canonical_json(df).alias("value")).write.mode(mode).text(path)
     return df.sparkSession.read.text(path).count()
 
 
@@ -125,16 +168,39 @@ def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).option("header", True).csv(path)
 
 
-def replace_table(df: DataFrame, path: str) -> None:
-    """Writes beside the table, then takes its place: readers see the old or the new rows."""
+def _hadoop(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def replace_table(df: DataFrame, path: str, keep: int = 1) -> None:
+    """Writes a new version beside the others, then switches the pointer file ``_current`` to it in one rename: readers
+    (``read_table``) see the old or the new rows, and a crash leaves the old ones.  ``keep`` older versions stay."""
     spark = df.sparkSession
-    df.write.mode("overwrite").parquet(f"{path}.staged")
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path
-    target = hadoop(path)
-    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(target, True)
-    if not fs.rename(hadoop(f"{path}.staged"), target):
-        raise OSError(f"could not replace {path}")
+    version = f"v-{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+    df.write.parquet(f"{path}/{version}")
+    pointer, fs = _hadoop(spark, f"{path}/_current")
+    staged, _ = _hadoop(spark, f"{path}/_current.{version}")
+    out = fs.create(staged, True)
+    out.write(bytearray(version.encode()))
+    out.close()
+    jvm = spark._jvm
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration())
+    overwrite = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    overwrite[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context.rename(staged, pointer, overwrite)
+    old = sorted(s.getPath().getName() for s in fs.listStatus(pointer.getParent()) if s.getPath().getName().startswith("v-"))
+    for name in old[: -1 - keep]:
+        fs.delete(_hadoop(spark, f"{path}/{name}")[0], True)
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """The current version of a table of ``replace_table``."""
+    pointer, fs = _hadoop(spark, f"{path}/_current")
+    stream = fs.open(pointer)
+    version = bytes(stream.readAllBytes()).decode()
+    stream.close()
+    return spark.read.parquet(f"{path}/{version}")
 
 
 def append_journal(df: DataFrame, path: str) -> None:
@@ -149,7 +215,65 @@ def gzip_bytes(data: bytes) -> bytes:
     return out.getvalue()
 
 
+def _scan(predictions: bool):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for path in frame["path"]:
+                digest, size = hashlib.sha256(), 0
+                with _opened(path) as f:
+                    while block := f.read(1 << 20):
+                        digest.update(block)
+                        size += len(block)
+                inner, plain = (digest, size) if not path.endswith(".gz") else (hashlib.sha256(), 0)
+                if path.endswith(".gz"):
+                    with _opened(path) as f, gzip.GzipFile(fileobj=f) as z:
+                        while block := z.read(1 << 20):
+                            inner.update(block)
+                            plain += len(block)
+                yield pd.DataFrame([(path, size, digest.hexdigest(), plain, inner.hexdigest())], columns=["path", "archive_bytes", "archive_sha256", "bytes", "content_sha256"])
+
+    return run
+
+
 def file_ledger(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
-    """path, bytes, sha256 of each file below a folder."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(path)
-    return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    """path, bytes, sha256 of each file below a folder, read as a stream."""
+    got = file_contents(spark, path, recursive)
+    return got.select("path", F.col("archive_bytes").alias("bytes"), F.col("archive_sha256").alias("sha256"))
+
+
+def file_contents(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
+    """path, archive_bytes, archive_sha256, and bytes and content_sha256 of what a .gz file holds (else the same)."""
+    return _files(spark, path, recursive).mapInPandas(_scan(False), "path string, archive_bytes long, archive_sha256 string, bytes long, content_sha256 string")
+
+
+def scan_jsonl(spark: SparkSession, path: str, schema: str, predictions: bool = False, key: str = "sample_id") -> DataFrame:
+    """One row for each JSONL file (plain or .gz) below a path: exact byte hashes, rows, unique and repeated ids, the digest
+    of the sorted ids and that in file order; with ``predictions`` also the statuses and the digests of stable records and
+    decisions.  Line order inside a file is that of a text scan, which keeps the offsets of its splits."""
+    from optika.operators import quality, results
+
+    lines = spark.read.option("mode", "FAILFAST").schema(schema).json(path).withColumn("file", F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/"))
+    rows = lines.withColumn("line_no", F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")))
+    out = quality.id_report(rows, ["file"], key, "line_no")
+    out = out.join(quality.selection_digest(rows, ["file"], F.col(key).cast("string"), "selection_sha256"), "file")
+    out = out.join(quality.ordered_digest(rows, ["file"], F.col(key).cast("string"), F.col("line_no"), "ordered_ids_sha256"), "file")
+    if predictions:
+        told = results.recorded(results.unify(rows)).withColumn("_id", F.col("sample_id"))
+        told = told.join(rows.select(F.col(key).cast("string").alias("_key"), "file").distinct(), F.col("_id") == F.col("_key"))
+        for column, name in (("record_sha256", "prediction_digest_sha256"), ("decision_sha256", "decision_digest_sha256")):
+            out = out.join(quality.record_digest(told, ["file"], F.col("sample_id"), F.col(column), name), "file")
+        counts = told.groupBy("file", F.coalesce("status", F.lit("missing")).alias("status")).count()
+        out = out.join(counts.groupBy("file").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("status", "count")))).alias("statuses")), "file")
+    contents = file_contents(spark, path).withColumn("file", F.regexp_replace("path", "^file:/+", "/")).drop("path")
+    return out.join(contents, "file")
+
+
+def summary_document(df: DataFrame, keys: list[str]) -> DataFrame:
+    """A table of nested aggregates as one JSON document: objects by key, with the other columns as their fields.  For
+    reports; the table has a row for each group, not for each item."""
+    body = F.struct(*(c for c in df.columns if c not in keys))
+    out = df.select(*keys, body.alias("_b"))
+    for k in reversed(keys):
+        rest = [c for c in out.columns if c not in (k, "_b")]
+        out = out.groupBy(*rest).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(k).cast("string").alias("key"), F.col("_b").alias("value"))), lambda a, b: F.when(a["key"] < b["key"], -1).otherwise(1))).alias("_b"))
+    return out.select(F.to_json("_b", {"ignoreNullFields": "false"}).alias("document"))

@@ -10,27 +10,32 @@ from pyspark.sql.streaming import StreamingQuery
 
 from optika.operators import results
 
-RETRYABLE = (408, 409, 425, 429, 500, 502, 503, 504)
-
-
-def score_stream(items: DataFrame, journal: str, checkpoint: str, scorer: Callable[[DataFrame], DataFrame], key: str, provenance: dict[str, str], terminal=("ok",)) -> StreamingQuery:
+def score_stream(items: DataFrame, journal: str, checkpoint: str, scorer: Callable[[DataFrame], DataFrame], key: str, provenance: dict[str, str], terminal=("ok",), once: bool = False) -> StreamingQuery:
     """Scores a stream of items into an append-only Parquet journal.
 
     Each micro-batch leaves out items that the journal has finished, refuses to go on if the journal holds rows of
-    another provenance, and appends.  A batch that runs again after a failure finds its own rows and adds nothing,
+    another provenance (input, item, model and configuration hashes, or any other columns) or, with ``once``, two ok rows
+    of one item, and appends.  A batch that runs again after a failure finds its own rows and adds nothing,
     so the journal is exactly-once per finished key.
     """
 
+    provenance_columns = {k: F.lit(v) for k, v in provenance.items()}
+
     def batch(df: DataFrame, _: int) -> None:
         spark = df.sparkSession
-        todo = results.first_per_key(df.withColumn("_row", F.monotonically_increasing_id()), [key], "_row").drop("_row")
+        # of repeated rows of a key the one with the smallest hash: the same on every run of a batch
+        row = F.struct(*df.columns)
+        todo = df.groupBy(key).agg(F.min_by(row, F.xxhash64(*df.columns)).alias("_r")).select("_r.*")
         done = read_journal(spark, journal)
         if done is not None:
-            other = done.where(~_same(provenance)).limit(1)
-            if other.count():
+            # only the journal's rows about this batch are looked at, by key
+            own = done.join(todo.select(key), key, "left_semi")
+            if own.where(~_same(provenance)).limit(1).count():
                 raise ValueError("the journal holds answers of another run configuration")
-            todo = results.pending(todo, done, key, terminal)
-        scorer(todo).withColumns({k: F.lit(v) for k, v in provenance.items()}).write.mode("append").parquet(journal)
+            if once and results.repeated(own, key).limit(1).count():
+                raise ValueError("the journal holds several ok answers to one item")
+            todo = results.pending(todo, own, key, terminal)
+        scorer(todo).withColumns(provenance_columns).write.mode("append").parquet(journal)
 
     return items.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -51,8 +56,7 @@ def read_journal(spark: SparkSession, path: str) -> DataFrame | None:
 
 def canonicalize(journal: DataFrame, index: DataFrame, key: str, order: str) -> DataFrame:
     """One row per indexed item, ok answers first, in index order; raises while an item has no ok answer."""
-    best = results.ok_wins(journal, key, order)
-    out = index.select(key, "ordinal").join(best, key, "left")
+    out = index.select(key, "ordinal").join(results.ok_wins(journal, key, order), key, "left")
     if left := out.where("status IS NULL OR status <> 'ok'").count():
         raise ValueError(f"{left} items are unresolved")
     return out.orderBy("ordinal")
@@ -64,6 +68,7 @@ def latest_by_key(events: DataFrame, key: str, order: str) -> DataFrame:
     return events.where(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(row, F.col(order)).alias("r")).select(key, "r.*")
 
 
-def backoff_seconds(attempt: int, retry_after: float | None = None, cap: float = 60.0) -> float:
-    """Seconds to wait before a retry: what the server asks for, else doubling, at most ``cap``."""
-    return min(cap, retry_after if retry_after is not None else 2.0**attempt)
+def progress(query: StreamingQuery) -> dict:
+    """Running totals of a stream: batches, rows read, rows a second over the last batch."""
+    last = query.lastProgress
+    return {"batches": 0 if last is None else last["batchId"] + 1, "rows": sum(p["numInputRows"] for p in query.recentProgress), "rows_per_second": 0.0 if last is None else last["processedRowsPerSecond"]}

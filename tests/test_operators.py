@@ -38,7 +38,7 @@ def test_schemas_unify(spark):
     new = spark.createDataFrame([("1", "s", "ok", 1, 0, 3, [0.1, 0.7, 0.2])], "sample_id string, source string, status string, predicted_position int, gold_position int, option_count int, probabilities array<double>")
     old = spark.createDataFrame([("1", "s", "ok", 1, 0, 3, {"c": 0.2, "A": 0.1, "b": 0.7})], "sample_id string, source string, status string, prediction_position int, expected_position int, choice_count int, keyed map<string,double>")
     a, b = (results.stable_record(results.unify(x)).first() for x in (new, old))
-    assert a == b and a.probs == [0.1, 0.7, 0.2] and a.correct is False
+    assert a == b and a.probabilities == [0.1, 0.7, 0.2] and len(a) == 14 and len(results.stable_record(results.unify(new), False).columns) == 13
 
 
 def test_journal_reductions(spark):
@@ -65,11 +65,66 @@ def test_signature_holds_choices(spark):
 
 
 def test_digests(spark):
-    a = spark.createDataFrame([(1, "x"), (2, "y")], "o int, k string")
-    b = spark.createDataFrame([(2, "x"), (1, "y")], "o int, k string")
-    un = [d.agg(quality.selection_digest(F.col("k")).alias("d")).first().d for d in (a, b)]
-    od = [d.agg(quality.ordered_digest(F.col("k"), F.col("o")).alias("d")).first().d for d in (a, b)]
-    assert un[0] == un[1] and od[0] != od[1]
+    import hashlib
+
+    a = spark.createDataFrame([(1, "g", "x"), (2, "g", "y"), (3, "h", "z")], "o int, g string, k string")
+    b = spark.createDataFrame([(2, "g", "x"), (1, "g", "y"), (3, "h", "z")], "o int, g string, k string")
+    digest = lambda df, f, *more: {r.g: r.digest for r in f(df, ["g"], F.col("k"), *more).collect()}
+    un = [digest(d, quality.selection_digest) for d in (a, b)]
+    od = [digest(d, quality.ordered_digest, F.col("o")) for d in (a, b)]
+    assert un[0] == un[1] and od[0]["g"] != od[1]["g"] and od[0]["h"] == od[1]["h"] == hashlib.sha256(b"z\n").hexdigest()
+    assert un[0]["g"] == hashlib.sha256(b"x\ny\n").hexdigest()
+    assert quality.digests(a, [], F.col("k"), [F.col("o")]).first().digest == hashlib.sha256(b"xyz").hexdigest()
+    many = spark.range(30_000).selectExpr("cast(id % 3 as string) g", "cast(id as string) k")
+    want = {str(g): hashlib.sha256("".join(f"{x}\n" for x in sorted(str(i) for i in range(g, 30_000, 3))).encode()).hexdigest() for g in range(3)}
+    assert digest(many, quality.selection_digest) == want
+
+
+def test_sampler_refuses_what_it_must(spark):
+    kind = "sample_id string, source string, question string, context string, choices array<string>, stratum string, gold_position int"
+    row = ("a", "s", "q", "Some  text", ["x", "y"], "t", 0)
+    twin = ("b", "s", "q", "some TEXT ", ["x", "y"], "t", 0)
+    pool = sampling.candidate_pool(spark.createDataFrame([row, twin], kind), 1)
+    assert pool.count() == 1
+    with pytest.raises(ValueError, match="conflicting labels"):
+        sampling.candidate_pool(spark.createDataFrame([row, (*twin[:6], 1)], kind), 1)
+    with pytest.raises(ValueError, match="duplicate"):
+        sampling.candidate_pool(spark.createDataFrame([row, row], kind), 1)
+    with pytest.raises(ValueError, match="duplicate"):
+        sampling.hash_sample(spark.createDataFrame([row, row], kind), 1, 1)
+    assert sampling.candidate_pool(spark.createDataFrame([row, ("b", "s", "q", "some text", ["x", "z"], "t", 1)], kind), 1).count() == 2
+    nulls = spark.createDataFrame([(str(i), None if i % 2 else "s", None if i % 3 else "t") for i in range(30)], "sample_id string, source string, stratum string")
+    assert sampling.hash_sample(nulls, 20, 1).count() == 20
+
+
+def test_places_and_order_statistics(spark, monkeypatch):
+    from optika.operators import ranking
+
+    df = spark.range(2000).selectExpr("id", "cast(id % 3 as string) g", "cast((id * 7919) % 641 as double) x")
+    rank = T.hash_rank(1, F.col("id"))
+    w = "row_number() over (partition by g order by h, id)"
+    want = df.withColumn("h", rank).selectExpr("id", f"cast({w} as bigint) r")
+    got = ranking.place_by_hash(df, ["g"], rank, "id").select("id", F.col("_r").alias("r"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    some = ranking.place_by_hash(df, ["g"], rank, "id", 50).where("_r <= 50").groupBy("g").count().collect()
+    assert [r["count"] for r in some] == [50] * 3
+    values = sorted(r.x for r in df.collect())
+    for few in (10_000, 40):
+        monkeypatch.setattr(ranking, "FEW_VALUES", few)
+        assert ranking.order_statistics(df, "x", [1, 2, 999, 1000, 1999, 2000]) == [values[i - 1] for i in (1, 2, 999, 1000, 1999, 2000)]
+
+
+def test_joins_that_must_meet(spark):
+    from optika.operators import indexes
+
+    a = spark.createDataFrame([(1,), (2,)], "k int")
+    b = spark.createDataFrame([(1, "x")], "k int, v string")
+    with pytest.raises(Exception, match="no row for"):
+        indexes.require_partners(a, b, ["k"], "rows").collect()
+    assert indexes.require_partners(a.where("k = 1"), b, ["k"], "rows").first().v == "x"
+    with pytest.raises(Exception, match="varies"):
+        indexes.constant_attribute(spark.createDataFrame([(1, "x"), (1, "y")], "k int, v string"), "k", "v").collect()
+    assert [r.ordinal for r in sampling.select_frozen(b.withColumnRenamed("k", "sample_id"), spark.createDataFrame([(1, 7)], "sample_id int, ordinal int")).collect()] == [7]
 
 
 def test_gates(spark):
@@ -90,12 +145,259 @@ def test_text_and_arrays(spark):
     assert (r.n, r.i, r.c, r.m, r.r, r.b, r.o, r.d) == ("strasse x", 2, "C", 1, [0.7, 0.2, 0.1], 2, {"A": "x", "B": "y"}, 1)
 
 
-def test_truncation_keeps_the_limit(spark):
+@pytest.mark.parametrize("c", [chr(0), "\n", '"', "\\", "a", "\x7f", "é", "\u2028", "😀"])
+def test_escaped_lengths(c):
     import json
 
-    df = spark.createDataFrame([("é" * 10_000,), ("short",), (None,)], "t string")
-    out = [r.x for r in df.select(training.truncate_middle(F.col("t"), F.lit(10), 2000).alias("x")).collect()]
-    assert len(json.dumps(out[0])) + 10 <= 2000 < len(json.dumps(out[0])) + 10 + 12 and training.MARKER in out[0] and out[1:] == ["short", None]
+    assert training.escaped_lengths(c).sum() == len(json.dumps(c)) - 2
+
+
+def test_truncation_is_the_longest_that_fits(spark):
+    import json
+    import random
+
+    r = random.Random(2)
+    texts = ["é" * 10_000, "short", None, "", *("".join(r.choice('ab"\\\n\x01é😀') for _ in range(r.randint(300, 900))) for _ in range(40))]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    size = lambda t: len(json.dumps(t)) + 10
+    cut = lambda t, n: t[: n - n // 2] + training.MARKER + t[len(t) - n // 2 :]
+    for row in df.select("i", "t", training.truncate_middle(F.col("t"), F.lit(10), 800).alias("x")).collect():
+        if row.t is None or size(row.t) <= 800:
+            assert row.x == row.t
+        else:
+            best = max(n for n in range(len(row.t) + 1) if size(cut(row.t, n)) <= 800)
+            assert row.x == cut(row.t, best)
+
+
+def test_texts_are_cleaned_and_folded(spark):
+    import html
+    import re
+
+    raw = ["&lt;i&gt;x &#8217;y&amp;lt;", "a<br/>b<BR >c &nbsp; \t d", None, " <p>Hello <b>w</b>!</p>&mdash; ", "plain"]
+    df = spark.createDataFrame(list(enumerate(raw)), "i int, t string")
+
+    def compact(x):
+        x = re.sub(r"<br\s*/?>", "\n", html.unescape(str(x or "")), flags=re.I)
+        return re.sub(r"[ \t]+", " ", re.sub(r"<[^>]+>", " ", x)).strip()
+
+    got = {r.i: (r.a, r.b) for r in df.select("i", T.clean_html(F.col("t")).alias("a"), T.page_text(F.col("t")).alias("b")).collect()}
+    assert [got[i][0] for i in range(5)] == [compact(x) for x in raw]
+    assert got[3][1] == "Hello  w !— ".strip() or got[3][1] == "Hello  w ! —"
+    folds = ["Straße", "ŉǰ ﬁn", "ΣΑΣ", "İI", "ᏸ Ꮰ", "ﬃ", "ẞ"]
+    got = [r.n for r in spark.createDataFrame(list(enumerate(folds)), "i int, t string").orderBy("i").select(T.normalized(F.col("t")).alias("n")).collect()]
+    assert got == [" ".join(x.split()).casefold() for x in folds]
+
+
+def test_canonical_json_sorts_every_depth(spark):
+    import hashlib
+    import json
+
+    row = {"b": 1, "a": {"z": [{"y": 1, "x": None}], "c": "é/\""}, "m": {"q": 2, "p": 1}}
+    df = spark.createDataFrame([(1, ([(1, None)], 'é/"'), {"q": 2, "p": 1})], "b int, a struct<z:array<struct<y:int,x:int>>,c:string>, m map<string,int>")
+    want = json.dumps(row, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+    got = df.select(T.canonical_json(df).alias("j"), T.canonical_sha(df).alias("s")).first()
+    assert got.j == want and got.s == hashlib.sha256(want.encode()).hexdigest()
+
+
+def test_vectors(spark):
+    one = spark.createDataFrame([([1.0, 2.0, 3.0], [0.0, 0.0])], "l array<double>, z array<double>")
+    r = one.select(A.log_softmax(F.col("l")).alias("a"), A.softmax(F.col("l")).alias("b"), A.keyed(F.col("l"), True).alias("k")).first()
+    import math
+
+    assert all(math.isclose(math.exp(x), y) for x, y in zip(r.a, r.b, strict=True)) and r.k == {"a": 1.0, "b": 2.0, "c": 3.0}
+    with pytest.raises(Exception, match="no mass"):
+        one.select(A.unit_sum_or_fail(F.col("z"))).collect()
+
+
+def test_run_control():
+    import threading
+    import time
+
+    from optika.streaming import control as C
+
+    asked = []
+    assert list(C.in_batches(list(range(10)), lambda b: asked.append(len(b)) or (_ for _ in ()).throw(MemoryError()) if len(b) > 3 else b, 8)) == list(range(10))
+    assert asked == [8, 4]  # the batches that did not fit
+    with pytest.raises(MemoryError):
+        list(C.in_batches([1], lambda b: (_ for _ in ()).throw(MemoryError()), 8))
+    waits, tries = [], iter([C.Failure("a", 503, 7.0), C.Failure("b", 500), "ok"])
+
+    def call():
+        x = next(tries)
+        if isinstance(x, Exception):
+            raise x
+        return x
+
+    assert C.with_retries(call, sleep=waits.append) == "ok" and waits[0] == 7.0 and 4 <= waits[1] < 5
+    with pytest.raises(C.Failure):
+        C.with_retries(lambda: (_ for _ in ()).throw(C.Failure("no", 401)), sleep=waits.append)
+    assert C.backoff_seconds(9) == 30 and C.backoff_seconds(0, 100) == 60 and set(C.RETRYABLE).isdisjoint(C.FATAL)
+    lock, now, most = threading.Lock(), [0], [0]
+
+    def slow(x):
+        with lock:
+            now[0] += 1
+            most[0] = max(most[0], now[0])
+        time.sleep(0.01)
+        with lock:
+            now[0] -= 1
+        return x
+
+    assert sorted(C.bounded(range(20), slow, 3)) == list(range(20)) and most[0] <= 3
+    assert list(C.bounded(range(20), lambda x: x, 3, ok=lambda x: False)) == [0]  # the preflight failed
+    assert len(list(C.bounded(range(500), lambda x: x, 2, preflight=False, ok=lambda x: False))) < 40  # the breaker
+    seen = []
+    with pytest.raises(C.Failure):
+        for x in C.bounded(range(200), lambda x: (_ for _ in ()).throw(C.Failure("stop", 403)) if x == 5 else x, 2, preflight=False):
+            seen.append(x)
+    assert len(seen) < 20
+
+
+def test_one_writer(tmp_path):
+    from optika.streaming.control import WriterLock
+
+    with WriterLock(str(tmp_path / "out")):
+        with pytest.raises(RuntimeError, match="held by"):
+            WriterLock(str(tmp_path / "out")).__enter__()
+    with WriterLock(str(tmp_path / "out")):
+        pass
+
+
+def test_scorer_runs_in_partitions(spark):
+    from optika.streaming import control as C
+
+    def call(row):
+        if row["id"] == 3:
+            raise C.Failure("bad request", 400)
+        return {"pred": row["id"] % 2}
+
+    schema = "id long, pred double, status string, error string"
+    got = {r.id: (r.status, r.error) for r in spark.range(6).mapInPandas(C.scorer(call, schema, 2, 1), schema).collect()}
+    assert got[3] == ("error", "bad request") and all(got[i][0] == "ok" for i in (0, 1, 2, 4, 5))
+
+
+def test_downloads_go_on_where_they_stopped(tmp_path):
+    import http.server
+    import threading
+
+    from optika.sources import fetch
+
+    body, calls = bytes(range(256)) * 40, []
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            have = self.headers.get("Range")
+            calls.append(have)
+            if self.path == "/gone":
+                return self.send_error(404)
+            if len(calls) == 1:
+                return self.send_error(503)
+            start = int(have[6:-1]) if have else 0
+            self.send_response(206 if have else 200)
+            self.end_headers()
+            self.wfile.write(body[start : start + 5000] if len(calls) < 4 else body[start:])
+
+        def log_message(self, *a):
+            pass
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base, waits = f"http://127.0.0.1:{server.server_port}", []
+    path = fetch.download(f"{base}/x", str(tmp_path / "d" / "x.bin"), len(body), wait=waits.append)
+    assert open(path, "rb").read() == body and calls[:2] == [None, None] and calls[2] == "bytes=5000-" and len(waits) == 3
+    with pytest.raises(Exception, match="404"):
+        fetch.download(f"{base}/gone", str(tmp_path / "y"), wait=waits.append)
+    server.shutdown()
+
+
+def test_sources_are_selected_and_checked_out(spark, tmp_path):
+    import subprocess
+
+    from optika.sources import fetch
+
+    registry = spark.createDataFrame([("a", True), ("b", False)], "source string, pinned boolean")
+    assert fetch.select_sources(registry, "all").count() == 2 and fetch.select_sources(registry, ["a"]).first().source == "a"
+    for wanted, message in ((["x"], "unknown"), (["b"], "pinned")):
+        with pytest.raises(ValueError, match=message):
+            fetch.select_sources(registry, wanted)
+    repo = tmp_path / "repo"
+    git = lambda *a: subprocess.run(["git", "-C", str(repo), "-c", "user.name=t", "-c", "user.email=t@example.org", *a], check=True, capture_output=True)
+    repo.mkdir()
+    git("init", "-q")
+    (repo / "f").write_text("one")
+    git("add", "f")
+    git("commit", "-qm", "one")
+    head = fetch.obtain("git", str(repo), "HEAD", str(tmp_path / "copy"))
+    assert len(head) == 40 and (tmp_path / "copy" / "f").read_text() == "one"
+    snap = tmp_path / "snap" / "conf"
+    snap.mkdir(parents=True)
+    (snap / "train.jsonl").write_text('{"a":1}\n')
+    assert fetch.read_snapshot(spark, str(tmp_path / "snap"), "conf", "train", "a int").first().a == 1
+    with pytest.raises(FileNotFoundError):
+        fetch.read_snapshot(spark, str(tmp_path / "snap"), "conf", "test")
+
+
+def test_archives_are_rewritten(tmp_path):
+    import zipfile
+
+    from optika.sources import fetch
+
+    path = str(tmp_path / "a.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("data.jsonl", "x" * 5000)
+        z.writestr("run.log", "secret")
+    assert fetch.rewrite_archive(path, lambda n: not n.endswith(".log")) == ["run.log"]
+    with zipfile.ZipFile(path) as z:
+        assert z.namelist() == ["data.jsonl"] and z.read("data.jsonl") == b"x" * 5000
+
+
+def test_figures(spark, tmp_path):
+    import xml.etree.ElementTree as E
+
+    from optika.sources import figures
+
+    df = spark.createDataFrame([("a", "m1", 0.5), ("a", "m2", 1.0), ("b<", "m1", None)], "r string, c string, v double")
+    curve = spark.createDataFrame([("a", 1, 0.5), ("a", 2, 0.7), ("b", 1, 0.1)], "g string, k int, v double")
+    for svg, tag, n in ((figures.heatmap(df, "r", "c", "v", "T"), "rect", 2), (figures.bars(df, "r", "c", "v"), "rect", 2), (figures.lines(curve, "g", "k", "v"), "polyline", 2)):
+        figures.write_figure(svg, str(tmp_path / "f.svg"))
+        assert len(E.parse(tmp_path / "f.svg").getroot().findall(f".//{{http://www.w3.org/2000/svg}}{tag}")) == n
+
+
+def test_tables_are_switched_and_lines_are_named(spark, tmp_path):
+    from optika.sources import io
+
+    path = f"file://{tmp_path}/t"
+    for i in range(3):
+        io.replace_table(spark.range(i + 1), path)
+        assert io.read_table(spark, path).count() == i + 1
+    assert len([x for x in (tmp_path / "t").iterdir() if x.name.startswith("v-")]) == 2
+    (tmp_path / "x.jsonl").write_text('{"a":1}\n\n{"a":2}\n{"a":\n{"a":4}\n')
+    with pytest.raises(ValueError, match=r"x\.jsonl:4: not a JSON object"):
+        io.require_jsonl(spark, str(tmp_path / "x.jsonl"), "a int")
+    (tmp_path / "y.jsonl").write_text('{"a":1}\n\n{"a":2}\n')
+    assert io.require_jsonl(spark, str(tmp_path / "y.jsonl"), "a int").count() == 2
+
+
+def test_files_are_scanned(spark, tmp_path):
+    import gzip
+    import hashlib
+
+    from optika.sources import io
+
+    lines = [{"sample_id": s, "status": "ok" if s != "c" else "error", "predicted_position": i, "gold_position": 1, "option_count": 3, "probabilities": [0.12341, 0.2, 0.6]} for i, s in enumerate("bacb")]
+    import json
+
+    data = "".join(json.dumps(x) + "\n" for x in lines).encode()
+    (tmp_path / "r").mkdir()
+    (tmp_path / "r" / "a.jsonl.gz").write_bytes(gzip.compress(data))
+    schema = "sample_id string, status string, predicted_position int, gold_position int, option_count int, probabilities array<double>"
+    r = io.scan_jsonl(spark, f"file://{tmp_path}/r", schema, predictions=True).first()
+    assert (r.rows, r.unique_ids, r.duplicate_ids, r.bytes) == (4, 3, ["b"], len(data)) and r.statuses == {"error": 1, "ok": 3}
+    assert r.content_sha256 == hashlib.sha256(data).hexdigest() and r.archive_sha256 == hashlib.sha256((tmp_path / "r" / "a.jsonl.gz").read_bytes()).hexdigest()
+    assert r.selection_sha256 == hashlib.sha256(b"a\nb\nb\nc\n").hexdigest() and r.ordered_ids_sha256 == hashlib.sha256(b"b\na\nc\nb\n").hexdigest()
+    assert r.prediction_digest_sha256 != r.decision_digest_sha256
+    ledger = io.file_ledger(spark, f"file://{tmp_path}/r").first()
+    assert ledger.sha256 == r.archive_sha256
 
 
 def test_adapters(spark):
