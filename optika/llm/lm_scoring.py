@@ -34,8 +34,9 @@ ORDER = 4
 #: Dirichlet weights of the contexts of 1, 2, ... tokens.
 MU = (100.0, 30.0, 10.0)
 CHUNK_BYTES, SHARD_BYTES = 4 << 20, 16 << 20
-#: Hashes of words have 64 bits, which keeps the base score exact; those of longer n-grams 56, a byte less to send.
-SHORT = np.uint64(8)
+#: Hashes of words have 64 bits, which keeps the base score exact.  Those of longer n-grams have this many more than the
+#: size of all texts: about one n-gram of 65,000 shares its hash with another, at any size of the corpus.
+SPARE_BITS, LEAST_BITS = 16, 40
 _U = np.uint64
 END, START = _U(0x1D8E4E27C47D124F), _U(0x7A5F9B3C2E1D4C6B)
 _REQUEST = "chunk long, shard int, check long, grams binary"
@@ -57,7 +58,8 @@ class Grams:
     """The n-grams of a chunk: for each length the distinct hashes, sorted, and which of them ends at each token (-1
     where the text's start is nearer).  The start counts as one token."""
 
-    def __init__(self, token: np.ndarray, bounds: np.ndarray, order: int):
+    def __init__(self, token: np.ndarray, bounds: np.ndarray, order: int, bits: int):
+        short = _U(64 - bits)
         place = self.place = np.arange(bounds[-1]) - np.repeat(bounds[:-1], np.diff(bounds))
         self.distinct, self.at = [], []
         h, before = token, token
@@ -67,7 +69,7 @@ class Grams:
                 before[place == k - 2] = START
                 h = tk.mix(h * _U(0x9E3779B97F4A7C15) + before + _U(k))
             there = place >= k - 2
-            distinct, at = np.unique((h >> SHORT if k > 1 else h)[there], return_inverse=True)
+            distinct, at = np.unique((h >> short if k > 1 else h)[there], return_inverse=True)
             self.distinct.append(distinct)
             self.at.append(np.full(len(token), -1))
             self.at[-1][there] = at
@@ -114,14 +116,14 @@ def _chunk_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Reco
         at += 1
 
 
-def _ask(shards: int, order: int):
+def _ask(shards: int, order: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, c in _chunk_ids(batches):
             token, bounds = _tokens(c.column(2))
             train = np.repeat(~c.column(1).to_numpy(zero_copy_only=False).astype(bool), np.diff(bounds))
-            grams = Grams(token, bounds, order)
+            grams = Grams(token, bounds, order, bits)
             counts = [np.bincount(at[train & (at >= 0)], minlength=len(x)).astype(np.uint64) for x, at in zip(grams.distinct, grams.at, strict=True)]
-            edges = [_shard_bounds(x, shards, 64 if k == 0 else 56) for k, x in enumerate(grams.distinct)]
+            edges = [_shard_bounds(x, shards, 64 if k == 0 else bits) for k, x in enumerate(grams.distinct)]
             out: list[list] = [[], [], [], []]
             for s in range(shards):
                 parts = [x[e[s] : e[s + 1]] for x, e in zip(grams.distinct, edges, strict=True)]
@@ -230,14 +232,14 @@ class Automaton:
 _OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
 
-def _traverse(weights: Weights, order: int):
+def _traverse(weights: Weights, order: int, bits: int):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return _OUT.empty_table()
         docs = docs.sort_by("row").combine_chunks()
         answers = answers.sort_by("shard")
         token, bounds = _tokens(docs["text"])
-        grams = Grams(token, bounds, order)
+        grams = Grams(token, bounds, order, bits)
         counts: list[list[np.ndarray]] = [[] for _ in range(order)]
         ends = [0] * order
         for raw, check in zip(answers["counts"].to_pylist(), answers["check"].to_pylist(), strict=True):
@@ -283,15 +285,14 @@ def score(docs: DataFrame, order: int = ORDER, mu: tuple[float, ...] = MU, stabl
     size = own.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"]
     # a power of two, so that a shard is a range of leading bits
     shards = 1 << max(2, (2 * shuffle_partitions(spark) - 1).bit_length(), (size // SHARD_BYTES).bit_length())
-    asked = own.mapInArrow(_ask(shards, order), _REQUEST)
-    answers = materialize(asked.groupBy("shard").applyInArrow(_answer(order), _ANSWER), "answers")
-    del asked
+    bits = min(64, max(LEAST_BITS, int(size).bit_length() + SPARE_BITS))
+    answers = materialize(own.mapInArrow(_ask(shards, order, bits), _REQUEST).groupBy("shard").applyInArrow(_answer(order), _ANSWER), "answers")
     release_shuffles(spark)
     n = answers.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "types", "once", "twice"))).first()
     weights = Weights(*n, mu)
     tagged = own.mapInArrow(_tag, "chunk long, row long, doc_id long, held_out boolean, text string")
     out = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
-    scored = tagged.groupBy("chunk").cogroup(answers.select("chunk", "shard", "check", "counts").groupBy("chunk")).applyInArrow(_traverse(weights, order), out)
+    scored = tagged.groupBy("chunk").cogroup(answers.select("chunk", "shard", "check", "counts").groupBy("chunk")).applyInArrow(_traverse(weights, order, bits), out)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(n["tokens"])).cast("long").alias("train_tokens"), "base_score", "score")
 
 
