@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -57,12 +58,16 @@ def discard(*tables: DataFrame | None) -> None:
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def release_shuffles(spark: SparkSession) -> None:
-    """Lets the driver drop the shuffle files of finished jobs now, not at its next garbage collection."""
+def release_shuffles(spark: SparkSession, rounds: int = 1) -> None:
+    """Lets the driver drop the shuffle files of finished jobs now, not at its next garbage collection.  What Python has
+    let go reaches the JVM a little later; further ``rounds`` wait for it."""
     import gc
 
-    gc.collect()
-    spark._jvm.System.gc()
+    for k in range(rounds):
+        if k:
+            time.sleep(1)
+        gc.collect()
+        spark._jvm.System.gc()
 
 
 def hash_sample(df: DataFrame, columns: list[str], rows: int, total: int) -> list:

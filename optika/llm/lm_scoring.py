@@ -287,7 +287,7 @@ def score(docs: DataFrame, order: int = ORDER, mu: tuple[float, ...] = MU, stabl
     shards = 1 << max(2, (2 * shuffle_partitions(spark) - 1).bit_length(), (size // SHARD_BYTES).bit_length())
     bits = min(64, max(LEAST_BITS, int(size).bit_length() + SPARE_BITS))
     answers = materialize(own.mapInArrow(_ask(shards, order, bits), _REQUEST).groupBy("shard").applyInArrow(_answer(order), _ANSWER), "answers")
-    release_shuffles(spark)
+    release_shuffles(spark, 4)
     n = answers.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "types", "once", "twice"))).first()
     weights = Weights(*n, mu)
     tagged = own.mapInArrow(_tag, "chunk long, row long, doc_id long, held_out boolean, text string")
