@@ -35,8 +35,8 @@ ORDER = 4
 MU = (100.0, 30.0, 10.0)
 CHUNK_BYTES, SHARD_BYTES = 4 << 20, 16 << 20
 #: Hashes of words have 64 bits, which keeps the base score exact.  Those of longer n-grams have this many more than the
-#: size of all texts: about one n-gram of 65,000 shares its hash with another, at any size of the corpus.
-SPARE_BITS, LEAST_BITS = 16, 40
+#: size of all texts: about one n-gram of 1,000 shares its hash with another, at any size of the corpus.
+SPARE_BITS, LEAST_BITS = 10, 40
 _U = np.uint64
 END, START = _U(0x1D8E4E27C47D124F), _U(0x7A5F9B3C2E1D4C6B)
 _REQUEST = "chunk long, shard int, check long, grams binary"
