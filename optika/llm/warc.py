@@ -91,7 +91,7 @@ class Archive:
         self.path, self.date, self.sample, self.waiting, self.held, self.records, self.bytes = path, date, sample, [], 0, 0, 0
         self.frames = None
         store, at = open_store(path)
-        self.file = store.open_output_stream(at)
+        self.file = store.open_output_stream(at, compression=None)
 
     def _put(self, data: bytes) -> None:
         self.file.write(data)
@@ -321,7 +321,7 @@ def _reader(payload: bool, batch_bytes: int = 4 << 20):
         for b in batches:
             for path in b.column(0).to_pylist():
                 store, at = open_store(path)
-                with store.open_input_stream(at) as file:
+                with store.open_input_stream(at, compression=None) as file:
                     try:
                         for offset, data in frames(file):
                             row = {"archive": path, "offset": offset}
