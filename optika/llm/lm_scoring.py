@@ -11,10 +11,13 @@ traversed from left to right, from the start state through its words to the end
 suffix that is a state; weights are added up.
 
 The automaton of a large corpus has no bounded size, so it is never in one place.  Each chunk of texts asks for the
-states and arcs that it needs: one pass sends each chunk's distinct n-gram hashes, with their training counts, to shards
-by hash; a shard adds the counts up and answers each chunk; a chunk then builds its part of the automaton and traverses
-its texts.  What is sent grows with the corpus, and a frequent n-gram costs a shard one entry per chunk.  The number
-of shards follows from the size of the texts, so that a shard fits in a task whatever the session's partitions are.
+states and arcs that it needs.  An n-gram that no other chunk holds has the chunk's own count; so chunks first send short
+keys of their n-grams to shards by key, and a shard answers with a bit for each: whether another chunk sent the key too.
+Only n-grams of such keys are then sent with their whole 64-bit hashes and training counts; a shard adds the counts up
+and answers each chunk, and a chunk builds its part of the automaton and traverses its texts.  Keys decide what is sent,
+never a count: where two n-grams share a key, both are sent.  What is sent grows with the corpus, and a frequent n-gram
+costs a shard one entry per chunk.  The number of shards follows from the size of the texts, so that a shard fits in a
+task whatever the session's partitions are.
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,12 +38,12 @@ ORDER = 4
 #: Dirichlet weights of the contexts of 1, 2, ... tokens.
 MU = (100.0, 30.0, 10.0)
 CHUNK_BYTES, SHARD_BYTES = 4 << 20, 16 << 20
-#: Hashes of words have 64 bits, which keeps the base score exact.  Those of longer n-grams have this many more than the
-#: size of all texts: about one n-gram of 1,000 shares its hash with another, at any size of the corpus.
-SPARE_BITS, LEAST_BITS = 10, 40
+#: Keys have this many bits more than the size of all texts, so that few n-grams of one chunk share theirs with another's.
+KEY_BITS, LEAST_KEY_BITS = 4, 24
 _U = np.uint64
 END, START = _U(0x1D8E4E27C47D124F), _U(0x7A5F9B3C2E1D4C6B)
 _REQUEST = "chunk long, shard int, check long, grams binary"
+_SHARED = "chunk long, shard int, check long, shared binary"
 _ANSWER = "chunk long, shard int, check long, counts binary, tokens long, types long, once long, twice long"
 
 
@@ -58,8 +62,7 @@ class Grams:
     """The n-grams of a chunk: for each length the distinct hashes, sorted, and which of them ends at each token (-1
     where the text's start is nearer).  The start counts as one token."""
 
-    def __init__(self, token: np.ndarray, bounds: np.ndarray, order: int, bits: int):
-        short = _U(64 - bits)
+    def __init__(self, token: np.ndarray, bounds: np.ndarray, order: int):
         place = self.place = np.arange(bounds[-1]) - np.repeat(bounds[:-1], np.diff(bounds))
         self.distinct, self.at = [], []
         h, before = token, token
@@ -69,11 +72,20 @@ class Grams:
                 before[place == k - 2] = START
                 h = tk.mix(h * _U(0x9E3779B97F4A7C15) + before + _U(k))
             there = place >= k - 2
-            distinct, at = np.unique((h >> short if k > 1 else h)[there], return_inverse=True)
+            distinct, at = np.unique(h[there], return_inverse=True)
             self.distinct.append(distinct)
             self.at.append(np.full(len(token), -1))
             self.at[-1][there] = at
 
+    def keys(self, bits: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """For each length from 2 the distinct keys (leading bits of hashes), sorted, and the key of each n-gram."""
+        found = [np.unique(x >> _U(64 - bits), return_inverse=True) for x in self.distinct[1:]]
+        return [x for x, _ in found], [at for _, at in found]
+
+    def own(self, train: np.ndarray) -> list[np.ndarray]:
+        """How often each n-gram ends at a token of a training text of the chunk."""
+        return [np.bincount(at[train & (at >= 0)], minlength=len(x)) for x, at in zip(self.distinct, self.at, strict=True)]
+
 
 def _pack(x: np.ndarray) -> bytes:
     """Unsigned numbers in as many bytes each as the largest needs, stored by byte planes."""
@@ -106,34 +118,102 @@ def _check(parts: list[np.ndarray]) -> int:
     return int(total.view(np.int64))
 
 
-def _chunk_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+def _chunk_ids(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[int, pa.RecordBatch]]:
     """Chunks with an id that a second reading of the same input gives again."""
     from pyspark import TaskContext
 
     at = TaskContext.get().partitionId() << 32
-    for c in tk.chunks(batches, "text", CHUNK_BYTES):
+    for c in tk.chunks(batches, "text", most):
         yield at, c
         at += 1
 
 
-def _ask(shards: int, order: int, bits: int):
+def _sent(chunk: int, shards: int, lists: list[np.ndarray], bits: list[int], more: list[np.ndarray] | None = None) -> dict:
+    """Rows of sorted numbers (and numbers that go with them), dealt to shards."""
+    edges = [_shard_bounds(x, shards, n) for x, n in zip(lists, bits, strict=True)]
+    out: dict[str, list] = {"chunk": [], "shard": [], "check": [], "grams": []}
+    for s in range(shards):
+        parts = [x[e[s] : e[s + 1]] for x, e in zip(lists, edges, strict=True)]
+        if any(map(len, parts)):
+            blob = [_pack(np.diff(x, prepend=_U(0))) for x in parts]
+            if more:
+                blob = [y for x, n, e in zip(blob, more, edges, strict=True) for y in (x, _pack(n[e[s] : e[s + 1]].astype(np.uint64)))]
+            for col, x in zip(out.values(), (chunk, s, _check(parts), b"".join(blob)), strict=True):
+                col.append(x)
+    return out
+
+
+_SENT = pa.schema([("chunk", pa.int64()), ("shard", pa.int32()), ("check", pa.int64()), ("grams", pa.binary())])
+
+
+def _ask_keys(shards: int, order: int, bits: int, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk, c in _chunk_ids(batches):
-            token, bounds = _tokens(c.column(2))
-            train = np.repeat(~c.column(1).to_numpy(zero_copy_only=False).astype(bool), np.diff(bounds))
-            grams = Grams(token, bounds, order, bits)
-            counts = [np.bincount(at[train & (at >= 0)], minlength=len(x)).astype(np.uint64) for x, at in zip(grams.distinct, grams.at, strict=True)]
-            edges = [_shard_bounds(x, shards, 64 if k == 0 else bits) for k, x in enumerate(grams.distinct)]
-            out: list[list] = [[], [], [], []]
-            for s in range(shards):
-                parts = [x[e[s] : e[s + 1]] for x, e in zip(grams.distinct, edges, strict=True)]
-                if not any(map(len, parts)):
-                    continue
-                blob = b"".join(_pack(np.diff(x, prepend=_U(0))) + _pack(n[e[s] : e[s + 1]]) for x, n, e in zip(parts, counts, edges, strict=True))
-                for col, x in zip(out, (chunk, s, _check(parts), blob), strict=True):
-                    col.append(x)
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=["chunk", "shard", "check", "grams"])
+        for chunk, c in _chunk_ids(batches, most):
+            keys, _ = Grams(*_tokens(c.column(2)), order).keys(bits)
+            yield pa.RecordBatch.from_pydict(_sent(chunk, shards, keys, [bits] * len(keys)), _SENT)
+
+    return run
+
+
+def _answer_keys(order: int):
+    def run(table: pa.Table) -> pa.Table:
+        """Which keys of a shard several chunks sent; a bit for each."""
+        raw = table["grams"].to_pylist()
+        spots, blobs = [0] * len(raw), [[] for _ in raw]
+        for _ in range(order - 1):
+            keys = []
+            for i, x in enumerate(raw):
+                d, spots[i] = _unpack(x, spots[i])
+                keys.append(np.cumsum(d, dtype=np.uint64))
+            _, at, n = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
+            several, end = n[at] > 1, 0
+            for i, x in enumerate(keys):
+                blobs[i].append(struct.pack("<I", len(x)) + np.packbits(several[end : end + len(x)]).tobytes())
+                end += len(x)
+        return pa.table({"chunk": table["chunk"], "shard": table["shard"], "check": table["check"], "shared": pa.array([b"".join(x) for x in blobs], pa.binary())})
+
+    return run
+
+
+def _shared(grams: Grams, table: pa.Table, bits: int) -> list[np.ndarray]:
+    """The n-grams that are sent: all words, and of longer ones those whose key is another chunk's too."""
+    keys, at = grams.keys(bits)
+    found: list[list[np.ndarray]] = [[] for _ in keys]
+    ends = [0] * len(keys)
+    for raw, check in zip(table["shared"].to_pylist(), table["check"].to_pylist(), strict=True):
+        spot, parts = 0, []
+        for k, x in enumerate(keys):
+            (n,) = struct.unpack_from("<I", raw, spot)
+            size = (n + 7) // 8
+            found[k].append(np.unpackbits(np.frombuffer(raw, np.uint8, size, spot + 4), count=n).astype(bool))
+            parts.append(x[ends[k] : ends[k] + n])
+            ends[k], spot = ends[k] + n, spot + 4 + size
+        _same(check == _check(parts))
+    _same(ends == [len(x) for x in keys])
+    return [np.ones(len(grams.distinct[0]), bool), *(np.concatenate(x)[i] if x else np.zeros(0, bool) for x, i in zip(found, at, strict=True))]
+
+
+def _same(ok: bool) -> None:
+    if not ok:
+        raise RuntimeError("the input's partitions changed between two readings")
+
+
+def _chunk(docs: pa.Table, order: int) -> tuple[pa.Table, Grams, np.ndarray, np.ndarray]:
+    """A chunk's rows in order, its n-grams, bounds of texts, and which tokens are of training texts."""
+    docs = docs.sort_by("row").combine_chunks()
+    token, bounds = _tokens(docs["text"])
+    train = ~docs["held_out"].combine_chunks().to_numpy(zero_copy_only=False).astype(bool)
+    return docs, Grams(token, bounds, order), bounds, np.repeat(train, np.diff(bounds))
+
+
+def _ask(shards: int, order: int, bits: int):
+    def run(docs: pa.Table, told: pa.Table) -> pa.Table:
+        if not docs.num_rows:
+            return _SENT.empty_table()
+        _, grams, _, train = _chunk(docs, order)
+        sent = _shared(grams, told.sort_by("shard"), bits)
+        lists, counts = ([x[m] for x, m in zip(xs, sent, strict=True)] for xs in (grams.distinct, grams.own(train)))
+        return pa.Table.from_pydict(_sent(docs["chunk"][0].as_py(), shards, lists, [64] * order, counts), _SENT)
 
     return run
 
@@ -233,27 +313,27 @@ _OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens",
 
 
 def _traverse(weights: Weights, order: int, bits: int):
-    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
+    def run(docs: pa.Table, told: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return _OUT.empty_table()
-        docs = docs.sort_by("row").combine_chunks()
-        answers = answers.sort_by("shard")
-        token, bounds = _tokens(docs["text"])
-        grams = Grams(token, bounds, order, bits)
-        counts: list[list[np.ndarray]] = [[] for _ in range(order)]
+        docs, grams, bounds, train = _chunk(docs, order)
+        told = told.sort_by("shard")
+        sent = _shared(grams, told.filter(pa.compute.is_valid(told["shared"])), bits)
+        lists, counts = [x[m] for x, m in zip(grams.distinct, sent, strict=True)], grams.own(train)
+        answers = told.filter(pa.compute.is_valid(told["counts"]))
+        found: list[list[np.ndarray]] = [[] for _ in range(order)]
         ends = [0] * order
         for raw, check in zip(answers["counts"].to_pylist(), answers["check"].to_pylist(), strict=True):
             spot, parts = 0, []
             for k in range(order):
                 n, spot = _unpack(raw, spot)
-                counts[k].append(n)
-                parts.append(grams.distinct[k][ends[k] : ends[k] + len(n)])
+                found[k].append(n)
+                parts.append(lists[k][ends[k] : ends[k] + len(n)])
                 ends[k] += len(n)
-            if check != _check(parts):
-                raise RuntimeError("the input's partitions changed between two readings")
-        if ends != [len(x) for x in grams.distinct]:
-            raise RuntimeError("the input's partitions changed between two readings")
-        counts = [np.concatenate(x).astype(np.int64) for x in counts]
+            _same(check == _check(parts))
+        _same(ends == [len(x) for x in lists])
+        for k in range(order):
+            counts[k][sent[k]] = np.concatenate(found[k]).astype(np.int64)
         word = counts[0][grams.at[0]]
         steps = Automaton(grams, counts, weights).traverse()
         sums = [np.add.reduceat(x, bounds[:-1]) for x in (weights.base(word), steps, (word > 0).astype(np.int64))]
@@ -263,16 +343,20 @@ def _traverse(weights: Weights, order: int, bits: int):
     return run
 
 
-def _tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for chunk, c in _chunk_ids(batches):
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(c.num_rows, chunk)), pa.array(np.arange(c.num_rows)), *c.columns], names=["chunk", "row", *c.schema.names])
+def _tag(most: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk, c in _chunk_ids(batches, most):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(c.num_rows, chunk)), pa.array(np.arange(c.num_rows)), *c.columns], names=["chunk", "row", *c.schema.names])
+
+    return run
 
 
-def score(docs: DataFrame, order: int = ORDER, mu: tuple[float, ...] = MU, stable: bool = False) -> DataFrame:
+def score(docs: DataFrame, order: int = ORDER, mu: tuple[float, ...] = MU, stable: bool = False, chunk_bytes: int = CHUNK_BYTES, key_bits: int | None = None) -> DataFrame:
     """Scores all rows of docs (doc_id, text, held_out), learning from those that are not held out.
 
-    The rows are read twice and must be the same in the same partitions both times; unless ``stable`` says that docs
-    reads a table as it stands, they are written to one first.  A change is detected and fails the job.  Returns doc_id,
+    The rows are read three times and must be the same in the same partitions each time; unless ``stable`` says that docs
+    reads a table as it stands, they are written to one first.  A change is detected and fails the job.  ``chunk_bytes``
+    and ``key_bits`` change what is sent, not the scores.  Returns doc_id,
     held_out, n_tokens, n_known, train_tokens, base_score, score.  A null or empty text is the end token alone; repeated
     rows are scored each; with nothing to learn from, base_score is 0 and score 0 for each token; an empty table gives an
     empty result.
@@ -285,14 +369,20 @@ def score(docs: DataFrame, order: int = ORDER, mu: tuple[float, ...] = MU, stabl
     size = own.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"]
     # a power of two, so that a shard is a range of leading bits
     shards = 1 << max(2, (2 * shuffle_partitions(spark) - 1).bit_length(), (size // SHARD_BYTES).bit_length())
-    bits = min(64, max(LEAST_BITS, int(size).bit_length() + SPARE_BITS))
-    answers = materialize(own.mapInArrow(_ask(shards, order, bits), _REQUEST).groupBy("shard").applyInArrow(_answer(order), _ANSWER), "answers")
-    release_shuffles(spark, 4)
+    bits = key_bits or min(64, max(LEAST_KEY_BITS, int(size).bit_length() + KEY_BITS))
+    shards = min(shards, 1 << bits)
+    tagged = own.mapInArrow(_tag(chunk_bytes), "chunk long, row long, doc_id long, held_out boolean, text string")
+    shared = materialize(own.mapInArrow(_ask_keys(shards, order, bits, chunk_bytes), _REQUEST).groupBy("shard").applyInArrow(_answer_keys(order), _SHARED), "shared")
+    release_shuffles(spark, 2)
+    asked = tagged.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(_ask(shards, order, bits), _REQUEST)
+    answers = materialize(asked.groupBy("shard").applyInArrow(_answer(order), _ANSWER), "answers")
+    release_shuffles(spark, 2)
     n = answers.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "types", "once", "twice"))).first()
     weights = Weights(*n, mu)
-    tagged = own.mapInArrow(_tag, "chunk long, row long, doc_id long, held_out boolean, text string")
     out = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
-    scored = tagged.groupBy("chunk").cogroup(answers.select("chunk", "shard", "check", "counts").groupBy("chunk")).applyInArrow(_traverse(weights, order, bits), out)
+    none = F.lit(None).cast("binary")
+    told = answers.select("chunk", "shard", "check", "counts", none.alias("shared")).unionByName(shared.select("chunk", "shard", "check", none.alias("counts"), "shared"))
+    scored = tagged.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(_traverse(weights, order, bits), out)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(n["tokens"])).cast("long").alias("train_tokens"), "base_score", "score")
 
 

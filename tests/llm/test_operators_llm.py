@@ -812,13 +812,20 @@ def test_distributions_of_states_sum_to_one():
         assert math.isclose(sum(a.p(state, w) for w in [*a.uni, "unknown"]), 1, rel_tol=1e-9)
 
 
+@pytest.mark.parametrize("key_bits", [3, 11, 64])
+def test_scores_do_not_depend_on_keys(spark, sf_dir, key_bits):
+    """Keys that most n-grams share with others, and keys as long as hashes, give the automaton's scores."""
+    rows = [(i, t, i % 5 == 0) for i, t in documents(spark, sf_dir)[:120]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, held_out boolean").repartition(5)
+    check_scores(lm_scoring.score(docs, chunk_bytes=20_000, key_bits=key_bits).collect(), rows)
+
+
 @pytest.mark.parametrize("shard_bytes, chunk_bytes", [(1 << 24, 1 << 22), (256, 700)])
 def test_scores_hard_rows(monkeypatch, hard_documents, empty_documents, shard_bytes, chunk_bytes):
     monkeypatch.setattr(lm_scoring, "SHARD_BYTES", shard_bytes)
-    monkeypatch.setattr(lm_scoring, "CHUNK_BYTES", chunk_bytes)
     docs = hard_documents.withColumn("held_out", F.coalesce(F.col("doc_id") > 8, F.lit(True)))
     rows = [(r.doc_id, r.text, r.held_out) for r in docs.collect()]
-    check_scores(lm_scoring.score(docs).collect(), rows)
+    check_scores(lm_scoring.score(docs, chunk_bytes=chunk_bytes).collect(), rows)
     check_scores(lm_scoring.score(docs, order=2, mu=(8.0,)).collect(), rows, order=2, mu=(8.0,))
     assert lm_scoring.score(empty_documents.withColumn("held_out", F.lit(False))).count() == 0
     none = lm_scoring.score(docs.withColumn("held_out", F.lit(True))).collect()
