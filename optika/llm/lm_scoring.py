@@ -37,7 +37,7 @@ from optika.llm.common import materialize, release_shuffles, shuffle_partitions,
 ORDER = 4
 #: Dirichlet weights of the contexts of 1, 2, ... tokens.
 MU = (100.0, 30.0, 10.0)
-CHUNK_BYTES, SHARD_BYTES = 4 << 20, 16 << 20
+CHUNK_BYTES, SHARD_BYTES = 6 << 20, 16 << 20
 #: Keys have this many bits more than the size of all texts, so that few n-grams of one chunk share theirs with another's.
 KEY_BITS, LEAST_KEY_BITS = 4, 24
 _U = np.uint64
