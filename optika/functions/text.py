@@ -19,21 +19,48 @@ def trim_blanks(x: Column) -> Column:
     return F.regexp_replace(x, r"(?U)^[\s\x1c-\x1f\x85]+|[\s\x1c-\x1f\x85]+$", "")
 
 
-#: What case folding makes of characters that lower case leaves, by Python's own tables.
-FOLDS = {c: c.casefold() for i in range(0x110000) if not 0xD800 <= i < 0xE000 for c in chr(i).lower() if c.casefold() != c}
+#: What case folding makes of characters that lower case leaves, by Python's own tables: of one character one, or several.
+_FOLDS = {c: c.casefold() for i in range(0x110000) if not 0xD800 <= i < 0xE000 for c in chr(i).lower() if c.casefold() != c}
+_SINGLE = {c: f for c, f in _FOLDS.items() if len(f) == 1}
+_SEVERAL = {c: f for c, f in _FOLDS.items() if len(f) > 1}
+#: The one of several that common texts hold; it is replaced without a look at the others.
+_SHARP = "\u00df"
+_RARE = "".join(c for c in _SEVERAL if c != _SHARP)
+#: Blanks beside the space: they become spaces in the same pass over a text as its letters.
+_BLANKS = "".join(chr(i) for i in range(0x3001) if chr(i).isspace() and chr(i) != " ")
+
+
+#: Marks the rare ones in the pass over a text's letters.
+_MARK = "\uffff"
+
+
+def _folded(low: Column, more: str = "", by: str = "") -> Column:
+    """A lower-cased text folded: one pass for characters that become one, which also marks those that become several;
+    a text without marks is done, but for the sharp s."""
+    several = F.lit(_SEVERAL[_SHARP])
+    one = F.translate(low, "".join(_SINGLE) + more + _RARE, "".join(_SINGLE.values()) + by + _MARK * len(_RARE))
+    rare = F.translate(low, "".join(_SINGLE) + more, "".join(_SINGLE.values()) + by)
+    for c in _RARE:
+        rare = F.replace(rare, F.lit(c), F.lit(_SEVERAL[c]))
+    return F.replace(F.when(F.contains(one, F.lit(_MARK)), rare).otherwise(one), F.lit(_SHARP), several)
+
+
+def _plain(x: Column) -> Column:
+    """Whether a text has ASCII characters only, which lower case folds."""
+    return F.octet_length(x) == F.char_length(x)
 
 
 def casefold(x: Column) -> Column:
-    """Case folding: lower case, and for texts that hold a character that folds further that character's folding."""
-    low = F.lower(x)
-    folds = F.map_from_arrays(F.array(*map(F.lit, FOLDS)), F.array(*map(F.lit, FOLDS.values())))
-    letters = F.transform(F.split(low, ""), lambda c: F.coalesce(F.try_element_at(folds, c), c))
-    return F.when(low.rlike("[" + "".join(FOLDS) + "]"), F.array_join(letters, "")).otherwise(low)
+    """Case folding in generated code; its cost is that of lower case for ASCII texts and a few passes for others."""
+    return F.when(_plain(x), F.lower(x)).otherwise(_folded(F.lower(x)))
 
 
 def normalized(x: Column) -> Column:
     """Blanks collapsed to one space, trimmed, case-folded."""
-    return casefold(F.trim(F.regexp_replace(x, BLANK, " ")))
+    ascii_blanks = "".join(c for c in _BLANKS if ord(c) < 128)
+    plain = F.translate(F.lower(x), ascii_blanks, " " * len(ascii_blanks))
+    spaced = F.when(_plain(x), plain).otherwise(_folded(F.lower(x), _BLANKS, " " * len(_BLANKS)))
+    return F.trim(F.regexp_replace(spaced, " {2,}", " "))
 
 
 def or_else(*xs: Column) -> Column:
@@ -50,9 +77,19 @@ def _unescape(xs: pd.Series) -> pd.Series:
     return xs.map(lambda x: html.unescape(x) if isinstance(x, str) and "&" in x else x)
 
 
+# The references that need no look into the list of all names; the ampersand comes last.
+_USUAL = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&#39;": "'", "&#x27;": "'", "&nbsp;": "\u00a0", "&amp;": "&"}
+
+
 def unescape(x: Column) -> Column:
-    """All HTML references decoded, once."""
-    return F.pandas_udf(_unescape, "string")(x)
+    """All HTML references decoded, once.  Texts whose references are the usual ones stay in generated code; others go
+    to a Python worker."""
+    usual = rest = x
+    for name, char in _USUAL.items():
+        usual, rest = F.replace(usual, F.lit(name), F.lit(char)), F.replace(rest, F.lit(name), F.lit(" "))
+    amp = F.lit("&")
+    odd = F.contains(x, amp) & F.contains(rest, amp)
+    return F.when(~F.contains(x, amp), x).when(~odd, usual).otherwise(F.pandas_udf(_unescape, "string")(F.when(odd, x)))
 
 
 def clean_html(x: Column) -> Column:

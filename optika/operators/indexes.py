@@ -6,26 +6,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from optika.functions import text as T
+from optika.sources.scratch import written
 
 
 def with_ordinal(df: DataFrame, order: list[str]) -> DataFrame:
-    """Adds ordinal, the place from 0 in a total order: ranges are numbered on their own and shifted by those before.
-
-    The range of a row is its number of cuts at or below it, so that it does not depend on how Spark deals rows out."""
-    key, rows = F.struct(*order), df.count()
-    parts = max(1, rows // 100_000)
-    cuts: list[tuple] = []
-    if parts > 1:  # about eight rows for each cut, chosen by hash
-        some = df.select(*order).where(F.pmod(F.xxhash64(*order), F.lit(max(1, rows // (8 * parts)))) == 0).distinct()
-        cuts = sorted(tuple(r) for r in some.collect())[8::8]
-    names = {f.name: f.dataType for f in df.schema.fields}
-    below = [F.struct(*(F.lit(x).cast(names[c]).alias(c) for x, c in zip(cut, order, strict=True))) for cut in cuts]
-    ranged = df.withColumn("_range", F.size(F.filter(F.array(*below), lambda c: c <= key)) if below else F.lit(0))
-    sizes = ranged.groupBy(F.col("_range").alias("_g")).agg(F.count("*").alias("_n"))
+    """Adds ordinal, the place from 0 in a total order.
+
+    Rows are range-partitioned by bounds that Spark samples, sorted, and written once with their partition and place in it;
+    the sizes of partitions, a row for each, are summed up and added.  The plan does not grow with the rows, no range goes
+    through the driver, and what is read afterwards can't fall into other ranges."""
+    place = F.monotonically_increasing_id()  # partition number and, below it, place in the partition
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", place)
+    ranged = written(ranged, "ordinal")
+    part = F.shiftright("_at", 33)
+    sizes = ranged.groupBy(part.alias("_g")).agg(F.count("*").alias("_n"))
     before = Window.orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select("_g", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
-    return ranged.withColumn("_place", place).join(sizes, F.col("_range") == F.col("_g")).withColumn("ordinal", (F.col("_place") - 1 + F.col("_before")).cast("long")).drop("_range", "_place", "_g", "_before")
+    sizes = F.broadcast(sizes.select("_g", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")))  # a row for each partition
+    joined = ranged.join(sizes, part == F.col("_g"))
+    return joined.withColumn("ordinal", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("_before")).drop("_at", "_g", "_before")
 
 
 def _without(df: DataFrame, *gone: str) -> Column:

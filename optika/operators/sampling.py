@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from optika.functions import text as T
 from optika.operators.ranking import place_by_hash
+from optika.sources.scratch import written
 
 
 def lowest_rank_copy(df: DataFrame, signature: str, rank: str, key: str) -> DataFrame:
@@ -54,55 +56,129 @@ def candidate_pool(df: DataFrame, seed: int) -> DataFrame:
     return lowest_rank_copy(signed, "signature", "rank", "sample_id")
 
 
-def capped_allocation(available: dict, wanted: int) -> dict:
-    """Deals ``wanted`` units to the cells in turn, in the order of their names, none beyond what a cell has.
+class _Circle:
+    """Cells in a circle with what each has left, in blocks: the least of all, the first with it from a place on, and one
+    less for a run of cells each cost about the square root of the number of cells."""
+
+    GONE = 1 << 62
+
+    def __init__(self, room: np.ndarray):
+        self.size = max(16, int(len(room) ** 0.5))
+        pad = -len(room) % self.size
+        self.room = np.concatenate([room, np.full(pad, self.GONE)]).reshape(-1, self.size)
+        self.shift = np.zeros(len(self.room), np.int64)
+        self.least = self.room.min(1)
+        self.count = (self.room < self.GONE).sum(1)
+
+    def place(self, nth: int) -> int:
+        """Where the nth cell left stands."""
+        upto = np.cumsum(self.count)
+        b = int(np.searchsorted(upto, nth, "right"))
+        inside = nth - (int(upto[b - 1]) if b else 0)
+        return b * self.size + int(np.flatnonzero(self.room[b] < self.GONE)[inside])
+
+    def number(self, place: int) -> int:
+        """How many cells left stand before a place."""
+        b, i = divmod(place, self.size)
+        return int(self.count[:b].sum()) + int((self.room[b, :i] < self.GONE).sum())
+
+    def next_with(self, value: int, place: int) -> int:
+        """The first cell with that much left, from a place on and around."""
+        b, i = divmod(place, self.size)
+        here = np.flatnonzero(self.room[b, i:] == value - self.shift[b])
+        if len(here):
+            return place + int(here[0])
+        have = np.flatnonzero(self.least == value)
+        b = int(have[have > b][0]) if (have > b).any() else int(have[0])
+        return b * self.size + int(np.flatnonzero(self.room[b] == value - self.shift[b])[0])
+
+    def one_less(self, start: int, stop: int) -> None:
+        (a, i), (b, j) = divmod(start, self.size), divmod(stop, self.size)
+        if a == b:
+            self._part(a, i, j)
+            return
+        self._part(a, i, self.size)
+        self.shift[a + 1 : b] -= 1
+        self.least[a + 1 : b] -= 1
+        if j:
+            self._part(b, 0, j)
+
+    def _part(self, b: int, i: int, j: int) -> None:
+        run = self.room[b, i:j]
+        run[run < self.GONE] -= 1
+        self._settle(b)
+
+    def _settle(self, b: int) -> None:
+        low = self.room[b].min()
+        self.least[b] = low + self.shift[b] if low < self.GONE else self.GONE
+
+    def remove(self, place: int) -> None:
+        b, i = divmod(place, self.size)
+        self.room[b, i] = self.GONE
+        self.count[b] -= 1
+        self._settle(b)
+
+
+def deal(room: np.ndarray, wanted: int) -> np.ndarray:
+    """Deals ``wanted`` units to cells in turn, none beyond its room.
 
     A used-up cell leaves the circle only when its turn comes; the turn counter, which until then runs on without
-    wrapping, is then reduced modulo the number of cells left.  This can pass over cells and is part of the definition.
-
-    Between two departures the circle turns evenly.  With the cursor at place p of m cells, a cell d places ahead is visited at
-    the steps d, d + m, d + 2m, ..., and is found empty at the step d + m * room.  The least of these is the next
-    departure, and how often each cell is visited before it follows from a division: the work does not grow with the units.
-    """
-    names = sorted(c for c, n in available.items() if n > 0)
-    room = np.array([available[c] for c in names], np.int64)
+    wrapping, is then reduced modulo the number of cells left.  This can pass over cells and is part of the definition, so
+    that departures follow one from the other.
+
+    Between two departures the circle turns evenly.  The next to leave is the first cell from the cursor on among those
+    that have the least left, r: until its turn every cell is visited r times, those between the cursor and it once more.
+    A departure costs the square root of the number of cells, whatever the number of units."""
+    room = np.asarray(room, np.int64)
     if room.sum() < wanted:
         raise ValueError(f"{wanted} rows wanted, {int(room.sum())} available")
-    given, circle, turn, left = np.zeros_like(room), np.arange(len(names)), 0, int(wanted)
+    cells = np.flatnonzero(room > 0)
+    circle, given, rounds, cursor, left, m = _Circle(room[cells]), np.zeros_like(room), 0, 0, int(wanted), len(cells)
     while left:
-        m = len(circle)
-        ahead = (np.arange(m) - turn) % m
-        empty_at = ahead + m * room[circle]
-        leaver = int(empty_at.argmin())
-        steps = min(left, int(empty_at[leaver]))
-        visits = np.maximum(0, -(-(steps - ahead) // m))
-        given[circle] += visits
-        room[circle] -= visits
-        left, turn = left - steps, turn + steps
-        if left:
-            circle = np.delete(circle, leaver)
-            turn %= len(circle)
-    return {c: int(n) for c, n in zip(names, given, strict=True)}
-
-
-def two_level_allocation(cells: dict[tuple, int], wanted: int) -> dict[tuple, int]:
-    """Sources first, then the strata inside each source.  Null names come last."""
-    name = lambda x: (x is None, x if x is not None else "")
-    of: dict = {}
-    for (source, stratum), n in cells.items():
-        of.setdefault(name(source), {})[name(stratum)] = n
-    outer = capped_allocation({s: sum(inner.values()) for s, inner in of.items()}, wanted)
-    back = lambda x: None if x[0] else x[1]
-    return {(back(s), back(t)): n for s, share in outer.items() for t, n in capped_allocation(of[s], share).items()}
+        value = int(circle.least.min())
+        start = circle.place(cursor)
+        leaver = circle.next_with(value, start)
+        ahead = (circle.number(leaver) - cursor) % m
+        steps = ahead + m * (value - rounds)
+        if steps >= left:
+            break
+        rounds = value
+        if leaver >= start:
+            circle.one_less(start, leaver)
+        else:
+            circle.one_less(start, circle.room.size)
+            circle.one_less(0, leaver)
+        circle.remove(leaver)
+        m, left = m - 1, left - steps
+        cursor = (cursor + steps) % m if m else 0
+    still = (circle.room < circle.GONE).reshape(-1)[: len(cells)]
+    now = (circle.room + circle.shift[:, None]).reshape(-1)[: len(cells)] - rounds
+    given[cells] = room[cells]
+    there = np.flatnonzero(still)
+    more = np.full(m, left // max(1, m)) + ((np.arange(m) - cursor) % max(1, m) < left % max(1, m))
+    given[cells[there]] -= now[there] - more
+    return given
+
+
+def _dealt(rows: pd.DataFrame, name: str, n: str, wanted: int) -> pd.DataFrame:
+    rows = rows.sort_values(name, na_position="last", kind="stable")
+    return rows.assign(given=deal(rows[n].to_numpy(), wanted))
 
 
 def allocation(df: DataFrame, wanted: int, source: str = "source", stratum: str = "stratum") -> DataFrame:
-    """How many rows of each cell a sample takes: source, stratum, available, given.  The table of cells goes to the
-    driver, one cell a row; the rule is sequential over cells, not rows."""
-    rows = df.groupBy(source, stratum).agg(F.count("*").alias("n")).toLocalIterator()
-    cells = {(r[source], r[stratum]): r["n"] for r in rows}
-    given = two_level_allocation(cells, wanted)
-    return df.sparkSession.createDataFrame([(s, t, n, given.get((s, t), 0)) for (s, t), n in cells.items()], "source string, stratum string, available long, given long")
+    """How many rows of each cell a sample takes: source, stratum, available, given.  Sources first, then the strata inside
+    each source, by the rule of ``deal``; null names come last.
+
+    The driver sees no cell.  The rule is sequential over what it deals to, so that one task deals to all sources and
+    then a task for each source to its strata; such a task holds a number for each of its cells."""
+    cells = df.groupBy(F.col(source).cast("string").alias("source"), F.col(stratum).cast("string").alias("stratum")).agg(F.count("*").alias("available"))
+    cells = written(cells, "cells")
+    sources = cells.groupBy("source").agg(F.sum("available").alias("available")).withColumn("_all", F.lit(0))
+    outer = sources.groupBy("_all").applyInPandas(lambda rows: _dealt(rows, "source", "available", wanted).drop(columns="_all"), "source string, available long, given long")
+    share = outer.select(F.col("source").alias("_s"), F.col("given").alias("_share"))
+    both = cells.join(share, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    schema = "source string, stratum string, available long, given long"
+    return both.groupBy("source").applyInPandas(lambda rows: _dealt(rows, "stratum", "available", int(rows["_share"].iloc[0])).drop(columns="_share"), schema)
 
 
 def hash_sample(df: DataFrame, wanted: int, seed: int, key: str = "sample_id", source: str = "source", stratum: str = "stratum") -> DataFrame:

@@ -27,24 +27,47 @@ def dealt(available, wanted):
     return {c: n for c, n in given.items() if available[c]}
 
 
-def test_allocation_where_some_cells_are_scarce():
+def test_dealing_where_some_cells_are_scarce():
     import random
 
-    from optika.operators.sampling import capped_allocation, two_level_allocation
+    import numpy as np
 
-    assert capped_allocation({"c0": 1, "c1": 2, "c2": 11}, 4) == {"c0": 1, "c1": 1, "c2": 2}
+    from optika.operators.sampling import deal
+
+    assert deal(np.array([1, 2, 11]), 4).tolist() == [1, 1, 2]
     r = random.Random(4)
     for _ in range(500):
-        cells = {f"c{i}": r.choice([0, 1, 2, 3, 7, 20]) for i in range(r.randint(1, 9))}
+        cells = {i: r.choice([0, 1, 2, 3, 7, 20]) for i in range(r.randint(1, 60))}
         wanted = r.randint(0, sum(cells.values()))
-        assert capped_allocation(cells, wanted) == dealt(cells, wanted)
-    big = capped_allocation({f"{i:05}": i for i in range(2000)}, 1_900_000)
-    assert sum(big.values()) == 1_900_000
+        want = dealt(cells, wanted)
+        assert deal(np.array(list(cells.values())), wanted).tolist() == [want.get(i, 0) for i in cells]
+    assert deal(np.arange(2000), 1_900_000).sum() == 1_900_000
+    assert deal(np.array([], int), 0).tolist() == []
     with pytest.raises(ValueError, match="wanted"):
-        capped_allocation({"a": 1}, 2)
-    got = two_level_allocation({("a", "x"): 20} | {("b", str(i)): 20 for i in range(5)}, 20)
+        deal(np.array([1]), 2)
+
+
+def test_allocation_over_sources_and_strata(spark):
+    from optika.operators.sampling import allocation
+
+    def given(cells, wanted):
+        rows = [(s, t) for (s, t), n in cells.items() for _ in range(n)]
+        return {(r["source"], r["stratum"]): r["given"] for r in allocation(spark.createDataFrame(rows, "source string, stratum string"), wanted).collect()}
+
+    got = given({("a", "x"): 20} | {("b", str(i)): 20 for i in range(5)}, 20)
     assert got["a", "x"] == 10 and sum(n for (s, _), n in got.items() if s == "b") == 10
-    assert two_level_allocation({(None, "x"): 2, ("a", None): 2}, 3) == {("a", None): 2, (None, "x"): 1}
+    assert given({(None, "x"): 2, ("a", None): 2}, 3) == {("a", None): 2, (None, "x"): 1}
+    assert given({("a", None): 2, ("a", "x"): 1}, 2) == {("a", "x"): 1, ("a", None): 1}
+
+
+def test_allocation_of_many_cells(spark):
+    """Two hundred thousand cells over a thousand sources; no cell reaches the driver."""
+    from optika.operators.sampling import allocation
+
+    rows = spark.range(500_000).selectExpr("cast(id % 1000 as string) source", "cast(id % 200000 as string) stratum")
+    got = allocation(rows, 400_000)
+    assert got.agg({"given": "sum"}).first()[0] == 400_000 and got.where("given > available").count() == 0 and got.count() == 200_000
+    assert got.groupBy("source").sum("given").select("sum(given)").distinct().count() == 1
 
 
 def test_records_carry_the_gold_text(spark, sf_dir):
