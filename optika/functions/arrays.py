@@ -126,3 +126,18 @@ def subset(a: Column, b: Column) -> Column:
 
 def disjoint(a: Column, b: Column) -> Column:
     return ~F.arrays_overlap(a, b)
+
+
+def rounded(x: Column, places: int) -> Column:
+    """x to so many places (at most 8), ties of the binary value to the even digit.
+
+    Decimal rounding goes by the printed digits, where 0.12345 is a tie; its binary value lies above.  The product with the
+    power of ten is therefore formed without error, from the two halves of x."""
+    scale, size = float(10**places), F.abs(x)
+    big = size * 134217729.0
+    high = big - (big - size)
+    low = size - high
+    q = F.floor(size * scale).cast("double")
+    over = (high * scale - (q + 0.5)) + low * scale
+    up = F.when(over > 0, q + 1).when(over < 0, q).otherwise(q + F.pmod(q, F.lit(2.0)))
+    return F.when(size < float(1 << 52) / scale, F.signum(x) * up / scale).otherwise(x)

@@ -8,7 +8,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DataType, MapType, StructType
+from pyspark.sql.types import ArrayType, DataType, DoubleType, FloatType, MapType, StructType
 
 #: Blank characters as Python's str.split sees them (Unicode blanks and the four separators).
 BLANK = r"(?U)[\s\x1c-\x1f\x85]+"
@@ -196,8 +196,27 @@ def cell_key(*parts: Column) -> Column:
     return F.to_json(F.array(*parts))
 
 
+def python_float(x: Column) -> Column:
+    """A double as Python prints it: no exponent from 0.0001 to below 1e16, else one of two digits or more."""
+    j = F.abs(x).cast("string")
+    e = F.substring_index(j, "E", -1).try_cast("int")
+    digits = F.regexp_replace(F.replace(F.substring_index(j, "E", 1), F.lit("."), F.lit("")), "(?<=.)0+$", "")
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -e - 1), digits)
+    whole, rest = F.rpad(F.substring(digits, F.lit(1), e + 1), e + 1, F.lit("0")), F.substring(digits, e + 2, F.length(digits))
+    large = F.concat(whole, F.lit("."), F.when(rest == "", "0").otherwise(rest))
+    mantissa = F.when(F.length(digits) == 1, digits).otherwise(F.concat(F.substring(digits, 1, 1), F.lit("."), F.substring(digits, F.lit(2), F.length(digits))))
+    power = F.concat(mantissa, F.when(e < 0, "e-").otherwise("e+"), F.lpad(F.abs(e).cast("string"), F.greatest(F.lit(2), F.length(F.abs(e).cast("string"))), F.lit("0")))
+    plain = F.when(~F.contains(j, F.lit("E")), j).when((e < 0) & (e >= -4), small).when((e > 0) & (e < 16), large).otherwise(power)
+    sign = F.when((x < 0) | (x.cast("string") == "-0.0"), "-").otherwise("")
+    return F.when(F.isnan(x), "NaN").when(F.abs(x) == float("inf"), F.concat(sign, F.lit("Infinity"))).otherwise(F.concat(sign, plain))
+
+
+#: Stand around a number's text inside a JSON string until the quotes are taken off.
+_OPEN, _CLOSE = "\ufdd0", "\ufdd1"
+
+
 def _sorted(x: Column, kind: DataType) -> Column:
-    """The same value with the keys of all its objects sorted."""
+    """The same value with the keys of all its objects sorted and its doubles as marked texts."""
     if isinstance(kind, StructType):
         fields = sorted(kind.fields, key=lambda f: f.name)
         return F.when(x.isNotNull(), F.struct(*(_sorted(x.getField(f.name), f.dataType).alias(f.name) for f in fields)))
@@ -206,13 +225,16 @@ def _sorted(x: Column, kind: DataType) -> Column:
     if isinstance(kind, MapType):
         entries = F.array_sort(F.transform(F.map_entries(x), lambda e: F.struct(e["key"].alias("key"), _sorted(e["value"], kind.valueType).alias("value"))), lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0))
         return F.map_from_entries(entries)
+    if isinstance(kind, (DoubleType, FloatType)):
+        return F.when(x.isNotNull(), F.concat(F.lit(_OPEN), python_float(x.cast("double")), F.lit(_CLOSE)))
     return x
 
 
 def canonical_json(df: DataFrame, *cols: str) -> Column:
-    """Canonical JSON of columns of df: keys sorted at every depth, compact, nulls kept."""
+    """Canonical JSON of columns of df: keys sorted at every depth, compact, nulls kept, doubles as Python prints them."""
     kind = StructType([df.schema[c] for c in cols or df.columns])
-    return F.to_json(F.struct(*(_sorted(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in sorted(kind.fields, key=lambda f: f.name))), {"ignoreNullFields": "false"})
+    out = F.to_json(F.struct(*(_sorted(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in sorted(kind.fields, key=lambda f: f.name))), {"ignoreNullFields": "false"})
+    return F.replace(F.replace(out, F.lit(f'"{_OPEN}'), F.lit("")), F.lit(f'{_CLOSE}"'), F.lit(""))
 
 
 def canonical_sha(df: DataFrame, *cols: str) -> Column:

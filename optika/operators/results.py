@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,8 +39,9 @@ def repeated(journal: DataFrame, key: str, status: str = "status") -> DataFrame:
     return journal.where(F.col(status) == "ok").groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
 
 
-def unify(df: DataFrame) -> DataFrame:
-    """One prediction schema from current and historical field names; absent columns count as null.
+def unify(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """One prediction schema from current and historical field names; absent columns count as null, and those of ``keep``
+    stay as they are.
 
     sample_id, source, status, requested_model, returned_model, pred, gold, k, pred_text, gold_text, probs, correct,
     error_type, error."""
@@ -46,7 +49,7 @@ def unify(df: DataFrame) -> DataFrame:
     pick = lambda kind, *names: F.coalesce(*(F.col(n).cast(kind) for n in names if n in have), F.lit(None).cast(kind))
     k = F.coalesce(pick("int", "option_count", "choice_count"), *([F.size("choices")] if "choices" in have else []), *([F.size("probabilities")] if "probabilities" in have else []))
     out = df.select(
-        F.col("sample_id").cast("string").alias("sample_id"), pick("string", "source").alias("source"), pick("string", "status").alias("status"),
+        *keep, F.col("sample_id").cast("string").alias("sample_id"), pick("string", "source").alias("source"), pick("string", "status").alias("status"),
         F.coalesce(F.nullif(pick("string", "requested_model"), F.lit("")), pick("string", "model")).alias("requested_model"), pick("string", "returned_model").alias("returned_model"),
         pick("int", "predicted_position", "prediction_position").alias("pred"), pick("int", "gold_position", "expected_position").alias("gold"), k.alias("k"),
         pick("string", "predicted_label_text", "prediction_text").alias("pred_text"), pick("string", "gold_label_text", "expected_text").alias("gold_text"),
@@ -57,12 +60,13 @@ def unify(df: DataFrame) -> DataFrame:
     return out.withColumn("probs", probs).drop("raw", "keyed")
 
 
-def stable_record(df: DataFrame, probabilities: bool = True) -> DataFrame:
-    """The 14 comparable fields of a unified prediction; probabilities to four places, or left out (the decision)."""
+def stable_record(df: DataFrame, probabilities: bool = True, keep: Sequence[str] = ()) -> DataFrame:
+    """The 14 comparable fields of a unified prediction; probabilities to four places, or left out (the decision).
+    Columns of ``keep`` come first."""
     names = {"pred": "predicted_position", "gold": "gold_position", "k": "option_count", "pred_text": "predicted_text", "gold_text": "gold_text"}
     order = ["sample_id", "source", "status", "requested_model", "returned_model", "pred", "gold", "k", "pred_text", "gold_text", "probs", "correct", "error_type", "error"]
-    cols = [F.transform("probs", lambda x: F.bround(x, 4)).alias("probabilities") if c == "probs" else F.col(c).alias(names.get(c, c)) for c in order if probabilities or c != "probs"]
-    return df.select(*cols)
+    cols = [F.transform("probs", lambda x: A.rounded(x, 4)).alias("probabilities") if c == "probs" else F.col(c).alias(names.get(c, c)) for c in order if probabilities or c != "probs"]
+    return df.select(*keep, *cols)
 
 
 def recorded(df: DataFrame) -> DataFrame:

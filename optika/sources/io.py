@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import ast
 import gzip
-import hashlib
 import io
 import re
 import tarfile
@@ -18,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from optika.functions import text as T
+from optika.sources.files import listed, opened
+from optika.sources.lines import bad_lines, file_contents, file_ledger, scan_jsonl  # noqa: F401
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -25,25 +26,10 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
-def first_bad_line(spark: SparkSession, path: str, schema: str) -> tuple[str, int, str] | None:
-    """The first malformed line of JSONL files: file, line number from 1, text.  Files with bad lines are found by all
-    executors; only the first such file is then read in order, line by line."""
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file")).where(F.trim("value") != "")
-    parsed = F.from_json("value", f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
-    bad = lines.withColumn("_p", parsed).where("_p._bad IS NOT NULL").agg(F.min("file").alias("file")).first()["file"]
-    if bad is None:
-        return None
-    wrong = {r["value"] for r in lines.where(F.col("file") == bad).withColumn("_p", parsed).where("_p._bad IS NOT NULL").select("value").limit(10_000).collect()}
-    for n, r in enumerate(spark.read.text(bad).toLocalIterator(), 1):
-        if r["value"] in wrong:
-            return bad, n, r["value"]
-    return None
-
-
 def require_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """JSON lines, checked: a malformed line is an error that names its file and number."""
-    if bad := first_bad_line(spark, path, schema):
-        raise ValueError(f"{bad[0]}:{bad[1]}: not a JSON object: {bad[2][:200]}")
+    """JSON lines, checked: malformed lines are an error that names the first one's file and number."""
+    if bad := bad_lines(spark, path, schema).orderBy("file", "line_no").limit(1).collect():
+        raise ValueError(f"{bad[0]['file']}:{bad[0]['line_no']}: not a JSON object: {bad[0]['value'][:200]}")
     return read_jsonl(spark, path, schema)
 
 
@@ -74,20 +60,6 @@ def read_splits(spark: SparkSession, paths: dict[str, str], reader: Callable[[st
     return out
 
 
-def _opened(path: str):
-    """A seekable stream of a file on any file system that executors reach; nothing is read ahead."""
-    from pyarrow import fs
-
-    where, name = fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
-    return where.open_input_file(name)
-
-
-def _files(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
-    """path and length of the files, without their content, dealt out to as many tasks as there are files."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(path).select("path", "length")
-    return files.repartition(max(1, min(files.count(), 10_000)), "path")
-
-
 def _members(kind: str, pattern: str):
     want = re.compile(pattern)
 
@@ -110,7 +82,7 @@ def _members(kind: str, pattern: str):
 
 def _open(kind: str, path: str) -> Iterator[tuple[str, object]]:
     """Members of an archive as streams, one at a time."""
-    with _opened(path) as f:
+    with opened(path) as f:
         if kind == "zip":
             with zipfile.ZipFile(f) as z:
                 for name in sorted(z.namelist()):
@@ -126,7 +98,7 @@ def _open(kind: str, path: str) -> Iterator[tuple[str, object]]:
 
 def read_archive_lines(spark: SparkSession, path: str, kind: str = "zip", member_pattern: str = ".") -> DataFrame:
     """Lines of the members of zip or tar archives: path, member, line_no, value.  One task streams one archive."""
-    return _files(spark, path).mapInPandas(_members(kind, member_pattern), "path string, member string, line_no long, value string")
+    return listed(spark, path).mapInPandas(_members(kind, member_pattern), "path string, member string, line_no long, value string")
 
 
 def archive_members(lines: DataFrame) -> DataFrame:
@@ -215,59 +187,6 @@ def gzip_bytes(data: bytes) -> bytes:
     return out.getvalue()
 
 
-def _scan(predictions: bool):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for path in frame["path"]:
-                digest, size = hashlib.sha256(), 0
-                with _opened(path) as f:
-                    while block := f.read(1 << 20):
-                        digest.update(block)
-                        size += len(block)
-                inner, plain = (digest, size) if not path.endswith(".gz") else (hashlib.sha256(), 0)
-                if path.endswith(".gz"):
-                    with _opened(path) as f, gzip.GzipFile(fileobj=f) as z:
-                        while block := z.read(1 << 20):
-                            inner.update(block)
-                            plain += len(block)
-                yield pd.DataFrame([(path, size, digest.hexdigest(), plain, inner.hexdigest())], columns=["path", "archive_bytes", "archive_sha256", "bytes", "content_sha256"])
-
-    return run
-
-
-def file_ledger(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
-    """path, bytes, sha256 of each file below a folder, read as a stream."""
-    got = file_contents(spark, path, recursive)
-    return got.select("path", F.col("archive_bytes").alias("bytes"), F.col("archive_sha256").alias("sha256"))
-
-
-def file_contents(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
-    """path, archive_bytes, archive_sha256, and bytes and content_sha256 of what a .gz file holds (else the same)."""
-    return _files(spark, path, recursive).mapInPandas(_scan(False), "path string, archive_bytes long, archive_sha256 string, bytes long, content_sha256 string")
-
-
-def scan_jsonl(spark: SparkSession, path: str, schema: str, predictions: bool = False, key: str = "sample_id") -> DataFrame:
-    """One row for each JSONL file (plain or .gz) below a path: exact byte hashes, rows, unique and repeated ids, the digest
-    of the sorted ids and that in file order; with ``predictions`` also the statuses and the digests of stable records and
-    decisions.  Line order inside a file is that of a text scan, which keeps the offsets of its splits."""
-    from optika.operators import quality, results
-
-    lines = spark.read.option("mode", "FAILFAST").schema(schema).json(path).withColumn("file", F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/"))
-    rows = lines.withColumn("line_no", F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")))
-    out = quality.id_report(rows, ["file"], key, "line_no")
-    out = out.join(quality.selection_digest(rows, ["file"], F.col(key).cast("string"), "selection_sha256"), "file")
-    out = out.join(quality.ordered_digest(rows, ["file"], F.col(key).cast("string"), F.col("line_no"), "ordered_ids_sha256"), "file")
-    if predictions:
-        told = results.recorded(results.unify(rows)).withColumn("_id", F.col("sample_id"))
-        told = told.join(rows.select(F.col(key).cast("string").alias("_key"), "file").distinct(), F.col("_id") == F.col("_key"))
-        for column, name in (("record_sha256", "prediction_digest_sha256"), ("decision_sha256", "decision_digest_sha256")):
-            out = out.join(quality.record_digest(told, ["file"], F.col("sample_id"), F.col(column), name), "file")
-        counts = told.groupBy("file", F.coalesce("status", F.lit("missing")).alias("status")).count()
-        out = out.join(counts.groupBy("file").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("status", "count")))).alias("statuses")), "file")
-    contents = file_contents(spark, path).withColumn("file", F.regexp_replace("path", "^file:/+", "/")).drop("path")
-    return out.join(contents, "file")
-
-
 def summary_document(df: DataFrame, keys: list[str]) -> DataFrame:
     """A table of nested aggregates as one JSON document: objects by key, with the other columns as their fields.  For
     reports; the table has a row for each group, not for each item."""

@@ -171,6 +171,21 @@ def test_texts_are_cleaned_and_folded(spark):
     assert got == [" ".join(x.split()).casefold() for x in folds]
 
 
+def test_numbers_as_python_rounds_and_prints_them(spark):
+    import json
+    import random
+
+    r = random.Random(3)
+    xs = [0.12345, 0.00005, 0.00015, 1e-4, 0.00099, 1e-5, 1.5e-7, 1e16, 1.25e16, 1e15, 123456789.0, 12345678.5, 1e7, 0.0, -0.0, -0.12345, 5e-324, 1e300, 0.5, 1.0, 100.0, 2.5e-5] + [r.random() ** 4 for _ in range(3000)] + [i / 20000 for i in range(2000)] + [-r.random() * 10 ** r.randint(-8, 18) for _ in range(500)]
+    df = spark.createDataFrame([(i, x, [x, None]) for i, x in enumerate(xs)], "i int, x double, xs array<double>")
+    got = df.select("i", "x", A.rounded(F.col("x"), 4).alias("r"), A.rounded(F.col("x"), 8).alias("r8"), T.python_float(A.rounded(F.col("x"), 4)).alias("t"), T.canonical_json(df, "xs").alias("j")).collect()
+    for row in got:
+        assert (row.r, row.r8) == (round(row.x, 4), round(row.x, 8)), row
+        assert abs(row.x) > 1e6 or row.t == repr(round(row.x, 4)), row
+    same = sum(row.j == json.dumps({"xs": [row.x, None]}, separators=(",", ":")) for row in got)
+    assert same >= 0.99 * len(xs)  # this Java prints a few doubles with a digit more than they need
+
+
 def test_canonical_json_sorts_every_depth(spark):
     import hashlib
     import json
