@@ -124,8 +124,15 @@ def redacted(error: Column, secret: str, endpoint: str, most: int = 1600) -> Col
     return F.substring(error, 1, most)
 
 
-def stamped(df: DataFrame, provenance: dict[str, str], input_columns: list[str]) -> DataFrame:
-    """Results with their provenance: constants of the run, and the SHA-256 of the item as it was asked."""
+def utc_now() -> Column:
+    """The time at which a query began, in UTC and ISO format with its offset."""
+    return F.concat(F.date_format(F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.current_timestamp().cast("timestamp_ntz")), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("+00:00"))
+
+
+def stamped(df: DataFrame, provenance: dict[str, str], input_columns: list[str], at: str | None = None) -> DataFrame:
+    """Results with their provenance: constants of the run, the SHA-256 of the item as it was asked, and the time in
+    the column ``at`` if one is named."""
+    df = df if at is None else df.withColumn(at, utc_now())
     return df.withColumns({k: F.lit(v) for k, v in provenance.items()}).withColumn("item_sha256", T.canonical_sha(df, *input_columns))
 
 

@@ -602,4 +602,4 @@ def truncated_requests(spark, d) -> DataFrame:
     return docs.select("doc_id", F.length(training.truncate_middle(F.col("text"), F.lit(100))).alias("chars"))
 
 
-from optika.plans import adapters_catalog, records_catalog  # noqa: E402, F401
+from optika.plans import adapters_catalog, records_catalog, scans_catalog  # noqa: E402, F401
