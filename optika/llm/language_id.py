@@ -185,17 +185,20 @@ def infer(column: pa.Array, model: LanguageModel, penalty: float = 3.0, rounds:
     like, pi = single[rows, best], use.copy()
     cost = penalty * np.log(words[full])
     # forward selection: documents whose full mixture does not pay for one more language are settled at once
-    every, upper = _mixture(e, top, starts, doc, np.ones((len(full), k)), rounds) if k > 1 else (use, like)
+    _, upper = _mixture(e, top, starts, doc, np.ones((len(full), k)), rounds) if k > 1 else (use, like)
     open_ = np.flatnonzero(upper - like > cost)
     while len(open_):
         pick = np.isin(doc, open_)
         sub_doc = np.searchsorted(open_, doc[pick])
         sub_starts = np.flatnonzero(np.concatenate(([True], sub_doc[1:] != sub_doc[:-1])))
-        tried = use[open_].copy()
-        rest = np.where(tried > 0, -1, every[open_])
-        add = rest.argmax(1)
-        tried[np.arange(len(open_)), add] = 1
-        got, new = _mixture(e[pick], top[pick], sub_starts, sub_doc, tried, rounds)
+        # every language is tried beside those that a document has; the one that raises its likelihood most is added
+        new, got, tried = like[open_].copy(), pi[open_].copy(), use[open_].copy()
+        for i in range(k):
+            more = use[open_].copy()
+            more[:, i] = 1
+            share, value = _mixture(e[pick], top[pick], sub_starts, sub_doc, more, rounds)
+            higher = (value > new) & (use[open_, i] == 0)
+            new[higher], got[higher], tried[higher] = value[higher], share[higher], more[higher]
         better = new - like[open_] > cost[open_]
         take = open_[better]
         use[take], pi[take], like[take] = tried[better], got[better], new[better]

@@ -83,9 +83,9 @@ def _segments(window: int, gram: int):
             n = np.diff(np.append(s, len(at)))
             begin = at[s]
             # hashes of the segment's words: prefix sums of a polynomial, shifted back to power 0
-            up, down = _polynomial(len(h))
             both = []
-            for x in (h, _second(h)):
+            for x, base in ((h, tk.SEQUENCE_BASE), (_second(h), tk.SECOND_BASE)):
+                up, down = _polynomial(len(h), base)
                 sums = np.zeros(len(x) + 1, np.uint64)
                 np.cumsum(x * up[: len(x)], out=sums[1:])
                 both.append(tk.mix((sums[begin + n + window - 1] - sums[begin]) * down[begin] + n.astype(np.uint64)))
@@ -128,14 +128,15 @@ def _heads(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)[np.cumsum(new) - 1] if len(new) else np.zeros(0, np.int64)
 
 
-_POLY: dict[str, np.ndarray] = {}
+_POLY: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _polynomial(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if "up" not in _POLY or len(_POLY["up"]) < n + 1:
-        inverse = _U(pow(int(tk.SEQUENCE_BASE), -1, 2**64))
-        _POLY["up"], _POLY["down"] = tk._powers(tk.SEQUENCE_BASE, n + 1), tk._powers(inverse, n + 1)
-    return _POLY["up"], _POLY["down"]
+def _polynomial(n: int, base: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of a multiplier and of its inverse."""
+    key = int(base)
+    if key not in _POLY or len(_POLY[key][0]) < n + 1:
+        _POLY[key] = tk._powers(base, n + 1), tk._powers(_U(pow(key, -1, 2**64)), n + 1)
+    return _POLY[key]
 
 
 _PLACE = ["doc_id", "part", "start"]
@@ -275,7 +276,7 @@ def _contested_windows(window: int):
             who = np.repeat(owner, n)
             doc, part = c.column(0).to_numpy()[who], c.column(1).to_numpy()[who]
             spot = at + w.bounds[who]
-            first, second = tk.sequence_hashes(h, window)[spot], tk.sequence_hashes(_second(h), window)[spot]
+            first, second = tk.sequence_hashes(h, window)[spot], tk.sequence_hashes(_second(h), window, tk.SECOND_BASE)[spot]
             # as with segments, what a chunk knows to be repeats is dealt out by keys of its own
             by = np.lexsort((at, part, doc, second, first))
             first, second, doc, part, at = (x[by] for x in (first, second, doc, part, at))

@@ -25,6 +25,8 @@ _BASE_INVERSE = _U(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _BLOCK = 1 << 18
 #: Odd multiplier of the word-sequence polynomial.
 SEQUENCE_BASE = _U(0xD6E8FEB86659FD93)
+#: Another one, for a second hash that is independent of the first.
+SECOND_BASE = _U(0xA0761D6478BD642F)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -121,7 +123,7 @@ def words(column: pa.Array, lower: bool = False) -> Words:
     return Words(data, starts, ends, np.searchsorted(starts, offs))
 
 
-def sequence_hashes(h: np.ndarray, k: int) -> np.ndarray:
+def sequence_hashes(h: np.ndarray, k: int, base: np.uint64 = SEQUENCE_BASE) -> np.ndarray:
     """Hashes of all runs of k elements of h (len(h) - k + 1 of them), in log2(k) passes."""
     if len(h) < k:
         return np.zeros(0, np.uint64)
@@ -133,11 +135,11 @@ def sequence_hashes(h: np.ndarray, k: int) -> np.ndarray:
                 out, size = power, width
             else:
                 m = n - size - width + 1
-                out, size = out[:m] + power[size : size + m] * _U(pow(int(SEQUENCE_BASE), size, 2**64)), size + width
+                out, size = out[:m] + power[size : size + m] * _U(pow(int(base), size, 2**64)), size + width
         bit >>= 1
         if bit:
             m = n - 2 * width + 1
-            power = power[:m] + power[width : width + m] * _U(pow(int(SEQUENCE_BASE), width, 2**64))
+            power = power[:m] + power[width : width + m] * _U(pow(int(base), width, 2**64))
             width *= 2
     return mix(out[: n - k + 1])
 

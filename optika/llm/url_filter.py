@@ -105,11 +105,15 @@ def judge(pages: DataFrame, rules: DataFrame | tuple = RULES, default: str = "al
     lead = hash_sample(urls.select("key", "path", F.coalesce("page_id", F.lit(0)).alias("page_id")), ["page_id", "path"], CUTS_SAMPLE, pages.count())
     lead = sorted((r["key"], r["path"], r["page_id"]) for r in lead)
     cuts = sorted({lead[len(lead) * i // n] for i in range(1, n)}) if lead else []
+    # ranges get numbers that hash to partitions of their own
+    numbers = spark.range(64 * n).select(F.col("id").cast("int").alias("id")).groupBy(F.pmod(F.hash("id"), F.lit(n)).alias("p")).agg(F.min("id").alias("id"))
+    number = [r["id"] for r in numbers.orderBy("p").collect()]
+    number += range(64 * n, 64 * n + len(cuts) + 1 - len(number))
 
     def part_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             cols = b.to_pydict()
-            parts = [bisect_right(cuts, (k, q, i or 0)) for k, q, i in zip(cols["key"], cols["path"], cols["page_id"], strict=True)]
+            parts = [number[bisect_right(cuts, (k, q, i or 0))] for k, q, i in zip(cols["key"], cols["path"], cols["page_id"], strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), *b.columns], names=["part", *b.schema.names])
 
     dealt = urls.mapInArrow(part_of, "part int, page_id long, host string, path string, key string")
@@ -123,7 +127,7 @@ def judge(pages: DataFrame, rules: DataFrame | tuple = RULES, default: str = "al
             for v, h, q, k in zip(cols["verdict"], cols["host"], cols["path"], cols["key"], strict=True):
                 lo, hi = bisect_right(cuts, (k, "", -(2**63))), bisect_right(cuts, (k + "\U0010ffff", "", 0))
                 for p in range(lo, hi + 1):
-                    for c, x in zip(out, (p, v, h, q, k), strict=True):
+                    for c, x in zip(out, (number[p], v, h, q, k), strict=True):
                         out[c].append(x)
             yield pa.RecordBatch.from_pydict(out, pa.schema([("part", pa.int32()), *((c, pa.string()) for c in ("verdict", "host", "path", "key"))]))
 
