@@ -26,11 +26,12 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each near-duplicate group, the one with the smallest doc_id; of rows that repeat a
-    document one stays.  Rows without a doc_id stay."""
+    """Keeps one document of each near-duplicate group, the one with the smallest doc_id; of rows that share a doc_id the
+    one of the smallest hash, on every run.  Rows without a doc_id stay."""
     docs = docs.select(*COLUMNS)
     kept = near_dedup.near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_kept")).distinct()
-    named = docs.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
+    named = docs.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi")
+    named = named.groupBy("doc_id").agg(F.min_by(F.struct(*COLUMNS[1:]), F.xxhash64(*COLUMNS[1:])).alias("_row")).select("doc_id", "_row.*")
     return named.unionByName(docs.where("doc_id IS NULL")).select(*COLUMNS)
 
 
@@ -66,7 +67,11 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Applies the stages to all documents: one row for each piece of a packed sequence, as ``packing.pack`` gives it.  A
+    stage's table is dropped once the next one's is written.  Nulls, empty texts and rows that repeat are treated as each stage
+    says; an empty table gives an empty result."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = common.materialize(stage(spark, docs, sf_dir), name)
+        before, docs = docs, common.materialize(stage(spark, docs, sf_dir), name)
+        common.discard(before)
     return docs
