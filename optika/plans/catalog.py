@@ -597,9 +597,9 @@ def training_records(spark, d) -> DataFrame:
 
 @query(None)
 def truncated_requests(spark, d) -> DataFrame:
-    """Whole documents as requests of at most 24,000 bytes."""
+    """Whole documents as the texts of requests of at most 24,000 bytes."""
     docs = table(spark, d, "documents").select("doc_id", "text")
-    return docs.select("doc_id", F.length(training.truncate_middle(F.col("text"), F.lit(100))).alias("chars"))
+    return docs.select("doc_id", training.truncate_middle(F.col("text"), F.lit(100)).alias("text"))
 
 
 from optika.plans import adapters_catalog, records_catalog, scans_catalog  # noqa: E402, F401

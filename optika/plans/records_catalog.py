@@ -74,21 +74,23 @@ def kcurve_index(spark, d) -> DataFrame:
     return out.select("ordinal", "sample_id", "source", "gold_canonical_level", F.to_json("permutation_new_to_canonical").alias("perm"), F.to_json("candidate_set_canonical").alias("candidates"), F.get("bin_edges", F.lit(0)).alias("edge"))
 
 
-@query("WITH " + ITEM_SQL + " SELECT sample_id, question, sha256(context) AS context_sha FROM it WHERE source = 'F'")
+@query("WITH " + ITEM_SQL + " SELECT sample_id, question, sha256(context) AS context_sha FROM it")
 def rows_restored(spark, d) -> DataFrame:
     """Index records put together again with their contexts."""
-    rows = indexes.with_ordinal(item_rows(spark, d).where("source = 'F'"), ["sample_id"])
+    rows = indexes.with_ordinal(item_rows(spark, d), ["sample_id"])
     back = indexes.restored(indexes.main_index(rows), rows.select("sample_id", "context"))
     return back.select("sample_id", "question", T.sha(F.col("context")).alias("context_sha"))
 
 
-@query("SELECT o_orderkey::VARCHAR AS sample_id FROM orders WHERE o_orderkey % 997 = 5")
+@query("""WITH l AS (SELECT l_orderkey, max(l_linenumber) AS n, count(*) AS rows FROM lineitem GROUP BY l_orderkey)
+SELECT o_orderkey::VARCHAR AS sample_id FROM orders JOIN l ON l_orderkey = o_orderkey WHERE n <> rows""")
 def drift_gate(spark, d) -> DataFrame:
-    """Rows whose content is not the frozen one."""
-    rows = item_rows(spark, d)
-    frozen = rows.select("sample_id", T.sha(F.col("context")).alias("row_sha256"))
-    now = rows.select("sample_id", T.sha(F.when(F.col("sample_id").cast("long") % 997 == 5, F.concat("context", F.lit("!"))).otherwise(F.col("context"))).alias("row_sha256"))
-    return indexes.drifted(now, frozen).select("sample_id")
+    """Rows whose content is not the frozen one: orders, frozen with the number of their last line, now with how many
+    lines they have."""
+    li = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").cast("string").alias("key")).agg(F.max("l_linenumber").alias("last"), F.count("*").alias("lines"))
+    rows = item_rows(spark, d).join(li, F.col("sample_id") == F.col("key"))
+    content = lambda c: T.sha(F.concat_ws(" ", "context", F.col(c).cast("string"))).alias("row_sha256")
+    return indexes.drifted(rows.select("sample_id", content("lines")), rows.select("sample_id", content("last"))).select("sample_id")
 
 
 # -- predictions ---------------------------------------------------------------------------------------------------
@@ -135,31 +137,42 @@ def id_report(spark, d) -> DataFrame:
     return out.select("event_type", "rows", "unique_ids", F.array_join(F.col("duplicate_ids").cast("array<string>"), ",").alias("dup"))
 
 
-_ANSWER = """CASE WHEN o_orderkey % 7 = 0 THEN '{"answers":{"decision":{"type":"text","choice":"A"}}}'
-  WHEN o_orderkey % 7 = 1 THEN '{"data":{"answers":{"decision":{"type":"choice","choice":"B","confidence":0.5,"probabilities":{"B":0.75,"A":0.25}}},"model":"m1"}}'
-  WHEN o_orderkey % 7 = 2 THEN '{"answers":{"decision":{"type":"choice","choice":"A","probabilities":{"A":1.5,"B":-0.5}}}}'
-  WHEN o_orderkey % 7 = 3 THEN '{"answers":{"decision":{"type":"choice","choice":"A","probabilities":{"A":1.0}}},"model":"m2"}'
-  WHEN o_orderkey % 7 = 4 THEN '{"answers":{"decision":{"type":"choice","choice":"A","probabilities":{"A":0.5,"B":0.25}}}}'
-  WHEN o_orderkey % 7 = 5 THEN '{"answers":{"decision":{"type":"choice","choice":"C","probabilities":{"A":0.5,"B":0.5}}}}'
-  ELSE '{"answers":{"decision":{"type":"choice","choice":"A","probabilities":{"A":0.6,"B":0.4}}},"model":"m3"}' END"""
+#: Requests with two to six options, answered with letters; shares come from prices, and a third of the statuses adds an
+#: envelope.  What makes an answer invalid (another letter, a share below 0 or above 1, a sum that is off, a letter that is
+#: not there, another type) follows from the columns.
+_ANSWER = """WITH l AS (SELECT l_orderkey, count(*) AS n, max(l_linenumber) AS last, min(l_discount) AS off, max(l_quantity) AS q FROM lineitem GROUP BY l_orderkey),
+o AS (SELECT o_orderkey AS id, n, CAST(substr(o_orderpriority, 1, 1) AS INT) AS p, o_orderstatus AS s, o_custkey AS c, off, CASE WHEN q > 49 THEN 'text' ELSE 'choice' END AS kind, CAST(last AS DOUBLE) / CAST(100 AS DOUBLE) AS big FROM orders JOIN l ON l_orderkey = o_orderkey),
+a AS (SELECT *, substr('ABCDEFGH', p, 1) AS letter, CASE WHEN p <= 2 THEN 2 ELSE 3 END AS k FROM o)"""
 
 
-@query("""SELECT o_orderkey AS id, CASE o_orderkey % 7 WHEN 1 THEN 'B' WHEN 6 THEN 'A' END AS predicted_key, CASE o_orderkey % 7 WHEN 1 THEN 1 WHEN 6 THEN 0 ELSE -1 END AS predicted_position, CASE o_orderkey % 7 WHEN 1 THEN 'no' WHEN 6 THEN 'yes' END AS predicted_label_text,
-CASE o_orderkey % 7 WHEN 1 THEN '[0.25,0.75]' WHEN 6 THEN '[0.6,0.4]' END AS probabilities, CASE o_orderkey % 7 WHEN 1 THEN 'm1' WHEN 6 THEN 'm3' END AS returned_model,
-CASE o_orderkey % 7 WHEN 0 THEN 'malformed choice' WHEN 2 THEN 'invalid probability' WHEN 3 THEN 'incomplete probabilities' WHEN 4 THEN 'probabilities do not sum to one' WHEN 5 THEN 'malformed choice' END AS error FROM orders""")
+@query("WITH" + _ANSWER.removeprefix("WITH") + """, f AS (SELECT *, CASE WHEN kind <> 'choice' OR p > k THEN 'malformed choice' WHEN n < k THEN 'incomplete probabilities' WHEN 1 - big + off > 1 THEN 'invalid probability'
+  WHEN abs(big + (1 - big + off) - 1) > 0.02 THEN 'probabilities do not sum to one' END AS error FROM a)
+SELECT id, CASE WHEN error IS NULL THEN letter END AS predicted_key, CASE WHEN error IS NULL THEN p - 1 ELSE -1 END AS predicted_position, CASE WHEN error IS NULL THEN ['yes', 'no', 'so'][p] END AS predicted_label_text,
+  CASE WHEN error IS NULL THEN round(big, 4) END AS first, CASE WHEN error IS NULL THEN s END AS returned_model, error FROM f""")
 def parsed_responses(spark, d) -> DataFrame:
-    o = table(spark, d, "orders").selectExpr("o_orderkey AS id", f"{_ANSWER} AS response").withColumn("choices", F.array(F.lit("yes"), F.lit("no")))
-    return results.parse_responses(o).select("id", "predicted_key", F.coalesce("predicted_position", F.lit(-1)).alias("predicted_position"), "predicted_label_text", F.to_json("probabilities").alias("probabilities"), "returned_model", "error")
-
-
-@query("""WITH z AS (SELECT vec_id, label, [x::DOUBLE / 0.7 FOR x IN embedding[1:4]] AS z FROM embeddings WHERE len(embedding) >= 4 AND NOT list_contains([isnan(x) OR isinf(x) OR x IS NULL FOR x IN embedding[1:4]], true)), e AS (SELECT *, [exp(v - list_max(z)) FOR v IN z] AS e FROM z)
-SELECT vec_id, list_position(e, list_max(e))::INT - 1 AS predicted_position, ['w', 'x', 'y', 'z'][list_position(e, list_max(e))] AS predicted_label_text, list_position(e, list_max(e)) - 1 = label AS correct, round(e[1] / list_sum(e), 6) AS first, round(ln(e[2] / list_sum(e)), 6) AS log_second FROM e""")
+    """Answers of a hosted model, from columns: valid ones with their position and shares, others with what is wrong."""
+    table(spark, d, "orders").createOrReplaceTempView("_responses_orders")
+    table(spark, d, "lineitem").createOrReplaceTempView("_responses_lines")
+    sql = _ANSWER.replace("FROM lineitem", "FROM _responses_lines").replace("FROM orders", "FROM _responses_orders")
+    a = spark.sql(sql + " SELECT * FROM a")
+    big, rest = F.col("big"), 1 - F.col("big") + F.col("off")
+    shares = F.when(F.col("n") < F.col("k"), F.create_map(F.lit("A"), big)).when(F.col("k") == 2, F.create_map(F.lit("A"), big, F.lit("B"), rest)).otherwise(F.create_map(F.lit("A"), big, F.lit("B"), rest, F.lit("C"), F.lit(0.0)))
+    decision = F.struct(F.col("kind").alias("type"), F.col("letter").alias("choice"), shares.alias("probabilities"))
+    body = F.struct(F.struct(decision.alias("decision")).alias("answers"), F.col("s").alias("model"))
+    response = F.when(F.col("s") == "F", F.to_json(F.struct(body.alias("data")))).otherwise(F.to_json(body))
+    rows = a.select("id", response.alias("response"), F.slice(F.array(F.lit("yes"), F.lit("no"), F.lit("so")), F.lit(1), F.col("k")).alias("choices"))
+    out = results.parse_responses(rows)
+    return out.select("id", "predicted_key", F.coalesce("predicted_position", F.lit(-1)).alias("predicted_position"), "predicted_label_text", F.round(F.get("probabilities", F.lit(0)), 4).alias("first"), "returned_model", "error")
+
+
+@query("""WITH z AS (SELECT vec_id, label, [x::DOUBLE / 0.7 FOR x IN embedding] AS z FROM embeddings WHERE len(embedding) >= 4 AND NOT list_contains([isnan(x) OR isinf(x) OR x IS NULL FOR x IN embedding], true)), e AS (SELECT *, [exp(v - list_max(z)) FOR v IN z] AS e FROM z)
+SELECT vec_id, list_position(e, list_max(e))::INT - 1 AS predicted_position, 'class ' || list_position(e, list_max(e)) AS predicted_label_text, list_position(e, list_max(e)) - 1 = label AS correct, round(e[1] / list_sum(e), 6) AS first, round(ln(e[2] / list_sum(e)), 6) AS log_second FROM e""")
 def logits_to_results(spark, d) -> DataFrame:
     """Result records from logits at a temperature: softmax, first maximum, its text, whether it is right."""
-    e = table(spark, d, "embeddings").select("vec_id", F.col("label").alias("gold"), F.transform(F.slice("embedding", 1, 4), lambda x: x.cast("double")).alias("logits"), F.array(*map(F.lit, "wxyz")).alias("choices"))
-    e = e.where(F.coalesce((F.size("logits") == 4) & F.forall("logits", quality.finite), F.lit(False))).withColumn("kept", F.col("logits"))
+    e = table(spark, d, "embeddings").select("vec_id", F.col("label").alias("gold"), F.transform("embedding", lambda x: x.cast("double")).alias("logits"), F.transform("embedding", lambda _, i: F.concat(F.lit("class "), (i + 1).cast("string"))).alias("choices"))
+    e = e.where(F.coalesce((F.size("logits") >= 4) & F.forall("logits", quality.finite), F.lit(False))).withColumn("kept", F.col("logits"))
     r = results.from_logits(e, 0.7)
-    return r.select("vec_id", "predicted_position", "predicted_label_text", "correct", F.round(F.element_at(A.keyed(F.col("probabilities")), "A"), 6).alias("first"), F.round(F.get(A.log_softmax(F.col("kept"), 0.7), F.lit(1)), 6).alias("log_second"))
+    return r.select("vec_id", "predicted_position", "predicted_label_text", "correct", F.round(F.element_at(A.keyed(F.slice("probabilities", 1, 26)), "A"), 6).alias("first"), F.round(F.get(A.log_softmax(F.col("kept"), 0.7), F.lit(1)), 6).alias("log_second"))
 
 
 @query("""SELECT o_orderkey AS id, left(replace(replace('HTTPError: key ' || o_custkey || ' at ' || 'https://api.example.org/v1' || ' ' || repeat('x', (o_orderkey % 2000)::INT), '17', '[REDACTED]'), 'https://api.example.org/v1', '[ENDPOINT]'), 1600) AS error FROM orders""")
@@ -256,10 +269,12 @@ def file_ordinals(spark, d) -> DataFrame:
     return indexes.with_ordinal(table(spark, d, "orders").select("o_orderdate", "o_orderkey"), ["o_orderdate", "o_orderkey"]).select("o_orderkey", "ordinal")
 
 
-@query("SELECT o_orderkey FROM orders ORDER BY sha256('9' || chr(31) || o_orderkey), o_orderkey LIMIT 200")
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY sha256('9' || chr(31) || o_orderkey), o_orderkey) - 1 AS place FROM orders")
 def seeded_shuffle(spark, d) -> DataFrame:
-    """The first rows of a global shuffle."""
-    return sampling.seeded_shuffle(table(spark, d, "orders").select("o_orderkey"), "o_orderkey", 9).limit(200)
+    """A global shuffle of all rows, with the place that each gets."""
+    rows = sampling.seeded_shuffle(table(spark, d, "orders").select("o_orderkey"), "o_orderkey", 9)
+    rank = rows.withColumn("rank", T.hash_rank(9, F.col("o_orderkey")))
+    return indexes.with_ordinal(rank, ["rank", "o_orderkey"]).select("o_orderkey", F.col("ordinal").alias("place"))
 
 
 @query("WITH " + ITEM_SQL + """, r AS (SELECT *, sha256('5' || chr(31) || source || chr(31) || sampling_stratum || chr(31) || sample_id) AS rank, 'part ' || (sample_id::BIGINT // 2) AS body FROM it),
@@ -337,12 +352,13 @@ def gold_balance(spark, d) -> DataFrame:
     return out.select(F.array_join("candidates", ",").alias("candidates"), F.array_join("golds", ",").alias("golds"), "low", "high", "leaks", "unequal")
 
 
-@query("SELECT p_partkey FROM part WHERE p_partkey % 5 IN (3, 4)")
+@query("""WITH l AS (SELECT l_orderkey, list(l_linenumber ORDER BY l_shipdate, l_partkey, l_linenumber) AS shown FROM lineitem GROUP BY l_orderkey) SELECT l_orderkey FROM l WHERE shown <> [x FOR x IN range(1, len(shown) + 1)]""")
 def level_choices_gate(spark, d) -> DataFrame:
-    """Items whose options are not exactly Level 01, Level 02, ..."""
-    good = F.transform(F.sequence(F.lit(1), (F.col("p_partkey") % 4 + 2).cast("int")), T.level_name)
-    bad = F.when(F.col("p_partkey") % 5 == 3, F.reverse(good)).when(F.col("p_partkey") % 5 == 4, F.array(F.lit("Level 1"))).otherwise(good)
-    return quality.level_choices_gate(table(spark, d, "part").select("p_partkey", bad.alias("choices"))).select("p_partkey")
+    """Orders' lines as levels, shown in the order of shipping: those that are not exactly Level 01, Level 02, ..."""
+    li = table(spark, d, "lineitem")
+    shown = F.array_sort(F.collect_list(F.struct("l_shipdate", "l_partkey", "l_linenumber")))
+    rows = li.groupBy("l_orderkey").agg(F.transform(shown, lambda x: T.level_name(x["l_linenumber"].cast("int"))).alias("choices"))
+    return quality.level_choices_gate(rows).select("l_orderkey")
 
 
 @query("""WITH t AS (SELECT count(*)::BIGINT AS n FROM nation), c AS (SELECT r_name AS subject, count(n_nationkey)::BIGINT AS found FROM region LEFT JOIN nation ON n_regionkey = r_regionkey GROUP BY r_name),
@@ -410,19 +426,28 @@ def repeated_success(spark, d) -> DataFrame:
     return results.repeated(journal(spark, d).where("sample_id IS NOT NULL"), "sample_id")
 
 
-@query("WITH p AS (SELECT o_orderkey % 6 AS k, o_orderkey FROM orders) SELECT o_orderkey, k IN (0, 1) AS teacher, k = 0 AS complete FROM p")
+@query("""WITH l AS (SELECT l_orderkey, [x / 100.0::DOUBLE FOR x IN list(l_quantity ORDER BY l_linenumber, l_partkey)] AS p, count(DISTINCT l_linenumber) = count(*) AND max(l_linenumber) = count(*) AS keyed FROM lineitem GROUP BY l_orderkey)
+SELECT l_orderkey, keyed AND abs(list_sum(p) - 1) <= 0.0001 AS teacher, keyed AND len(p) = 3 AND abs(list_sum(p) - 1) <= 0.02 AS complete FROM l WHERE keyed""")
 def distribution_gates(spark, d) -> DataFrame:
-    """Teacher distributions, and complete keyed probabilities."""
-    k = F.col("o_orderkey") % 6
-    m = lambda a, b, x, y: F.create_map(F.lit(a), F.lit(x), F.lit(b), F.lit(y))
-    p = F.when(k == 0, m("A", "B", 0.25, 0.75)).when(k == 1, m("x", "y", 0.5, 0.5)).when(k == 2, m("A", "B", -0.5, 1.5)).when(k == 3, m("A", "B", 0.5, 0.4)).when(k == 4, m("A", "B", float("nan"), 1.0)).otherwise(F.create_map().cast("map<string,double>"))
-    return table(spark, d, "orders").select("o_orderkey", A.valid_teacher(p).alias("teacher"), A.complete_probabilities(p, 2).alias("complete"))
-
-
-@query("SELECT s_name AS name, 'unsafe' AS problem FROM (SELECT unnest(['../x', '/abs', 'a:b']) AS s_name) UNION ALL SELECT 'twice', 'duplicate' UNION ALL SELECT 'gone', 'missing' UNION ALL SELECT unnest(['../x', '/abs', 'a:b']), 'unexpected'")
+    """Quantities of an order's lines in hundredths, keyed by line: teacher distributions, and complete ones over three
+    options."""
+    li = table(spark, d, "lineitem")
+    g = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_quantity"))).alias("x"), ((F.count_distinct("l_linenumber") == F.count("*")) & (F.max("l_linenumber") == F.count("*"))).alias("keyed")).where("keyed")
+    keys, values = F.transform("x", lambda v: T.letter(v["l_linenumber"].cast("int") - 1)), F.transform("x", lambda v: v["l_quantity"].cast("double") / 100)
+    p = F.map_from_arrays(keys, values)
+    return g.select("l_orderkey", A.valid_teacher(p).alias("teacher"), A.complete_probabilities(p, 3).alias("complete"))
+
+
+@query("""WITH u AS (SELECT split_part(url, '://', 2) AS n, length(html) AS size FROM pages WHERE url IS NOT NULL), m AS (SELECT n AS name FROM u UNION ALL SELECT substr(n, strpos(n || '/', '/')) FROM u), e AS (SELECT DISTINCT n AS name FROM u WHERE size > 1500 UNION SELECT 'index/' || substr(n, strpos(n || '/', '/') + 1) FROM u)
+SELECT DISTINCT name, 'unsafe' AS problem FROM m WHERE starts_with(name, '/') OR contains(name, ':') OR contains(name, '\\') OR list_contains(string_split(name, '/'), '..') UNION ALL SELECT name, 'duplicate' FROM m GROUP BY name HAVING count(*) > 1
+UNION ALL SELECT name, 'missing' FROM e WHERE name NOT IN (SELECT name FROM m) UNION ALL SELECT DISTINCT name, 'unexpected' FROM m WHERE name NOT IN (SELECT name FROM e)""")
 def archive_members_gate(spark, d) -> DataFrame:
-    names = spark.createDataFrame([(x,) for x in ("../x", "/abs", "a:b", "twice", "twice", "fine/n.txt")], "name string")
-    return quality.member_problems(names, spark.createDataFrame([("twice",), ("fine/n.txt",), ("gone",)], "name string"))
+    """Pages as members of an archive, with and without their host, against a list of the larger ones and of an index."""
+    u = table(spark, d, "pages").where("url IS NOT NULL").select(F.split_part("url", F.lit("://"), F.lit(2)).alias("n"), F.length("html").alias("size"))
+    below = F.expr("substr(n, instr(concat(n, '/'), '/'))")
+    names = u.select(F.explode(F.array("n", below)).alias("name"))
+    expected = u.where("size > 1500").select(F.col("n").alias("name")).union(u.select(F.expr("concat('index/', substr(n, instr(concat(n, '/'), '/') + 1))"))).distinct()
+    return quality.member_problems(names, expected)
 
 
 @query("SELECT conv_id, turn, sha256(trim(text)) AS text_sha FROM conversations WHERE trim(coalesce(text, '')) <> ''")
