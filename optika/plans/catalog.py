@@ -232,10 +232,13 @@ def _distance(spark, d) -> DataFrame:
     return experiments.distance_items(base, 9, 3, 11)
 
 
-@query(DISTANCES + " SELECT distance_level, gap, round(relative_distance, 8) AS relative_distance, round(mean_gap, 8) AS mean_gap, to_json(groups)::VARCHAR AS groups FROM cond")
+@query(DISTANCES + " SELECT distance_level, gap, round(relative_distance, 8) AS relative_distance, round(mean_gap, 8) AS mean_gap, to_json(groups)::VARCHAR AS groups, (SELECT count(*) FROM part WHERE list_contains(groups[1], p_partkey % 9))::BIGINT AS first_group_items FROM cond")
 def distance_conditions(spark, d) -> DataFrame:
+    """The conditions of nine levels shown three at a time, with the parts whose level is in a condition's first group."""
+    levels = table(spark, d, "part").groupBy((F.col("p_partkey") % 9).cast("int").alias("level")).agg(F.count("*").alias("n"))  # a row for each level
     c = experiments.distance_conditions(spark, 9, 3)
-    return c.select("distance_level", "gap", F.round("relative_distance", 8).alias("relative_distance"), F.round("mean_gap", 8).alias("mean_gap"), F.to_json("groups").alias("groups"))
+    held = c.join(F.broadcast(levels), F.array_contains(F.get("groups", F.lit(0)), F.col("level"))).groupBy("distance_level").agg(F.sum("n").alias("first_group_items"))
+    return c.join(held, "distance_level").select("distance_level", "gap", "first_group_items", F.round("relative_distance", 8).alias("relative_distance"), F.round("mean_gap", 8).alias("mean_gap"), F.to_json("groups").alias("groups"))
 
 
 @query(DISTANCES + " SELECT sample_id, distance_level, original_gold, slot AS gold, to_json(ranks)::VARCHAR AS ranks FROM d")
