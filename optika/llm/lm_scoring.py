@@ -28,6 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +38,7 @@ from optika.llm.common import materialize, release_shuffles, shuffle_partitions,
 ORDER = 4
 #: Dirichlet weights of the contexts of 1, 2, ... tokens.
 MU = (100.0, 30.0, 10.0)
-CHUNK_BYTES, SHARD_BYTES = 6 << 20, 16 << 20
+CHUNK_BYTES, SHARD_BYTES = 4 << 20, 16 << 20
 #: Keys have this many bits more than the size of all texts, so that few n-grams of one chunk share theirs with another's.
 KEY_BITS, LEAST_KEY_BITS = 4, 24
 _U = np.uint64
@@ -132,17 +133,24 @@ def _sent(chunk: int, shards: int, lists: list[np.ndarray], bits: list[int], mor
     """Rows of sorted numbers (and numbers that go with them), dealt to shards."""
     edges = [_shard_bounds(x, shards, n) for x, n in zip(lists, bits, strict=True)]
     out: dict[str, list] = {"chunk": [], "shard": [], "check": [], "grams": []}
+    packer = zstandard.ZstdCompressor(level=1)
     for s in range(shards):
         parts = [x[e[s] : e[s + 1]] for x, e in zip(lists, edges, strict=True)]
         if any(map(len, parts)):
             blob = [_pack(np.diff(x, prepend=_U(0))) for x in parts]
             if more:
                 blob = [y for x, n, e in zip(blob, more, edges, strict=True) for y in (x, _pack(n[e[s] : e[s + 1]].astype(np.uint64)))]
-            for col, x in zip(out.values(), (chunk, s, _check(parts), b"".join(blob)), strict=True):
+            # byte planes of differences are unevenly filled, which entropy coding uses and the shuffle's codec does not
+            for col, x in zip(out.values(), (chunk, s, _check(parts), packer.compress(b"".join(blob))), strict=True):
                 col.append(x)
     return out
 
 
+def _opened(column: pa.ChunkedArray) -> list[bytes]:
+    reader = zstandard.ZstdDecompressor()
+    return [reader.decompress(x.as_py()) for x in column]
+
+
 _SENT = pa.schema([("chunk", pa.int64()), ("shard", pa.int32()), ("check", pa.int64()), ("grams", pa.binary())])
 
 
@@ -158,7 +166,7 @@ def _ask_keys(shards: int, order: int, bits: int, most: int):
 def _answer_keys(order: int):
     def run(table: pa.Table) -> pa.Table:
         """Which keys of a shard several chunks sent; a bit for each."""
-        raw = table["grams"].to_pylist()
+        raw = _opened(table["grams"])
         spots, blobs = [0] * len(raw), [[] for _ in raw]
         for _ in range(order - 1):
             keys = []
@@ -221,7 +229,7 @@ def _ask(shards: int, order: int, bits: int):
 def _answer(order: int):
     def run(table: pa.Table) -> pa.Table:
         """Adds the counts of a shard up and answers every chunk that asked."""
-        raw = table["grams"].to_pylist()
+        raw = _opened(table["grams"])
         spots, blobs, stats = [0] * len(raw), [[] for _ in raw], np.zeros(4, np.int64)
         for k in range(order):
             hashes, counts = [], []
