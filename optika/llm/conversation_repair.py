@@ -11,7 +11,7 @@ other states in ASCII order, and a step back; edit strings themselves are never
 and end with a row's edit, so that no edit string is the beginning of another and the places decide all ties.
 
 Rows are shuffled by conversation, texts once.  A conversation's edits and its digest are sequential by definition and
-pass one task as a stream; what is held of it is its signature and its edits, a few bytes a row.
+pass one task as a stream; what is held of it is its signature and its edits, some dozen bytes a row.
 """
 
 from __future__ import annotations
