@@ -171,6 +171,18 @@ def test_texts_are_cleaned_and_folded(spark):
     assert got == [" ".join(x.split()).casefold() for x in folds]
 
 
+def test_sensitive_terms_behind_their_first_letters(spark):
+    from optika.operators import training
+
+    stems = training._stems()
+    assert "porn" in stems and "genital" in stems and "slot machine" in stems and "rapist" in stems and all(len(x) > 2 for x in stems)
+    texts = ["A CASİNO", "casıno", "po\u212aer night", "\u017fex", "sexes", "unsexed", "Slot Machines!", "rapes", "rapist", "grape", "method", "METH", "sportsbook", "jackpots", "nothing", "", None, "lotto.", "crack cocaine", "Masturbating"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    plain = F.col("t").rlike("(?iU)" + "|".join(f"(?:{p})" for p in training.SENSITIVE))
+    rows = df.select("t", training.sensitive(F.col("t")).alias("a"), plain.alias("b")).collect()
+    assert [r.a for r in rows] == [r.b for r in rows] and sum(bool(r.a) for r in rows) > 8
+
+
 def test_numbers_as_python_rounds_and_prints_them(spark):
     import json
     import random
