@@ -2,7 +2,8 @@
 
 Nodes come in page order, parents before children, so that the nodes below one follow it without a gap.  Block-level
 elements are nodes, as are table cells; a maximal run of text and inline elements is a text node below the element that
-holds it.  A table row whose cells hold short inline text only is one text, its cells separated by blanks.
+holds it.  A table row is one text, its cells separated by blanks, if each cell that holds anything holds one line of inline
+text that is no menu (several links that are most of it), whatever its length; other cells' texts stand by themselves.
 
 Reading and features take time in proportion to the page, however deep it is or wrong its tags are.
 """
@@ -30,10 +31,11 @@ CLOSES = {
 }
 FENCE = frozenset("ul ol dl table body article section main div aside nav form header footer blockquote td th".split())
 _CELLS = frozenset("tr td th thead tbody tfoot caption table".split())
-#: Characters up to which a row of inline cells is one text.
-ROW_CHARS = 400
 TAGS = "text p div li ul ol h1 h2 h3 h4 h5 h6 article main section nav aside header footer form table tr td blockquote pre figure figcaption dl dt dd body html".split()
 _TAG_ID = {t: i for i, t in enumerate(TAGS)}
+#: Elements that a node is told to lie in, however far above.
+WITHIN = "article main section aside nav header footer form details dl table figure".split()
+_WITHIN = {t: 1 << i for i, t in enumerate(WITHIN)}
 #: Groups of attribute tokens.
 TOKENS = (
     "content article post entry story main body text blog prose read page-body",
@@ -57,12 +59,15 @@ _MARKS = {t: re.compile(rf"<!--.*?(?:-->|\Z)|<(script|style)(?=[\s/>])[^>]*>|<(/
 
 #: Texts of at most this many characters are searched for the words of TOKENS: headings and labels, not prose.
 SHORT = 40
+#: Words by which a notice without attributes shows itself, looked for in texts of at most so many characters.
+NOTICE = frozenset("cookie cookies consent gdpr privacy accept agree preferences javascript adblocker browser settings policy".split())
+NOTICE_CHARS = 400
 
 
 class Page:
     """Columns of a page's nodes."""
 
-    __slots__ = ("parent", "depth", "end", "tag", "groups", "above", "says", "chars", "link_chars", "words", "stops", "texts", "inline")
+    __slots__ = ("parent", "depth", "end", "tag", "groups", "above", "says", "chars", "link_chars", "words", "stops", "texts", "inline", "warns", "links", "breaks", "within")
 
     def __init__(self):
         for c in self.__slots__:
@@ -75,20 +80,22 @@ class Page:
         self.tag.append(_TAG_ID.get("td" if tag == "th" else tag, _TAG_ID["div"]))
         self.groups.append(groups)
         self.above.append(self.above[parent] | self.groups[parent] if parent >= 0 else 0)
-        for c in (self.says, self.chars, self.link_chars, self.words, self.stops, self.inline):
+        self.within.append((self.within[parent] if parent >= 0 else 0) | _WITHIN.get(tag, 0))
+        for c in (self.says, self.chars, self.link_chars, self.words, self.stops, self.inline, self.warns, self.links, self.breaks):
             c.append(0)
         self.texts.append(None)
         return len(self.parent) - 1
 
-    def write(self, i: int, text: str, linked: int, tags: int) -> None:
+    def write(self, i: int, text: str, linked: int, tags: int, links: int, breaks: int) -> None:
         self.texts[i] = text
         self.chars[i] = len(text)
         self.link_chars[i] = min(linked, len(text))
         self.words[i] = text.count(" ") + 1
         self.stops[i] = text.count(".") + text.count("!") + text.count("?") + text.count(",") + text.count("。")
-        self.inline[i] = tags
-        if len(text) <= SHORT:
-            self.says[i] = _words(text)
+        self.inline[i], self.links[i], self.breaks[i] = tags, links, breaks
+        words = _SPLIT.split(text.lower()) if len(text) <= NOTICE_CHARS else ()
+        self.warns[i] = len(NOTICE.intersection(words))
+        self.says[i] = _named(words) if len(text) <= SHORT else 0
 
     def keep(self, nodes: list[int]) -> None:
         """Leaves only ``nodes``, in page order; a kept node's parents are kept."""
@@ -105,10 +112,10 @@ class Page:
                 setattr(self, c, [col[i] for i in nodes])
 
 
-def _words(text: str) -> int:
-    """The groups of TOKENS that a short text names."""
+def _named(words: list[str]) -> int:
+    """The groups of TOKENS that words name."""
     out = 0
-    for w in _SPLIT.split(text.lower()):
+    for w in words:
         g = _GROUP.get(w)
         if g is not None:
             out |= 1 << g
@@ -116,23 +123,25 @@ def _words(text: str) -> int:
 
 
 def _join_rows(page: Page) -> None:
-    """Makes the cells of each row that holds short inline texts only one text below the row."""
-    row, cell, text = _TAG_ID["tr"], _TAG_ID["td"], _TAG_ID["text"]
+    """Makes the cells of each row whose cells hold one line of inline text one text below the row."""
+    row, cell = _TAG_ID["tr"], _TAG_ID["td"]
     gone: set[int] = set()
     for r in (i for i, t in enumerate(page.tag) if t == row):
-        nodes = range(r + 1, page.end[r])
-        if len(nodes) > 2 * ROW_CHARS:
-            continue
-        cells = [i for i in nodes if page.parent[i] == r]
-        texts = [i for i in nodes if page.tag[i] == text]
-        if len(nodes) != len(cells) + len(texts) or any(page.tag[i] != cell for i in cells) or any(page.end[i] > i + 2 for i in cells):
-            continue
-        if not texts or sum(page.chars[i] for i in texts) > ROW_CHARS:
+        cells, texts, i = [], [], r + 1
+        while i < page.end[r] and page.tag[i] == cell and page.end[i] <= i + 2:
+            cells.append(i)
+            if page.end[i] == i + 2:
+                if page.texts[i + 1] is None or page.breaks[i + 1] or page.links[i + 1] > 1 and 2 * page.link_chars[i + 1] > page.chars[i + 1]:
+                    break
+                texts.append(i + 1)
+            i = page.end[i]
+        if i < page.end[r] or not texts:
             continue
         first = texts[0]
-        page.write(first, " ".join(page.texts[i] for i in texts), sum(page.link_chars[i] for i in texts), sum(page.inline[i] for i in texts))
+        total = lambda col: sum(col[i] for i in texts)  # noqa: B023, E731
+        page.write(first, " ".join(page.texts[i] for i in texts), total(page.link_chars), total(page.inline), total(page.links), 0)
         page.parent[first], page.depth[first], page.end[first] = r, page.depth[r] + 1, first + 1
-        page.above[first] = page.above[r] | page.groups[r]
+        page.above[first], page.within[first] = page.above[r] | page.groups[r], page.within[r]
         gone.update(cells, texts[1:])
     if gone:
         page.keep([i for i in range(len(page.parent)) if i not in gone])
@@ -179,19 +188,19 @@ def read(source: str | None) -> Page:
         return page
     stack: list[tuple[str, int]] = [("html", page.add(-1, "html", 0))]
     text: list[str] = []
-    link, linked, tags = 0, 0, 0
+    link, linked, tags, links, breaks = 0, 0, 0, 0, 0
     ends: dict[str, dict[int, int]] = {}
 
     def flush() -> None:
-        nonlocal linked, tags
+        nonlocal linked, tags, links, breaks
         if text:
             t = " ".join("".join(text).split())
             text.clear()
             if t:
                 i = page.add(stack[-1][1], "text", 0)
-                page.write(i, t, linked, tags)
+                page.write(i, t, linked, tags, links, breaks)
                 page.end[i] = i + 1
-        linked = tags = 0
+        linked = tags = links = breaks = 0
 
     # how many elements of a name are on the stack: in all, and since the last cell began, which most end tags cannot leave
     opened: dict[str, int] = {}
@@ -262,8 +271,10 @@ def read(source: str | None) -> Page:
             continue
         if name == "a":
             link = 0 if closing else 1
+            links += link
         if name == "br":
             text.append(" ")
+            breaks += 1
         if name not in BLOCK:
             tags += 1
             continue
@@ -299,7 +310,8 @@ FEATURES = [
     "tag", "parent_tag", "grand_tag", "depth", "chars", "words", "stop_rate", "link_rate", "sub_chars", "sub_blocks", "sub_nodes", "sub_link_rate", "sub_words_block", "density", "share",
     "siblings", "place", "from_end", "prev_chars", "next_chars", "prev_link", "next_link", "page_place", "parent_sub_chars", "parent_link_rate", "inline_rate", "kin", "heading_before",
     *(f"own_{i}" for i in range(len(TOKENS))), *(f"above_{i}" for i in range(len(TOKENS))), *(f"says_{i}" for i in range(len(TOKENS))), *(f"parent_says_{i}" for i in range(len(TOKENS))),
-    "page_chars", "prev_sub_words", "next_sub_words",
+    "page_chars", "prev_sub_words", "next_sub_words", "warns", "sub_warns", "sub_warn_rate", "prev_warns", "sub_links",
+    *(f"in_{t}" for t in WITHIN), "great_tag", "grand_link_rate", "great_link_rate", "grand_words_block", "great_words_block", "parent_prev_words", "parent_heading_before",
 ]
 
 
@@ -318,12 +330,12 @@ def features(pages: list[Page]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     parent = cat("parent")
     own_page = np.repeat(np.arange(len(pages)), sizes)
     parent = np.where(parent >= 0, parent + base[own_page], -1)
-    tag, groups, chars, links, words, stops, inline = (cat(k) for k in ("tag", "groups", "chars", "link_chars", "words", "stops", "inline"))
-    depth, above, says = (cat(k) for k in ("depth", "above", "says"))
+    tag, groups, chars, links, words, stops, inline, warns, anchors = (cat(k) for k in ("tag", "groups", "chars", "link_chars", "words", "stops", "inline", "warns", "links"))
+    depth, above, says, within = (cat(k) for k in ("depth", "above", "says", "within"))
     end = cat("end") + base[own_page]
     # the nodes below a node follow it, so their sums are differences of running sums
-    run = np.zeros((n + 1, 5), np.int64)
-    np.cumsum(np.stack([chars, links, words, (tag == 0).astype(np.int64), np.ones(n, np.int64)], 1), axis=0, out=run[1:])
+    run = np.zeros((n + 1, 7), np.int64)
+    np.cumsum(np.stack([chars, links, words, (tag == 0).astype(np.int64), np.ones(n, np.int64), warns, anchors], 1), axis=0, out=run[1:])
     sub = run[end] - run[:-1]
     up = np.maximum(parent, 0)
     total = sub[base[:-1][np.array(sizes) > 0]] if n else sub
@@ -351,6 +363,8 @@ def features(pages: list[Page]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     said[prev >= 0] |= np.where(heading_like(tag)[prev[prev >= 0]], said[prev[prev >= 0]], 0)
     near = np.where(parent >= 0, said[up], 0) | np.where(parent[up] >= 0, said[np.maximum(parent[up], 0)], 0)
     heading = heading_like(tag)
+    grand = of(parent, parent)
+    great, words_block = of(parent, grand), rate(sub[:, 2], sub[:, 3])
     key = np.where(parent >= 0, parent, -1 - own_page) * len(TAGS) + tag
     _, at, cnt = np.unique(key, return_inverse=True, return_counts=True)
     cols = [
@@ -358,6 +372,7 @@ def features(pages: list[Page]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         rate(sub[:, 2], sub[:, 3]), rate(sub[:, 0], sub[:, 4]), rate(sub[:, 0], total[:, 0]), of(kids, parent), rank, of(kids, parent) - rank, of(sub[:, 0], prev), of(sub[:, 0], nxt), of(sub_link, prev), of(sub_link, nxt),
         rate(np.arange(n) - base[own_page], np.array(sizes)[own_page]), sub[up, 0], sub_link[up], rate(inline, words), cnt[at], of(heading.astype(np.int64), prev),
         *((groups >> i) & 1 for i in range(len(TOKENS))), *(((above & ~groups) >> i) & 1 for i in range(len(TOKENS))), *((said >> i) & 1 for i in range(len(TOKENS))), *((near >> i) & 1 for i in range(len(TOKENS))),
-        total[:, 0] if n else chars, of(rate(sub[:, 2], sub[:, 3]), prev), of(rate(sub[:, 2], sub[:, 3]), nxt),
+        total[:, 0] if n else chars, of(rate(sub[:, 2], sub[:, 3]), prev), of(rate(sub[:, 2], sub[:, 3]), nxt), warns, sub[:, 5], rate(sub[:, 5], sub[:, 3]), of(sub[:, 5], prev), sub[:, 6],
+        *((within >> i) & 1 for i in range(len(WITHIN))), of(tag, great), of(sub_link, grand), of(sub_link, great), of(words_block, grand), of(words_block, great), of(words_block, of(prev, parent)), of(heading.astype(np.int64), of(prev, parent)),
     ]
     return np.stack(cols, 1).astype(np.float32) if n else np.zeros((0, len(FEATURES)), np.float32), parent, depth

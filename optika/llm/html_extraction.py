@@ -199,7 +199,17 @@ class _Writer:
         inner = self.head("side", 0.4) + "".join(r.choice([f"<h3>{self.words(1, 3, False)}</h3>", f"<p>{self.words(4, 40)}</p>", "<ul>" + "".join(f"<li>{self.link(2, 7)}</li>" for _ in range(r.randint(2, 6))) + "</ul>"]) for _ in range(r.randint(1, 4)))
         return r.choice([f"<aside{self.attr('sidebar', 'side', 'widget', 'related')}>{inner}</aside>", f"<aside>{inner}</aside>", f"<div{self.attr('sidebar', 'widget', 'related', 'recommended', must=True)}>{inner}</div>"])
 
+    def warning(self) -> str:
+        """A sentence or two of the kind that asks for consent."""
+        w = self.words(7, 30).split(" ")
+        for x in self.r.sample(sorted(dom.NOTICE), self.r.randint(2, 4)):
+            w[self.r.randrange(len(w))] = x + self.r.choice(["", "", "", ","])
+        return " ".join(w) + "."
+
     def notice(self) -> str:
+        if self.r.random() < 0.4:  # nothing but its words tells what it is
+            t, b = self.warning(), self.r.choice(["", "", f"<button>{self.word()}</button>", self.link(1, 2)])
+            return self.r.choice([f"<div><p>{t}</p>{b}</div>", f"<div>{t}{b}</div>", f"<p>{t}</p>", f"<div><div><p>{t}</p>{b}</div></div>", f"<section><p>{t}</p>{b}</section>"])
         t = self.words(5, 30)
         a, h = self.attr("cookie", "notice", "alert", "consent", "popup", "gdpr", "announcement", "disclaimer", must=True), self.head("notice", 0.2)
         role = "" if self.plain else ' role="alert"'
@@ -232,6 +242,8 @@ class _Writer:
             t = t.replace(" ", r.choice([" <b>", " <em>"]), 1) + r.choice(["</b>", "</em>"])
         if r.random() < 0.1:
             t += " " + self.link() + " " + self.words(2, 8)
+        if r.random() < 0.04:
+            t = t.replace(" ", f" {r.choice(sorted(dom.NOTICE))} ", 1)
         if r.random() < 0.1:
             t = t.replace(" ", r.choice(["&amp; ", "*** ", " &quot;", "### "]))
         return self.MARK + t
@@ -239,6 +251,8 @@ class _Writer:
     def paragraph(self) -> str:
         r = self.r
         k = r.random()
+        if k < 0.09:
+            return self.part()
         if k < 0.7:
             return f"<p>{self.prose(*r.choice([(2, 12), (10, 90), (40, 200)]))}" + ("</p>" if r.random() < 0.9 else "")
         if k < 0.8:
@@ -256,9 +270,31 @@ class _Writer:
         if k < 0.98:
             return f"<pre><code>{self.prose(3, 40)}</code></pre>"
         if k < 0.985:
-            return "<ul>" + "".join(f"<li>{self.link(1, 3).replace('>', '>' + self.MARK, 1)} {self.words(3, 12)}</li>" for _ in range(r.randint(2, 5))) + "</ul>"
+            return "<ul>" + "".join(f"<li>{self.MARK}{self.link(1, 3)} {self.words(3, 12)}</li>" for _ in range(r.randint(2, 5))) + "</ul>"
         return f"<div>{self.prose(10, 80)}</div>"
 
+    def part(self) -> str:
+        """Terms, folded text, captions, wide tables and lists of links that belong to the article."""
+        r, end = self.r, self.r.random() < 0.8
+        close = lambda t: f"</{t}>" if end else ""
+        rows = lambda a, b: "".join("<tr>" + "".join(f"<td>{self.prose(a, b)}{close('td')}" for _ in range(n)) + close("tr") for _ in range(r.randint(2, 5)))
+        n = r.randint(2, 4)
+        return r.choice([
+            lambda: "<dl>" + "".join(f"<dt>{self.prose(1, 6)}{close('dt')}" * r.choice([1, 1, 2]) + f"<dd>{self.prose(3, 40)}{close('dd')}" for _ in range(r.randint(1, 5))) + "</dl>",
+            lambda: f"<details{r.choice(['', ' open'])}><summary>{self.prose(1, 8)}</summary>" + r.choice([self.prose(5, 60), "".join(f"<p>{self.prose(5, 60)}</p>" for _ in range(r.randint(1, 3)))]) + "</details>",
+            lambda: f"<figure><img src=x>{r.choice(['<figcaption>%s</figcaption>', '<figcaption><p>%s</p></figcaption>']) % self.prose(2, 25)}</figure>",
+            lambda: f"<table>{rows(2, 40)}</table>",
+            lambda: f"<table><tr>{''.join(f'<th>{self.prose(1, 3)}</th>' for _ in range(n))}</tr>{rows(1, 6)}</table>",
+            self.sources,
+        ])()
+
+    def sources(self) -> str:
+        """A list of links inside the article's text."""
+        r = self.r
+        kind, long = r.choice(["ul", "ol"]), r.choice([(1, 3), (3, 12)])
+        head = r.choice(["", "", f"<h{(n := r.randint(2, 4))}>{self.MARK}{r.choice(['Sources', 'References', 'Notes', 'Further reading', 'Links', self.words(1, 3, False)])}</h{n}>", f"<p>{self.prose(2, 12)}</p>"])
+        return head + f"<{kind}>" + "".join(f"<li>{self.MARK}{self.link(*long)}</li>" for _ in range(r.randint(2, 6))) + f"</{kind}>"
+
     def article(self) -> str:
         r = self.r
         if r.random() < 0.08:
@@ -267,6 +303,11 @@ class _Writer:
             parts = [self.paragraph() for _ in range(r.choice([1, 2, 3, 5, 8, 14]))]
             if len(parts) > 2 and r.random() < 0.3:
                 parts.insert(r.randint(1, len(parts) - 1), r.choice([self.advert, self.share, self.sidebar, self.notice, self.form])())
+            if len(parts) > 1 and r.random() < 0.15:
+                parts.append(self.sources())
+            if len(parts) > 2 and r.random() < 0.12:  # chapters
+                cut, t = r.randint(1, len(parts) - 1), r.choice(["section", "div"])
+                parts = [f"<{t}>{''.join(x)}</{t}>" for x in (parts[:cut], parts[cut:])]
             body = "".join(parts)
         title = r.choice(["", f"<h1>{self.prose(1, 12)}</h1>", f"<h1>{self.prose(1, 12)}</h1>", f"<h2>{self.prose(1, 12)}</h2>"])
         if title and r.random() < 0.2:

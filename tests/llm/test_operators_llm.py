@@ -890,28 +890,83 @@ ARTICLE = f"<h1>Title of it all</h1><p>{PROSE * 4}</p><p>{PROSE}</p><ul><li>the
 BLOCKS = ["Title of it all", (PROSE * 4).strip(), PROSE.strip(), "the first point made", "and the second one", (PROSE * 2).strip()]
 
 
-#: Layouts by hand, which no writer of training pages makes.
+NAV = f"<div>{' '.join(MENU)}</div>"
+END = "<div>Copyright 2020 Somebody &middot; all rights reserved</div>"
+CONSENT = "We use cookies to make this site better. Read our privacy policy and accept them to go on."
+TALK = "<h3>Comments</h3><div><b>Ann</b><p>I like this a lot.</p></div><div><b>Bob</b><p>Me too, thanks for writing it.</p></div>"
+SOURCES = "<ul><li><a href=x>A first source on it</a></li><li><a href=y>Another source, by somebody else</a></li></ul>"
+LINKED = ["A first source on it", "Another source, by somebody else"]
+TERMS = "<dl><dt>One term<dt>Its other name<dd>What the two of them mean, in a sentence or so.<dt>A third term<dd>And what that one means.</dl>"
+MEANT = ["One term", "Its other name", "What the two of them mean, in a sentence or so.", "A third term", "And what that one means."]
+FOLDED = f"<details><summary>More on this</summary><p>{PROSE}</p></details>"
+UNFOLDED = ["More on this", PROSE.strip()]
+WIDE = f"<table><tr><th>Name<th>What it is</tr><tr><td>Apple</td><td>{PROSE * 6}</td></tr><tr><td>Pear</td><td>3.20</td></tr></table>"
+ROWS = ["Name What it is", f"Apple {(PROSE * 6).strip()}", "Pear 3.20"]
+PARTS = "<h2>Part one</h2>", f"<p>{PROSE * 3}</p>", "<h2>Part two</h2>", f"<p>{PROSE * 2}</p>"
+TWO = ["Part one", (PROSE * 3).strip(), "Part two", (PROSE * 2).strip()]
+
+
+#: Layouts by hand, which no writer of training pages makes, and the blocks of each.
 LAYOUTS = [
-    f"<table><tr><td>{'<br>'.join(MENU)}</td><td>{ARTICLE}</td></tr></table>",
-    f"<table><tr><td colspan=2>{' | '.join(MENU)}<tr><td>{ARTICLE}<td><h3>Related</h3><ul><li><a href=x>One more story</a><li><a href=y>Another story</a></ul><tr><td colspan=2>&copy; 2020 Somebody</table>",
-    f"<body><center><table><tr><td><table><tr><td>{'</td><td>'.join(MENU)}</td></tr></table></td></tr><tr><td>{ARTICLE}</td></tr></table></center></body>",
-    f"<div><div>{' '.join(MENU)}</div><div><div><div>{ARTICLE}</div></div></div><div>Copyright 2020 Somebody &middot; all rights reserved</div></div>",
-    f"<div>{' '.join(MENU)}</div><div>{ARTICLE}</div><div><h3>Comments</h3><div><b>Ann</b><p>I like this a lot.</p></div><div><b>Bob</b><p>Me too, thanks for writing it.</p></div><div><b>Cy</b><p>Not so sure.</p></div></div>",
-    f"<header><div>{' '.join(MENU)}</div></header><main>{ARTICLE}<aside><p>Read this other thing, too.</p></aside></main><section id=comments><h2>2 comments</h2><p>Well said.</p><p>I do not agree, sorry.</p></section><footer>Imprint</footer>",
-    f"<ul id=nav><li>{'<li>'.join(MENU)}</ul>{ARTICLE}",
-    f"<article><header>{ARTICLE[:24]}</header>{ARTICLE[24:]}<footer><a href=s>Share</a> <a href=t>Tweet</a></footer></article>",
-    ARTICLE,
-]
+    (f"<table><tr><td>{'<br>'.join(MENU)}</td><td>{ARTICLE}</td></tr></table>", BLOCKS),
+    (f"<table><tr><td colspan=2>{' | '.join(MENU)}<tr><td>{ARTICLE}<td><h3>Related</h3><ul><li><a href=x>One more story</a><li><a href=y>Another story</a></ul><tr><td colspan=2>&copy; 2020 Somebody</table>", BLOCKS),
+    (f"<body><center><table><tr><td><table><tr><td>{'</td><td>'.join(MENU)}</td></tr></table></td></tr><tr><td>{ARTICLE}</td></tr></table></center></body>", BLOCKS),
+    (f"{NAV.replace('<div>', '<div><div>')}</div><div><div><div>{ARTICLE}</div></div></div>{END}", BLOCKS),
+    (f"{NAV}<div>{ARTICLE}</div><div>{TALK}<div><b>Cy</b><p>Not so sure.</p></div></div>", BLOCKS),
+    (f"<header>{NAV}</header><main>{ARTICLE}<aside><p>Read this other thing, too.</p></aside></main><section id=comments><h2>2 comments</h2><p>Well said.</p><p>I do not agree, sorry.</p></section><footer>Imprint</footer>", BLOCKS),
+    (f"<ul id=nav><li>{'<li>'.join(MENU)}</ul>{ARTICLE}", BLOCKS),
+    (f"<article><header>{ARTICLE[:24]}</header>{ARTICLE[24:]}<footer><a href=s>Share</a> <a href=t>Tweet</a></footer></article>", BLOCKS),
+    (ARTICLE, BLOCKS),
+    # lists of links
+    (f"<nav>{NAV}</nav><article>{ARTICLE}{SOURCES}</article><footer>{END}</footer>", BLOCKS + LINKED),
+    (f"<nav>{NAV}</nav><article>{ARTICLE}<h2>Sources</h2>{SOURCES}</article><footer>{END}</footer>", BLOCKS + ["Sources"] + LINKED),
+    (f"{NAV}<main>{ARTICLE}<p>For more on this, see these two:</p>{SOURCES}</main>{END}", BLOCKS + ["For more on this, see these two:"] + LINKED),
+    (f"<header>{NAV}</header><div class=content>{ARTICLE}<ol>{SOURCES[4:-5]}</ol></div><footer>{END}</footer>", BLOCKS + LINKED),
+    (f"<nav>{NAV}</nav><article>{ARTICLE}</article><aside>{SOURCES}</aside>", BLOCKS),
+    (f"<nav>{NAV}</nav><article>{ARTICLE}</article><div class=related><h3>Related</h3>{SOURCES}</div>", BLOCKS),
+    # terms
+    (f"<nav>{NAV}</nav><article>{ARTICLE}{TERMS}</article><footer>{END}</footer>", BLOCKS + MEANT),
+    (f"{NAV}<div id=main>{TERMS}{ARTICLE}</div>{END}", MEANT + BLOCKS),
+    (f"<header>{NAV}</header><main><h1>Words</h1>{TERMS}</main><footer>{END}</footer>", ["Words"] + MEANT),
+    (f"<article><section>{ARTICLE}</section><section><h2>Words</h2>{TERMS}</section></article><section class=comments>{TALK}</section>", BLOCKS + ["Words"] + MEANT),
+    # folded text
+    (f"<nav>{NAV}</nav><article>{ARTICLE}{FOLDED}</article><footer>{END}</footer>", BLOCKS + UNFOLDED),
+    (f"<header>{NAV}</header><main><article>{FOLDED}{ARTICLE}</article></main>{END}", UNFOLDED + BLOCKS),
+    (f"{NAV}<div class=post>{ARTICLE}<details open><summary>More on this</summary>{PROSE}</details></div>", BLOCKS + UNFOLDED),
+    (f"<nav><details><summary>Menu</summary>{NAV}</details></nav><article>{ARTICLE}</article>", BLOCKS),
+    # notices without attributes
+    (f"<div><p>{CONSENT}</p></div><nav>{NAV}</nav><article>{ARTICLE}</article><footer>{END}</footer>", BLOCKS),
+    (f"<nav>{NAV}</nav><article>{ARTICLE}</article><div><p>{CONSENT}</p><button>OK</button></div>", BLOCKS),
+    (f"<header>{NAV}</header><main>{ARTICLE}</main><footer>{END}</footer><div>{CONSENT} <a href=p>More</a></div>", BLOCKS),
+    (f"<p>{CONSENT}</p><header>{NAV}</header><article>{ARTICLE}</article>", BLOCKS),
+    (f"<nav>{NAV}</nav><article>{ARTICLE}<p>She baked cookies for all of them, as she did each year, and told no one how.</p></article>", BLOCKS + ["She baked cookies for all of them, as she did each year, and told no one how."]),
+    # tables
+    (f"<nav>{NAV}</nav><article>{ARTICLE}{WIDE}</article><footer>{END}</footer>", BLOCKS + ROWS),
+    (f"<header>{NAV}</header><div class=entry>{ARTICLE}<div>{WIDE}</div></div>{END}", BLOCKS + ROWS),
+    (f"<main>{ARTICLE}<table>{''.join(f'<tr><td>Item {i}<td>{i}.50<td>each' for i in range(6))}</table></main><aside><p>Buy now, at a good price.</p></aside>", BLOCKS + [f"Item {i} {i}.50 each" for i in range(6)]),
+    # parts, boxes, captions
+    (f"<nav>{NAV}</nav><article><section>{PARTS[0]}{PARTS[1]}</section><section>{PARTS[2]}{PARTS[3]}</section></article><footer>{END}</footer>", TWO),
+    (f"{NAV}<div><div><h1>Title of it all</h1></div><div>{''.join(PARTS)}</div></div>{END}", ["Title of it all"] + TWO),
+    (f"<header>{NAV}</header><main><article>{ARTICLE}<figure><img src=a><figcaption>The place where it was.</figcaption></figure></article></main>", BLOCKS + ["The place where it was."]),
+    (f"<nav>{NAV}</nav><article>{ARTICLE}<blockquote><p>{PROSE}</p></blockquote><pre>x = 1\ny = 2</pre></article>", BLOCKS + [PROSE.strip(), "x = 1 y = 2"]),
+    (f"<header class=top>{NAV}</header><article>{''.join(PARTS)}<div class=ad><p>Buy this thing today.</p></div>{ARTICLE}</article>", TWO + BLOCKS),
+    (f"<nav>{NAV}</nav><main>{''.join(PARTS)}<form class=newsletter><p>Get our letter by mail.</p><input></form></main>{END}", TWO),
+    (f"<div id=page><div id=head>{NAV}</div><div id=body>{ARTICLE}</div><div id=side><h4>Popular</h4>{SOURCES}</div><div id=foot>{END}</div></div>", BLOCKS),
+    (f"<article>{''.join(PARTS)}</article><ol class=replies><li><b>Ann</b><p>I like this a lot.</p><li><b>Bob</b><p>Me too.</p></ol>", TWO),
+    (f"<nav aria-label=breadcrumb>{' &gt; '.join(MENU)}</nav><article>{ARTICLE}</article><nav class=pager><a href=1>Older</a> <a href=2>Newer</a></nav>", BLOCKS),
+    (f"<header>{NAV}</header><div role=alert>Our shop is closed today.</div><article>{ARTICLE}{FOLDED}{TERMS}{SOURCES}</article><footer>{END}</footer>", BLOCKS + UNFOLDED + MEANT + LINKED),
+]
 
 
 def test_layouts_by_hand():
+    """Of the blocks of all layouts at least 97 in a hundred are there, and as few others; no layout loses many."""
     right, most = 0, 0
-    for page in LAYOUTS:
+    for page, blocks in LAYOUTS:
         got = html_extraction.extract([page], html_extraction.model())[0]
-        hits = sum(b in got for b in BLOCKS)
-        right, most = right + hits, most + max(len(BLOCKS), len(got))
-        assert hits >= 5 and sum(b not in BLOCKS for b in got) <= 1
-    assert right >= 0.94 * most
+        hits = (collections.Counter(got) & collections.Counter(blocks)).total()
+        right, most = right + hits, most + len(blocks) + len(got) - hits
+        assert hits >= 0.8 * len(blocks) and len(got) - hits <= 2
+    assert right >= 0.97 * most
 
 
 @pytest.mark.parametrize(
@@ -920,7 +975,9 @@ def test_layouts_by_hand():
         ("<table><tr><th>a<td>b</tr><tr><td>1</td><td>2 <b>x</b></td></table>", ["a b", "1 2 x"]),
         ("<table><tr><td><p>a</p><td>b</table>", ["a", "b"]),
         ("<table><tr><td><div>a<td>b<tr><td>c</div>d</table>e", ["a", "b", "cd", "e"]),
-        (f"<table><tr><td>{'x ' * 150}</td><td>{'y ' * 150}</td></tr></table>", [("x " * 150).strip(), ("y " * 150).strip()]),
+        (f"<table><tr><td>{'x ' * 150}</td><td>{'y ' * 1500}</td></tr></table>", ["x " * 150 + ("y " * 1500).strip()]),
+        ("<table><tr><td>a<br>b</td><td>c</td></tr></table>", ["a b", "c"]),
+        ("<table><tr><td><a>Home</a> | <a>News</a></td><td>c</td></tr><tr><td>c, see <a>a</a> or <a>b</a> for more of it<td>d</table>", ["Home | News", "c", "c, see a or b for more of it d"]),
         ("<div><table><tr><td>a</div>b</td></tr></table>c</div>d", ["ab", "c", "d"]),
         ("<table><tr><td>a<table><tr><td>b</td></tr></table>c</td><td>d</td></tr></table>", ["a", "b", "c", "d"]),
     ],
