@@ -55,6 +55,20 @@ def casefold(x: Column) -> Column:
     return F.when(_plain(x), F.lower(x)).otherwise(_folded(F.lower(x)))
 
 
+#: Characters whose full upper case is several: what upper case of single characters makes of them.
+_UPPERS = {c: "\u1e9e" if c == _SHARP else t if len(t := c.title()) == 1 else c for c in map(chr, range(0xD800)) if len(c.upper()) > 1}
+_UPPERS |= {c: c for c in map(chr, range(0xE000, 0x110000)) if len(c.upper()) > 1}
+
+
+def upper_each(x: Column) -> Column:
+    """Upper case of each character alone, as SQL engines with one-to-one tables have it: a text keeps its number of
+    characters, where F.upper makes SS of a sharp s.  Only texts that hold such a character are cut around them."""
+    several = f"[{''.join(_UPPERS)}]"
+    pairs = F.create_map(*(F.lit(v) for kv in _UPPERS.items() for v in kv))
+    pieces = F.transform(F.split(x, f"(?<={several})|(?={several})"), lambda p: F.coalesce(F.try_element_at(pairs, p), F.upper(p)))
+    return F.when(_plain(x) | ~x.rlike(several), F.upper(x)).otherwise(F.array_join(pieces, ""))
+
+
 def normalized(x: Column) -> Column:
     """Blanks collapsed to one space, trimmed, case-folded."""
     ascii_blanks = "".join(c for c in _BLANKS if ord(c) < 128)

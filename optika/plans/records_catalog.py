@@ -231,9 +231,9 @@ SELECT source, sample_id, arg_min(h, row) AS context_sha256, min(row)::BIGINT AS
 def content_hash_recovery(spark, d) -> DataFrame:
     """Frozen contexts found again among variants of the raw ones; each hash is used up once."""
     b = table(spark, d, "benchmark").where("text IS NOT NULL")
-    one = b.select(F.lit("b").alias("source"), F.col("item_id").alias("row"), F.array("text", F.upper("text")).alias("variants"))
+    one = b.select(F.lit("b").alias("source"), F.col("item_id").alias("row"), F.array("text", T.upper_each(F.col("text"))).alias("variants"))
     two = b.select(F.lit("b").alias("source"), (F.col("item_id") + 1000000).alias("row"), F.array("text").alias("variants"))
-    wanted = b.select(F.lit("b").alias("source"), F.concat(F.lit("s"), F.col("item_id").cast("string")).alias("sample_id"), T.sha(F.when(F.col("item_id") % 2 == 0, F.col("text")).otherwise(F.upper("text"))).alias("context_sha256"))
+    wanted = b.select(F.lit("b").alias("source"), F.concat(F.lit("s"), F.col("item_id").cast("string")).alias("sample_id"), T.sha(F.when(F.col("item_id") % 2 == 0, F.col("text")).otherwise(T.upper_each(F.col("text")))).alias("context_sha256"))
     return indexes.hash_recovered(one.unionByName(two), wanted).select("source", "sample_id", "context_sha256", F.col("row").cast("long").alias("row"), "variant")
 
 
