@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import html
+import re
+from html.entities import html5
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -91,24 +93,40 @@ def _unescape(xs: pd.Series) -> pd.Series:
     return xs.map(lambda x: html.unescape(x) if isinstance(x, str) and "&" in x else x)
 
 
+#: A reference that its semicolon closes, and an ampersand with whatever may follow it.
+_CLOSED = r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[a-zA-Z][a-zA-Z0-9]*);"
+_AMPERSAND = re.compile(f"{_CLOSED}|&")
+
+
+def _open_kept(x: str) -> str:
+    """The text with the ampersands written out that begin no closed reference of a known name, so that decoding gives them back."""
+    return _AMPERSAND.sub(lambda m: m[0] if m[0].startswith("&#") or m[0][1:] in html5 else "&amp;" + m[0][1:], x)
+
+
+def _unescape_closed(xs: pd.Series) -> pd.Series:
+    return xs.map(lambda x: html.unescape(_open_kept(x)) if isinstance(x, str) and "&" in x else x)
+
+
 # The references that need no look into the list of all names; the ampersand comes last.
 _USUAL = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&#39;": "'", "&#x27;": "'", "&nbsp;": "\u00a0", "&amp;": "&"}
 
 
-def unescape(x: Column) -> Column:
+def unescape(x: Column, closed: bool = False) -> Column:
     """All HTML references decoded, once.  Texts whose references are the usual ones stay in generated code; others go
-    to a Python worker."""
+    to a Python worker.  closed: only references that end in a semicolon count, so that ``&amp`` stays as it is."""
     usual = rest = x
     for name, char in _USUAL.items():
         usual, rest = F.replace(usual, F.lit(name), F.lit(char)), F.replace(rest, F.lit(name), F.lit(" "))
     amp = F.lit("&")
-    odd = F.contains(x, amp) & F.contains(rest, amp)
-    return F.when(~F.contains(x, amp), x).when(~odd, usual).otherwise(F.pandas_udf(_unescape, "string")(F.when(odd, x)))
+    odd = F.contains(x, amp) & (rest.rlike(_CLOSED) if closed else F.contains(rest, amp))
+    decode = F.pandas_udf(_unescape_closed if closed else _unescape, "string")
+    return F.when(~F.contains(x, amp), x).when(~odd, usual).otherwise(decode(F.when(odd, x)))
 
 
-def clean_html(x: Column) -> Column:
-    """References decoded, line breaks for <br>, tags dropped, blanks and tabs collapsed, trimmed; null counts as empty."""
-    x = unescape(F.coalesce(x, F.lit("")))
+def clean_html(x: Column, closed: bool = False) -> Column:
+    """References decoded (closed: see ``unescape``), line breaks for <br>, tags dropped, blanks and tabs collapsed, trimmed;
+    null counts as empty."""
+    x = unescape(F.coalesce(x, F.lit("")), closed)
     x = F.regexp_replace(x, r"(?iU)<br\s*/?>", "\n")
     x = F.regexp_replace(x, r"<[^>]+>", " ")
     return trim_blanks(F.regexp_replace(x, r"[ \t]+", " "))
@@ -151,20 +169,26 @@ class _Strings(HTMLParser):
             self.held.append(data)
 
 
+def _strings(x: str) -> str:
+    p = _Strings()
+    p.feed(x)
+    p.close()
+    p.cut()
+    return " ".join(p.strings)
+
+
 def _page_text(xs: pd.Series) -> pd.Series:
-    def one(x):
-        p = _Strings()
-        p.feed(x if isinstance(x, str) else "")
-        p.close()
-        p.cut()
-        return html.unescape(" ".join(p.strings)).strip()
+    return xs.map(lambda x: html.unescape(_strings(x if isinstance(x, str) else "")).strip()).astype(object)
+
 
-    return xs.map(one).astype(object)
+def _page_text_closed(xs: pd.Series) -> pd.Series:
+    return xs.map(lambda x: _strings(_open_kept(x) if isinstance(x, str) else "").strip()).astype(object)
 
 
-def page_text(x: Column) -> Column:
-    """A page's strings joined by spaces, references decoded, trimmed; null counts as empty."""
-    return F.pandas_udf(_page_text, "string")(x)
+def page_text(x: Column, closed: bool = False) -> Column:
+    """A page's strings joined by spaces, references decoded, trimmed; null counts as empty.  closed: only references that
+    end in a semicolon count, and they are decoded once, where else a second pass decodes what the first one made."""
+    return F.pandas_udf(_page_text_closed if closed else _page_text, "string")(x)
 
 
 def level_index(x: Column) -> Column:

@@ -22,3 +22,13 @@ def test_upper_case_of_single_characters(spark, tmp_path, same_rows):
     assert {r.t: r.u for r in got} == {c: upper(c) for c in letters["t"]}
     spark.createDataFrame([(i, t) for i, t in enumerate(["Die Straße", "groß", "ﬁn", "plain"])], "item_id int, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     same_rows(catalog.QUERIES["content_hash_recovery"](spark, str(tmp_path)), catalog.ORACLES["content_hash_recovery"].replace("FROM benchmark", f"FROM '{tmp_path}/benchmark.parquet/*.parquet'"))
+
+
+PAGES = ["<p>a &amp b</p>", "<p>end of&&&amp</p>", "<b>x&am &a &quo;</b> &quot;y&quot;", None, "<p>a &amp;lt; &amp;amp; &lt;</p>", "<i>&copy; &copy &middot;&nbsp;z</i>", "<title>t &amp u</title><p>a<br>b</p>", "plain & plain"]
+
+
+def test_open_references_stay_in_clean_pages(spark, tmp_path, same_rows):
+    spark.createDataFrame(list(enumerate(PAGES)), "page_id int, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    same_rows(catalog.QUERIES["html_clean"](spark, str(tmp_path)), catalog.ORACLES["html_clean"].replace("FROM pages", f"FROM '{tmp_path}/pages.parquet/*.parquet'"))
+    odd = spark.createDataFrame([("&eacute; &eacute &#233; &#xE9 &amp;eacute; &notit; &#65;&",)], "t string")
+    assert odd.select(T.clean_html(F.col("t"), closed=True)).first()[0] == "é &eacute é &#xE9 &eacute; &notit; A&"
