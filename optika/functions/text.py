@@ -17,8 +17,13 @@ BLANK = r"(?U)[\s\x1c-\x1f\x85]+"
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
+#: The same characters one by one.
+BLANKS = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
+
+
 def trim_blanks(x: Column) -> Column:
-    return F.regexp_replace(x, r"(?U)^[\s\x1c-\x1f\x85]+|[\s\x1c-\x1f\x85]+$", "")
+    """Without blanks at both ends: a look at the ends, where a pattern would try each blank of a text."""
+    return F.trim(x, F.lit(BLANKS))
 
 
 #: What case folding makes of characters that lower case leaves, by Python's own tables: of one character one, or several.
@@ -29,7 +34,7 @@ _SEVERAL = {c: f for c, f in _FOLDS.items() if len(f) > 1}
 _SHARP = "\u00df"
 _RARE = "".join(c for c in _SEVERAL if c != _SHARP)
 #: Blanks beside the space: they become spaces in the same pass over a text as its letters.
-_BLANKS = "".join(chr(i) for i in range(0x3001) if chr(i).isspace() and chr(i) != " ")
+_BLANKS = BLANKS.replace(" ", "")
 
 
 #: Marks the rare ones in the pass over a text's letters.
@@ -85,8 +90,11 @@ def or_else(*xs: Column) -> Column:
 
 
 def template(fmt: str, *xs: Column) -> Column:
-    """A printf template in which nulls count as empty."""
-    return F.format_string(fmt, *(F.coalesce(x.cast("string"), F.lit("")) for x in xs))
+    """A template whose every %s stands for a column; nulls count as empty."""
+    first, *rest = fmt.split("%s")
+    if len(rest) != len(xs) or "%" in fmt.replace("%s", ""):
+        raise ValueError(f"{fmt!r} must name its {len(xs)} columns by %s and hold no other %")
+    return F.concat(F.lit(first), *(part for x, text in zip(xs, rest, strict=True) for part in (F.coalesce(x.cast("string"), F.lit("")), F.lit(text))))
 
 
 def _unescape(xs: pd.Series) -> pd.Series:

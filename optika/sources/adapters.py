@@ -117,7 +117,7 @@ def _zero_based(df: DataFrame) -> DataFrame:
 
 
 def _alternatives(*contexts: Column) -> Column:
-    return F.explode(F.filter(F.array(*contexts), lambda x: T.trim_blanks(x) != ""))
+    return F.explode(F.array(*contexts))
 
 
 def _html(x: Column) -> Column:
@@ -214,15 +214,26 @@ def _headlines() -> Column:
     return F.explode(F.transform(shown, lambda h: F.concat(F.lit("Edited headline: "), h, F.lit("\nReplacement word: "), edit)))
 
 
+def _prepared(df: DataFrame, a: Adapter) -> DataFrame:
+    df = a.prepare(df) if a.prepare else df
+    return df.where(a.keep()) if a.keep else df
+
+
+def _filled(df: DataFrame, text: Column) -> DataFrame:
+    """df with the text as context, where it is not empty.  It is computed once, in a generator: a filter on a column is
+    pushed below it together with a second copy of all that makes the column."""
+    return df.withColumn("context", F.explode(F.filter(F.array(text), lambda x: x != "")))
+
+
+def _contexts(df: DataFrame, a: Adapter) -> DataFrame:
+    out = _filled(df.withColumn("context", a.context()), T.trim_blanks(F.col("context")))
+    return _filled(out, T.clean_html(F.col("context"))) if a.clean else out
+
+
 def contexts(df: DataFrame, source: str) -> DataFrame:
     """The context variants of a source's rows, trimmed; empty ones go."""
     a = ADAPTERS[source]
-    df = a.prepare(df) if a.prepare else df
-    df = df.where(a.keep()) if a.keep else df
-    out = df.withColumn("context", a.context()).withColumn("context", T.trim_blanks(F.col("context")))
-    if a.clean:
-        out = out.withColumn("context", T.clean_html(F.col("context")))
-    return out.where(F.coalesce(F.col("context") != "", F.lit(False)))
+    return _contexts(_prepared(df, a), a)
 
 
 def items(df: DataFrame, source: str, revision: str = "", seed: int = 20260926) -> DataFrame:
@@ -231,9 +242,9 @@ def items(df: DataFrame, source: str, revision: str = "", seed: int = 20260926)
     a = ADAPTERS[source]
     if a.gold is None:
         raise ValueError(f"{source} has contexts only; its labels come from a frozen index")
-    out = contexts(df, source).withColumn("gold_position", a.gold().cast("int"))
+    out = _prepared(df, a).withColumn("gold_position", a.gold().cast("int"))
     choices = F.array(*map(F.lit, a.choices))
-    out = out.where((F.col("gold_position") >= 0) & (F.col("gold_position") < len(a.choices)))
+    out = _contexts(out.where((F.col("gold_position") >= 0) & (F.col("gold_position") < len(a.choices))), a)
     question = a.question() if a.question else F.lit(QUESTIONS.get(source, ""))
     return out.select(
         F.concat(F.lit(f"{source}::"), a.key()).alias("sample_id"), F.lit(source).alias("source"), a.key().alias("original_id"), F.col("split"), "context", question.alias("question"), choices.alias("choices"),
