@@ -26,6 +26,11 @@ def trim_blanks(x: Column) -> Column:
     return F.trim(x, F.lit(BLANKS))
 
 
+def let(x: Column, f) -> Column:
+    """f of a value that is computed once, however often f names it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 #: What case folding makes of characters that lower case leaves, by Python's own tables: of one character one, or several.
 _FOLDS = {c: c.casefold() for i in range(0x110000) if not 0xD800 <= i < 0xE000 for c in chr(i).lower() if c.casefold() != c}
 _SINGLE = {c: f for c, f in _FOLDS.items() if len(f) == 1}
@@ -122,22 +127,23 @@ _USUAL = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&#39;": "'",
 def unescape(x: Column, closed: bool = False) -> Column:
     """All HTML references decoded, once.  Texts whose references are the usual ones stay in generated code; others go
     to a Python worker.  closed: only references that end in a semicolon count, so that ``&amp`` stays as it is."""
-    usual = rest = x
+    usual = x
     for name, char in _USUAL.items():
-        usual, rest = F.replace(usual, F.lit(name), F.lit(char)), F.replace(rest, F.lit(name), F.lit(" "))
-    amp = F.lit("&")
-    odd = F.contains(x, amp) & (rest.rlike(_CLOSED) if closed else F.contains(rest, amp))
+        usual = F.replace(usual, F.lit(name), F.lit(char))
+    amp = F.contains(x, F.lit("&"))
+    others = f"&(?!(?:{'|'.join(n[1:-1] for n in _USUAL)});)"
+    odd = amp & x.rlike(others + _CLOSED[1:] if closed else others)
     decode = F.pandas_udf(_unescape_closed if closed else _unescape, "string")
-    return F.when(~F.contains(x, amp), x).when(~odd, usual).otherwise(decode(F.when(odd, x)))
+    return F.when(~amp, x).when(~odd, usual).otherwise(decode(F.when(odd, x)))
 
 
 def clean_html(x: Column, closed: bool = False) -> Column:
     """References decoded (closed: see ``unescape``), line breaks for <br>, tags dropped, blanks and tabs collapsed, trimmed;
     null counts as empty."""
     x = unescape(F.coalesce(x, F.lit("")), closed)
-    x = F.regexp_replace(x, r"(?iU)<br\s*/?>", "\n")
-    x = F.regexp_replace(x, r"<[^>]+>", " ")
-    return trim_blanks(F.regexp_replace(x, r"[ \t]+", " "))
+    tagless = lambda t: F.when(F.contains(t, F.lit("<")), F.regexp_replace(F.regexp_replace(t, r"<(?iU)br\s*/?>", "\n"), r"<[^>]+>", " ")).otherwise(t)
+    spaced = lambda t: F.when(F.contains(t, F.lit("  ")) | F.contains(t, F.lit("\t")), F.regexp_replace(t, r"[ \t]{2,}|\t", " ")).otherwise(t)
+    return trim_blanks(let(let(x, tagless), spaced))
 
 
 class _Strings(HTMLParser):

@@ -30,3 +30,16 @@ def test_templates_without_a_format(spark):
     assert df.select(T.template("%s: %s|%s", F.col("a"), F.col("b"), F.col("c"))).first()[0] == "50%: 1|"
     with pytest.raises(ValueError, match="columns"):
         T.template("%s %d", F.col("a"))
+
+
+def test_cleaning_computes_a_text_once(spark):
+    df = spark.createDataFrame([("a <BR/>b<br >c  d\t<i>e</i> &amp; &eacute;", 1)], "t string, n int")
+    got = df.select(T.clean_html(F.concat("t", F.lit("!"))).alias("c"))
+    assert got.first().c == "a \nb\nc d e & é!"
+    assert plan(got).count("<[^>]+>") == 1
+
+
+def test_rows_without_a_label_are_not_cleaned(spark, sf_dir):
+    rows = adapters_catalog.raw_rows(spark, sf_dir, "imdb_ratings")
+    got = plan(adapters.items(rows, "imdb_ratings"))
+    assert "array_position" in got.rsplit("Generate", 1)[1]  # the label's filter lies below the first generator
