@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -13,12 +13,17 @@ from pyspark.sql import functions as F
 from optika.functions import arrays as A
 
 
-def digests(df: DataFrame, keys: list[str], line: Column, order: list[Column], name: str = "digest") -> DataFrame:
+def digests(df: DataFrame, keys: list[str], line: Column | Callable[..., Column], order: list[Column], name: str = "digest", more: tuple[Column, ...] = ()) -> DataFrame:
     """SHA-256 of the lines of each group in an order, streamed: a group's lines are sorted (Spark spills) and go through
     one hash, whatever their number; nothing is collected.  A null line has no bytes.  One task hashes a group, as the
-    definition of the digest demands."""
+    definition of the digest demands.
+
+    ``line`` is a column, or makes a line of the order's columns and ``more``; that is done behind the sort, which so holds
+    no line beside the columns that it consists of."""
     k = len(keys)
-    rows = df.select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)), *(o.alias(f"_o{i}") for i, o in enumerate(order)), line.cast("binary").alias("_line"))
+    if isinstance(line, Column):
+        line, more = lambda *x: x[-1], (*more, line)
+    rows = df.select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)), *(o.alias(f"_o{i}") for i, o in enumerate([*order, *more])))
     groups = [f"_k{i}" for i in range(k)]
     sort = [*groups, *(f"_o{i}" for i in range(len(order)))]
     kinds = [df.schema[c].dataType.simpleString() for c in keys]
@@ -46,33 +51,46 @@ def digests(df: DataFrame, keys: list[str], line: Column, order: list[Column], n
             yield pa.RecordBatch.from_arrays([*(pa.array([o[0][i] for o in out], schema.field(i).type) for i in range(k)), pa.array([o[1] for o in out], pa.string())], schema=schema)
 
     dealt = (rows.repartition(*groups) if k else rows.coalesce(1)).sortWithinPartitions(*sort)
+    dealt = dealt.select(*groups, line(*(F.col(f"_o{i}") for i in range(len(order) + len(more)))).cast("binary").alias("_line"))
     got = dealt.mapInArrow(run, ", ".join([*(f"`{g}` {t}" for g, t in zip(groups, kinds, strict=True)), f"`{name}` string"]))
     return got.toDF(*keys, name)
 
 
+def _lined(x: Column) -> Column:
+    return F.concat(x, F.lit("\n"))
+
+
+def _written_out(sha: Column) -> Column:
+    return F.lower(F.hex(sha))
+
+
 def selection_digest(df: DataFrame, keys: list[str], key: Column, name: str = "digest") -> DataFrame:
     """SHA-256 of the sorted keys, each followed by a line feed; independent of row order."""
-    return digests(df, keys, F.concat(key, F.lit("\n")), [F.concat(key, F.lit("\n"))], name)
+    return digests(df, keys, lambda x: x, [_lined(key)], name)
 
 
 def ordered_digest(df: DataFrame, keys: list[str], key: Column, ordinal: Column, name: str = "digest") -> DataFrame:
     """The same in the order of an ordinal."""
-    return digests(df, keys, F.concat(key, F.lit("\n")), [ordinal], name)
+    return digests(df, keys, lambda _, x: _lined(x), [ordinal], name, (key,))
 
 
-def record_digest(df: DataFrame, keys: list[str], key: Column, sha: Column, name: str = "digest") -> DataFrame:
-    """SHA-256 over sorted (key, record hash): key, a zero byte, the hash, a line feed."""
-    return digests(df, keys, F.concat(key, F.lit("\0"), sha, F.lit("\n")), [key, sha], name)
+def record_digest(df: DataFrame, keys: list[str], key: Column, sha: Column, name: str = "digest", packed: bool = False) -> DataFrame:
+    """SHA-256 over sorted (key, record hash): key, a zero byte, the hash, a line feed.  packed: all hashes are lower-case
+    hexadecimal, and are sorted as the bytes that they stand for, in the same order."""
+    shown = _written_out if packed else lambda x: x
+    return digests(df, keys, lambda k, s: _lined(F.concat(k, F.lit("\0"), shown(s))), [key, F.unhex(sha) if packed else sha], name)
 
 
-def pool_digest(df: DataFrame, keys: list[str], sha: Column, name: str = "digest") -> DataFrame:
-    """Content digest of a pool: SHA-256 of its sorted row hashes, each followed by a line feed."""
+def pool_digest(df: DataFrame, keys: list[str], sha: Column, name: str = "digest", packed: bool = False) -> DataFrame:
+    """Content digest of a pool: SHA-256 of its sorted row hashes, each followed by a line feed; packed as above."""
+    if packed:
+        return digests(df, keys, lambda x: _lined(_written_out(x)), [F.unhex(sha)], name)
     return selection_digest(df, keys, sha, name)
 
 
 def tree_digest(df: DataFrame, keys: list[str], path: Column, size: Column, sha: Column, name: str = "digest") -> DataFrame:
     """SHA-256 of ``sha  bytes  path`` lines in path order."""
-    return digests(df, keys, F.concat(F.concat_ws("  ", sha, size.cast("string"), path), F.lit("\n")), [path], name)
+    return digests(df, keys, lambda p, n, s: _lined(F.concat_ws("  ", s, n.cast("string"), p)), [path], name, (size, sha))
 
 
 def id_report(df: DataFrame, keys: list[str], key: str, order: str) -> DataFrame:

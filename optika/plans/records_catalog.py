@@ -124,9 +124,9 @@ def stable_records(spark, d) -> DataFrame:
 sha256(string_agg(record_sha256 || chr(10), '' ORDER BY record_sha256)) AS pool_digest FROM rec GROUP BY source""")
 def prediction_digests(spark, d) -> DataFrame:
     r = results.recorded(prediction_rows(spark, d))
-    a = quality.record_digest(r, ["source"], F.col("sample_id"), F.col("record_sha256"), "prediction_digest")
-    b = quality.record_digest(r, ["source"], F.col("sample_id"), F.col("decision_sha256"), "decision_digest")
-    return a.join(b, "source").join(quality.pool_digest(r, ["source"], F.col("record_sha256"), "pool_digest"), "source")
+    a = quality.record_digest(r, ["source"], F.col("sample_id"), F.col("record_sha256"), "prediction_digest", packed=True)
+    b = quality.record_digest(r, ["source"], F.col("sample_id"), F.col("decision_sha256"), "decision_digest", packed=True)
+    return a.join(b, "source").join(quality.pool_digest(r, ["source"], F.col("record_sha256"), "pool_digest", packed=True), "source")
 
 
 @query("""WITH e AS (SELECT event_type, user_id, event_id, row_number() OVER (PARTITION BY event_type, user_id ORDER BY event_id) AS turn FROM events), a AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS place FROM e WHERE turn = 2),
